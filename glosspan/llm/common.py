@@ -68,3 +68,20 @@ def ascii_lower(column: Column) -> Column:
 def crc_mod(column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
+
+
+#: A lookup side of at most so many bytes (rows times the stated width) is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_enough(df: DataFrame, row_bytes: int) -> bool:
+    """Whether a staged table is proven to fit a broadcast."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def lookup(rows: DataFrame, side: DataFrame, on: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
+    """Join a staged side: by broadcast where its counted size allows that, else by sort-merge.
+
+    The sort-merge join leaves both exchanges to Spark, which splits skewed partitions.
+    """
+    return rows.join(F.broadcast(side) if small_enough(side, row_bytes) else side.hint("merge"), on, how)
