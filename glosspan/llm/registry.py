@@ -1,3 +1,3 @@
 """The modules that register queries of this subpackage."""
 
-MODULES = ["glosspan.llm.exact_dedup", "glosspan.llm.mixing", "glosspan.llm.decontamination", "glosspan.llm.licences"]
+MODULES = [f"glosspan.llm.{name}" for name in ("exact_dedup", "pii", "decontamination", "mixing", "licences")]
