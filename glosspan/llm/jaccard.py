@@ -48,12 +48,11 @@ from pyspark.sql import functions as F
 from glosspan.llm.arrow import slices, utf8
 from glosspan.llm.common import discard, parts, staged, table
 from glosspan.llm.components import components
+from glosspan.llm.scan import kept_by_map
 
 PIECE = 1 << 19
 #: A set with more weak segments than its scheme's slack costs about so many signatures.
 WEAK_PRICE = 1000
-#: Bits of the map of documents that a later pass must read again: 1 MB.
-MAP_BITS = 23
 SALTS = 16
 
 U = np.uint64
@@ -251,31 +250,17 @@ def read_sets(docs: DataFrame, plan: Plan) -> DataFrame:
 def reread(docs: DataFrame, wanted: DataFrame, plan: Plan, what: str) -> DataFrame:
     """(node, value) of the documents in ``wanted`` (node, doc_id): signatures or whole sets.
 
-    A bit map of fixed size, built by Spark's bitmap aggregate, lets the scan
-    skip documents; a document it lets through by chance is dropped by a join.
+    A bit map of fixed size lets the scan skip documents; one that it lets
+    through by chance adds rows that later joins drop.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    pages = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    bits = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for row in pages.collect():  # at most 2**MAP_BITS / 32768 pages of 4 KB
-        begin = (row["page"] - 1) * 4096
-        bits[begin : begin + 4096] = np.frombuffer(row["bits"], np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(bits)
     signed = what == "signatures"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chosen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column("bit").to_numpy()
-                found = pa.RecordBatch.filter(batch, pa.array((held.value[at >> 3] >> (at & 7)) & 1 == 1))
-                if found.num_rows:
-                    yield found
-
-        for rows, sets in _texts(chosen(), plan.k):
+        for rows, sets in _texts(batches, plan.k):
             values = [plan.signatures(s) if signed else s for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), _longs(values)], ["doc_id", "node", "value"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit.alias("bit")).mapInArrow(run, "doc_id long, node long, value array<long>")
+    return kept_by_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").mapInArrow(run, "doc_id long, node long, value array<long>")
 
 
 def shared_rows(rows: DataFrame, key: str) -> DataFrame:
