@@ -1,3 +1,3 @@
 """The modules that register queries of this subpackage."""
 
-MODULES = [f"glosspan.llm.{name}" for name in ("exact_dedup", "pii", "decontamination", "mixing", "licences", "secrets", "language", "jaccard", "substrings")]
+MODULES = [f"glosspan.llm.{name}" for name in ("exact_dedup", "pii", "decontamination", "mixing", "licences", "secrets", "language", "jaccard", "substrings", "lm")]
