@@ -44,7 +44,10 @@ KEY = ["none", "name"]
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, its key (none, name), size in words, and the shuffle's hash."""
+    """doc_id, source, its key (none, name), size in words, and the shuffle's hash.
+
+    The text stays behind: the mix only needs sizes.
+    """
     size = F.regexp_count(text_or_empty(), F.lit(BLANK_CLASS.replace("[", "[^") + "+")).cast("long")
     return docs.select("doc_id", "source", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
 

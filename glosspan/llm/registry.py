@@ -1,3 +1,4 @@
 """The modules that register queries of this subpackage."""
 
-MODULES = [f"glosspan.llm.{name}" for name in ("exact_dedup", "pii", "decontamination", "mixing", "licences", "secrets", "language", "jaccard", "substrings", "lm")]
+MODULES = [f"glosspan.llm.{name}" for name in ("exact_dedup", "pii", "decontamination", "mixing", "lm", "secrets", "licences", "language", "jaccard", "substrings")]
+MODULES.append("corpus_pipeline")
