@@ -114,10 +114,9 @@ def verdicts(rows: DataFrame, docs: DataFrame, items: DataFrame, window: int = W
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that contain no window of any item."""
-    names = docs.columns
-    met = occurrences(docs, windows(items, window)[1]).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    return rows.join(met, rows["doc_id"].eqNullSafe(met["_id"]) & (rows["_h"] == met["_tk"]), "left_anti").select(*names)
+    met = occurrences(docs, windows(items, window)[1]).select(*DOC).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("tk"))
+    return rows.alias("r").join(met.alias("m"), F.expr("r.doc_id <=> m.doc_id AND r.tk = m.tk"), "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

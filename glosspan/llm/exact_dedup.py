@@ -117,11 +117,9 @@ def attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns only."""
     index = index or DigestIndex(docs.sparkSession)
-    names = docs.columns
-    verdict = decide(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    digest = F.lower(F.sha2(normalised(), 256))
-    rows = docs.withColumn("_digest", digest)
-    return rows.join(verdict, rows["doc_id"].eqNullSafe(verdict["_id"]) & (rows["_digest"] == verdict["_digest"]), "left_semi").select(*names)
+    verdict = decide(docs, index).where("kept").select("doc_id", "text_sha256").distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.lower(F.sha2(normalised(), 256)).alias("sha"))
+    return rows.alias("r").join(verdict.alias("v"), F.expr("r.doc_id <=> v.doc_id AND r.sha = v.text_sha256"), "left_semi").select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

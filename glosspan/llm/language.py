@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glosspan.llm.arrow import slices, utf8
 from glosspan.llm.common import crc_mod, table
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str] = ()) -> DataFra
 
     names = [f"c{i}" for i in range(len(keep))]
     renamed = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("_text"))
-    schema = ", ".join([f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names] + ["lang_pred string", "score double"])
+    schema = T.StructType([*renamed.drop("_text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return renamed.mapInArrow(batches, schema).toDF(*keep, "lang_pred", "score")
 
 

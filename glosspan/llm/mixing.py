@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,13 +43,17 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 KEY = ["none", "name"]
 
 
+def size_of(text: Column) -> Column:
+    """Number of words of a text; 0 for null."""
+    return F.regexp_count(text_or_empty(text), F.lit(BLANK_CLASS.replace("[", "[^") + "+")).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, its key (none, name), size in words, and the shuffle's hash.
 
     The text stays behind: the mix only needs sizes.
     """
-    size = F.regexp_count(text_or_empty(), F.lit(BLANK_CLASS.replace("[", "[^") + "+")).cast("long")
-    return docs.select("doc_id", "source", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    return docs.select("doc_id", "source", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), size_of(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
 
 
 def ordered_rank(rows: DataFrame, order: list[str]) -> DataFrame:
