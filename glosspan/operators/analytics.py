@@ -59,9 +59,9 @@ def histogram(values: DataFrame, column: str, bins: int = 10) -> DataFrame:
     width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(bins))).cast("long")
     grid = edge.withColumn("width", width).withColumn("low", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"), "width")))
     # Values are counted before the join, so it only meets distinct values.
-    counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    in_bin = (F.col(column) >= F.col("low")) & (F.col(column) < F.col("low") + F.col("width"))
-    met = grid.join(counts, in_bin, "left").groupBy("low", "hi", "width").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("met"))
+    in_bin = (F.col("value") >= F.col("low")) & (F.col("value") < F.col("low") + F.col("width"))
+    met = grid.join(counts, in_bin, "left").groupBy("low", "hi", "width").agg(F.coalesce(F.sum("met"), F.lit(0)).alias("count"))
     return met.select("low", F.least(F.col("low") + F.col("width") - 1, F.col("hi").cast("long")).alias("high"), "count").orderBy("low")
 
 

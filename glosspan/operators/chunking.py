@@ -9,6 +9,7 @@ document.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -78,7 +79,7 @@ def sentences(text: str) -> list[list[Word]]:
     """Words (start, end) by sentence."""
     found = [m.span() for m in re.finditer(r"\S+", text)]
     out: list[list[Word]] = [[]]
-    for here, after in zip(found, [*found[1:], None], strict=True):
+    for here, after in itertools.zip_longest(found, found[1:]):
         out[-1].append(here)
         if after is not None and _closes(text, here, after):
             out.append([])
