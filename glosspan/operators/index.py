@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosspan.functions.text import content_hash, is_term, raw_tokens
@@ -29,19 +29,14 @@ def chunked(documents: DataFrame, chunker: Callable[..., DataFrame] = chunking.w
 def postings(chunks: DataFrame) -> DataFrame:
     """(id, source, seq, term, tf, length): one row per chunk and term.
 
-    The explode is aggregated before the shuffle; lengths come from the term
-    counts by a window over the chunk, which the aggregate has placed already.
+    Chunks are placed by id before their terms are exploded; counting terms and
+    summing lengths both find their rows together, so texts are shuffled once
+    and terms never.
     """
-    terms = chunks.select("id", "source", "seq", F.explode(raw_tokens("text")).alias("raw")).select("id", "source", "seq", F.lower("raw").alias("term")).where(is_term(F.col("term")))
-    counted = terms.repartition("id").groupBy("id", "source", "seq", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = F.sum("tf").over(_by_chunk())
-    return counted.withColumn("length", lengths)
-
-
-def _by_chunk():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id")
+    placed = chunks.select("id", "source", "seq", "text").repartition("id")
+    terms = placed.select("id", "source", "seq", F.explode(raw_tokens("text")).alias("raw")).select("id", "source", "seq", F.lower("raw").alias("term")).where(is_term(F.col("term")))
+    counted = terms.groupBy("id", "source", "seq", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
 
 class Index:

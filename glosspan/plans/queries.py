@@ -164,7 +164,7 @@ def _cases(spark, sf) -> DataFrame:
     """Benchmark items with the documents that hold their first 60 characters."""
     items = tables.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.substring("text", 1, 60).alias("start"))
     docs = tables.documents(spark, sf).select("source", "text")
-    held = docs.join(F.broadcast(items), F.contains("text", "start"))
+    held = docs.join(items, F.contains("text", "start"))
     return held.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("relevant"))
 
 
