@@ -6,6 +6,7 @@ from glosspan.functions.stopwords import STOPWORDS
 from glosspan.functions.text import TOKEN, WORD
 from glosspan.plans.queries import PRICES, QUERY
 
+_GAP = WORD.replace("[^", "[").rstrip("+")
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _DOCS = "docs AS (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS source, coalesce(text, '') AS text, doc_id AS seq FROM documents)"
 
@@ -105,6 +106,7 @@ t AS (SELECT source, unnest(regexp_extract_all(text, '({TOKEN}|[^\\p{{L}}\\p{{N}
 o AS (SELECT source, lower(piece) AS w, sum(length(piece)) OVER (PARTITION BY source ORDER BY i) AS stop, length(piece) AS n FROM t),
 q AS (SELECT '{QUERY}' AS query), qt AS (SELECT DISTINCT term FROM ({_terms("q", "query", "query")}))
 SELECT source, count(*) AS hits, min(stop - n)::INT AS first, max(stop)::INT AS last, sum(stop - n)::BIGINT AS starts FROM o WHERE w IN (SELECT term FROM qt) GROUP BY 1""",
+    "passage_spans": f"WITH {_DOCS} SELECT source, length(regexp_extract(text, '^{_GAP}*'))::INT AS start, length(regexp_extract(text, '^(?:{_GAP}*{WORD}){{1,50}}'))::INT AS \"end\" FROM docs WHERE regexp_matches(text, '{WORD}')",
     "docs_by_type": f"WITH {_DOCS} SELECT CASE WHEN starts_with(lower(source), 'http') THEN 'web' ELSE 'txt' END AS type, count(*) AS documents FROM (SELECT DISTINCT c.source FROM docs c WHERE length(regexp_extract(text, '{WORD}')) > 0 UNION SELECT DISTINCT url FROM pages) GROUP BY 1",
     "chunk_histogram": f"""WITH {_DOCS}, {_chunks()},
 v AS (SELECT len(regexp_extract_all(text, '{WORD}')) AS n FROM chunks),
