@@ -15,16 +15,20 @@ two sets agrees within its tolerance.
 * *Weak segments* (at most one token, so shared by chance) are not indexed
   unless a set has more than c of them.  A pair that agrees in weak segments
   only agrees in more than c of them, so both sets do index theirs: exact.
-* *Before that*, sets of which no token among the n - ceil(tn) + 1 of least
-  hash recurs in another set have no partner (prefix filter) and drop out.
+* *Before that*, sets without a partner drop out by a prefix filter: partners
+  share at least l of their n - ceil(tn) + l tokens of least hash, so a set
+  needs l such tokens that recur elsewhere (l grows with n, so that a passage
+  common to many texts does not keep them in).
 * *Verification* counts the common hashes of the candidate pairs.
 
 Equal sets are one class from the start.  Within a bucket, every set is paired
-with the bucket's least set first; what these links connect needs no further
-test, and only pairs from different components that pass the size bound and a
-parity-sketch bound (both necessary) are formed after that.  A group of a
-thousand copies thus costs about a thousand pairs a bucket, and no link between
-different components is lost.
+with the bucket's centre first, the set that shares most signatures.  What these
+links connect needs no further test.  Buckets that still hold several components
+are joined into clusters, and within a cluster only sets of different components
+are compared, block against block, by sketches; only pairs that sizes and
+sketches cannot rule out become rows and are verified.  A group of a thousand
+copies thus costs about a thousand pairs a bucket, and no link between different
+components is lost.
 
 Hashes have 64 bits: two different shingles or classes count as one with
 probability about N^2 / 2^65 over N of them.
@@ -54,6 +58,10 @@ PIECE = 1 << 19
 #: A set with more weak segments than its scheme's slack costs about so many signatures.
 WEAK_PRICE = 1000
 SALTS = 16
+#: Sets in a block of a cluster.
+BLOCK = 2048
+#: One more prefix token for so many tokens.
+PREFIX_SHARE = 20
 
 U = np.uint64
 _rng = np.random.default_rng(20240611)
@@ -180,8 +188,12 @@ class Plan:
             self.schemes[band] = Scheme(self.tops[band], self.bound(2 * self.tops[band]))
         return self.schemes[band]
 
+    def needed(self, n: int) -> int:
+        """How many prefix tokens of a set of ``n`` a partner shares at least."""
+        return min((n * self.percent + 99) // 100, 1 + n // PREFIX_SHARE)
+
     def prefix(self, n: int) -> int:
-        return n - (n * self.percent + 99) // 100 + 1 if n else 0
+        return n - (n * self.percent + 99) // 100 + self.needed(n) if n else 0
 
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         """All signatures of a set; equal ones of two sets make a candidate pair."""
@@ -248,16 +260,16 @@ def read_sets(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def reread(docs: DataFrame, wanted: DataFrame, plan: Plan, what: str) -> DataFrame:
-    """(node, value) of the documents in ``wanted`` (node, doc_id): signatures or whole sets.
+    """(node, value) of the documents in ``wanted`` (node, doc_id): signatures, sketches or whole sets.
 
     A bit map of fixed size lets the scan skip documents; one that it lets
     through by chance adds rows that later joins drop.
     """
-    signed = what == "signatures"
+    made = {"signatures": plan.signatures, "sketches": parities, "sets": lambda tokens: tokens}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _texts(batches, plan.k):
-            values = [plan.signatures(s) if signed else s for s in sets]
+            values = [made(s) for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), _longs(values)], ["doc_id", "node", "value"])
 
     return kept_by_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").mapInArrow(run, "doc_id long, node long, value array<long>")
@@ -311,36 +323,98 @@ def may_link(a: str, b: str, percent: int):
     return sizes & (apart * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent))
 
 
+def values_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, plan: Plan, what: str) -> DataFrame:
+    """(node, value): sets or sketches of the wanted nodes, from their representatives' texts."""
+    holders = staged(classes.join(wanted, "node", "left_semi").select("node", "doc_id"), "holders")
+    made = reread(docs, holders, plan, what).alias("s").join(holders.alias("h"), F.expr("s.node = h.node AND s.doc_id <=> h.doc_id"), "left_semi")
+    return staged(made.select("node", "value"), "values")
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """A sketch of four bits and more a token: parities by hash, a power of two of words.
+
+    Its halves, one over the other, are the sketch of half the length.
+    """
+    words = 1 << max(2, (len(tokens) // 16).bit_length())
+    odd = np.bincount((mix(tokens, 19) & U(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members (node, label, cluster, n, value: a sketch) of one cluster and different labels that may link.
+
+    A cluster is dealt into blocks of about BLOCK sets, and each task compares
+    two blocks by sizes and sketches, so a cluster of any size is spread out,
+    sets needn't be shipped, and no pair becomes a row that these rule out.
+    """
+    sized = members.join(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")), "cluster")
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = sized.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "value")
+
+    def run(group: pa.Table) -> pa.Table:
+        own, node, label, n = (group.column(c).to_numpy() for c in ("own", "node", "label", "n"))
+        values = group.column("value").combine_chunks()
+        flat, ends = values.values.to_numpy().view(U), values.offsets.to_numpy()
+        words = np.diff(ends)
+        i, j = (group.column(c)[0].as_py() for c in "ij")
+        found = []
+        for length in np.unique(words).tolist():
+            # Sketches of this length, and of twice the length folded to it.
+            some = np.flatnonzero((words == length) | (words == 2 * length))
+            marks = np.stack([flat[ends[x] : ends[x] + length] ^ (flat[ends[x] + length : ends[x + 1]] if words[x] > length else U(0)) for x in some.tolist()])
+            low, high = np.flatnonzero(own[some] == i), np.flatnonzero(own[some] == j)
+            exact = words[some] == length
+            for x in low.tolist():
+                y = high if i != j else high[node[some[high]] > node[some[x]]]
+                y = y[(label[some[y]] != label[some[x]]) & (exact[y] | exact[x])]
+                y = y[np.minimum(n[some[y]], n[some[x]]) * 100 >= np.maximum(n[some[y]], n[some[x]]) * percent] if len(y) else y
+                if len(y):
+                    both = n[some[y]] + n[some[x]]
+                    apart = np.bitwise_count(marks[y] ^ marks[x]).sum(axis=1, dtype=np.int64)
+                    found += [(node[some[x]], node[some[z]]) for z in y[apart * (100 + percent) <= both * (100 - percent)].tolist()]
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, node."""
     plan = Plan(percent, k)
     read = staged(read_sets(docs, plan), "sets")
     rows = staged(read.select("doc_id", "n", "node", "s0", "s1", "s2", "s3"), "classes")
     recurring = shared_rows(read.where("n > 0").select(F.explode("prefix").alias("token"), "node"), "token")
-    recurring = staged(recurring.select("node").distinct(), "recurring")
+    recurring = staged(recurring.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "recurring")
     discard(read)
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
     classes = staged(classes, "nodes")
-    alive = staged(classes.join(recurring, "node", "left_semi").select("node", "doc_id"), "alive")
+    needed = F.least(F.ceil(F.col("n") * percent / F.lit(100)), 1 + F.floor(F.col("n") / PREFIX_SHARE))
+    alive = staged(classes.join(recurring, "node").where(F.col("met") >= needed).select("node", "doc_id"), "alive")
     signed = reread(docs, alive, plan, "signatures")
     buckets = staged(shared_rows(signed.select(F.explode("value").alias("signature"), "node"), "signature"), "buckets")
     facts = classes.select("node", "n", "s0", "s1", "s2", "s3")
-    stars = buckets.groupBy("signature").agg(F.min("node").alias("least"))
-    stars = buckets.join(stars, "signature").where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("times"))
-    first = stars.alias("p").join(facts.alias("a"), F.expr("p.node = a.node")).join(facts.alias("b"), F.expr("p.least = b.node")).where(may_link("a", "b", percent))
-    first = first.groupBy(F.col("p.node").alias("u")).agg(F.max_by(F.col("p.least"), F.struct("p.times", "p.least")).alias("v"))
+    # A bucket's centre is its set that shares most signatures: the text that the others vary.
+    shared = buckets.join(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")
+    stars = shared.groupBy("signature").agg(F.max_by("node", F.struct("shared", "node")).alias("centre"))
+    stars = buckets.join(stars, "signature").where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
+    first = stars.alias("p").join(facts.alias("a"), F.expr("p.node = a.node")).join(facts.alias("b"), F.expr("p.centre = b.node")).where(may_link("a", "b", percent))
+    first = first.groupBy(F.col("p.node").alias("u")).agg(F.max_by(F.col("p.centre"), F.struct("p.times", "p.centre")).alias("v"))
     first = staged(first, "first")
-    members = staged(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "members")
-    sets = reread(docs, members, plan, "sets").alias("s").join(members.alias("m"), F.expr("s.node = m.node AND s.doc_id <=> m.doc_id"), "left_semi")
-    sets = staged(sets.select("node", "value"), "values")
+    wanted = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = values_of(docs, classes, wanted, plan, "sets")
     links = staged(verified(first, sets, percent), "links")
+    discard(sets)
     labels = components(links)
     marked = buckets.join(labels, "node", "left").select("signature", "node", F.coalesce("label", "node").alias("label"))
-    open_ = marked.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("signature")
-    left = staged(marked.join(open_, "signature", "left_semi").join(facts, "node"), "open")
-    rest = left.alias("a").join(left.alias("b"), (F.col("a.signature") == F.col("b.signature")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
-    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+    mixed = marked.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("v")).where("low <> high")
+    mixed = staged(marked.join(mixed.select("signature", "v"), "signature").select(F.col("node").alias("u"), "v", "label").distinct(), "mixed")
+    members = mixed.select(F.col("u").alias("node"), "label").distinct().join(components(mixed.select("u", "v")).withColumnRenamed("label", "cluster"), "node")
+    members = staged(members, "members")
+    sketches = values_of(docs, classes, members.select("node"), plan, "sketches")
+    rest = staged(across(members.join(sketches, "node").join(classes.select("node", "n"), "node"), percent), "rest")
+    discard(sketches)
+    sets = values_of(docs, classes, rest.select(F.explode(F.array("u", "v")).alias("node")).distinct(), plan, "sets")
     more = staged(verified(rest, sets, percent), "links")
+    discard(sets)
     labels = staged(components(links.unionByName(more)), "labels")
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size"))
@@ -351,10 +425,12 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked texts: the one with the least doc_id."""
-    names = docs.columns
-    gone = join(docs, k, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*names)
+    """One document of each group of linked texts: the one with the least doc_id.
+
+    Rows that repeat one doc_id stay or go together; rows with a null doc_id stay.
+    """
+    gone = join(docs, k, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id = g.doc_id"), "left_anti").select("d.*")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
