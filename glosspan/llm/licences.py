@@ -13,6 +13,9 @@ empty matches nothing; rows that repeat a doc_id and text give equal rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +61,37 @@ KNOWN = [
 ]
 #: (spelling, the one it counts as), applied as whole words in this order.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("favour", "favor"), ("organisation", "organization"), ("per cent", "percent")]
+#: With more distinct sizes of known texts than this, lines aren't told apart by size.
+MOST_SIZES = 2000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r"
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*"
+#: (?d): only a line feed ends a line.
+COPYRIGHT_LINE = r"(?md)^[ \t]*(?:copyright|\(c\)|©)[^\n]*"
 
 
 def canonical(column: str | Column) -> Column:
     """The form that is digested: words between single blanks."""
-    out = F.regexp_replace(ascii_lower(text_or_empty(column)), COPYRIGHT_LINE, "")
-    out = F.trim(F.regexp_replace(F.translate(out, PUNCTUATION, " " * len(PUNCTUATION)), " +", " "))
-    # A lambda names the intermediate form, so that it is computed once.
-    return F.transform(F.array(out), lambda form: F.when(form.rlike("|".join(rf"\b{a}\b" for a, _ in SPELLINGS)), respelled(form)).otherwise(form))[0]
+    low = ascii_lower(text_or_empty(column))
+    # Lambdas name what was computed; the costly replacements run only where a plain search finds their words.
+    return named(low, lambda t: F.when(holds(t, "copyright", "(c)", "©"), F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t), spaced, respelled_where_needed)
+
+
+def named(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """The steps one after the other, each over a value that is computed once."""
+    for step in steps:
+        value = F.transform(F.array(value), step)[0]
+    return value
+
+
+def holds(text: Column, *words: str) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
+def spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(text, PUNCTUATION, " " * len(PUNCTUATION)), "  +", " "))
+
+
+def respelled_where_needed(form: Column) -> Column:
+    return F.when(holds(form, *(a for a, _ in SPELLINGS)), respelled(form)).otherwise(form)
 
 
 def respelled(form: Column) -> Column:
@@ -81,23 +105,26 @@ def digest(column: str | Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, licence and canonical length of the known texts; the first name of a digest counts."""
+    """digest and licence of the known texts (the first name of a digest counts), and the letters
+    and digits that a text of that form has at least and at most (some spellings are longer)."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(known)], "place int, licence string, body string")
     rows = rows.select("place", "licence", canonical("body").alias("form")).where("form <> ''")
-    return staged(rows.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min_by("licence", "place").alias("licence"), F.max(F.length("form")).alias("form_length")), "licences")
+    least = F.length(F.replace("form", F.lit(" "), F.lit("")))
+    longer = sum((F.regexp_count("form", F.lit(one)) * max(0, len(a) - len(one)) for a, one in SPELLINGS), F.lit(0))
+    return staged(rows.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min_by("licence", "place").alias("licence"), F.max(least).alias("least"), F.max(least + longer).alias("most")), "licences")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_digest, licence (of the whole text), n_notices, notices.
 
     ``notices`` are the distinct licences of its lines, sorted, comma-joined.
-    Only lines no longer than any known form can stretch to are digested: the
-    canonical form of a line is never shorter than its letters and digits.
+    Only lines with as many letters and digits as some known text can have are
+    brought to the canonical form.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "body"))
-    longest = known.agg(F.max("form_length")).first()[0] or 0
-    spelled = 1 + max(len(a) - len(b) for a, b in SPELLINGS)
-    lines = lines.where(F.length(F.regexp_replace("body", "[^A-Za-z0-9]", "")) <= longest * spelled)
+    sizes = known.select(F.explode(F.sequence("least", "most")).alias("size")).distinct().limit(MOST_SIZES + 1).collect()
+    if len(sizes) <= MOST_SIZES:  # else every line is digested
+        lines = lines.where(F.length(F.translate("body", PUNCTUATION + " ", "")).isin([row["size"] for row in sizes]))
     hits = lookup(lines.select("doc_id", "tk", "line", digest("body").alias("digest")), known.select("digest", "licence"), ["digest"], row_bytes=256)
     hits = hits.distinct().groupBy("doc_id", "tk").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("found"))
     hits = hits.select(F.col("doc_id").alias("_id"), "tk", "n", "found")
@@ -129,7 +156,7 @@ WITH k AS (SELECT sha256({_sql_form("body")}) AS digest, arg_min(licence, place)
 d AS (SELECT doc_id, sha256({_sql_form("text")}) AS text_digest FROM documents),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body FROM documents),
 h AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS found
-      FROM (SELECT doc_id, sha256({_sql_form("body")}) AS digest FROM l WHERE length(regexp_replace(body, '[^A-Za-z0-9]', '', 'g')) <= 4000) JOIN k USING (digest) GROUP BY 1)
+      FROM (SELECT doc_id, sha256({_sql_form("body")}) AS digest FROM l) JOIN k USING (digest) GROUP BY 1)
 SELECT d.doc_id, d.text_digest, k.licence, coalesce(h.n, 0)::BIGINT AS n_notices, coalesce(h.found, '') AS notices
 FROM d LEFT JOIN k ON k.digest = d.text_digest LEFT JOIN h USING (doc_id)
 """
