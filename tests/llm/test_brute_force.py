@@ -286,13 +286,13 @@ def test_lm_probabilities_sum_to_one(make):
 
     for context in (0, 1):
         d = lm.Decisions(model.codes, np.zeros(0, np.uint8), np.array([0]), np.array([0]), np.array([context]), np.array([lm.END_HASH]))
-        p = model.refined(d, model.mixed(*model.looked_up(d)))
+        p = model.refined(d, model.scored(d))
         assert ((p > 0) & (p < 1)).all()
     every = fitted.known.toPandas()["hash"].to_numpy()
     inside = [h for h in every if model.codes.rank(np.array([h]))[0] >= 0]
     costs = model.costs(np.zeros(0, np.uint8), np.zeros(len(inside), int), np.zeros(len(inside), int), np.zeros(len(inside), int), np.array(inside))
     asked = lm.Decisions(model.codes, np.zeros(0, np.uint8), np.array([0]), np.array([0]), np.array([0]), np.array(inside[:1]))
-    p = model.refined(asked, model.mixed(*model.looked_up(asked)))
+    p = model.refined(asked, model.scored(asked))
     assert (10.0**costs).sum() == pytest.approx(p[asked.node == lm.SYMBOLS][0], rel=1e-3)
 
 
