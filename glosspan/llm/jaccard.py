@@ -54,7 +54,7 @@ from glosspan.llm.common import discard, parts, staged, table
 from glosspan.llm.components import components
 from glosspan.llm.scan import kept_by_map
 
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: A set with more weak segments than its scheme's slack costs about so many signatures.
 WEAK_PRICE = 1000
 SALTS = 16
@@ -95,7 +95,7 @@ def word_hashes(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     """
     if not len(body):
         return np.empty(0, U), np.zeros(len(ends), np.int64)
-    size = 1 << max(19, (len(body) - 1).bit_length())
+    size = 1 << max(18, (len(body) - 1).bit_length())
     up, down = powers(size)
     body = FOLD[body]
     blank = BLANK[body]

@@ -57,7 +57,7 @@ def rolling(body: np.ndarray, width: int) -> np.ndarray:
     n = len(body)
     if n < width:
         return np.empty(0, U)
-    up, down = powers(1 << max(19, (n - 1).bit_length()))
+    up, down = powers(1 << max(18, (n - 1).bit_length()))
     sums = np.zeros(n + 1, U)
     np.cumsum(BYTES[body] * up[:n], out=sums[1:])
     return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
