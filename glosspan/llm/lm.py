@@ -21,10 +21,10 @@ Training, on documents whose crc32 leaves a remainder:
 1. words and signs are counted over all training texts;
 2. every task adds the decisions of its distinct (word, class) pairs to count
    tables of fixed size, which are summed by block over all training texts;
-3. over a bounded sample of about MIXED training documents, those of least
-   md5, the mixer runs in small steps (online gradient steps, each word's own
-   occurrence taken out of the counts first) and counts for the last stage;
-   weights are averaged, counts summed.
+3. in every task, over all its training texts, the mixer runs in small steps
+   (online gradient steps, each word's own occurrence taken out of the counts
+   first) and counts for the last stage; weights are averaged by the tasks'
+   decisions, counts summed.
 
 A word's decisions are a function of (word, class), so each task scores every
 distinct pair once.
@@ -55,8 +55,6 @@ from glosspan.llm.jaccard import BASE, BLANK, BYTES, FOLD, U, mix, powers
 PIECE = 1 << 20
 #: Markers are the CLASSES - 1 most frequent words.
 CLASSES = 16
-#: Training documents from which the mixer's weights are learned, about; and into how many parts they go.
-MIXED, MIXERS = 4000, 4
 #: Places for scores of (word, class) pairs that a task remembers.
 REMEMBERED = 1 << 20
 #: Symbols after the 256 bytes.
@@ -330,9 +328,8 @@ class Model:
             out[at] = np.bincount(d.word, np.log10(np.where(d.bit == 1, p, 1 - p)), minlength=len(first[at]))
         return out
 
-    def learn(self, d: Decisions, times: np.ndarray) -> None:
-        """One pass of online steps over the decisions, in their order."""
-        odds, gate = self.inputs(d)
+    def learn(self, d: Decisions, times: np.ndarray, odds: np.ndarray, gate: np.ndarray) -> None:
+        """One pass of online steps over the decisions with their inputs, in their order."""
         for i in range(0, len(gate), STEP):
             at = slice(i, i + STEP)
             n, g = times[at].astype(np.float64), gate[at]
@@ -460,8 +457,9 @@ def _unpacked(body: bytes) -> np.ndarray:
 
 
 def mixer(docs: DataFrame, codes: Codes, counts: list[np.ndarray], markers: np.ndarray) -> Model:
-    """The model with weights learned over a sample of texts."""
+    """The model with weights learned over all texts."""
     held = docs.sparkSession.sparkContext.broadcast((codes, counts, markers))
+    shape, cells = (GATES, len(BITS)), GATES * len(BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *tables, markers = held.value
@@ -470,20 +468,22 @@ def mixer(docs: DataFrame, codes: Codes, counts: list[np.ndarray], markers: np.n
         for body, first, stop, kind, hashes, n in _pairs(batches, markers):
             d = Decisions(model.codes, body, first, stop, kind, hashes)
             times = n[d.word]
-            model.learn(d, times)
-            p = model.mixed(*model.inputs(d))
-            np.add.at(last, (d.bit, d.node, level(p)), times)
+            odds, gate = model.inputs(d)
+            model.learn(d, times, odds, gate)
+            np.add.at(last, (d.bit, d.node, level(model.mixed(odds, gate))), times)
             size += int(times.sum())
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([last.tobytes()], pa.binary())], ["size", "weights", "last"])
+            values = np.concatenate([[size], size * model.weights.reshape(-1), last.reshape(-1)])
+            at = np.flatnonzero(values)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[at])], ["cell", "value"])
 
-    total, weights, last = 0, np.zeros((GATES, len(BITS))), np.zeros((2, NODES, LEVELS))
-    for row in docs.select("text").repartition(MIXERS).mapInArrow(run, "size long, weights binary, last binary").toLocalIterator():
-        total += row["size"]
-        weights += row["size"] * np.frombuffer(row["weights"]).reshape(weights.shape)
-        last += np.frombuffer(row["last"]).reshape(last.shape)
+    # The sums are of fixed size, however many tasks there are.
+    sums = docs.select("text").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     held.destroy()
-    return Model(codes, counts, weights / total if total else None, last)
+    values = np.zeros(1 + cells + 2 * NODES * LEVELS)
+    values[sums["cell"].to_numpy(np.int64)] = sums["value"].to_numpy(np.float64)
+    weights, last = values[1 : 1 + cells].reshape(shape), values[1 + cells :].reshape(2, NODES, LEVELS)
+    return Model(codes, counts, weights / values[0] if values[0] else None, last)
 
 
 def most_frequent(known: DataFrame, most: int, least: int = 1):
@@ -514,7 +514,7 @@ class Fitted:
     """The model, the markers, and the counts of all words (a staged table)."""
 
     def __init__(self, docs: DataFrame):
-        docs = docs.select(text_or_empty().alias("text"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+        docs = docs.select(text_or_empty().alias("text"))
         counted = staged(count_all(docs), "counts")
         self.known = counted.where(~F.col("sign")).select("hash", "c")
         self.markers = markers_of(self.known)
@@ -525,9 +525,7 @@ class Fitted:
             signs[row["hash"]] = row["c"]
         codes = Codes(signs, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
         counts = slot_counts(docs, codes, self.markers)
-        share = min(1.0, MIXED / max(1, signs[END]))
-        sample = docs.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
-        self.model = mixer(sample, codes, counts, self.markers)
+        self.model = mixer(docs, codes, counts, self.markers)
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:

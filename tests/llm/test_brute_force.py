@@ -296,6 +296,11 @@ def test_lm_probabilities_sum_to_one(make):
     assert (10.0**costs).sum() == pytest.approx(p[asked.node == lm.SYMBOLS][0], rel=1e-3)
 
 
+def test_lm_learns_from_all_training_texts(make):
+    fitted = lm.Fitted(make([(i, "a b ab") for i in range(4500)]))
+    assert fitted.model.last[:, lm.SYMBOLS].sum() == 4500 * 4
+
+
 def test_lm_without_training(make):
     docs = make([(1, "a b"), (2, None)]).select("doc_id", "text", F.lit(True).alias("held_out"))
     rows = lm.score(docs, lm.Fitted(docs.limit(0))).collect()
