@@ -7,7 +7,7 @@ a path in a Huffman tree over signs.  For each decision several predictors look
 up counts of zeros and ones in a table slot hashed from (their context, tree
 node): the last byte, the last two and the last three with the word's class, the last four
 and the last six bytes; within the dictionary's tree, the node alone (exact counts) and the node
-with the class.  The class of a word is the last of the 15 most frequent words
+with the class.  The class of a word is the last of the 63 most frequent words
 before it in its text, so it carries what language the text is in.
 Their log-odds are mixed by weights; which weights apply is gated by how often
 the four-byte context was seen and the place in the word, or by the depth in
@@ -54,7 +54,7 @@ from glosspan.llm.jaccard import BASE, BLANK, BYTES, FOLD, U, mix, powers
 
 PIECE = 1 << 20
 #: Markers are the CLASSES - 1 most frequent words.
-CLASSES = 16
+CLASSES = 64
 #: Places for scores of (word, class) pairs that a task remembers.
 REMEMBERED = 1 << 20
 #: Symbols after the 256 bytes.

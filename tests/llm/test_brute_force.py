@@ -301,6 +301,12 @@ def test_lm_learns_from_all_training_texts(make):
     assert fitted.model.last[:, lm.SYMBOLS].sum() == 4500 * 4
 
 
+def test_lm_tells_words_apart_by_63_markers(make):
+    common = [f"m{i}" for i in range(63)]
+    fitted = lm.Fitted(make([(i, " ".join(common)) for i in range(3)] + [(9, "rare")]))
+    assert len(fitted.markers) == 63
+
+
 def test_lm_without_training(make):
     docs = make([(1, "a b"), (2, None)]).select("doc_id", "text", F.lit(True).alias("held_out"))
     rows = lm.score(docs, lm.Fitted(docs.limit(0))).collect()
