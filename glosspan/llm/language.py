@@ -4,7 +4,7 @@ Training counts byte n-grams (3, 4 and 5 bytes; A-Z lower-cased, other ASCII
 signs as blanks) per language.  A language *contains* an n-gram if its rate
 there is at least ``SHARE`` of the highest rate of any language.  All languages
 share one bit-sliced Bloom filter: every slot is a mask with one bit per
-language, an n-gram sets its languages' bits in three slots, and the AND of
+language (as many 64-bit words as they need), an n-gram sets its languages' bits in three slots, and the AND of
 the three slots returns every language that contains it.
 
 Prediction counts, over all n-grams of the whole text, how often each
@@ -19,8 +19,7 @@ text whole, in pieces of bounded size.
 Defined results: a null text, a text without a letter, or an empty training
 set gives ``und`` with score 0; a text with letters but no known n-gram gets
 the language with most training documents and score 0; ties go to the smaller
-name; rows with null lang don't train; at most 64 languages are learned, those
-with most training documents.
+name; rows with null lang don't train; every other lang value is learned.
 """
 
 from __future__ import annotations
@@ -45,7 +44,6 @@ SHARE = 0.6
 KEPT = 40_000
 LEAST = 3
 SLOT_BITS = 20
-MOST_LANGUAGES = 64
 PIECE = 1 << 19
 LETTER = re.compile(r"[^\W\d_]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,13 +88,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Filters:
     """The fitted filter: names, masks, and each language's chance rate."""
 
-    def __init__(self, names: list[str], default: str, hashes: np.ndarray, masks: np.ndarray):
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(names) <= 8 * np.dtype(k).itemsize)
+    def __init__(self, names: list[str], default: str, hashes: np.ndarray, owners: np.ndarray):
+        """``owners`` has the number of a language that contains the n-gram in ``hashes``."""
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(names) <= 8 * np.dtype(k).itemsize), np.uint64)
+        self.bits = 8 * np.dtype(kind).itemsize
         self.names, self.default = names, default
-        self.table = np.zeros(1 << SLOT_BITS, kind)
+        self.tables = np.zeros((max(1, -(-len(names) // self.bits)), 1 << SLOT_BITS), kind)
+        word, bit = owners // self.bits, np.left_shift(kind(1), (owners % self.bits).astype(kind))
         for place in slots(hashes):
-            np.bitwise_or.at(self.table, place, masks.astype(kind))
-        self.chance = np.array([np.mean((self.table >> kind(i)) & kind(1)) ** 3 for i in range(len(names))])
+            np.bitwise_or.at(self.tables, (word, place), bit)
+        self.chance = np.array([np.mean((self.tables[i // self.bits] >> kind(i % self.bits)) & kind(1)) ** 3 for i in range(len(names))])
 
     def counts(self, body: np.ndarray) -> tuple[np.ndarray, int]:
         """Per language the n-grams of these bytes that it contains; and how many there are."""
@@ -105,13 +106,15 @@ class Filters:
         for begin in range(0, len(body), PIECE):
             for n in GRAMS:
                 a, b, c = slots(grams(body[begin : begin + PIECE + n - 1], n))
-                both = self.table[a] & self.table[b] & self.table[c]
-                total += len(both)
-                if both.dtype == np.uint8:
-                    by_mask = np.bincount(both, minlength=256)
-                    out += [by_mask[(np.arange(256) >> i) & 1 == 1].sum() for i in range(len(self.names))]
-                else:
-                    out += [np.count_nonzero(both & both.dtype.type(1 << i)) for i in range(len(self.names))]
+                total += len(a)
+                for word, table in enumerate(self.tables):
+                    both = table[a] & table[b] & table[c]
+                    here = range(word * self.bits, min((word + 1) * self.bits, len(self.names)))
+                    if both.dtype == np.uint8:
+                        by_mask = np.bincount(both, minlength=256)
+                        out[here.start : here.stop] += [by_mask[(np.arange(256) >> i) & 1 == 1].sum() for i in range(len(here))]
+                    else:
+                        out[here.start : here.stop] += [np.count_nonzero(both & both.dtype.type(1 << i)) for i in range(len(here))]
         return out, total
 
     def predict(self, text: str | None, body: np.ndarray) -> tuple[str, float]:
@@ -130,12 +133,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     ids = rows.select("lang", key.alias("h"))
-    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
     names = sorted(sizes)
     if not names:
-        return Filters([], "und", np.empty(0, np.uint64), np.empty(0, np.uint64))
+        return Filters([], "und", np.empty(0, np.uint64), np.empty(0, np.int64))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    last = ids.where(F.col("lang").isin(names)).withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    last = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
     sample = rows.join(F.broadcast(last), "lang").where(key <= F.col("last")).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     top = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= KEPT).select("lang", "gram", "n")
@@ -144,15 +147,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
 
 
 def assembled(names: list[str], default: str, learned) -> Filters:
-    grams_of, place = np.unique(learned["gram"].to_numpy(np.int64), return_inverse=True)
-    rates = np.zeros((len(grams_of), len(names)))
-    rates[place, learned["lang"].map(names.index).to_numpy(np.int64)] = learned["n"].to_numpy(np.float64)
-    rates /= np.maximum(rates.sum(axis=0), 1)
-    holds = (rates >= SHARE * rates.max(axis=1, keepdims=True)) & (rates > 0)
+    hashes, place = np.unique(learned["gram"].to_numpy(np.int64), return_inverse=True)
+    owner = learned["lang"].map({name: i for i, name in enumerate(names)}).to_numpy(np.int64)
+    rate = learned["n"].to_numpy(np.float64)
+    rate = rate / np.maximum(np.bincount(owner, rate, minlength=len(names)), 1)[owner]
+    highest = np.zeros(len(hashes))
+    np.maximum.at(highest, place, rate)
+    holds = (rate >= SHARE * highest[place]) & (rate > 0)
     # What most languages share tells nothing apart.
-    holds[holds.sum(axis=1) > max(1, len(names) // 2)] = False
-    masks = (holds.astype(np.uint64) << np.arange(len(names), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return Filters(names, default, grams_of.view(np.uint64), masks)
+    holds &= np.bincount(place[holds], minlength=len(hashes))[place] <= max(1, len(names) // 2)
+    return Filters(names, default, hashes[place[holds]].view(np.uint64), owner[holds])
 
 
 def identify(docs: DataFrame, filters: Filters, keep: list[str] = ()) -> DataFrame:

@@ -258,6 +258,16 @@ def test_language(spark, make, awkward, clashing):
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def test_more_than_64_languages(make):
+    rng = random.Random(80)
+    parts = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for k in range(70)}
+    rows = [(i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(20)), lang) for i, lang in enumerate([*parts] * 4)]
+    filters = language.fit(make(rows))
+    assert filters.names == sorted(parts)
+    got = {r.doc_id: r.lang_pred for r in language.identify(make(rows), filters, ["doc_id"]).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+
+
 def test_lm_scoring(spark, make, awkward):
     rng = random.Random(9)
     lexicon = ["".join(rng.choice(["ti", "on", "er", "the", "éa", "sch"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
