@@ -10,7 +10,9 @@ the three slots returns every language that contains it.
 Prediction counts, over all n-grams of the whole text, how often each
 language's bit comes back, takes off the count expected by chance from the
 share of that language's bits that are set (to the power three), and decides
-for the largest; the score is its share of the corrected counts.
+for the largest; the score is its share of the corrected counts.  ``known`` is
+the largest corrected count over the text's n-grams that are not all blanks;
+unlike the score it does not depend on how many languages there are.
 
 Training reads a bounded, documented sample: per language the ``PER_LANGUAGE``
 training documents with the smallest md5 of their id.  Prediction reads every
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosspan.llm.arrow import slices, utf8
-from glosspan.llm.common import crc_mod, table
+from glosspan.llm.common import crc_mod, staged, table
 
 PER_LANGUAGE = 1500
 GRAMS = (3, 4, 5)
@@ -99,14 +101,17 @@ class Filters:
             np.bitwise_or.at(self.tables, (word, place), bit)
         self.chance = np.array([np.mean((self.tables[i // self.bits] >> kind(i % self.bits)) & kind(1)) ** 3 for i in range(len(names))])
 
-    def counts(self, body: np.ndarray) -> tuple[np.ndarray, int]:
-        """Per language the n-grams of these bytes that it contains; and how many there are."""
-        out, total = np.zeros(len(self.names)), 0
+    def counts(self, body: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """Per language the n-grams of these bytes that it contains; how many there are, and how many not all blank."""
+        out, total, blank = np.zeros(len(self.names)), 0, 0
         body = FOLD[body]
         for begin in range(0, len(body), PIECE):
+            empty = body[begin : begin + PIECE + GRAMS[-1] - 1] == 32
             for n in GRAMS:
                 a, b, c = slots(grams(body[begin : begin + PIECE + n - 1], n))
                 total += len(a)
+                if len(a):
+                    blank += np.count_nonzero(np.logical_and.reduce([empty[i : i + len(a)] for i in range(n)]))
                 for word, table in enumerate(self.tables):
                     both = table[a] & table[b] & table[c]
                     here = range(word * self.bits, min((word + 1) * self.bits, len(self.names)))
@@ -115,31 +120,51 @@ class Filters:
                         out[here.start : here.stop] += [by_mask[(np.arange(256) >> i) & 1 == 1].sum() for i in range(len(here))]
                     else:
                         out[here.start : here.stop] += [np.count_nonzero(both & both.dtype.type(1 << i)) for i in range(len(here))]
-        return out, total
+        return out, total, total - blank
 
-    def predict(self, text: str | None, body: np.ndarray) -> tuple[str, float]:
+    def predict(self, text: str | None, body: np.ndarray) -> tuple[str, float, float]:
+        """lang_pred, score, known."""
         if not self.names or text is None or not LETTER.search(text):
-            return "und", 0.0
-        counts, total = self.counts(body)
+            return "und", 0.0, 0.0
+        counts, total, written = self.counts(body)
         counts = np.maximum(counts - total * self.chance, 0)
         if not counts.any():
-            return self.default, 0.0
+            return self.default, 0.0, 0.0
         best = int(np.argmax(counts))
-        return self.names[best], float(counts[best] / counts.sum())
+        return self.names[best], float(counts[best] / counts.sum()), float(counts[best] / max(1, written))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
-    """Learn from rows with text and lang; the sample's bound is ``per_language``."""
+def sampled(docs: DataFrame, per_language: int) -> tuple[DataFrame, dict[str, int]]:
+    """lang and text of the training rows, at most ``per_language`` ids a language; and all rows by language."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     ids = rows.select("lang", key.alias("h"))
     sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    last = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    return rows.join(F.broadcast(last), "lang").where(key <= F.col("last")).select("lang", "text"), sizes
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
+    """Learn from rows with text and lang; the sample's bound is ``per_language``."""
+    sample, sizes = sampled(docs, per_language)
+    return learn(sample, sizes)
+
+
+def fit_with_usual(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Filters, dict[str, float]]:
+    """The filter, and by language the share ``known`` that all but one in twenty of its training texts reach."""
+    sample, sizes = sampled(docs, per_language)
+    sample = staged(sample, "language-sample")
+    filters = learn(sample, sizes)
+    found = identify(sample, filters, ["lang"]).where(F.col("lang") == F.col("lang_pred"))
+    usual = {r["lang"]: r["usual"] for r in found.groupBy("lang").agg(F.percentile("known", 0.05).alias("usual")).collect()}
+    return filters, usual
+
+
+def learn(sample: DataFrame, sizes: dict[str, int]) -> Filters:
     names = sorted(sizes)
     if not names:
         return Filters([], "und", np.empty(0, np.uint64), np.empty(0, np.int64))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    last = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
-    sample = rows.join(F.broadcast(last), "lang").where(key <= F.col("last")).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     top = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= KEPT).select("lang", "gram", "n")
     learned = top.toPandas()  # at most KEPT rows a language
@@ -160,7 +185,7 @@ def assembled(names: list[str], default: str, learned) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, keep: list[str] = ()) -> DataFrame:
-    """Columns ``keep`` of each row, then lang_pred and score."""
+    """Columns ``keep`` of each row, then lang_pred, score and known."""
     held = docs.sparkSession.sparkContext.broadcast(filters)  # a table of 2**20 masks
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +193,13 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str] = ()) -> DataFra
             texts = batch.column("_text")
             body, ends = utf8(texts)
             found = [held.value.predict(text.as_py(), body[ends[i] : ends[i + 1]]) for i, text in enumerate(texts)]
-            columns = [batch.column(c) for c in range(len(keep))] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            columns = [batch.column(c) for c in range(len(keep))] + [pa.array([f[0] for f in found], pa.string()), *(pa.array([f[k] for f in found], pa.float64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "known"])
 
     names = [f"c{i}" for i in range(len(keep))]
     renamed = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("_text"))
-    schema = T.StructType([*renamed.drop("_text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return renamed.mapInArrow(batches, schema).toDF(*keep, "lang_pred", "score")
+    schema = T.StructType([*renamed.drop("_text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
+    return renamed.mapInArrow(batches, schema).toDF(*keep, "lang_pred", "score", "known")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
