@@ -13,8 +13,10 @@ empty matches nothing; rows that repeat a doc_id and text give equal rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,27 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
-#: (licence, text): whole texts, then notices.
+#: Whole texts in files, by licence.
+FILES = Path(__file__).with_name("licence_texts")
+#: Titles that stand before texts which don't begin with one.
+TITLES = {"BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'), "Unlicense": ("The Unlicense", "Unlicense")}
+
+
+def variants(name: str, text: str) -> list[str]:
+    """The text as it is usually given: titled, without the advice after its terms, with either form
+    of its links, and with each paragraph on one line (a wrapped line may begin with "copyright")."""
+    found = [text]
+    for title in TITLES.get(name, ()):
+        found.append(f"{title}\n\n{text}")
+    if name.startswith("BSD"):
+        found += [f"{before}All rights reserved.\n\n{text}" for before in ("", *(f"{t}\n\n" for t in TITLES[name]))]
+    found += [ended[0] for t in tuple(found) if (ended := re.match(r"(?s).*?END OF TERMS AND CONDITIONS", t))]
+    found += [t.replace(a, b) for t in tuple(found) for a, b in (("http://", "https://"), ("https://", "http://"))]
+    found += [re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", t) for t in tuple(found)]
+    return list(dict.fromkeys(found))
+
+
+#: (licence, text): whole texts, then notices, then whole texts of files.
 KNOWN = [
     ("ISC", ISC),
     ("ISC", "ISC License\n\n" + ISC),
@@ -58,6 +80,7 @@ KNOWN = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    *((path.stem, text) for path in sorted(FILES.glob("*.txt")) for text in variants(path.stem, path.read_text(encoding="utf-8"))),
 ]
 #: (spelling, the one it counts as), applied as whole words in this order.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("favour", "favor"), ("organisation", "organization"), ("per cent", "percent")]

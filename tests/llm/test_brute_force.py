@@ -329,3 +329,12 @@ def test_licences(spark, make, awkward):
     got = {r.doc_id: r for r in licences.scan(make(rows), licences.known_digests(spark)).collect()}
     assert got[900].licence == "MIT" and got[901].notices == "Apache-2.0,MIT" and got[901].n_notices == 2
     assert got[902].licence is None and got[1].licence is None and got[1].n_notices == 0
+
+
+def test_whole_licence_texts(spark, make):
+    names = sorted(path.stem for path in licences.FILES.glob("*.txt"))
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense"} <= set(names)
+    body = lambda name: (licences.FILES / f"{name}.txt").read_text(encoding="utf-8")
+    rows = [*enumerate(map(body, names)), (100, "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + body("BSD-3-Clause")), (101, body("Apache-2.0").split("   APPENDIX")[0]), (102, body("GPL-3.0-only")[:9000])]
+    got = {r.doc_id: r.licence for r in licences.scan(make(rows), licences.known_digests(spark)).collect()}
+    assert got == {**dict(enumerate(names)), 100: "BSD-3-Clause", 101: "Apache-2.0", 102: None}
