@@ -171,8 +171,13 @@ def repeats(around: DataFrame, length: int) -> DataFrame:
     dealt = around.repartition(parts(around.sparkSession), "rank").sortWithinPartitions("rank", "place", "node", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, current = np.empty(0, U), None
+        seen, current, before = np.empty(0, U), None, None
         for batch in batches:
+            # Rows that repeat a document list its strings again, as neighbours.
+            keys = np.stack([batch.column(c).to_numpy() for c in ("rank", "place", "node", "start")], axis=1)
+            again = np.concatenate([[before is not None and (keys[:1] == before).all()], (keys[1:] == keys[:-1]).all(axis=1)])[: len(keys)]
+            before = keys[-1:] if len(keys) else before
+            batch = batch.filter(pa.array(~again.astype(bool))) if again.any() else batch
             body, ends = utf8(batch.column("body"))
             rank = batch.column("rank").to_numpy()
             for i, j in slices(ends, PIECE):

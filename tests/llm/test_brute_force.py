@@ -338,3 +338,12 @@ def test_whole_licence_texts(spark, make):
     rows = [*enumerate(map(body, names)), (100, "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + body("BSD-3-Clause")), (101, body("Apache-2.0").split("   APPENDIX")[0]), (102, body("GPL-3.0-only")[:9000])]
     got = {r.doc_id: r.licence for r in licences.scan(make(rows), licences.known_digests(spark)).collect()}
     assert got == {**dict(enumerate(names)), 100: "BSD-3-Clause", 101: "Apache-2.0", 102: None}
+
+
+def test_repeats_keeps_a_passage_of_a_repeated_representative(make):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(4, text), (4, text), (11, text + " and more")]
+    expected = brute_repeats(rows, 100)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(make(rows)).collect())
+    assert got == collections.Counter((i, *expected[i, t]) for i, t in rows)
