@@ -1,46 +1,51 @@
-"""Language-model scoring by logistic mixing of hashed-context bit predictors.
-
-The model codes a text as its lower-cased words, then one end sign, in binary
-decisions: whether the word is among the DICTIONARY most frequent; if it is,
-its path in a Huffman tree over them; if not, its bytes and a closing sign, each
-a path in a Huffman tree over signs.  For each decision several predictors look
-up counts of zeros and ones in a table slot hashed from (their context, tree
-node): the last byte, the last two and the last three with the word's class, the last four
-and the last six bytes; within the dictionary's tree, the node alone (exact counts) and the node
-with the class.  The class of a word is the last of the 63 most frequent words
-before it in its text, so it carries what language the text is in.
-Their log-odds are mixed by weights; which weights apply is gated by how often
-the four-byte context was seen and the place in the word, or by the depth in
-the dictionary's tree.  A last stage refines the mixed probability by what
-followed such probabilities at that node.  Every decision is a proper
-probability, so the product over a text is one, too; ``bits_per_byte`` is its
-code length over the text's bytes.
+"""Language-model scoring by online logistic mixing of hashed-context bit predictors.
+
+A text is coded as its lower-cased words, each followed by a blank, then one end
+sign.  Every byte of that is a path of binary decisions in a Huffman tree over
+bytes, one tree for each byte before.  For each decision, predictors look up
+log-odds in a slot hashed from their context and the tree node: the last one,
+two and four bytes, which run over word borders, the word so far, and the word so
+far with the whole word before it.
+Their log-odds are mixed by weights; which weights apply is gated by how many of
+the three longest contexts are known and by the place in the word.  A last stage
+refines the mixed probability by what followed such probabilities at that node.
+
+*Online.* While a document is coded, its own offsets to the weights and its own
+corrections of the last stage are moved by gradient steps after each of its
+segments (64 bytes, 64, 128, 256 ... up to 8,192 at a time), so a document is
+coded by what the corpus taught and what its own earlier text taught.
+
+*Whole words.* The product of a word's decisions is mixed with the word's share
+of all training tokens, ``P = g c/N + (1 - g) P_bits``.  Both parts sum to one,
+so ``P`` does; g moves with each segment of a document to the part that has
+explained its words so far (rarer words than the TOP count for neither part).
+The counts c are exact and grow with the corpus: those of the TOP most frequent
+words are broadcast, all others joined.
 
 Training, on documents whose crc32 leaves a remainder:
 
-1. words and signs are counted over all training texts;
-2. every task adds the decisions of its distinct (word, class) pairs to count
-   tables of fixed size, which are summed by block over all training texts;
-3. in every task, over all its training texts, the mixer runs in small steps
-   (online gradient steps, each word's own occurrence taken out of the counts
-   first) and counts for the last stage; weights are averaged by the tasks'
-   decisions, counts summed.
+1. words and bytes are counted over all training texts;
+2. each task codes its texts with what it has learned from those before, moves
+   the weights, then counts; the tasks' slot counts are summed in blocks, their
+   weights averaged by decisions.
 
-A word's decisions are a function of (word, class), so each task scores every
-distinct pair once.
+The predictors' tables have half as many slots as there are distinct training
+words, to the next power of two, between 2**MIN_BITS and 2**MAX_BITS: what is
+broadcast is one byte a slot, 17 MB at most.  Contexts may share slots; counts
+are 64-bit sums.  ``bits_per_byte`` is the code length over the coded bytes.
 
-The base score is an add-0.1 unigram.  Counts of the TOP most frequent words
-are broadcast; all other tokens are joined with the full count table, so every
-count is exact (words are keyed by 64-bit hashes).
+The base score is an add-0.1 unigram over the same counts (words are keyed by
+64-bit hashes).
 
 Defined results: a null text is empty and has one token, the end; a null doc_id
-trains; repeated rows score alike; without training text every word is unknown.
+trains; repeated rows score alike; without training text every word is unknown
+and every decision is even; an empty table gives an empty result; other columns
+of the documents, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,535 +55,472 @@ from pyspark.sql import functions as F
 
 from glosspan.llm.arrow import slices, utf8
 from glosspan.llm.common import crc_mod, staged, table, text_or_empty
-from glosspan.llm.jaccard import BASE, BLANK, BYTES, FOLD, U, mix, powers
+from glosspan.llm.jaccard import BASE, U, mix, powers
 
 PIECE = 1 << 20
-#: Markers are the CLASSES - 1 most frequent words.
-CLASSES = 64
-#: Places for scores of (word, class) pairs that a task remembers.
-REMEMBERED = 1 << 20
-#: Symbols after the 256 bytes.
-CLOSE, END = 256, 257
-SYMBOLS = 258
-#: log2 of the slots of each predictor's table.
-BITS = (16, 18, 19, 19, 19)
+#: Symbols that are mixed at a time: their arrays fit a processor's cache.
+CHUNK = 1 << 13
+#: The signs after a word and after a text; neither occurs in a word.
+GAP, END = 32, 10
+SYMBOLS, NODES = 256, 255
+#: Bytes of context; the last two predictors' contexts are the word so far, without and with the word before.
+ORDERS = (1, 2, 4)
+PREDICTORS = len(ORDERS) + 2
+MIN_BITS, MAX_BITS = 14, 22
 BLOCK = 1 << 16
 TOP = 1 << 18
-#: Words that are coded whole, most frequent first.
-DICTIONARY = 1 << 18
-#: Gates: 32 within spelled words, one for the dictionary question, 8 by depth in its tree.
-ASKED, DEPTHS = 32, 8
-GATES, LEVELS = ASKED + 1 + DEPTHS, 24
-#: Nodes of the last stage: those of signs, the question, depths.
-NODES = SYMBOLS + 1 + DEPTHS
-STEP, RATE = 8192, 0.3
+#: Gates: known long contexts (0 to 3) by place in the word (0, 1, further).
+GATES, LEVELS = 12, 24
+#: Log-odds are kept in eighths.
+UNIT = 8
+#: Sizes of gradient steps: in training, for a document's offsets, and the decisions that a step goes against.
+RATE, OWN_RATE, INERTIA = 0.5, 1.0, 256
+#: First and longest segment of a document.
+SEGMENT, LONGEST = 64, 8192
+#: The part that a word's share of the training tokens has in its probability at a text's start, and the tokens that this counts for.
+WHOLE, BELIEF = 0.3, 16
 #: The hash under which the end token is counted.
 END_HASH = np.int64(-1)
+SPREAD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class Tokens:
-    """The tokens of consecutive texts: hash, class before, bounds in ``body``, text number; ends included."""
+class Stream:
+    """Consecutive texts as they are coded.
 
-    def __init__(self, body: np.ndarray, ends: np.ndarray, markers: np.ndarray):
-        texts = len(ends) - 1
-        self.body = body = FOLD[body]
-        n = len(body)
-        blank = BLANK[body]
+    ``symbols``, and ``start``, each text's first symbol; by token: ``begin``
+    (its first symbol), ``text``, ``hash``.
+    """
+
+    def __init__(self, body: np.ndarray, ends: np.ndarray):
+        n, self.texts = len(body), len(ends) - 1
+        body = body + (((body - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+        blank = (body == 32) | ((body - np.uint8(9)) < 5)
         edge = np.zeros(n + 1, bool)
         edge[ends] = True
         before, after = np.ones(n, bool), np.ones(n, bool)
         before[1:], after[:-1] = blank[:-1], blank[1:]
         first = np.flatnonzero(~blank & (before | edge[:-1]))
         last = np.flatnonzero(~blank & (after | edge[1:])) + 1
-        up, self.down = powers(1 << max(20, max(0, n - 1).bit_length()))
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(BYTES[body] * up[:n], out=self.sums[1:])
-        hashes = mix((self.sums[last] - self.sums[first]) * self.down[first] + (last - first).astype(U)).view(np.int64)
-        owner = np.searchsorted(ends, first, "right") - 1
-        # The class: which marker came last in this text before the word; 0 for none.
         words = np.searchsorted(first, ends)
-        marker = np.zeros(len(first) + 1, np.int64)
-        if len(markers) and len(first):
-            at = np.minimum(np.searchsorted(markers, hashes), len(markers) - 1)
-            marker[1:] = np.where(markers[at] == hashes, at + 1, 0)
-        latest = np.maximum.accumulate(np.where(marker > 0, np.arange(len(marker)), 0))
-        kind = np.where(latest[:-1] > words[owner], marker[latest[:-1]], 0)
-        closing = np.where(latest[words[1:]] > words[:-1], marker[latest[words[1:]]], 0)
-        self.hash = np.concatenate([hashes, np.full(texts, END_HASH)])
-        self.kind = np.concatenate([kind, closing])
-        self.first = np.concatenate([first, ends[1:]])
-        self.last = np.concatenate([last, ends[1:]])
-        self.text = np.concatenate([owner, np.arange(texts)])
-        self.texts = texts
-
-    def pair_keys(self) -> np.ndarray:
-        return mix(self.hash.view(U) + self.kind.astype(U) * BASE, 71)
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A representative of each distinct (word, class), each token's number among them, and counts."""
-        self.keys = self.pair_keys()
-        _, at, back, count = np.unique(self.keys, return_index=True, return_inverse=True, return_counts=True)
-        return at, back, count
-
-
-def spelled(body: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the words, the word each belongs to, and its place in the word. An empty word is the end."""
-    size = last - first + 1
-    word = np.repeat(np.arange(len(first)), size)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-    at = first[word] + place
-    close = place == (size - 1)[word]
-    symbols = np.where(close, CLOSE, 0)
-    symbols[~close] = body[at[~close]]
-    symbols[(size == 1)[word]] = END
-    return symbols, word, place
+        closing = words[1:] + np.arange(self.texts)  # each text's end comes after its words
+        tokens = len(first) + self.texts
+        word = np.ones(tokens, bool)
+        word[closing] = False
+        self.size, source = np.ones(tokens, np.int64), np.zeros(tokens, np.int64)
+        self.size[word], source[word] = last - first + 1, first
+        stop = np.cumsum(self.size)
+        self.begin, total = stop - self.size, int(stop[-1]) if tokens else 0
+        self.text = np.repeat(np.arange(self.texts), np.diff(words) + 1)
+        at = np.repeat(source - self.begin, self.size)
+        at += np.arange(total)
+        self.symbols = np.take(body, at, mode="clip") if n else np.zeros(total, np.uint8)
+        self.symbols[stop[word] - 1] = GAP
+        self.symbols[stop[closing] - 1] = END
+        self.start = self.begin[closing - np.diff(words)] if self.texts else self.begin
+        up, self.down = powers(1 << max(20, total.bit_length()))
+        self.sums = np.zeros(total + 1, U)
+        np.cumsum((self.symbols.astype(U) + U(1)) * up[:total], out=self.sums[1:])
+        self.hash = mix((self.sums[stop - 1] - self.sums[self.begin]) * self.down[self.begin] + self.size.astype(U)).view(np.int64)
+        self.hash[closing] = END_HASH
+
+    def prepare(self) -> Stream:
+        """Add by symbol: ``back`` (the bytes before, in their text), ``word`` (hash of the word so far), ``words`` (and of the one before), ``inside`` (place in the word, 2 at most)."""
+        total = len(self.symbols)
+        wide = self.symbols.astype(U)
+        self.back = np.zeros(total, U)
+        for i in range(1, ORDERS[-1] + 1):
+            self.back[i:] |= wide[:-i] << U(8 * (i - 1))
+        for i in range(ORDERS[-1]):
+            here = self.start + i
+            self.back[here[here < total]] &= U((1 << 8 * i) - 1)  # further texts that are shorter are set anew
+        previous = np.zeros(len(self.hash), U)
+        previous[1:] = self.hash[:-1].view(U)
+        previous[np.searchsorted(self.begin, self.start)] = 0
+        spread = lambda values: np.repeat(values, self.size)
+        self.word = (self.sums[:-1] - spread(self.sums[self.begin])) * spread(self.down[self.begin])
+        self.words = self.word + spread(previous * BASE)
+        for each in (self.word, self.words):
+            each ^= each >> U(29)
+        self.inside = np.minimum(np.arange(total) - spread(self.begin), 2)
+        return self
 
 
 class Code:
-    """A Huffman code as a tree: each node's parent, side and depth, and each inner node's counts of bits.
-
-    Leaves are numbered like the symbols, inner nodes after them.
-    """
+    """A Huffman code over bytes for each byte before: every symbol's path of inner nodes and bits, from the root."""
 
     def __init__(self, counts: np.ndarray):
-        symbols = len(counts)
-        self.symbols = symbols
-        self.parent = np.full(max(1, 2 * symbols - 1), -1, np.int32)
-        self.side = np.zeros(len(self.parent), np.int8)
-        self.depth = np.zeros(len(self.parent), np.int8)
-        self.seen = np.zeros((2, max(1, symbols - 1)), np.int64)
-        heap = [(int(c) + 1, s) for s, c in enumerate(counts)]
+        """``counts`` of (byte before, byte); the byte before is 0 at a text's start."""
+        found = [self._paths(row) for row in counts.reshape(SYMBOLS, SYMBOLS).tolist()]
+        paths = [path for one in found for path in one]
+        self.depth = np.array([len(path) for path in paths])
+        self.offset = np.cumsum(self.depth) - self.depth
+        self.nodes = np.array([node for path in paths for node, _ in path], np.int16)
+        self.bits = np.array([bit for path in paths for _, bit in path], np.int16)
+
+    @staticmethod
+    def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
+        heap = [(c * SYMBOLS + 1, s) for s, c in enumerate(counts)]  # symbols that never followed share one count
         heapq.heapify(heap)
-        for number in range(symbols, 2 * symbols - 1):
-            for side in (0, 1):
-                weight, node = heapq.heappop(heap)
-                self.parent[node], self.side[node] = number, side
-                self.seen[side, number - symbols] = weight
-            heapq.heappush(heap, (int(self.seen[:, number - symbols].sum()), number))
-        for node in range(2 * symbols - 3, -1, -1):  # parents come after their children
-            self.depth[node] = self.depth[self.parent[node]] + 1
-
-    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(index into ``symbols``, inner node, bit, depth) of every decision, from the leaves up."""
-        owner, node = np.arange(len(symbols)), np.asarray(symbols, np.int64)
-        found = []
-        while True:
-            up = self.parent[node].astype(np.int64)
-            if (up < 0).any():
-                owner, node, up = owner[up >= 0], node[up >= 0], up[up >= 0]
-            if not len(node):
-                break
-            found.append((owner, up - self.symbols, self.side[node].astype(np.int64), self.depth[node].astype(np.int64) - 1))
-            node = up
-        if not found:
-            return tuple(np.empty(0, np.int64) for _ in range(4))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def contexts(symbols: np.ndarray, word: np.ndarray, place: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
-    """The hashed context of each predictor at each symbol."""
-    value = symbols.astype(U) + U(1)
-    back = [np.zeros(len(symbols), U) for _ in range(7)]
-    for i in range(1, 7):
-        back[i][i:] = value[:-i]
-        back[i][place < i] = 0
-    two = back[1] | back[2] << U(9)
-    three = two | back[3] << U(18)
-    four = three | back[4] << U(27)
-    six = four | back[5] << U(36) | back[6] << U(45)
-    kinds = kind[word].astype(U)
-    return [mix(back[1] | kinds << U(20), 1), mix(two | kinds << U(20), 2), mix(three | kinds << U(27), 3), mix(four, 4), mix(six, 5)]
-
-
-class Remembered:
-    """Values by 64-bit key, one per place: a new key takes the place of an old one."""
-
-    def __init__(self) -> None:
-        self.keys = np.zeros(REMEMBERED, U)
-        self.values = np.zeros(REMEMBERED)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and the indexes of the keys that are not there (value 0)."""
-        place = (keys & U(REMEMBERED - 1)).astype(np.int64)
-        there = self.keys[place] == keys
-        return np.where(there, self.values[place], 0.0), np.flatnonzero(~there)
-
-    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        place = (keys & U(REMEMBERED - 1)).astype(np.int64)
-        self.keys[place], self.values[place] = keys, values
-
-
-class Codes:
-    """The code of signs, and the dictionary: sorted hashes of words and their code."""
-
-    def __init__(self, signs: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
-        self.signs = Code(signs)
-        self.hashes = hashes
-        self.words = Code(counts) if len(counts) else None
-
-    def rank(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in the dictionary; -1 for words outside."""
-        if self.words is None:
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        trees = []
+        for number in range(SYMBOLS, SYMBOLS + NODES):
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            trees.append((a[1], b[1]))
+            heapq.heappush(heap, (a[0] + b[0], number))
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(SYMBOLS + NODES)]
+        for node in range(NODES - 1, -1, -1):  # parents have higher numbers
+            for bit in (0, 1):
+                paths[trees[node][bit]] = [*paths[SYMBOLS + node], (node, bit)]
+        return paths[:SYMBOLS]
+
+
+def node_marks(bits: int) -> list[np.ndarray]:
+    """What a node adds to the slot of each predictor; the first predictor's slots are (byte, node), shared by none."""
+    nodes = np.arange(NODES, dtype=U)
+    return [nodes.astype(np.int64), *((mix(nodes, 100 + k) >> U(64 - bits)).astype(np.int64) for k in range(1, PREDICTORS))]
 
 
 class Decisions:
-    """All decisions of some distinct (word, class): word, bit, node, gate, slots, and exact counts in the dictionary."""
-
-    def __init__(self, codes: Codes, body: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray, hashes: np.ndarray):
-        rank = codes.rank(hashes)
-        inside, outside = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
-        symbols, word, place = spelled(body, first[outside], last[outside])
-        hashed = contexts(symbols, word, place, kind[outside])
-        owner, node, bit, _ = codes.signs.decisions(symbols)
-        self.spelled = len(node)
-        self.place = place[owner]
-        step = mix(node.astype(U), 43)
-        self.slots = [((h[owner] ^ step) * BASE >> U(64 - bits)).astype(np.int64) for h, bits in zip(hashed, BITS, strict=True)]
-        own = tree = path = depth = np.empty(0, np.int64)
-        if len(inside):
-            own, tree, path, depth = codes.words.decisions(rank[inside])
-        depth = np.minimum(depth, DEPTHS - 1)
-        # The question (node 0) and the dictionary's nodes with the class.
-        asked = np.arange(len(first))
-        whole = np.concatenate([asked, inside[own]])
-        inner = np.concatenate([np.zeros(len(first), U), tree.astype(U) + U(1)])
-        self.classed = (mix((kind[whole].astype(U) << U(40)) + inner, 55) >> U(64 - BITS[-1])).astype(np.int64)
-        self.tree = tree
-        self.word = np.concatenate([outside[word[owner]], whole])
-        self.bit = np.concatenate([bit, (rank >= 0).astype(np.int64), path])
-        self.node = np.concatenate([node, np.full(len(first), SYMBOLS), SYMBOLS + 1 + depth])
-        self.gate = np.concatenate([np.zeros(self.spelled, np.int64), np.full(len(first), ASKED), ASKED + 1 + depth])
-
-    def add_to(self, tables: list[np.ndarray], times: np.ndarray) -> None:
-        """Count every decision in its slots."""
-        n = self.spelled
-        for table, slots in zip(tables, self.slots, strict=True):
-            np.add.at(table.reshape(-1), self.bit[:n] * table.shape[1] + slots, times[:n])
-        np.add.at(tables[-1].reshape(-1), self.bit[n:] * tables[-1].shape[1] + self.classed, times[n:])
+    """The decisions at some symbols: owner (number of the symbol), node, bit, each predictor's slot and the place in the word."""
+
+    def __init__(self, stream: Stream, at: np.ndarray, code: Code, marks: list[np.ndarray], bits: int):
+        back = stream.back[at]
+        pair = (back & U(255)).astype(np.int64) << 8 | stream.symbols[at]
+        depth = code.depth[pair]
+        self.starts = np.cumsum(depth) - depth
+        path = np.repeat(code.offset[pair] - self.starts, depth)
+        path += np.arange(len(path))
+        self.owner = np.repeat(np.arange(len(at)), depth)
+        self.node, self.bit = code.nodes.take(path).astype(np.int64), code.bits.take(path).astype(np.int64)
+        contexts = [((back & U((1 << 8 * order) - 1)) * SPREAD[i] >> U(64 - bits)).astype(np.int64) for i, order in enumerate(ORDERS) if i]
+        contexts += [(word[at] * SPREAD[i] >> U(64 - bits)).astype(np.int64) for i, word in ((3, stream.word), (4, stream.words))]
+        contexts.insert(0, pair & ~255)
+        self.slots = [c.take(self.owner) ^ m.take(self.node) for c, m in zip(contexts, marks, strict=True)]
+        self.inside = stream.inside[at].take(self.owner)
+
+    def inputs(self, odds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds by predictor, and the gate."""
+        x = np.empty((PREDICTORS, len(self.node)), np.float32)
+        known = np.zeros(len(self.node), np.int8)
+        for k, slots in enumerate(self.slots):
+            found = odds[k].take(slots)
+            x[k] = found
+            if k >= PREDICTORS - 3:
+                known += found != 0
+        return x, known * 3 + self.inside
+
+
+def sigmoid(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-odds))
+
+
+def clipped(odds: np.ndarray) -> np.ndarray:
+    return np.clip(odds, -11.99, 11.99, out=odds)
+
+
+def level(odds: np.ndarray) -> np.ndarray:
+    return (odds + np.float32(LEVELS / 2)).astype(np.int64)
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Eighths of log-odds from counts of zeros and ones in turn."""
+    n = np.log(counts.reshape(-1, 2) + np.float32(0.4), dtype=np.float32)
+    return np.clip(np.rint(UNIT * (n[:, 1] - n[:, 0])), -127, 127).astype(np.int8)
+
+
+def sizes(bits: int) -> list[int]:
+    return [1 << 16] + [1 << bits] * (PREDICTORS - 1)
+
+
+class Learner:
+    """What one task learns: slot counts, weights, and counts for the last stage."""
+
+    def __init__(self, code: Code, bits: int):
+        self.code, self.bits, self.marks = code, bits, node_marks(bits)
+        self.counts = [np.zeros(2 * n, np.int32) for n in sizes(bits)]
+        self.odds = [np.zeros(n, np.int8) for n in sizes(bits)]
+        self.weights = np.full((PREDICTORS, GATES), 0.35 / UNIT, np.float32)
+        self.last = np.zeros((2, NODES, LEVELS))
+        self.size, self.read, self.due = 0, 0, CHUNK
+
+    def learn(self, stream: Stream) -> None:
+        stream.prepare()
+        for begin in range(0, len(stream.symbols), CHUNK):
+            d = Decisions(stream, np.arange(begin, min(begin + CHUNK, len(stream.symbols))), self.code, self.marks, self.bits)
+            x, gate = d.inputs(self.odds)
+            odds = x[0] * self.weights[0].take(gate)
+            for k in range(1, PREDICTORS):
+                odds += x[k] * self.weights[k].take(gate)
+            np.add.at(self.last.reshape(-1), (d.bit * NODES + d.node) * LEVELS + level(clipped(odds)), 1.0)
+            error = d.bit.astype(np.float32) - sigmoid(odds)
+            n = np.bincount(gate, minlength=GATES) + INERTIA
+            for k in range(PREDICTORS):
+                self.weights[k] += RATE / UNIT**2 * np.bincount(gate, error * x[k], minlength=GATES) / n
+                np.add.at(self.counts[k], d.slots[k] << 1 | d.bit, np.int32(1))
+            self.size += len(d.node)
+            self.read += CHUNK
+            if self.read >= self.due:  # after as much again
+                self.odds = [log_odds(c) for c in self.counts]
+                self.due = 2 * self.read
+
+    def rest(self) -> np.ndarray:
+        """Size, weights times size, and the last stage's counts, in one vector."""
+        return np.concatenate([[self.size], self.size * self.weights.reshape(-1).astype(float), self.last.reshape(-1)])
 
 
 class Model:
-    """Count tables, mixing weights, and the last stage."""
-
-    def __init__(self, codes: Codes, counts: list[np.ndarray], weights: np.ndarray | None = None, last: np.ndarray | None = None):
-        self.codes, self.counts = codes, counts
-        self.weights = np.full((GATES, len(BITS)), 0.35) if weights is None else weights
-        self.last = last
-        self.odds = None
-
-    def prepared(self) -> Model:
-        """With each slot's log-odds at hand, for scoring."""
-        self.odds = [log_odds(*each).astype(np.float32) for each in self.counts]
-        self.whole = log_odds(*self.codes.words.seen).astype(np.float32) if self.codes.words else None
-        self.weights = self.weights.astype(np.float32)
-        self.last = None if self.last is None else self.last.astype(np.float32)
-        self.often = np.minimum(np.log2(1 + self.counts[3].sum(axis=0, dtype=np.float64)).astype(np.int8), 7)
-        return self
+    """Log-odds by slot, weights and the last stage's probabilities: what is broadcast."""
+
+    def __init__(self, code: Code, bits: int, odds: list[np.ndarray], rest: np.ndarray):
+        self.code, self.bits, self.odds = code, bits, odds
+        cells = PREDICTORS * GATES
+        self.weights = (rest[1 : 1 + cells] / rest[0] if rest[0] else np.full(cells, 0.35 / UNIT)).reshape(PREDICTORS, GATES).astype(np.float32)
+        zeros, ones = rest[1 + cells :].reshape(2, NODES, LEVELS)
+        self.last = ((ones + 8 * sigmoid(np.arange(LEVELS) - LEVELS / 2 + 0.5)) / (zeros + ones + 8)).astype(np.float32).reshape(-1)
+        self.marks = node_marks(bits)
+
+    def costs(self, stream: Stream) -> np.ndarray:
+        """log10 of each token's probability."""
+        stream.prepare()
+        out = np.zeros(len(stream.symbols))
+        own = np.zeros((PREDICTORS, stream.texts), np.float32)  # each document's offsets to the weights
+        wrong, met = np.zeros((stream.texts, LEVELS)), np.full((stream.texts, LEVELS), float(INERTIA))
+        for texts, starts, at in segments(stream.start, len(stream.symbols), SEGMENT):
+            d = Decisions(stream, at, self.code, self.marks, self.bits)
+            x, gate = d.inputs(self.odds)
+            first = d.starts[starts]
+            n = np.diff(np.append(first, len(d.node)))
+            odds = x[0] * (self.weights[0].take(gate) + np.repeat(own[0][texts], n))
+            for k in range(1, PREDICTORS):
+                odds += x[k] * (self.weights[k].take(gate) + np.repeat(own[k][texts], n))
+            step = level(clipped(odds))
+            p = sigmoid(odds)
+            cell = np.repeat(np.arange(len(texts)) * LEVELS, n) + step
+            shift = (wrong[texts] / met[texts]).astype(np.float32).reshape(-1)
+            final = (p + self.last.take(d.node * LEVELS + step)) / 2 + shift.take(cell)
+            final = np.clip(final, np.float32(2e-5), np.float32(1 - 2e-5))
+            bit = d.bit.astype(np.float32)
+            out[at] = np.bincount(d.owner, np.log(np.abs(final - (1 - bit))), minlength=len(at))
+            error = bit - p
+            for k in range(PREDICTORS):
+                own[k][texts] += OWN_RATE / UNIT**2 * np.add.reduceat(error * x[k], first) / (n + INERTIA)
+            wrong[texts] += np.bincount(cell, bit - final, minlength=len(texts) * LEVELS).reshape(-1, LEVELS)
+            met[texts] += np.bincount(cell, minlength=len(texts) * LEVELS).reshape(-1, LEVELS)
+        return np.add.reduceat(out, stream.begin) / np.log(10) if len(stream.begin) else out
+
+
+def segments(start: np.ndarray, total: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (in order, each once), where their items begin, and the items: segments that are coded together.
+
+    Text i's items are those from ``start[i]`` to the next one's.  Its segments
+    come one after the other, each whole in one group.
+    """
+    length = np.diff(np.append(start, total))
+    begin, alive = 0, np.arange(len(start))
+    while len(alive):
+        n = np.minimum(length[alive] - begin, size)
+        upto = np.cumsum(n)
+        i = 0
+        while i < len(alive):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK, "right")))
+            some, long = alive[i:j], n[i:j]
+            starts = np.cumsum(long) - long
+            at = np.repeat(start[some] + begin - starts, long)
+            yield some, starts, at + np.arange(len(at))
+            i = j
+        begin += size
+        size = min(begin, LONGEST)
+        alive = alive[length[alive] > begin]
+
+
+def parts(stream: Stream, bits: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Each token's g, from log10 P_bits and c/N of the tokens before it in its text."""
+    out = np.empty(len(bits))
+    spelled = 10.0**bits
+    gained, met = np.full(stream.texts, WHOLE * BELIEF), np.full(stream.texts, float(BELIEF))
+    for texts, starts, at in segments(np.searchsorted(stream.text, np.arange(stream.texts)), len(bits), BELIEF // 2):
+        n = np.diff(np.append(starts, len(at)))
+        out[at] = g = np.repeat(np.clip(gained[texts] / met[texts], 0.01, 0.99), n)
+        of_share = g * share[at]
+        gained[texts] += np.add.reduceat(np.where(share[at] > 0, of_share / np.maximum(of_share + (1 - g) * spelled[at], 1e-300), 0.0), starts)
+        met[texts] += np.add.reduceat((share[at] > 0).astype(float), starts)
+    return out
 
-    def scored(self, d: Decisions) -> np.ndarray:
-        """The mixed probability of a one at each decision, from the prepared tables."""
-        n, m = d.spelled, len(d.tree)
-        odds = np.empty((n, len(BITS)), np.float32)
-        for i, slots in enumerate(d.slots):
-            odds[:, i] = self.odds[i][slots]
-        gate = self.often[d.slots[3]].astype(np.int64) * 4 + np.minimum(d.place, 3)
-        mix_of = np.empty(len(d.node), np.float32)
-        mix_of[:n] = np.einsum("ij,ij->i", odds, self.weights[gate])
-        mix_of[n:] = self.odds[-1][d.classed] * self.weights[d.gate[n:], -1]
-        if m:
-            mix_of[-m:] += self.whole[d.tree] * self.weights[d.gate[-m:], 3]
-        return 1 / (1 + np.exp(-np.clip(mix_of, -14, 14)))
-
-    def inputs(self, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each predictor without the decision's own occurrence, and the gate."""
-        n = d.spelled
-        odds = np.zeros((len(d.node), len(BITS)))
-        own = np.stack([d.bit == 0, d.bit == 1])
-        for i, slots in enumerate(d.slots):
-            counts = self.counts[i][:, slots] - own[:, :n]
-            odds[:n, i] = log_odds(*counts)
-            if i == 3:
-                seen = np.maximum(counts.sum(axis=0), 0)
-        odds[n:, -1] = log_odds(*(self.counts[-1][:, d.classed] - own[:, n:]))
-        if m := len(d.tree):
-            odds[-m:, 3] = log_odds(*(self.codes.words.seen[:, d.tree] - own[:, -m:]))
-        gate = d.gate.copy()
-        gate[:n] = np.minimum(np.log2(1 + seen).astype(np.int64), 7) * 4 + np.minimum(d.place, 3)
-        return odds, gate
-
-    def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", odds, self.weights[gate]), -14, 14)))
-
-    def refined(self, d: Decisions, p: np.ndarray) -> np.ndarray:
-        if self.last is None:
-            return p
-        zeros, ones = self.last[:, d.node, level(p)]
-        return np.clip((p + (ones + 2 * p) / (zeros + ones + 2)) / 2, 1e-6, 1 - 1e-6)
-
-    def costs(self, body: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each (word, class)."""
-        out = np.zeros(len(first))
-        for i in range(0, len(first), 4096):
-            at = slice(i, i + 4096)
-            d = Decisions(self.codes, body, first[at], last[at], kind[at], hashes[at])
-            p = self.refined(d, self.scored(d))
-            out[at] = np.bincount(d.word, np.log10(np.where(d.bit == 1, p, 1 - p)), minlength=len(first[at]))
-        return out
-
-    def learn(self, d: Decisions, times: np.ndarray, odds: np.ndarray, gate: np.ndarray) -> None:
-        """One pass of online steps over the decisions with their inputs, in their order."""
-        for i in range(0, len(gate), STEP):
-            at = slice(i, i + STEP)
-            n, g = times[at].astype(np.float64), gate[at]
-            error = (d.bit[at] - self.mixed(odds[at], g)) * n
-            total = np.bincount(g, n, minlength=GATES)
-            slope = np.stack([np.bincount(g, error * odds[at, k], minlength=GATES) for k in range(len(BITS))], axis=1)
-            self.weights += RATE * slope / (total + n.mean() * 50)[:, None]
-
-
-def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((np.maximum(ones, 0) + np.float32(0.2)) / (np.maximum(zeros, 0) + np.float32(0.2))), -12, 12)
-
-
-def level(p: np.ndarray) -> np.ndarray:
-    return np.clip((np.log(p / (1 - p)) + 12) * LEVELS / 24, 0, LEVELS - 1).astype(np.int64)
-
-
-class Pairs:
-    """Distinct (word, class) pairs of many texts with their counts, in bounded memory."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.held = 0
-
-    def add(self, t: Tokens) -> None:
-        at, _, n = t.distinct()
-        size = t.last[at] - t.first[at]
-        body = t.body[np.repeat(t.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        self.parts.append((t.keys[at], t.hash[at], t.kind[at], n, size, body))
-        self.held += len(at)
-
-    def taken(self) -> tuple[np.ndarray, ...]:
-        """body, first, last, kind, hash, n of all pairs so far, which are then forgotten."""
-        keys, hashes, kind, n, size, body = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.held = [], 0
-        _, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        last = np.cumsum(size)[at]
-        return body, last - size[at], last, kind[at], hashes[at], np.bincount(back, n).astype(np.int64)
-
-
-def _tokens(batches: Iterator[pa.RecordBatch], markers: np.ndarray) -> Iterator[Tokens]:
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stream]]:
     for batch in batches:
         body, ends = utf8(batch.column("text"))
         for i, j in slices(ends, PIECE):
-            yield Tokens(body[ends[i] : ends[j]], ends[i : j + 1] - ends[i], markers)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], markers: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs in runs of up to 4,096, from as many texts as REMEMBERED pairs hold."""
-    pairs = Pairs()
-
-    def runs() -> Iterator[tuple[np.ndarray, ...]]:
-        body, *rest = pairs.taken()
-        for i in range(0, len(rest[0]), 4096):
-            yield body, *(x[i : i + 4096] for x in rest)
-
-    for t in _tokens(batches, markers):
-        pairs.add(t)
-        if pairs.held > REMEMBERED // 2:
-            yield from runs()
-    if pairs.held:
-        yield from runs()
+            yield batch.slice(i, j - i), Stream(body[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
 
 
 def count_all(docs: DataFrame) -> DataFrame:
-    """(sign, hash, c): of all words and ends by hash (sign false), and of all signs (true)."""
+    """(sign, hash, c): of all words and ends by hash (sign false), and of all pairs of coded bytes (true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs = np.zeros(SYMBOLS, np.int64)
-        for t in _tokens(batches, np.empty(0, np.int64)):
-            hashes, n = np.unique(t.hash, return_counts=True)
-            signs[:CLOSE] += np.bincount(t.body, minlength=CLOSE)
-            signs[CLOSE] += len(t.hash) - t.texts
-            signs[END] += t.texts
+        signs = np.zeros(SYMBOLS**2, np.int64)
+        for _, s in _streams(batches):
+            hashes, n = np.unique(s.hash, return_counts=True)
+            before = np.zeros(len(s.symbols), np.int64)
+            before[1:] = s.symbols[:-1]
+            before[s.start] = 0
+            signs += np.bincount(before << 8 | s.symbols, minlength=SYMBOLS**2)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), pa.array(hashes), pa.array(n.astype(np.int64))], ["sign", "hash", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(SYMBOLS, bool)), pa.array(np.arange(SYMBOLS)), pa.array(signs)], ["sign", "hash", "n"])
+        met = np.flatnonzero(signs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(met), bool)), pa.array(met), pa.array(signs[met])], ["sign", "hash", "n"])
 
     return docs.select("text").mapInArrow(run, "sign boolean, hash long, n long").groupBy("sign", "hash").agg(F.sum("n").alias("c"))
 
 
-def slot_counts(docs: DataFrame, codes: Codes, markers: np.ndarray) -> list[np.ndarray]:
-    """The predictors' tables, summed by block of slots over all texts."""
-    held = docs.sparkSession.sparkContext.broadcast((codes, markers))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, markers = held.value
-        tables = [np.zeros((2, 1 << bits), np.int64) for bits in BITS]
-        for body, first, last, kind, hashes, n in _pairs(batches, markers):
-            d = Decisions(codes, body, first, last, kind, hashes)
-            d.add_to(tables, n[d.word])
-        for i, each in enumerate(tables):
-            for b in range(0, each.shape[1], BLOCK):
-                yield _block((i, b), each[:, b : b + BLOCK])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total = None, None
-        for batch in batches:
-            for p, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (p, b) != key:
-                    if key:
-                        yield _block(key, total)
-                    key, total = (p, b), np.zeros((2, BLOCK), np.int64)
-                total += _unpacked(body)
-        if key:
-            yield _block(key, total)
-
-    blocks = docs.select("text").mapInArrow(run, "predictor int, begin int, body binary")
-    # First within groups of tasks, then over all: no task adds up more than a share of the blocks of a key.
-    some = blocks.withColumn("group", F.spark_partition_id() % 16).repartition("predictor", "begin", "group").sortWithinPartitions("predictor", "begin", "group").select("predictor", "begin", "body").mapInArrow(add, "predictor int, begin int, body binary")
-    whole = some.repartition("predictor", "begin").sortWithinPartitions("predictor", "begin").mapInArrow(add, "predictor int, begin int, body binary")
-    out = [np.zeros((2, 1 << bits), np.int32) for bits in BITS]
-    for row in whole.toLocalIterator():  # tables of fixed size
-        out[row["predictor"]][:, row["begin"] : row["begin"] + BLOCK] += _unpacked(row["body"])
-    held.destroy()
-    return out
+BLOCKS = "predictor int, begin int, body binary"
 
 
-def _block(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
-    body = zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).T.tobytes(), 1)
-    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([body], pa.binary())], ["predictor", "begin", "body"])
+def _block(predictor: int, begin: int, body: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([predictor], pa.int32()), pa.array([begin], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["predictor", "begin", "body"])
 
 
-def _unpacked(body: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(body), np.int32).reshape(-1, 2).T
-
-
-def mixer(docs: DataFrame, codes: Codes, counts: list[np.ndarray], markers: np.ndarray) -> Model:
-    """The model with weights learned over all texts."""
-    held = docs.sparkSession.sparkContext.broadcast((codes, counts, markers))
-    shape, cells = (GATES, len(BITS)), GATES * len(BITS)
+def _added(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of each key; rows come sorted by key."""
+    key, total = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            at = (batch.column("predictor")[i].as_py(), batch.column("begin")[i].as_py())
+            body = np.frombuffer(batch.column("body")[i].as_buffer(), float if at[0] == PREDICTORS else np.int64)
+            if at != key:
+                if key:
+                    yield _block(*key, finish(key, total))
+                key, total = at, body.copy()
+            else:
+                total += body
+    if key:
+        yield _block(*key, finish(key, total))
+
+
+def train(docs: DataFrame, code: Code, bits: int, n_bytes: int) -> Model:
+    """The model learned online over all texts, in one pass.
+
+    A task reads as many bytes as its tables take, where there are enough tasks
+    to choose from, so summing the tables costs no more than reading.
+    """
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((code, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *tables, markers = held.value
-        model, size = Model(*tables), 0
-        last = np.zeros((2, NODES, LEVELS))
-        for body, first, stop, kind, hashes, n in _pairs(batches, markers):
-            d = Decisions(model.codes, body, first, stop, kind, hashes)
-            times = n[d.word]
-            odds, gate = model.inputs(d)
-            model.learn(d, times, odds, gate)
-            np.add.at(last, (d.bit, d.node, level(model.mixed(odds, gate))), times)
-            size += int(times.sum())
-        if size:
-            values = np.concatenate([[size], size * model.weights.reshape(-1), last.reshape(-1)])
-            at = np.flatnonzero(values)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[at])], ["cell", "value"])
-
-    # The sums are of fixed size, however many tasks there are.
-    sums = docs.select("text").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+        learner = Learner(*held.value)
+        for _, stream in _streams(batches):
+            learner.learn(stream)
+        if learner.size:
+            for k, counts in enumerate(learner.counts):
+                for b in range(0, len(counts), 2 * BLOCK):
+                    block = counts[b : b + 2 * BLOCK]
+                    if block.any():
+                        yield _block(k, b // 2, block.astype(np.int64))
+            yield _block(PREDICTORS, 0, learner.rest())
+
+    tasks = max(2 * spark.sparkContext.defaultParallelism, n_bytes // (16 * sum(sizes(bits))))
+    blocks = docs.select("text").coalesce(tasks).mapInArrow(run, BLOCKS)
+    # First within groups of tasks, then over all: no task adds up more than a share of the blocks of a key.
+    keys = ["predictor", "begin"]
+    some = blocks.withColumn("group", F.spark_partition_id() % 16).repartition(*keys, "group").sortWithinPartitions(*keys, "group").select("predictor", "begin", "body")
+    some = some.mapInArrow(lambda batches: _added(batches, lambda key, total: total), BLOCKS)
+    whole = some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _added(batches, lambda key, total: total if key[0] == PREDICTORS else log_odds(total)), BLOCKS)
+    odds = [np.zeros(n, np.int8) for n in sizes(bits)]
+    rest = np.zeros(1 + PREDICTORS * GATES + 2 * NODES * LEVELS)
+    for row in whole.toLocalIterator():  # of fixed size, however many tasks there are
+        if row["predictor"] == PREDICTORS:
+            rest = np.frombuffer(row["body"], float)
+        else:
+            body = np.frombuffer(row["body"], np.int8)
+            odds[row["predictor"]][row["begin"] : row["begin"] + len(body)] = body
     held.destroy()
-    values = np.zeros(1 + cells + 2 * NODES * LEVELS)
-    values[sums["cell"].to_numpy(np.int64)] = sums["value"].to_numpy(np.float64)
-    weights, last = values[1 : 1 + cells].reshape(shape), values[1 + cells :].reshape(2, NODES, LEVELS)
-    return Model(codes, counts, weights / values[0] if values[0] else None, last)
+    return Model(code, bits, odds, rest)
 
 
-def most_frequent(known: DataFrame, most: int, least: int = 1):
+def most_frequent(known: DataFrame, most: int):
     """(hash, c) by hash of the words above a count, the lowest with which there are ``most`` at most.
 
     A histogram over eighths of powers of two finds that count, so the driver
     gets a few hundred rows and then ``most`` rows, however many tasks there are.
     """
     step = F.floor(F.log2("c") * 8)
-    sizes = {row["step"]: row["count"] for row in known.where(F.col("c") >= least).groupBy(step.alias("step")).count().collect()}
+    found = {row["step"]: row["count"] for row in known.groupBy(step.alias("step")).count().collect()}
     total, lowest = 0, None
-    for at in sorted(sizes, reverse=True):
-        total += sizes[at]
+    for at in sorted(found, reverse=True):
+        total += found[at]
         if total > most:
             break
         lowest = at
     if lowest is None:
         return known.limit(0).toPandas()
-    return known.where((F.col("c") >= least) & (step >= lowest)).toPandas().sort_values("hash")
-
-
-def markers_of(known: DataFrame) -> np.ndarray:
-    """The CLASSES - 1 most frequent words, by hash."""
-    return np.sort(np.array([row["hash"] for row in known.orderBy(F.desc("c"), "hash").limit(CLASSES - 1).collect()], np.int64))
+    return known.where(step >= lowest).toPandas().sort_values("hash")
 
 
 class Fitted:
-    """The model, the markers, and the counts of all words (a staged table)."""
+    """The model and the counts of all words (a staged table)."""
 
     def __init__(self, docs: DataFrame):
         docs = docs.select(text_or_empty().alias("text"))
         counted = staged(count_all(docs), "counts")
         self.known = counted.where(~F.col("sign")).select("hash", "c")
-        self.markers = markers_of(self.known)
-        # A word seen once is spelled, so the question learns how often new words come.
-        top = most_frequent(self.known, DICTIONARY, 2)
-        signs = np.zeros(SYMBOLS)
+        n, words = self.known.agg(F.sum("c"), F.count(F.lit(1))).first()
+        self.n, self.words = n or 0, words
+        signs = np.zeros(SYMBOLS**2, np.int64)
         for row in counted.where("sign").collect():
             signs[row["hash"]] = row["c"]
-        codes = Codes(signs, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
-        counts = slot_counts(docs, codes, self.markers)
-        self.model = mixer(docs, codes, counts, self.markers)
+        bits = min(max(words.bit_length() - 1, MIN_BITS), MAX_BITS)
+        self.model = train(docs, Code(signs), bits, int(signs.sum()))
+
+
+class Counts:
+    """Counts of the most frequent words by hash."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, bits: int = 20):
+        self.hashes, self.counts, self.mask = hashes, counts, (1 << bits) - 1
+        self.at = np.full(1 << bits, -1, np.int32)
+        self.at[hashes & self.mask] = np.arange(len(hashes))
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' counts; 0 for others."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = self.at[hashes & self.mask]
+        other = np.flatnonzero((at >= 0) & (self.hashes[at] != hashes))  # words that share a place
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.hashes, hashes[other]), len(self.hashes) - 1)
+        return np.where((at >= 0) & (self.hashes[at] == hashes), self.counts[at], 0)
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """One row per row of ``docs`` (doc_id, held_out, text): counts, base score, score, bits per byte."""
-    spark, known, model = docs.sparkSession, fitted.known, fitted.model
-    totals = known.agg(F.sum("c"), F.count(F.lit(1))).first()
-    n, v = totals[0] or 0, totals[1]
-    below = n + 0.1 * (v + 1)
+    spark, known, n = docs.sparkSession, fitted.known, fitted.n
+    below = n + 0.1 * (fitted.words + 1)
     top = most_frequent(known, TOP)
-    held = spark.sparkContext.broadcast((model, fitted.markers, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
-    schema = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<long>"
+    held = spark.sparkContext.broadcast((fitted.model, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    schema = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<hash:long,bits:float,part:float>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, markers, hashes, counts = held.value
-        scorer.prepared()
-        costs, known = Remembered(), Remembered()
-        known.put(mix(hashes.view(U)), counts)
-        for batch in batches:
-            body, ends = utf8(batch.column("text"))
-            for i, j in slices(ends, PIECE):
-                t = Tokens(body[ends[i] : ends[j]], ends[i : j + 1] - ends[i], markers)
-                keys = t.pair_keys()
-                cost, missing = costs.get(keys)
-                if len(missing):
-                    fresh, at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-                    at = missing[at]
-                    made = scorer.costs(t.body, t.first[at], t.last[at], t.kind[at], t.hash[at])
-                    cost[missing] = made[back]
-                    costs.put(fresh, made)
-                c, missing = known.get(mix(t.hash.view(U)))
-                if len(missing) and len(hashes):  # words whose place another word has taken, and rare words
-                    place = np.minimum(np.searchsorted(hashes, t.hash[missing]), len(hashes) - 1)
-                    c[missing] = np.where(hashes[place] == t.hash[missing], counts[place], 0)
-                found = c > 0
-                base = np.log10((c[found] + 0.1) / below)
-                total = lambda weights, text: np.bincount(text, weights, minlength=t.texts).astype(np.float64)  # noqa: B023, E731
-                tokens = np.bincount(t.text, minlength=t.texts)
-                order = np.argsort(t.text[~found], kind="stable")
-                rare = t.hash[~found][order]
-                sizes = np.bincount(t.text[~found], minlength=t.texts)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(rare))
-                rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(ends[i : j + 1])), pa.array(tokens), pa.array(np.bincount(t.text[found], minlength=t.texts)), pa.array(total(base, t.text[found])), pa.array(total(cost, t.text)), lists],
-                    ["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"],
-                )
+        model, *counts = held.value
+        counts = Counts(*counts)
+        for rows, s in _streams(batches):
+            bits = model.costs(s)
+            c = counts.of(s.hash)
+            found = c > 0
+            part = parts(s, bits, c / max(n, 1)) if n else np.zeros(len(bits))
+            base = np.log10((c[found] + 0.1) / below)
+            whole = np.log10(part[found] * c[found] / max(n, 1) + (1 - part[found]) * 10.0 ** bits[found])
+            total = lambda values: np.bincount(s.text[found], values, minlength=s.texts).astype(float)  # noqa: B023, E731
+            rare = pa.StructArray.from_arrays([pa.array(s.hash[~found]), *(pa.array(x[~found].astype(np.float32)) for x in (bits, part))], ["hash", "bits", "part"])
+            upto = np.concatenate([[0], np.cumsum(np.bincount(s.text[~found], minlength=s.texts))]).astype(np.int32)
+            columns = [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(np.append(s.start, len(s.symbols))))]
+            columns += [pa.array(np.bincount(s.text, minlength=s.texts)), pa.array(np.bincount(s.text[found], minlength=s.texts)), pa.array(total(base)), pa.array(total(whole)), pa.ListArray.from_arrays(pa.array(upto), rare)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", text_or_empty().alias("text")).mapInArrow(run, schema)
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("hash")).join(known.hint("merge"), "hash", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.log10((c + 0.1) / F.lit(below))).alias("more"), F.count("c").alias("met"))
-    out = scored.join(rare, "row", "left")
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(known.hint("merge"), "hash", "left")
+    c, bits, part = F.coalesce("c", F.lit(0)), F.col("bits").cast("double"), F.col("part").cast("double")
+    whole = F.when(F.col("c").isNull(), F.log10(1 - part) + bits).otherwise(F.log10(part * c / F.lit(max(n, 1)) + (1 - part) * F.pow(F.lit(10.0), bits)))
+    rare = rare.groupBy("row").agg(F.sum(F.log10((c + 0.1) / F.lit(below))).alias("more"), F.sum(whole).alias("whole"), F.count("c").alias("met"))
+    out = scored.join(rare, "row", "left").withColumn("score", F.col("score") + F.coalesce("whole", F.lit(0.0)))
     return out.select(
         "doc_id",
         "held_out",
@@ -587,7 +529,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         "score",
-        F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

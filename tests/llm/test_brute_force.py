@@ -3,15 +3,18 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glosspan.llm import components, decontamination, exact_dedup, jaccard, language, licences, lm, mixing, pii, secrets, substrings
 
+DATA = "/root/testdata/sf0.01"
 BLANK = r"[\x20\x09-\x0D]"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -287,34 +290,110 @@ def test_lm_scoring(spark, make, awkward):
     assert again == sorted(g[2] for g in got)
 
 
-def test_lm_probabilities_sum_to_one(make):
-    """Over all one- and two-letter words of a small alphabet and the end, with what longer words may still get."""
-    docs = make([(i, "a b ab ba aa a b") for i in range(30)])
-    fitted = lm.Fitted(docs)
-    model = fitted.model.prepared()
-    import numpy as np
-
-    for context in (0, 1):
-        d = lm.Decisions(model.codes, np.zeros(0, np.uint8), np.array([0]), np.array([0]), np.array([context]), np.array([lm.END_HASH]))
-        p = model.refined(d, model.scored(d))
-        assert ((p > 0) & (p < 1)).all()
-    every = fitted.known.toPandas()["hash"].to_numpy()
-    inside = [h for h in every if model.codes.rank(np.array([h]))[0] >= 0]
-    costs = model.costs(np.zeros(0, np.uint8), np.zeros(len(inside), int), np.zeros(len(inside), int), np.zeros(len(inside), int), np.array(inside))
-    asked = lm.Decisions(model.codes, np.zeros(0, np.uint8), np.array([0]), np.array([0]), np.array([0]), np.array(inside[:1]))
-    p = model.refined(asked, model.scored(asked))
-    assert (10.0**costs).sum() == pytest.approx(p[asked.node == lm.SYMBOLS][0], rel=1e-3)
+def naive_costs(model, text):
+    """log10 of each token's probability: the model applied decision by decision, from its tables."""
+    tokens = [w.encode() + b" " for w in words(text.translate(FOLD))] + [b"\n"]
+    stream, base, mask = b"".join(tokens), int(lm.BASE), 2**64 - 1
+    scramble = lambda x, seed=0: int(lm.mix(np.array([x & mask], np.uint64), seed)[0])
+    rolled = lambda part: sum((c + 1) * pow(base, i, 2**64) for i, c in enumerate(part)) & mask
+    named = [scramble(rolled(t[:-1]) + len(t)) for t in tokens]
+    own, wrong, met = np.zeros(lm.PREDICTORS), collections.Counter(), collections.Counter()
+    cost, begin, size, at, number, inside = [0.0] * len(tokens), 0, lm.SEGMENT, 0, 0, 0
+    while begin < len(stream):
+        slope, n, missed, seen = np.zeros(lm.PREDICTORS), 0, collections.Counter(), collections.Counter()
+        for at in range(begin, min(begin + size, len(stream))):
+            back = int.from_bytes(stream[max(0, at - 5) : at][::-1], "little")
+            pair = (back & 255) << 8 | stream[at]
+            so_far = rolled(tokens[number][:inside])
+            keys = [back & 0xFFFF, back & 0xFFFFFFFF]
+            folded = [so_far, (so_far + (named[number - 1] if number else 0) * base) & mask]
+            keys += [x ^ x >> 29 for x in folded]
+            contexts = [(back & 255) << 8] + [(k * int(s) & mask) >> (64 - model.bits) for k, s in zip(keys, lm.SPREAD[1:], strict=True)]
+            for step in range(model.code.depth[pair]):
+                node, bit = int(model.code.nodes[model.code.offset[pair] + step]), int(model.code.bits[model.code.offset[pair] + step])
+                x = np.array([float(model.odds[k][c ^ int(model.marks[k][node])]) for k, c in enumerate(contexts)])
+                gate = int(np.count_nonzero(x[-3:])) * 3 + min(inside, 2)
+                odds = float(np.clip(x @ (model.weights[:, gate] + own), -11.99, 11.99))
+                p, cell = 1 / (1 + math.exp(-odds)), int(odds + lm.LEVELS / 2)
+                final = (p + model.last[node * lm.LEVELS + cell]) / 2 + wrong[cell] / (lm.INERTIA + met[cell])
+                final = min(max(final, 2e-5), 1 - 2e-5)
+                cost[number] += math.log10(final if bit else 1 - final)
+                slope, n = slope + (bit - p) * x, n + 1
+                missed[cell] += bit - final
+                seen[cell] += 1
+            number, inside = (number + 1, 0) if inside + 1 == len(tokens[number]) else (number, inside + 1)
+        own = own + lm.OWN_RATE / lm.UNIT**2 * slope / (n + lm.INERTIA)
+        wrong.update(missed)
+        met.update(seen)
+        begin += size
+        size = min(begin, lm.LONGEST)
+    return cost
+
+
+def fitted_on(spark, texts, bits=14):
+    """A model learned from texts, and the learner, without Spark."""
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    stream = lm.Stream(np.frombuffer("".join(texts).encode(), np.uint8), ends)
+    before = np.append(0, stream.symbols[:-1]).astype(int)
+    before[stream.start] = 0
+    learner = lm.Learner(lm.Code(np.bincount(before << 8 | stream.symbols, minlength=lm.SYMBOLS**2)), bits)
+    for _ in range(3):
+        learner.due = 0
+        learner.learn(stream)
+    return lm.Model(learner.code, bits, [lm.log_odds(c) for c in learner.counts], learner.rest())
+
+
+def test_lm_costs_are_those_of_single_decisions(spark):
+    rng = random.Random(91)
+    lexicon = ["".join(rng.choice(["ti", "on", "er", "the", "éa", "sch"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    texts = [" ".join(rng.choice(lexicon) for _ in range(rng.randint(0, 120))) for _ in range(25)]
+    model = fitted_on(spark, texts)
+    asked = ["", "the  Tion \t\n zebra", " ".join(texts)[:1500], texts[3], "x" * 300, "日本 the"]
+    body = "".join(asked).encode()
+    got = model.costs(lm.Stream(np.frombuffer(body, np.uint8), np.cumsum([0, *(len(t.encode()) for t in asked)])))
+    expected = [c for t in asked for c in naive_costs(model, t)]
+    assert len(got) == len(expected) and np.allclose(got, expected, rtol=1e-4, atol=1e-4)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over every next byte, after contexts known and unknown."""
+    model = fitted_on(spark, ["a b ab ba aa a b", "ab ab a"] * 5)
+    for context in ("", "a", "ab ", "zz"):
+        total = 0.0
+        for byte in range(256):
+            s = lm.Stream(np.frombuffer(context.encode() + b"q", np.uint8), np.array([0, len(context) + 1])).prepare()
+            at = len(context.encode())
+            s.symbols = s.symbols.copy()
+            s.symbols[at] = byte
+            d = lm.Decisions(s, np.array([at]), model.code, model.marks, model.bits)
+            x, gate = d.inputs(model.odds)
+            odds = lm.clipped((x * model.weights[:, gate]).sum(axis=0))
+            p = (lm.sigmoid(odds) + model.last[d.node * lm.LEVELS + lm.level(odds)]) / 2
+            total += float(np.prod(np.where(d.bit == 1, p, 1 - p)))
+        assert total == pytest.approx(1, rel=1e-4)
+
+
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/documents.parquet"), reason="needs the test tables")
+def test_lm_beats_a_proper_unigram_on_held_out_texts(spark):
+    """Against shares of words, and unknown words spelled by shares of bytes."""
+    rows = [(r.doc_id, words((r.text or "").translate(FOLD))) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    got = {r.doc_id: r for r in lm.op5_lm_scoring(spark, DATA).where("held_out").collect()}
+    counts = collections.Counter(w for i, ws in rows if not held(i) for w in [*ws, None])
+    letters = collections.Counter(c for w in counts.elements() for c in (w or "").encode() + b" ")
+    n, m = sum(counts.values()), sum(letters.values())
+    new = sum(c == 1 for c in counts.values()) / n
+    price = lambda w: math.log10((1 - new) * counts[w] / n) if counts[w] else math.log10(new) + sum(math.log10((letters[c] + 1) / (m + 256)) for c in w.encode() + b" ")
+    proper = sum(price(w) for i, ws in rows if held(i) for w in [*ws, None])
+    total, tokens = sum(r.score for r in got.values()), sum(r.n_tokens for r in got.values())
+    assert total > proper + 0.2 * tokens
+    assert all(r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(" ".join(ws).encode()) + 1 + (len(ws) > 0))) for i, ws in rows if held(i) for r in [got[i]])
 
 
 def test_lm_learns_from_all_training_texts(make):
     fitted = lm.Fitted(make([(i, "a b ab") for i in range(4500)]))
-    assert fitted.model.last[:, lm.SYMBOLS].sum() == 4500 * 4
-
-
-def test_lm_tells_words_apart_by_63_markers(make):
-    common = [f"m{i}" for i in range(63)]
-    fitted = lm.Fitted(make([(i, " ".join(common)) for i in range(3)] + [(9, "rare")]))
-    assert len(fitted.markers) == 63
+    assert fitted.n == 4 * 4500
+    assert fitted.model.last.reshape(lm.NODES, lm.LEVELS).shape == (lm.NODES, lm.LEVELS) and any(np.abs(o).max() > 60 for o in fitted.model.odds)
 
 
 def test_lm_without_training(make):
