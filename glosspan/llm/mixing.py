@@ -1,28 +1,36 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Every source's documents are shuffled by a hash of their id into a stream of
-words, and the stream, repeated, is cut into blocks of equal length.  Slot i of
-the mix is the golden-ratio point ``frac(i * phi)``; the cumulative weights of
-the targets map it to a source, and the slot's rank among that source's slots
-names the block it takes.  Any prefix of the schedule is within a few slots of
-the target weights.  A source stops when its target is filled (its last block
-is cut); one that the finite schedule leaves short gets its missing slots at
-the end.
-
-Nothing is collected but single rows of totals.  Ranks and running sums are
-taken within bounded cells (hash cells of a source, runs of slots) and then
-shifted by the cells' offsets, so a source with a third of all rows is spread
-over many tasks.
-
-Defined results: a null text has size 0; a null source is a source of its own,
-sorted last; a null doc_id hashes as the empty string; repeated rows are
-documents of their own.  An empty table gives an empty result.
+words, and the stream, repeated, is cut into blocks of equal length.  A source's
+weight in the mix is the number of blocks its target needs; the cumulative
+weights cut the unit interval, in cells of one block, among the sources.  Slot i
+of the mix is the i-th van der Corput point (the bits of i in reverse): the cell
+it falls in names its source, and its rank among that source's slots names the
+block it takes.  Points beyond the last weight are no slots.  Since 2**m points
+meet each cell once, the whole schedule gives every source its blocks, and any
+first part of it is within a few blocks a source of its share.  A source's last
+block is cut at its target.
+
+``taken`` is what a document's words in the scheduled blocks add up to,
+``first_slot`` the first slot that takes some of them, ``n_slots`` how many do:
+ordering by slot gives the mix, stopping at a slot (``upto``) gives a smaller
+one with the same weights.
+
+The rank has a closed form: a run of cells is a few dyadic runs, and the points
+in one of those are evenly spaced.  So slots need no sort and no shuffle.
+
+Nothing is collected but single rows of totals.  Running sums are taken within
+bounded cells (hash cells of a source) and then shifted by the cells' offsets,
+so a source with a third of all rows is spread over many tasks.
+
+Defined results: a null text has size 0; a document of size 0 has no slot; a
+null source is a source of its own, sorted last; a null doc_id hashes as the
+empty string; repeated rows are documents of their own; other columns, whatever
+their names, are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +43,8 @@ SHARE, CEILING = 1.5, 2
 BLOCK = 256
 #: Hash digits that make a cell of a source: 4,096 cells.
 CELL_DIGITS = 3
-#: Slots in a run.
-RUN = 1 << 16
-#: Cells of the unit interval by which points find their source.
-GRID = 1 << 10
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: Parts of the unit interval by which points find their source: 2**GRID_BITS.
+GRID_BITS = 10
 KEY = ["none", "name"]
 
 
@@ -106,56 +111,81 @@ def streams(rows: DataFrame) -> DataFrame:
     return rows.join(cells, [*KEY, "cell"]).withColumn("start", F.col("ahead") + F.col("inside")).drop("ahead", "inside")
 
 
-def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix's slots: key, slot (its place in the mix), k (the block it takes), take.
+def reversed_bits(column: str, m: int) -> Column:
+    """The ``m`` low bits of a number in reverse: its van der Corput point in units of 2**-m."""
+    return F.conv(F.reverse(F.lpad(F.bin(column), m, "0")), 2, 10).cast("long")
+
 
-    ``goals`` has key, take.  The points find their source through a grid over
-    the unit interval: an equi-join on the grid cell, then the exact bounds.
+def points_below(bound: str, slot: str, m: int) -> Column:
+    """How many of the slots before ``slot`` have points below ``bound`` (in units of 2**-m).
+
+    For each bit b of the bound, the points that agree with it above b and are
+    lower at b are those of the slots that leave one remainder modulo 2**(m - b).
     """
-    spark = goals.sparkSession
-    goals = staged(ordered_rank(goals.where("take > 0").select(*KEY, "take"), KEY), "goals")
-    total = goals.agg(F.sum("take")).first()[0] or 0
-    n = -(-total // block)
-    by_part = W.partitionBy("part").orderBy("rank")
-    cut = goals.withColumn("part", F.floor(F.col("rank") / 4096))
-    ahead = cut.groupBy("part").agg(F.sum("take").alias("part_take")).withColumn("ahead", F.coalesce(F.sum("part_take").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    upper = (F.col("ahead") + F.sum("take").over(by_part)) / F.lit(float(max(1, total)))
-    bounds = cut.join(ahead.select("part", "ahead"), "part").withColumn("upper", upper).withColumn("lower", upper - F.col("take") / F.lit(float(max(1, total))))
-    bounds = bounds.select(*KEY, "take", "lower", "upper", F.explode(F.sequence(F.floor(F.col("lower") * GRID), F.least(F.floor(F.col("upper") * GRID), F.lit(GRID - 1)))).alias("grid"))
-    points = spark.range(n, numPartitions=parts(spark)).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
-    points = points.withColumn("grid", F.floor(F.col("point") * GRID))
-    dealt = points.join(bounds, "grid").where("point >= lower AND point < upper").withColumn("run", F.floor(F.col("slot") / RUN)).select(*KEY, "take", "slot", "run")
-    dealt = staged(dealt, "slots")
-    runs = dealt.groupBy(*KEY, "run").count()
-    runs = runs.withColumn("ahead", F.coalesce(F.sum("count").over(W.partitionBy(*KEY).orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = dealt.withColumn("within", F.row_number().over(W.partitionBy(*KEY, "run").orderBy("slot")) - 1).join(runs, [*KEY, "run"])
-    ranked = ranked.select(*KEY, "slot", (F.col("ahead") + F.col("within")).alias("k"), "take")
-    need = F.ceil(F.col("take") / F.lit(block)).cast("long")
-    kept = ranked.where(F.col("k") < need)
-    short = goals.join(dealt.groupBy(*KEY).count(), KEY, "left").withColumn("got", F.coalesce("count", F.lit(0))).withColumn("need", need).where("got < need")
-    closing = short.select(*KEY, F.lit(n).cast("long").alias("slot"), F.explode(F.sequence("got", F.col("need") - 1)).alias("k"), "take")
-    return kept.unionByName(closing)
+    terms = []
+    for b in range(m + 1):
+        shared = F.shiftright(F.col(bound), b).bitwiseXOR(F.lit(1))
+        remainder = _reversed(shared, m - b)
+        modulus = 1 << (m - b)
+        count = F.shiftright(F.col(slot) + F.lit(modulus - 1) - remainder, m - b)
+        terms.append(F.when(F.shiftright(F.col(bound), b).bitwiseAND(F.lit(1)) == 1, count).otherwise(F.lit(0)))
+    total = terms[0]
+    for term in terms[1:]:
+        total = total + term
+    return total.cast("long")
+
 
+def _reversed(value: Column, m: int) -> Column:
+    return F.conv(F.reverse(F.lpad(F.bin(value), m, "0")), 2, 10).cast("long") if m else F.lit(0).cast("long")
 
-def mix(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
+
+def schedule(goals: DataFrame, block: int = BLOCK, upto: int | None = None) -> DataFrame:
+    """The mix's slots: key, slot (its place in the mix), k (the block it takes).
+
+    ``goals`` has key and take.  The points find their source through a grid
+    over the unit interval: an equi-join on the grid's part, then the exact
+    bounds.
+    """
+    spark = goals.sparkSession
+    need = F.ceil(F.col("take") / F.lit(block)).cast("long")
+    goals = staged(ordered_rank(goals.where("take > 0").select(*KEY, need.alias("need")), KEY), "goals")
+    total = goals.agg(F.sum("need")).first()[0] or 0
+    m = max(1, (max(total, 1) - 1).bit_length())
+    cut = goals.withColumn("part", F.floor(F.col("rank") / 4096))
+    ahead = cut.groupBy("part").agg(F.sum("need").alias("part_need")).withColumn("ahead", F.coalesce(F.sum("part_need").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    upper = F.col("ahead") + F.sum("need").over(W.partitionBy("part").orderBy("rank"))
+    bounds = cut.join(ahead.select("part", "ahead"), "part").withColumn("upper", upper.cast("long")).withColumn("lower", F.col("upper") - F.col("need"))
+    wide = max(0, m - GRID_BITS)
+    grid = F.explode(F.sequence(F.shiftright("lower", wide), F.shiftright(F.col("upper") - 1, wide))).alias("grid")
+    bounds = bounds.select(*KEY, "lower", "upper", grid)
+    points = spark.range(min(1 << m, upto if upto is not None else 1 << m) if total else 0, numPartitions=parts(spark))
+    points = points.select(F.col("id").alias("slot"), reversed_bits("id", m).alias("point")).withColumn("grid", F.shiftright("point", wide))
+    dealt = points.join(bounds, "grid").where("point >= lower AND point < upper")
+    return dealt.select(*KEY, "slot", (points_below("upper", "slot", m) - points_below("lower", "slot", m)).alias("k"))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, share: float = SHARE, ceiling: int = CEILING, upto: int | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot, n_slots.
+
+    With ``upto``, the mix stops before that slot.
+    """
     rows = staged(sized(docs), "sized")
     goals = targets(rows, weights, share, ceiling)
     rows = streams(rows).join(goals.select(*KEY, "source_size", "target", "take"), KEY)
-    slots = schedule(goals, block)
+    slots = schedule(goals, block, upto)
     begin = F.col("lap") * F.col("source_size") + F.col("start")
-    laps = rows.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(ceiling - 1)))).withColumn("begin", begin).withColumn("end", F.col("begin") + F.col("size"))
-    pieces = laps.withColumn("k", F.explode_outer(F.when((F.col("size") > 0) & (F.col("begin") < F.col("take")), F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)))))
-    shared = F.least("end", (F.col("k") + 1) * block, "take") - F.greatest("begin", F.col("k") * block)
-    met = pieces.join(slots.select(*KEY, "k", F.lit(True).alias("met")), [*KEY, "k"], "left")
-    taken = F.sum(F.when(F.col("met"), F.greatest(shared, F.lit(0))).otherwise(0))
-    out = met.groupBy(*KEY, "cell", "seq", "doc_id", "source", "size", "source_size", "target").agg(taken.cast("long").alias("taken"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    laps = rows.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(ceiling - 1)))).withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("take")))
+    pieces = laps.withColumn("k", F.explode_outer(F.when(F.col("begin") < F.col("end"), F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)))))
+    shared = F.least("end", (F.col("k") + 1) * block) - F.greatest("begin", F.col("k") * block)
+    met = pieces.join(slots, [*KEY, "k"], "left")
+    taken = F.sum(F.when(F.col("slot").isNotNull(), shared).otherwise(0))
+    out = met.groupBy(*KEY, "cell", "seq", "doc_id", "source", "size", "source_size", "target").agg(taken.cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns of :func:`mix` over all documents."""
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    """The contract's columns of :func:`mix` over all documents, and first_slot (-1 for none) and n_slots."""
+    return mix(table(spark, sf_dir, "documents")).drop("source").withColumn("first_slot", F.coalesce("first_slot", F.lit(-1).cast("long")))
 
 
 ORACLE = r"""
@@ -176,13 +206,29 @@ l AS (
   SELECT arg_min((budget - below) / above, k) AS level FROM p WHERE (budget - below) / above * w <= 2 * source_size),
 t AS (
   SELECT source, source_size, round(least(w * level, 2.0 * source_size)::DOUBLE, 6) AS target FROM s, l),
+n AS (
+  SELECT source, floor(target + 0.5)::BIGINT AS take, ceil(floor(target + 0.5) / 256)::BIGINT AS need FROM t),
+u AS (
+  SELECT source, coalesce(sum(need) OVER (ORDER BY source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower, need,
+         greatest(1, ceil(log2(greatest(1, sum(need) OVER ())))::BIGINT) AS m
+  FROM n WHERE need > 0),
+i AS (SELECT unnest(range(0, (1 << m)::BIGINT)) AS slot, m FROM (SELECT DISTINCT m FROM u)),
+v AS (SELECT slot, list_sum(list_transform(range(0, m), lambda j: ((slot >> j) & 1) << (m - 1 - j))) AS point FROM i),
+z AS (
+  SELECT u.source, v.slot, row_number() OVER (PARTITION BY u.source ORDER BY v.slot) - 1 AS k
+  FROM v JOIN u ON v.point >= u.lower AND v.point < u.lower + u.need),
 c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS take,
+  SELECT row_number() OVER () AS rn, d.doc_id, d.source, d.size, t.source_size, t.target, n.take,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, take - a)) + greatest(0, least(size, take - source_size - a)))::BIGINT AS taken
-FROM c
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN n ON n.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT rn, source, lap * source_size + a AS b, least(lap * source_size + a + size, take) AS e FROM c, (VALUES (0), (1)) x(lap)),
+r AS (SELECT rn, source, b, e, unnest(range((b // 256)::BIGINT, ((e - 1) // 256)::BIGINT + 1)) AS k FROM q WHERE b < e),
+x AS (
+  SELECT rn, sum(least(e, (r.k + 1) * 256) - greatest(b, r.k * 256)) AS taken, min(slot) AS first_slot, count(*) AS n_slots
+  FROM r JOIN z ON r.source IS NOT DISTINCT FROM z.source AND r.k = z.k GROUP BY rn)
+SELECT doc_id, size, source_size, target, coalesce(x.taken, 0)::BIGINT AS taken, coalesce(x.first_slot, -1)::BIGINT AS first_slot, coalesce(x.n_slots, 0)::BIGINT AS n_slots
+FROM c LEFT JOIN x USING (rn)
 """
 
 QUERIES = {"op4_mixing": op4_mixing}

@@ -145,11 +145,13 @@ def test_mixing(make, awkward, clashing):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 300)), "en", rng.choice(["a", "a", "a", "B", "é", None, "c"])) for i in range(200)] + list(awkward)
     for block in (1, 64, 256):
-        got = mixing.mix(widened(make(rows), clashing), block).collect()
+        docs = widened(make(rows), clashing)
+        got = mixing.mix(docs, block).collect()
         assert len(got) == len(rows)
         sizes, taken, target = collections.Counter(), collections.Counter(), {}
         for r in got:
             assert 0 <= r.taken <= 2 * r["size"]
+            assert (r.first_slot is None) == (r.n_slots == 0) == (r.taken == 0)
             sizes[r.source] += r["size"]
             taken[r.source] += r.taken
             target[r.source] = r.target
@@ -160,9 +162,50 @@ def test_mixing(make, awkward, clashing):
         weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
         levels = {round(target[s] / weight[s], 3) for s in target if target[s] < 2 * sizes[s] - 1e-3}
         assert len(levels) <= 1
+    half = 1 + max(r.first_slot or 0 for r in got) // 2
+    first = mixing.mix(docs, block, upto=half).collect()
+    assert all(r.first_slot is None or r.first_slot < half for r in first) and 0 < sum(r.taken for r in first) < sum(taken.values())
     assert mixing.mix(make([])).count() == 0
 
 
+def brute_schedule(needs, upto):
+    """(source, slot, k) by walking over the van der Corput points."""
+    m = max(1, (max(sum(needs.values()), 1) - 1).bit_length())
+    cells = [name for name in sorted(needs) for _ in range(needs[name])]
+    out, ranks = [], collections.Counter()
+    for slot in range(min(1 << m, upto)):
+        point = int(format(slot, f"0{m}b")[::-1], 2)
+        if point < len(cells):
+            out.append((cells[point], slot, ranks[cells[point]]))
+            ranks[cells[point]] += 1
+    return out
+
+
+@pytest.mark.parametrize("needs", [{"a": 1}, {"a": 7, "b": 300, "c": 1, "d": 33}, {"a": 512, "b": 512}, {f"s{i:03}": 1 + i % 9 for i in range(150)}])
+def test_mixing_schedule(spark, needs):
+    goals = spark.createDataFrame([(False, name, 64 * n - 3) for name, n in needs.items()], "none boolean, name string, take long")
+    for upto in (1 << 20, 100):
+        got = sorted((r.name, r.slot, r.k) for r in mixing.schedule(goals, 64, upto).collect())
+        assert got == sorted(brute_schedule(needs, upto))
+    total = sum(needs.values())
+    met = collections.Counter(name for name, _, _ in brute_schedule(needs, 1 << 20))
+    assert met == needs
+    walk = brute_schedule(needs, 1 << 20)
+    for n in range(1, total, 37):
+        part = collections.Counter(name for name, _, _ in walk[:n])
+        assert all(abs(part[name] - n * needs[name] / total) <= 2 + math.log2(total) / 2 for name in needs)
+
+
+def test_mixing_is_what_the_schedule_decides(make, monkeypatch):
+    """Another schedule gives another mix."""
+    docs = make([(i, "w " * 50, "en", "ab"[i % 2]) for i in range(60)])
+    real = mixing.schedule
+    whole = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(docs, 16).collect()}
+    monkeypatch.setattr(mixing, "schedule", lambda *a: real(*a).where("k % 2 = 0"))
+    other = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(docs, 16).collect()}
+    assert sum(t for t, _ in other.values()) < 0.6 * sum(t for t, _ in whole.values())
+
+
 def shingles(text, k):
     w = words((text or "").translate(FOLD))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
