@@ -16,8 +16,9 @@ two sets agrees within its tolerance.
   unless a set has more than c of them.  A pair that agrees in weak segments
   only agrees in more than c of them, so both sets do index theirs: exact.
 * *Before that*, sets without a partner drop out by a prefix filter: partners
-  share at least l of their n - ceil(tn) + l tokens of least hash, so a set
-  needs l such tokens that recur elsewhere (l grows with n, so that a passage
+  share at least l of their n - ceil(tn) + l tokens of least hash, where l is
+  that of the smaller one, so a set needs as many tokens that recur elsewhere as
+  the l of its smallest possible partner (l grows with n, so that a passage
   common to many texts does not keep them in).
 * *Verification* counts the common hashes of the candidate pairs.
 
@@ -35,7 +36,8 @@ probability about N^2 / 2^65 over N of them.
 
 Defined results: null and empty texts have empty sets, link with nothing, and
 are their own component; equal rows are one class; a null doc_id is never a
-representative where there is another; the empty table gives an empty result.
+representative where there is another; the empty table gives an empty result;
+columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -50,8 +52,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspan.llm.arrow import slices, utf8
-from glosspan.llm.common import discard, parts, staged, table
+from glosspan.llm.common import discard, staged, table
 from glosspan.llm.components import components
+from glosspan.llm.recurring import recurring
 from glosspan.llm.scan import kept_by_map
 
 PIECE = 1 << 18
@@ -190,10 +193,15 @@ class Plan:
 
     def needed(self, n: int) -> int:
         """How many prefix tokens of a set of ``n`` a partner shares at least."""
+        least = (n * self.percent + 99) // 100  # the smallest partner; both have as many as its prefix provides
+        return min((least * self.percent + 99) // 100, 1 + least // PREFIX_SHARE)
+
+    def provided(self, n: int) -> int:
+        """How many shared tokens the prefix of a set of ``n`` makes room for."""
         return min((n * self.percent + 99) // 100, 1 + n // PREFIX_SHARE)
 
     def prefix(self, n: int) -> int:
-        return n - (n * self.percent + 99) // 100 + self.needed(n) if n else 0
+        return n - (n * self.percent + 99) // 100 + self.provided(n) if n else 0
 
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         """All signatures of a set; equal ones of two sets make a candidate pair."""
@@ -275,38 +283,6 @@ def reread(docs: DataFrame, wanted: DataFrame, plan: Plan, what: str) -> DataFra
     return kept_by_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").mapInArrow(run, "doc_id long, node long, value array<long>")
 
 
-def shared_rows(rows: DataFrame, key: str) -> DataFrame:
-    """The distinct (key, node) rows whose key has at least two nodes.
-
-    One shuffle by key; the sorted rows are streamed, so a key of any size
-    takes constant memory.
-    """
-    dealt = rows.select(key, "node").repartition(parts(rows.sparkSession), key).sortWithinPartitions(key, "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((2, 0), np.int64)  # the last row seen, not given out yet
-        before = None  # the key of the row before it
-        for batch in batches:
-            both = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
-            new = np.ones(both.shape[1], bool)
-            new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
-            both = both[:, new]
-            same = both[0, 1:] == both[0, :-1]
-            known = np.zeros(both.shape[1], bool)
-            known[1:] = same
-            known[0] = before is not None and both[0, 0] == before
-            known[:-1] |= same
-            out = both[:, :-1][:, known[:-1]]
-            if out.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], [key, "node"])
-            before = both[0, -2] if both.shape[1] > 1 else before
-            held = both[:, -1:]
-        if held.shape[1] and before is not None and held[0, 0] == before:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], [key, "node"])
-
-    return dealt.mapInArrow(run, f"{key} long, node long")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold."""
     a = sets.select(F.col("node").alias("u"), F.col("value").alias("a"))
@@ -382,15 +358,16 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     plan = Plan(percent, k)
     read = staged(read_sets(docs, plan), "sets")
     rows = staged(read.select("doc_id", "n", "node", "s0", "s1", "s2", "s3"), "classes")
-    recurring = shared_rows(read.where("n > 0").select(F.explode("prefix").alias("token"), "node"), "token")
-    recurring = staged(recurring.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "recurring")
+    met = recurring(read.where("n > 0").select(F.explode("prefix").alias("token"), "node"), "token", ["node"])
+    met = staged(met.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("met")), "recurring")
     discard(read)
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
     classes = staged(classes, "nodes")
-    needed = F.least(F.ceil(F.col("n") * percent / F.lit(100)), 1 + F.floor(F.col("n") / PREFIX_SHARE))
-    alive = staged(classes.join(recurring, "node").where(F.col("met") >= needed).select("node", "doc_id"), "alive")
+    least = F.expr(f"(n * {percent} + 99) div 100")  # as in Plan.needed
+    needed = F.least(F.expr(f"(((n * {percent} + 99) div 100) * {percent} + 99) div 100"), 1 + F.floor(least / PREFIX_SHARE))
+    alive = staged(classes.join(met, "node").where(F.col("met") >= needed).select("node", "doc_id"), "alive")
     signed = reread(docs, alive, plan, "signatures")
-    buckets = staged(shared_rows(signed.select(F.explode("value").alias("signature"), "node"), "signature"), "buckets")
+    buckets = staged(recurring(signed.select(F.explode("value").alias("signature"), "node"), "signature", ["node"]).distinct(), "buckets")
     facts = classes.select("node", "n", "s0", "s1", "s2", "s3")
     # A bucket's centre is its set that shares most signatures: the text that the others vary.
     shared = buckets.join(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")

@@ -10,13 +10,16 @@ here the positions are thinned first, without losing a match:
 1. *Positions*: in every string of ``length`` bytes, the leftmost 36-byte
    substring of least hash is its anchor.  Equal strings have equal anchors at
    equal offsets, so ranking anchors (one position in about 33) suffices.
-2. *Rank at 36 bytes*: (hash, text, position) rows are shuffled and sorted by
-   hash; an anchor whose prefix occurs once drops out.
-3. *Rank at the threshold*: the anchors left ship the bytes around them, up to
-   the farthest string they anchor, sorted by (hash, doc_id, position); within
-   an equal prefix, strings are re-ranked by all their bytes, and all but the
-   first occurrence mark their bytes.  The sorted rows are streamed; what is
-   kept is one hash for each distinct string of the current anchor.
+2. *Rank at 36 bytes*: (hash, text, position) rows are sorted by hash, within
+   each task, then over all; an anchor whose prefix occurs once drops out.
+3. *Rank at the threshold*: within a task, the strings of the anchors left are
+   ranked by all their bytes; what occurred before marks its bytes there and
+   then.  The others ship their bytes, sorted by (hash, doc_id, position); within
+   an equal prefix, strings are re-ranked, and all but the first occurrence mark
+   their bytes.  The sorted rows are streamed; what is kept is one hash for each
+   distinct string of the current anchor.  Strings of an anchor that occurs more
+   than HOT times are sorted by their own hash instead, so no task keeps more
+   than those of HOT anchors (more only beyond 2**20 hot anchors).
 4. *Removal*: marked ranges are merged per document and cut out.
 
 Whole-text copies are settled before: only the first of equal texts takes part,
@@ -37,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +48,14 @@ from glosspan.llm.arrow import slices, utf8
 from glosspan.llm.common import parts, staged, table, text_or_empty
 from glosspan.llm.exact_dedup import attach
 from glosspan.llm.jaccard import BYTES, PIECE, U, mix, powers
+from glosspan.llm.recurring import recurring
 from glosspan.llm.scan import kept_by_map
 
 LENGTH, ANCHOR = 100, 36
+#: Bytes of text within which strings are compared before they are sent on.
+COMPARED = 1 << 20
+#: Strings of an anchor that occurs more often are dealt out one by one.
+HOT = 1 << 14
 #: Bits of a position within a piece of text; the other bits of the key order by hash.
 PLACE = 31
 NEVER = 2**63 - 1
@@ -91,10 +100,10 @@ def anchors(body: np.ndarray, ends: np.ndarray, length: int = LENGTH, width: int
     return hashes[place[first]], place[first], text[first], start[first], start[last]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         body, ends = utf8(batch.column("text"))
-        for i, j in slices(ends, PIECE):
+        for i, j in slices(ends, size):
             yield batch.slice(i, j - i), body[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
 
 
@@ -110,69 +119,74 @@ def positions(rows: DataFrame, length: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, "rank long, node long, at int")
 
 
-def recurring(ranked: DataFrame) -> DataFrame:
-    """The (node, at) whose rank is not unique; copies of a text count once.
+def hot_ranks(found: DataFrame) -> np.ndarray:
+    """The ranks with more than HOT anchors, sorted; with more anchors the bound rises, so that there are 2**20 at most."""
+    total = found.count()
+    counts = found.groupBy("rank").count().where(F.col("count") > max(HOT, total >> 20))
+    return np.sort(np.array([row["rank"] for row in counts.select("rank").toLocalIterator()], np.int64))
 
-    One shuffle by rank; sorted rows are streamed, comparing neighbours only.
-    """
-    dealt = ranked.repartition(parts(ranked.sparkSession), "rank").sortWithinPartitions("rank", "node", "at")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = np.empty((3, 0), np.int64), None
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], ["node", "at"])
+def surroundings(rows: DataFrame, hot: np.ndarray, length: int, width: int) -> DataFrame:
+    """What must be compared, and what needs no comparison, of the anchors listed in ``at`` of each row.
 
-        for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])], axis=1)
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-            rows = rows[:, new]
-            same = rows[0, 1:] == rows[0, :-1]
-            known = np.zeros(rows.shape[1], bool)
-            known[1:] = same
-            known[0] = before is not None and rows[0, 0] == before
-            known[:-1] |= same
-            if known[:-1].any():
-                yield out(rows[:, :-1][:, known[:-1]])
-            before = rows[0, -2] if rows.shape[1] > 1 else before
-            held = rows[:, -1:]
-        if held.shape[1] and before is not None and held[0, 0] == before:
-            yield out(held)
-
-    return dealt.mapInArrow(run, "node long, at int")
-
-
-def surroundings(rows: DataFrame, length: int, width: int) -> DataFrame:
-    """(rank, node, place, start, body) of the anchors listed in ``at`` of each row.
-
-    ``body`` holds all strings that the anchor stands for, the first of which
-    begins at ``start``; ``place`` orders documents.
+    (rank, node, place, start, stop, body): where ``body`` is not null, the
+    strings that an anchor stands for and that this task has not met before, the
+    first of which begins at ``start``; else a span whose strings have occurred
+    before in this task's texts.  ``place`` orders documents.  A string of a hot
+    anchor goes alone, and its own hash takes the place of the rank.
     """
+    held = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, ends in _pieces(batches):
+        for batch, body, ends in _pieces(batches, COMPARED):
+            node, doc = batch.column("node").to_numpy(), batch.column("place").to_numpy()
+            order = np.lexsort((node, doc))
+            again = np.zeros(len(order), bool)  # rows that repeat a document
+            again[order[1:]] = (node[order[1:]] == node[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+            turn = np.empty(len(order), np.int64)
+            turn[order] = np.arange(len(order))
             rank, place, text, first, last = anchors(body, ends, length, width)
             listed = batch.column("at")
-            ats = listed.flatten().to_numpy().astype(np.int64)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
-            keep = np.isin(place, ats + ends[owner])
-            rank, text, first, last = rank[keep], text[keep], first[keep], last[keep]
+            keep = np.isin(place, listed.flatten().to_numpy().astype(np.int64) + ends[owner]) & ~again[text]
+            rank, text, first, last = rank[keep].view(np.int64), text[keep], first[keep], last[keep]
+            by_turn = np.argsort(turn[text], kind="stable")
+            rank, text, first, last = rank[by_turn], text[by_turn], first[by_turn], last[by_turn]
+            count = last - first + 1
+            row = np.repeat(np.arange(len(first)), count)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - first, count)
+            strings = rolling(body, length)[at] if len(at) else np.empty(0, U)
+            _, new = np.unique(strings, return_index=True)
+            known = np.ones(len(strings), bool)
+            known[new] = False
+            single = np.zeros(len(strings), bool) if not len(held.value) else np.isin(rank, held.value)[row]
+            # Runs of strings of one anchor that are alike: known, or not; those of hot anchors are runs of one.
+            edge = np.ones(len(strings) + 1, bool)
+            edge[1:-1] = (row[1:] != row[:-1]) | (known[1:] != known[:-1]) | (single[1:] & ~known[1:])
+            begin = np.flatnonzero(edge)
+            begin, stop = begin[:-1], begin[1:] - 1
+            own = text[row[begin]]
             whole = body.tobytes()
-            cut = [whole[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            columns = [pa.array(rank.view(np.int64)), pa.array(batch.column("node").to_numpy()[text]), pa.array(batch.column("place").to_numpy()[text]), pa.array((first - ends[text]).astype(np.int32)), pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["rank", "node", "place", "start", "body"])
+            cut = [None if k else whole[a : b + length] for k, a, b in zip(known[begin].tolist(), at[begin].tolist(), at[stop].tolist(), strict=True)]
+            key = np.where(single[begin] | known[begin], strings[begin].view(np.int64) if len(begin) else 0, rank[row[begin]])
+            columns = [pa.array(key), pa.array(node[own]), pa.array(doc[own]), pa.array((at[begin] - ends[own]).astype(np.int32)), pa.array((at[stop] + length - ends[own]).astype(np.int32)), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rank", "node", "place", "start", "stop", "body"])
 
-    return rows.mapInArrow(run, "rank long, node long, place long, start int, body binary")
+    return rows.mapInArrow(run, "rank long, node long, place long, start int, stop int, body binary")
 
 
 def repeats(around: DataFrame, length: int) -> DataFrame:
     """(node, place, begin, end): bytes of strings that occurred before."""
     dealt = around.repartition(parts(around.sparkSession), "rank").sortWithinPartitions("rank", "place", "node", "start")
+    names = ["node", "place", "begin", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, current, before = np.empty(0, U), None, None
         for batch in batches:
+            spans = batch.filter(pc.is_null(batch.column("body")))
+            if spans.num_rows:
+                yield pa.RecordBatch.from_arrays([spans.column(c) for c in ("node", "place", "start", "stop")], names)
+            batch = batch.filter(pc.is_valid(batch.column("body")))
             # Rows that repeat a document list its strings again, as neighbours.
             keys = np.stack([batch.column(c).to_numpy() for c in ("rank", "place", "node", "start")], axis=1)
             again = np.concatenate([[before is not None and (keys[:1] == before).all()], (keys[1:] == keys[:-1]).all(axis=1)])[: len(keys)]
@@ -205,7 +219,7 @@ def repeats(around: DataFrame, length: int) -> DataFrame:
                 start = batch.column("start").to_numpy()[i:j][own]
                 columns = [pa.array(batch.column(c).to_numpy()[i:j][own]) for c in ("node", "place")]
                 columns += [pa.array((start + step[begins]).astype(np.int32)), pa.array((start + step[stops] + length).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "place", "begin", "end"])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return dealt.mapInArrow(run, "node long, place long, begin int, end int")
 
@@ -262,12 +276,12 @@ def changes(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR) -> tuple
     groups = marks.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = staged(groups.withColumn("alone", F.col("group_size") == 1), "groups")
     rows = attach(marks, groups).withColumn("node", F.xxhash64("digest"))
-    found = staged(recurring(positions(texts.select("node", "text"), length, width)), "recurring")
+    found = staged(recurring(positions(texts.select("node", "text"), length, width), "rank", ["node", "at"]), "recurring")
     holders = groups.select(F.xxhash64("digest").alias("node"), F.coalesce("keep_id", F.lit(NEVER)).alias("place"))
     listed = found.groupBy("node").agg(F.collect_list("at").alias("at")).join(holders, "node")
     listed = staged(listed, "alive")
     asked = kept_by_map(texts, listed.select("place"), "place").alias("t").join(listed.alias("l"), F.expr("t.node = l.node AND t.place = l.place")).select("t.node", "t.place", "t.text", "l.at")
-    spans = repeats(surroundings(asked, length, width), length)
+    spans = repeats(surroundings(asked, hot_ranks(found), length, width), length)
     spans = spans.groupBy("node", "place").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     spans = staged(spans, "spans")
     cut = kept_by_map(texts, spans.select("place"), "place").alias("t").join(spans.alias("s"), F.expr("t.node = s.node AND t.place = s.place")).select("t.node", "t.place", "t.text", "s.spans")

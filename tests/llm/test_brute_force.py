@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glosspan.llm import components, decontamination, exact_dedup, jaccard, language, licences, lm, mixing, pii, secrets, substrings
+from glosspan.llm import components, decontamination, exact_dedup, jaccard, language, licences, lm, mixing, pii, recurring, secrets, substrings
 
 DATA = "/root/testdata/sf0.01"
 BLANK = r"[\x20\x09-\x0D]"
@@ -249,6 +249,37 @@ def test_jaccard_keeps_one_of_each_group(make, awkward, clashing):
     assert jaccard.join(make([])).count() == 0
 
 
+@pytest.mark.parametrize("percent", range(50, 100))
+def test_jaccard_prefixes_of_all_sizes(percent):
+    """Partners of any sizes share as many prefix tokens as either one asks for, however their other tokens lie."""
+    plan = jaccard.Plan(percent, 1)
+    for n in range(1, 260):
+        for m in range(n, n * 100 // percent + 1):
+            common = -(-percent * (n + m) // (100 + percent))  # the fewest that reach the threshold
+            if common <= n:
+                shared = min(common, plan.prefix(n) - (n - common), plan.prefix(m) - (m - common))
+                assert shared >= max(plan.needed(n), plan.needed(m)), (n, m)
+                assert plan.band(m) - plan.band(n) in (0, 1)
+
+
+def test_jaccard_at_high_thresholds(make):
+    row = lambda n: " ".join(f"w{i}" for i in range(n))
+    for percent, n in ((95, 20), (99, 100), (90, 10)):
+        got = jaccard.join(make([(1, row(n)), (2, row(n - 1))]), 1, percent).collect()
+        assert {r.component_id for r in got} == {1}
+
+
+def test_recurring_rows(spark, monkeypatch):
+    rng = random.Random(61)
+    rows = [(rng.randint(0, 40) if rng.random() < 0.5 else 7, rng.randint(0, 9), rng.randint(0, 2)) for _ in range(600)] + [(100, 1, 1)] * 5
+    things = collections.defaultdict(set)
+    for key, *of in rows:
+        things[key].add(tuple(of))
+    expected = {(k, *t) for k, ts in things.items() if len(ts) > 1 for t in ts}
+    frame = spark.createDataFrame(rows, "k long, a long, b int").repartition(3)
+    assert {tuple(r) for r in recurring.recurring(frame, "k", ["a", "b"]).collect()} == expected
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 150), rng.randint(100, 150)) for _ in range(40)]
@@ -279,12 +310,13 @@ def brute_repeats(rows, length):
 
 
 @pytest.mark.parametrize(("length", "width", "alphabet"), [(100, 36, "ab"), (12, 5, "ab "), (12, 12, "abcdefgh é"), (9, 4, "a")])
-def test_repeats(make, awkward, length, width, alphabet):
+def test_repeats(make, awkward, monkeypatch, length, width, alphabet):
     rng = random.Random(length)
     shared = ["".join(rng.choice(alphabet) for _ in range(rng.randint(5, 160))) for _ in range(6)]
     rows = [(500 + i, "".join(rng.choice(shared) if rng.random() < 0.6 else "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6)))) for i in range(60)]
     rows += [(r[0], r[1]) for r in awkward]
     expected = brute_repeats(rows, length)
+    monkeypatch.setattr(substrings, "hot_ranks", lambda found, real=substrings.hot_ranks: real(found) if length != 12 else np.sort(np.array([r.rank for r in found.select("rank").distinct().collect()][::2], np.int64)))
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(make(rows), length, width).collect())
     assert got == collections.Counter((i, *expected[i if i is not None else 2**63 - 1, t or ""]) for i, t in rows)
 
