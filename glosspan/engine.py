@@ -1,28 +1,31 @@
-"""One saved index and what can be done with it: the services behind the command line."""
+"""One saved index and what can be done with it: the services behind the command line and the servers."""
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
-from glosspan.operators.filters import under_path, under_url
+from glosspan.operators.filters import is_open, under_path, under_url
 from glosspan.operators.index import CHUNKS, Index
 from glosspan.sources import files, settings, web
-from glosspan.streaming.watch import Watcher
+from glosspan.store import Store
+from glosspan.streaming.watch import Watcher, applied
 
 
 def now() -> str:
     return datetime.now(UTC).isoformat(timespec="seconds")
 
 
+def is_address(target: str) -> bool:
+    return target.lower().startswith(("http://", "https://"))
+
+
 @dataclass
 class Report:
     """What a run did; reports add up."""
@@ -37,49 +40,94 @@ class Report:
         return Report(*(getattr(self, f) + getattr(other, f) for f in self.__dataclass_fields__))
 
 
-class Engine:
-    """Opens the newest version of the index for each call, so changes by others are seen."""
+@dataclass
+class Ports:
+    """What an engine may be given in place of its own parts."""
 
-    def __init__(self, spark: SparkSession, options: settings.Settings | None = None, clock: Callable[[], str] = now, generate: Callable[[str, list[str]], str] = answers.extractive):
-        self.spark, self.options, self.clock, self.generate = spark, options or settings.Settings(), clock, generate
+    generate: Callable[..., answers.Generated | str] = answers.extractive
+    embedder: vectors.Embedder = field(default_factory=vectors.Hashed)
+    grade: Callable[[Index, DataFrame, DataFrame], DataFrame] = retrieval.coverage_grades
+    project: Callable[[DataFrame], DataFrame] = analytics.pca_map
+    tokenizer: T.Tokenizer = T.DEFAULT
+    prices: list[tuple[str, float, float, float]] = field(default_factory=list)
 
-    @property
-    def path(self) -> Path:
-        return Path(self.options.index_path)
 
-    def versions(self) -> list[Path]:
-        return sorted(self.path.glob("v*"), key=lambda p: int(p.name[1:])) if self.path.exists() else []
+class Engine:
+    """Opens the newest version of the index for each call, so changes by others are seen."""
 
-    def index(self) -> Index:
-        found = self.versions()
-        return Index.load(self.spark, str(found[-1])) if found else Index(self.spark.createDataFrame([], CHUNKS))
+    def __init__(self, spark: SparkSession, options: settings.Settings | None = None, clock: Callable[[], str] = now, generate: Callable | None = None, ports: Ports | None = None):
+        self.spark, self.options, self.clock = spark, options or settings.Settings(), clock
+        self.ports = ports or Ports()
+        if generate is not None:
+            self.ports = replace(self.ports, generate=generate)
+        self.store = Store(spark, self.options.index_path)
 
-    def _swap(self, index: Index) -> None:
-        """Write the next version beside the others, then give it its name.
+    # The index.
 
-        The version before stays until the next write, for readers that have it open.
-        """
-        found, fresh = self.versions(), self.path / "next"
-        index.save(str(fresh))
-        fresh.rename(self.path / f"v{int(found[-1].name[1:]) + 1 if found else 1}")
-        for old in found[:-1]:
-            shutil.rmtree(old)
+    def index(self) -> Index:
+        newest = self.store.newest()
+        return Index.load(self.spark, newest, self.ports.tokenizer) if newest else Index(self.spark.createDataFrame([], CHUNKS), tokenizer=self.ports.tokenizer)
+
+    def _kept_files(self, gone=None) -> DataFrame | None:
+        """The snapshot of watched files that the newest version holds."""
+        newest = self.store.newest()
+        if newest is None or not self.store.has(newest, "files"):
+            return None
+        return self.spark.read.parquet(f"{newest}/files")
+
+    def _publish(self, index: Index, read: int, seen: DataFrame | None = None) -> None:
+        """The next version: tables, vectors where the retriever needs them, and the watched files' snapshot."""
+        seen = seen if seen is not None else self._kept_files()
+
+        def write(folder: str) -> None:
+            index.save(folder)
+            if self.options.retriever != "bm25":
+                self._vectors(Index.load(self.spark, folder, self.ports.tokenizer)).write.parquet(f"{folder}/vectors")
+            if seen is not None:
+                seen.write.parquet(f"{folder}/files")
+
+        self.store.publish(write, read)
+
+    def _read_version(self) -> int:
+        found = self.store.versions()
+        return found[-1] if found else 0
+
+    def _vectors(self, index: Index) -> DataFrame:
+        """(id, source, seq, position, model, vector): each text that the cache lacks is embedded once and kept."""
+        cache, home = Store(self.spark, f"{self.options.index_path}/cache"), self.ports.embedder
+        newest = cache.newest()
+        known = self.spark.read.schema(vectors.CACHE).parquet(newest) if newest else self.spark.createDataFrame([], vectors.CACHE)
+        _, new = vectors.cached(index.chunks.select("text"), known, home)
+        if not new.isEmpty():
+            cache.publish(lambda folder: known.where(F.col("model") == home.model).unionByName(new).write.parquet(folder))
+            known = self.spark.read.schema(vectors.CACHE).parquet(cache.newest())
+        keyed = index.chunks.select("id", "source", "seq", "position", T.content_hash("text").alias("text_sha"))
+        return keyed.join(known.where(F.col("model") == home.model), "text_sha").drop("text_sha")
+
+    def vectors(self, index: Index) -> DataFrame:
+        """The newest version's vectors, if they are this embedder's; else made from the cache."""
+        newest = self.store.newest()
+        if newest and self.store.has(newest, "vectors"):
+            kept = self.spark.read.parquet(f"{newest}/vectors")
+            if kept.where(F.col("model") != self.ports.embedder.model).isEmpty():
+                return kept
+        return self._vectors(index)
+
+    def _options(self) -> dict:
+        body = self.options.chunker
+        return {"chunker": lambda rows, size, overlap: chunking.by_type(rows, size, overlap, body), "size": self.options.chunk_size, "overlap": self.options.chunk_overlap, "indexed_at": self.clock()}
 
     def _store(self, parsed: DataFrame, force: bool) -> Report:
         parsed = parsed.withColumn("seq", F.monotonically_increasing_id()).cache()
         good = parsed.where("failed IS NULL").select("source", "text", "type", "page_offsets", "seq")
         failed = [(r["source"], r["failed"]) for r in parsed.where("failed IS NOT NULL").select("source", "failed").collect()]
-        before = self.index()
+        version, before = self._read_version(), self.index()
         hashed = good.withColumn("content_hash", T.content_hash("text"))
         todo = hashed if force else hashed.join(before.hashes(), ["source", "content_hash"], "left_anti")
-        total, fresh = good.count(), todo.count()
-        made = 0
+        total, fresh, made = good.count(), todo.count(), 0
         if fresh:
-            body = self.options.chunker
-            chunker = lambda rows, size, overlap: chunking.by_type(rows, size, overlap, body)
-            after = before.add(good, force, chunker=chunker, size=self.options.chunk_size, overlap=self.options.chunk_overlap, indexed_at=self.clock())
-            self._swap(after)
-            made = self.index().chunks.join(todo.select("source"), "source", "left_semi").count()
+            self._publish(before.add(good, force, **self._options()), version)
+            made = self.index().sources().join(todo.select("source"), "source", "left_semi").agg(F.sum("chunks")).first()[0] or 0
         parsed.unpersist()
         return Report(fresh, total - fresh, made, [], failed)
 
@@ -95,69 +143,127 @@ class Engine:
         fetched = web.fetched(self.spark.createDataFrame([(u,) for u in urls], "url string"), fetcher)
         return self._store(web.documents(fetched).withColumn("page_offsets", F.lit(None).cast("array<int>")), force)
 
+    def apply(self, changes: DataFrame, seen: DataFrame) -> None:
+        """One batch of watched changes (path, kind): only changed files are read; ``seen`` is the new snapshot of all watched files."""
+        version, index = self._read_version(), self.index()
+
+        def read(paths: DataFrame) -> DataFrame:
+            wanted = [r["path"] for r in paths.toLocalIterator()]  # paths of one batch of changes, as the file listing holds them, too
+            good = files.documents(files.read(self.spark, wanted)).where("failed IS NULL")
+            return good.select("source", "text", "type", "page_offsets").withColumn("seq", F.monotonically_increasing_id()).cache()
+
+        kept = self._kept_files()
+        others = seen if kept is None else kept.join(seen.select("path").unionByName(changes.select("path")), "path", "left_anti").unionByName(seen)
+        self._publish(applied(index, changes, read, **self._options()), version, others)
+
     def remove(self, target: str) -> int:
-        """Documents at or below a path or URL; nothing is written if there are none."""
-        condition = under_url(target) if target.lower().startswith(("http://", "https://")) else under_path(target)
-        index = self.index()
-        gone = index.chunks.where(condition).select("source").distinct().count()
+        """Documents at or below a path or URL; nothing is written if there are none.
+
+        A path is taken as indexing names it, so a relative one finds what it indexed.
+        """
+        condition = under_url(target) if is_address(target) else under_path(files.resolved(self.spark, target)) | under_path(target)
+        version, index = self._read_version(), self.index()
+        gone = index.sources().where(condition).count()
         if gone:
-            self._swap(index.where(~condition))
+            self._publish(index.where(~condition), version)
         return gone
 
+    def watch(self, *roots: str, ignored: list[str] | None = None, after: Callable[[DataFrame], None] | None = None) -> Watcher:
+        return Watcher(self, *roots, ignored=ignored, after=after)
+
+    # Searching.
+
     def search(self, query: str, top_k: int | None = None, source: str = "") -> DataFrame:
         """Ranked passages with highlights and matched terms; a blank query finds nothing."""
         index, k = self.index(), top_k or self.options.top_k
         asked = retrieval.asked(index, q=query)
         found = retrieval.scoped(index, asked, source, k, lambda i, q, n: self._search(i)(q, n))
-        return retrieval.with_passages(found.join(index.chunks.select("id", "source"), "id") if "source" not in found.columns else found, index, query)
+        return retrieval.with_passages(found, index, query)
 
     def _search(self, index: Index) -> Callable[[DataFrame, int], DataFrame]:
-        if self.options.retriever == "bm25":
-            find = retrieval.retriever("bm25", index, rerank=self.options.rerank)
-        else:
-            kept = vectors.hashed(index.chunks).join(index.chunks.select("id", "seq"), "id")
-            find = retrieval.retriever(self.options.retriever, index, kept, lambda q: vectors.hashed(q.withColumnRenamed("query", "text"), "query_id"), self.options.rerank)
-        sources = index.chunks.select("id", F.col("source").alias("_source"), F.col("seq").alias("_seq"))
+        kind, home = self.options.retriever, self.ports.embedder
+        kept = None if kind == "bm25" else self.vectors(index).drop("model")
+        find = retrieval.retriever(kind, index, kept, lambda q: home.embed(q, "query_id", "query"), self.options.rerank, self.ports.grade, self.options.rerank_candidates)
+        places = index.chunks.select("id", F.col("source").alias("_source"), F.col("seq").alias("_seq"), F.col("position").alias("_position"))
 
         def run(queries: DataFrame, k: int) -> DataFrame:
-            found = find(queries, k).join(sources, "id")
-            return found.select("query_id", "id", F.col("_source").alias("source"), F.col("_seq").alias("seq"), "score", "rank")
+            found = find(queries, k).join(places, "id")
+            parts = "contributions" if "contributions" in found.columns else F.lit(None).cast("array<struct<term:string,score:double>>").alias("contributions")
+            return found.select("query_id", "id", F.col("_source").alias("source"), F.col("_seq").alias("seq"), F.col("_position").alias("position"), "score", "rank", parts)
 
         return run
 
+    def evaluate(self, cases: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+        index = self.index()
+        ranking = self._search(index)(cases.select("query_id", "query"), k)
+        done = evaluation.outcomes(ranking, cases, k)
+        return done, evaluation.report(done, k)
+
+    # Answering.
+
     def ask(self, question: str, top_k: int | None = None, source: str = "", on_text: Callable[[str], None] | None = None) -> tuple[str, DataFrame]:
         found = self.search(question, top_k, source)
-        return answers.answer(question, found, self.generate, on_text), found
+        return answers.answer(question, found, self.ports.generate, on_text), found
+
+    def answer(self, question: str, top_k: int | None = None, source: str = "", on_text: Callable[[str], None] | None = None) -> answers.Answer:
+        """The answer with its passages, the usage of the call that made it and its cost."""
+        found = self.search(question, top_k, source).cache()
+        made = answers.generated(question, found, self.ports.generate, on_text)
+        return answers.Answer(question, made.text, found, made.usage, self.cost(made.usage))
+
+    def cost(self, usage: answers.Usage | None) -> float | None:
+        if usage is None or not self.ports.prices:
+            return None
+        rows = self.spark.createDataFrame([usage.row()], answers.USAGE)
+        prices = self.spark.createDataFrame(self.ports.prices, "model string, input double, output double, cache_read double")
+        return answers.costs(rows, prices).first()["cost_usd"]
 
     def chat(self) -> answers.Chat:
-        return answers.Chat(self.search, self.generate, self.options.history)
+        return answers.Chat(self.search, self.ports.generate, self.options.history)
+
+    def changed(self, *pairs: str) -> Engine:
+        """An engine over the same index with some settings changed and the same ports."""
+        return Engine(self.spark, replace(self.options, **settings.changes(list(pairs))), self.clock, ports=self.ports)
 
     def compare(self, question: str, *pairs: str) -> DataFrame:
         """Overlap of the passages found with these settings and with some of them changed."""
-        from dataclasses import replace
+        return answers.compared(self.search(question).select("id", "rank"), self.changed(*pairs).search(question).select("id", "rank"))
 
-        other = Engine(self.spark, replace(self.options, **settings.changes(list(pairs))), self.clock, self.generate)
-        return answers.compared(self.search(question).select("id", "rank"), other.search(question).select("id", "rank"))
+    def comparison(self, question: str, *pairs: str, source: str = "") -> answers.Comparison:
+        """Two answers to one question, with these settings and with some of them changed."""
+        other = self.changed(*pairs)
+        sides = [answers.Variant(settings.label(e.options), e.answer(question, source=source)) for e in (self, other)]
+        both = answers.compared(*(s.answer.passages.select("id", "rank") for s in sides)).first()
+        return answers.Comparison(question, *sides, list(both["shared"]), both["overlap"])
 
-    def evaluate(self, cases: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-        index = self.index()
-        ranking = self._search(index)(cases.select("query_id", "query"), k)
-        done = evaluation.outcomes(ranking, cases, k)
-        return done, evaluation.report(done, k)
+    # Looking.
 
     def overview(self) -> dict[str, DataFrame]:
         index = self.index()
-        points = analytics.pca_map(vectors.hashed(index.chunks))
-        return analytics.overview(index) | {"catalog": analytics.catalog(index), "map": points}
+        points = self.ports.project(self.vectors(index).select("id", "vector"))
+        named = points.join(index.chunks.select("id", "source"), "id")
+        return analytics.overview(index) | {"catalog": analytics.catalog(index), "map": named}
 
-    def source_page(self, chunk_id: str, texts: DataFrame, query: str = "") -> DataFrame:
-        """One row: a chunk's document (texts: source, text), the passage's place in it and highlights inside that."""
+    def source_page(self, chunk_id: str, texts: DataFrame | None = None, query: str = "") -> DataFrame:
+        """One row: a chunk's document, the passage's place in it and highlights inside that.
+
+        ``texts`` (source, text) are the documents' texts; without them the
+        chunk's own source is read again.  No row for an unknown chunk, or a
+        source that cannot be read.
+        """
         index = self.index()
         passage = index.chunks.where(F.col("id") == chunk_id).select("source", F.col("text").alias("passage"))
+        if texts is None:
+            found = passage.first()
+            text = files.text_of(self.spark, found["source"]) if found else None
+            texts = self.spark.createDataFrame([(found["source"], text)] if text is not None else [], "source string, text string")
         row = texts.join(F.broadcast(passage), "source").withColumn("span", T.passage_span("text", "passage"))
         inside = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-        marks = F.transform(T.highlights(inside, T.tokenize(query)), lambda h: F.struct((h["start"] + F.col("span.start")).alias("start"), (h["end"] + F.col("span.start")).alias("end"), h["term"].alias("term")))
+        marks = F.transform(T.highlights(inside, index.tokenizer.terms(query), index.tokenizer), lambda h: F.struct((h["start"] + F.col("span.start")).alias("start"), (h["end"] + F.col("span.start")).alias("end"), h["term"].alias("term")))
         return row.select("source", "text", F.col("span.start").alias("passage_start"), F.col("span.end").alias("passage_end"), marks.alias("highlights"))
 
-    def watch(self, *roots: str) -> Watcher:
-        return Watcher(self.spark, str(self.path) + ".watched", *roots, clock=self.clock)
+    def __len__(self) -> int:
+        return self.index().totals()[0]
+
+
+__all__ = ["Engine", "Ports", "Report", "is_address", "is_open", "now"]

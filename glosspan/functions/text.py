@@ -15,31 +15,41 @@ from glosspan.functions.stopwords import STOPWORDS
 
 TOKEN = r"[\p{L}\p{N}_]+"
 WORD = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
-_STOP = frozenset(STOPWORDS)
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def tokenize(text: str) -> list[str]:
-    """The terms of a query, on the driver."""
-    return [t for t in (m.lower() for m in re.findall(r"\w+", text)) if t not in _STOP]
+class Tokenizer:
+    """What counts as a term: a pattern, and words that are left out.  Replaceable wherever terms are made."""
 
+    def __init__(self, pattern: str = TOKEN, stopwords: tuple[str, ...] | list[str] = STOPWORDS):
+        self.pattern, self.stopwords = pattern, list(stopwords)
+        self._stop = frozenset(stopwords)
+        self._python = re.compile(r"\w+" if pattern == TOKEN else pattern)
 
-def raw_tokens(text: str | Column) -> Column:
-    return F.regexp_extract_all(col(text), F.lit(f"({TOKEN})"), 1)
+    def terms(self, text: str) -> list[str]:
+        """The terms of a query, on the driver."""
+        return [t for t in (m.lower() for m in self._python.findall(text)) if t not in self._stop]
 
+    def raw(self, text: str | Column) -> Column:
+        return F.regexp_extract_all(col(text), F.lit(f"({self.pattern})"), 1)
 
-def tokens(text: str | Column) -> Column:
-    """Lower-cased terms without stopwords, in text order."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.transform(raw_tokens(text), F.lower), lambda t: ~F.array_contains(stop, t))
+    def terms_of(self, text: str | Column) -> Column:
+        """Lower-cased terms without stopwords, in text order."""
+        stop = F.array(*map(F.lit, self.stopwords)).cast("array<string>")
+        return F.filter(F.transform(self.raw(text), F.lower), lambda t: ~F.array_contains(stop, t))
 
+    def keeps(self, token: Column) -> Column:
+        """Whether a lower-cased token is no stopword; after an explode this stays in generated code."""
+        return ~token.isin(self.stopwords) if self.stopwords else F.lit(True)
 
-def is_term(token: Column) -> Column:
-    """Whether a lower-cased token is no stopword; after an explode this stays in generated code."""
-    return ~token.isin(STOPWORDS)
+
+#: Hits that a highlight gathers before it copies them on.
+RUN = 64
+DEFAULT = Tokenizer()
+tokenize, raw_tokens, tokens, is_term = DEFAULT.terms, DEFAULT.raw, DEFAULT.terms_of, DEFAULT.keeps
 
 
 def words(text: str | Column) -> Column:
@@ -71,7 +81,7 @@ def file_type(source: str | Column) -> Column:
 
 
 def normalized(source: str | Column) -> Column:
-    """Trimmed, with forward slashes, lower-cased."""
+    """Trimmed, with forward slashes, lower-cased: :func:`folded` does the same to a pattern on the driver."""
     return F.lower(F.replace(F.trim(col(source)), F.lit("\\"), F.lit("/")))
 
 
@@ -109,24 +119,28 @@ def citation(source="source", section="section", first="first_page", last="last_
     return F.when(F.coalesce(section, F.lit("")) != "", F.concat(source, F.lit(", "), section)).when(first.isNull(), source).otherwise(paged)
 
 
-def highlights(text: str | Column, terms: list[str]) -> Column:
+def highlights(text: str | Column, terms: list[str], tokenizer: Tokenizer = DEFAULT) -> Column:
     """``array<struct<start,end,term>>``: every word of the text that is one of the terms.
 
-    Offsets count code points, ends exclusive.  Words and the gaps between them
-    are folded from left to right with a running offset.
+    Offsets count code points, ends exclusive: running sums of the lengths of
+    words and of the gaps between them.
     """
     text = col(text)
     wanted = F.array(*map(F.lit, sorted(set(terms)))).cast("array<string>")
-    pieces = F.regexp_extract_all(text, F.lit(rf"({TOKEN}|[^\p{{L}}\p{{N}}_]+)"), 1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("all"))
+    found = F.transform(tokenizer.raw(text), lambda t: F.struct(F.lower(t).alias("term"), F.char_length(t).alias("size")))
+    gaps = F.transform(F.split(text, tokenizer.pattern), F.char_length)
+    paired = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w["size"].alias("size"), F.when(F.array_contains(wanted, w["term"]), w["term"]).alias("term")))
+    empty = F.array().cast("array<struct<start:int,end:int,term:string>>")
+    state = F.struct(F.lit(0).alias("at"), empty.alias("some"), F.array().cast("array<array<struct<start:int,end:int,term:string>>>").alias("all"))
 
     def step(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.char_length(piece)
-        low = F.lower(piece)
-        hit = F.array(F.struct(s["at"].alias("start"), end.alias("end"), low.alias("term")))
-        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, low), F.concat(s["all"], hit)).otherwise(s["all"]).alias("all"))
+        start = s["at"] + piece["gap"]
+        hit = F.array(F.struct(start.alias("start"), (start + piece["size"]).alias("end"), piece["term"].alias("term")))
+        some = F.when(piece["term"].isNotNull(), F.concat(s["some"], hit)).otherwise(s["some"])
+        full = F.size(some) >= RUN  # hits are gathered in runs, so that appending copies a run, not all
+        return F.struct((start + piece["size"]).alias("at"), F.when(full, empty).otherwise(some).alias("some"), F.when(full, F.concat(s["all"], F.array(some))).otherwise(s["all"]).alias("all"))
 
-    return F.aggregate(pieces, state, step, lambda s: s["all"])
+    return F.aggregate(paired, state, step, lambda s: F.concat(F.flatten(s["all"]), s["some"]))
 
 
 def matched_terms(found: str | Column) -> Column:
@@ -207,7 +221,8 @@ def text_directives(text: str | Column, found: str | Column, edge: int = 6, most
     return F.concat(span, F.transform(F.slice(seen, 1, most), lambda w: F.concat(F.lit("text="), percent_encoded(w))))
 
 
-def source_href(source: str | Column, page: str | Column = "first_page") -> Column:
+def source_href(source: str | Column = "source", page: str | Column = "first_page") -> Column:
+    """Where a browser finds a source: a URL as it is, a file by its address and page."""
     source, page = col(source), col(page)
     local = F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(source), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
     return F.when(is_url(source), source).otherwise(F.concat(local, F.when(page.isNotNull(), F.concat(F.lit("#page="), page)).otherwise("")))
@@ -232,7 +247,3 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
-
-
-def usage_total(input_tokens, created, read) -> Column:
-    return sum((F.coalesce(col(c), F.lit(0)) for c in (created, read)), col(input_tokens))

@@ -37,13 +37,31 @@ def document_terms(index: Index, k: int = 10) -> DataFrame:
 
 
 def relations(index: Index, k: int = 10, most: int | None = 30) -> DataFrame:
-    """Pairs of documents that share characteristic terms: first, second, strength, shared_terms."""
-    terms = document_terms(index, k).select("source", "term")
-    a, b = terms.alias("a"), terms.alias("b")
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.source") < F.col("b.source")))
-    out = pairs.groupBy(F.col("a.source").alias("first"), F.col("b.source").alias("second")).agg(F.array_sort(F.collect_list("a.term")).alias("shared_terms"))
-    out = out.select("first", "second", F.size("shared_terms").alias("strength"), "shared_terms")
-    return out.orderBy(F.desc("strength"), "first", "second").limit(most) if most else out
+    """Pairs of documents that share characteristic terms: first, second, strength, shared_terms.
+
+    Documents with equal term lists (copies, above all) are one class.  Classes
+    are paired by shared term and weighed by how many document pairs they stand
+    for; only those are spelled out that can be among the ``most`` strongest, and
+    of a class only as many documents as the ``most`` first pairs can name.
+    """
+    terms = document_terms(index, k).groupBy("source").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    if most is None:
+        return _pairs(terms)
+    by = W.partitionBy("terms").orderBy("source")
+    terms = terms.withColumn("place", F.row_number().over(by))
+    # Pairs are ordered by (strength, first, second): a document beyond place most + 1 of its class comes after that many others.
+    return _pairs(terms.where(F.col("place") <= most + 1).drop("place")).orderBy(F.desc("strength"), "first", "second").limit(most)
+
+
+def _pairs(terms: DataFrame) -> DataFrame:
+    classes = terms.groupBy("terms").agg(F.collect_list("source").alias("sources")).withColumn("class", F.xxhash64("terms"))
+    listed = classes.select("class", F.explode("terms").alias("term"))
+    a, b = listed.alias("a"), listed.alias("b")
+    met = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.class") <= F.col("b.class"))).groupBy(F.col("a.class").alias("x"), F.col("b.class").alias("y")).agg(F.array_sort(F.collect_list("a.term")).alias("shared_terms"))
+    left, right = (classes.select(F.col("class").alias(c), F.col("sources").alias(f"of_{c}")) for c in "xy")
+    rows = met.join(left, "x").join(right, "y").select("x", "y", "shared_terms", F.explode("of_x").alias("p"), "of_y").select("x", "y", "shared_terms", "p", F.explode("of_y").alias("q"))
+    rows = rows.where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
+    return rows.select(F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), F.size("shared_terms").alias("strength"), "shared_terms")
 
 
 def documents_by_type(index: Index) -> DataFrame:

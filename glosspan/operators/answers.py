@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,13 +87,14 @@ def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     table is a dimension of few rows.
     """
     known = prices.select(F.col("model").alias("priced"), "input", "output", "cache_read")
-    fits = (F.col("model") == F.col("priced")) | F.startswith("model", F.concat("priced", F.lit("-")))
-    keyed = usage.withColumn("_row", F.monotonically_increasing_id())
-    best = keyed.select("_row", "model").join(known, fits).groupBy("_row").agg(F.max_by(F.struct("input", "output", "cache_read"), F.length("priced")).alias("p"))
-    rows = keyed.join(best, "_row", "left")
+    # Prices are matched with the distinct models, by the part of the name before each dash.
+    models = usage.select("model").distinct()
+    parts = F.transform(F.sequence(F.lit(1), F.size(F.split("model", "-"))), lambda i: F.array_join(F.slice(F.split("model", "-"), 1, i), "-"))
+    best = models.select("model", F.explode(parts).alias("priced")).join(known, "priced").groupBy("model").agg(F.max_by(F.struct("input", "output", "cache_read"), F.length("priced")).alias("p"))
+    rows = usage.join(best, "model", "left").select(*usage.columns, "p")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     cost = (n("input_tokens") * F.col("p.input") + n("output_tokens") * F.col("p.output") + n("cache_created") * F.col("p.input") * CACHE_WRITE_FACTOR + n("cache_read_tokens") * F.col("p.cache_read")) / 1e6
-    return rows.withColumn("cost_usd", cost).drop("_row", "p")
+    return rows.withColumn("cost_usd", cost).drop("p")
 
 
 def last_turns(turns: DataFrame, most: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -109,24 +112,118 @@ def merged_segments(spans: DataFrame, key: str = "source") -> DataFrame:
     return out.drop("segment")
 
 
-def extractive(question: str, passages: list[str]) -> str:
-    """The offline generator: the first sentence of each passage with its number."""
-    return " ".join(f"{p.split('. ')[0].strip().rstrip('.')}. [{i}]" for i, p in enumerate(passages, 1))
+USAGE = "model string, input_tokens long, output_tokens long, cache_created long, cache_read_tokens long"
 
 
-def answer(question: str, results: DataFrame, generate: Callable[[str, list[str]], str] = extractive, on_text: Callable[[str], None] | None = None) -> str:
-    """Text from the top passages; without any, a fixed sentence and no call."""
+@dataclass(frozen=True)
+class Usage:
+    """What a model call used; counters that a model does not report are 0."""
+
+    model: str
+    input_tokens: int = 0
+    output_tokens: int = 0
+    cache_created: int | None = 0
+    cache_read_tokens: int | None = 0
+
+    def row(self) -> tuple:
+        return (self.model, self.input_tokens or 0, self.output_tokens or 0, self.cache_created or 0, self.cache_read_tokens or 0)
+
+
+@dataclass(frozen=True)
+class Generated:
+    """What a generator returns: the text, and the usage of the call, if there was one."""
+
+    text: str
+    usage: Usage | None = None
+
+
+@dataclass(frozen=True)
+class Answer:
+    question: str
+    text: str
+    passages: DataFrame
+    usage: Usage | None = None
+    cost_usd: float | None = None
+
+    def documents(self) -> DataFrame:
+        """The passages' documents, newest first."""
+        return cited_documents(self.passages)
+
+
+@dataclass(frozen=True)
+class Variant:
+    label: str
+    answer: Answer
+
+
+@dataclass(frozen=True)
+class Comparison:
+    question: str
+    left: Variant
+    right: Variant
+    shared: list[str]
+    overlap: float
+
+
+def extractive(question: str, passages: list[str], on_text: Callable[[str], None] | None = None) -> str:
+    """The offline generator: the first sentence of each passage with its number, piece by piece."""
+    pieces = []
+    for i, passage in enumerate(passages, 1):
+        pieces.append(f"{' ' if pieces else ''}{passage.split('. ')[0].strip().rstrip('.')}. [{i}]")
+        if on_text:
+            on_text(pieces[-1])
+    return "".join(pieces)
+
+
+def generated(question: str, results: DataFrame, generate: Callable = extractive, on_text: Callable[[str], None] | None = None) -> Generated:
+    """What a generator makes of the top passages; without any, a fixed sentence and no call.
+
+    A generator that takes ``on_text`` gives its text piece by piece; of another
+    one the whole text is passed on at once.
+    """
     passages = [row["text"] for row in results.orderBy("rank").select("text").collect()]  # the top k only
-    text = generate(question, passages) if passages else NOTHING_FOUND
-    if on_text:
-        on_text(text)
-    return text
+    if not passages:
+        made, told = Generated(NOTHING_FOUND), False
+    else:
+        told = on_text is not None and "on_text" in inspect.signature(generate).parameters
+        made = generate(question, passages, on_text=on_text) if told else generate(question, passages)
+        made = made if isinstance(made, Generated) else Generated(made)
+    if on_text and not told:
+        on_text(made.text)
+    return made
+
+
+def answer(question: str, results: DataFrame, generate: Callable = extractive, on_text: Callable[[str], None] | None = None) -> str:
+    return generated(question, results, generate, on_text).text
+
+
+CITED = r"\[(\d+)\](?!\()"
+
+
+def citations(text: str | Column, sources: Column) -> Column:
+    """``array<int>``: the numbers cited in a text that name one of so many sources, in text order, each once."""
+    text = F.col(text) if isinstance(text, str) else text
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(CITED), 1), lambda n: F.when(F.char_length(n) <= 9, n.cast("int")))
+    return F.array_distinct(F.filter(numbers, lambda n: (n >= 1) & (n <= sources)))
+
+
+def linked(text: str | Column, sources: Column, link: Callable[[Column], Column]) -> Column:
+    """The text with every valid citation turned into ``link(number)``; other brackets stay."""
+    text = F.col(text) if isinstance(text, str) else text
+    gaps, numbers = F.split(text, CITED), F.regexp_extract_all(text, F.lit(CITED), 1)
+
+    def shown(number: Column) -> Column:
+        n = F.when(F.char_length(number) <= 9, number.cast("int"))
+        return F.when((n >= 1) & (n <= sources), link(n)).otherwise(F.concat(F.lit("["), number, F.lit("]")))
+
+    marks = F.concat(F.transform(numbers, shown), F.array(F.lit("")))
+    return F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, m)), "")
 
 
 class Chat:
     """Turns of one conversation; only the last ``most`` are sent along."""
 
-    def __init__(self, search: Callable[[str], DataFrame], generate: Callable[[str, list[str]], str] = extractive, most: int = 10):
+    def __init__(self, search: Callable[[str], DataFrame], generate: Callable = extractive, most: int = 10):
         self.search, self.generate, self.most = search, generate, most
         self.turns: list[tuple[str, str]] = []
 

@@ -13,6 +13,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,24 +76,32 @@ _HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*$")
 Word = tuple[int, int]
 
 
+def borders(text: str, found: list[Word]) -> np.ndarray:
+    """The numbers of the words that end a sentence, found from what each word is and what follows it.
+
+    A word closes one where a blank line follows it, or where it carries an end
+    mark (closing signs after it don't count), is no abbreviation, and the next
+    word does not go on in lower case.
+    """
+    n = len(found)
+    if n < 2:
+        return np.empty(0, np.int64)
+    written = [text[a:b] for a, b in found]
+    stems = [w.rstrip(CLOSING) for w in written]
+    marked = np.fromiter((s.endswith(ENDS) for s in stems), bool, n)
+    short = np.fromiter((m and s.rstrip(".").lower() in ABBREVIATIONS for m, s in zip(marked, stems, strict=True)), bool, n)
+    lower = np.fromiter((w.lstrip(OPENING)[:1].islower() for w in written), bool, n)
+    blank = np.zeros(n, bool)
+    starts = np.array([a for a, _ in found])
+    blank[np.searchsorted(starts, [m.end() for m in _BLANK_LINE.finditer(text)]) - 1] = True
+    return np.flatnonzero((blank | (marked & ~short & ~np.append(lower[1:], False)))[:-1])
+
+
 def sentences(text: str) -> list[list[Word]]:
     """Words (start, end) by sentence."""
     found = [m.span() for m in re.finditer(r"\S+", text)]
-    out: list[list[Word]] = [[]]
-    for here, after in itertools.zip_longest(found, found[1:]):
-        out[-1].append(here)
-        if after is not None and _closes(text, here, after):
-            out.append([])
-    return [s for s in out if s]
-
-
-def _closes(text: str, here: Word, after: Word) -> bool:
-    if _BLANK_LINE.search(text, here[1], after[0]):
-        return True
-    bare = text[slice(*here)].rstrip(CLOSING)
-    if bare[-1:] not in ENDS or not bare or bare.rstrip(".").lower() in ABBREVIATIONS:
-        return False
-    return not text[slice(*after)].lstrip(OPENING)[:1].islower()
+    cuts = [0, *(borders(text, found) + 1).tolist(), len(found)]
+    return [found[a:b] for a, b in itertools.pairwise(cuts) if a < b]
 
 
 def packed(text: str, size: int, overlap: int) -> list[list[Word]]:
@@ -101,22 +110,18 @@ def packed(text: str, size: int, overlap: int) -> list[list[Word]]:
     A chunk begins with the sentences that close the one before it, as many as
     ``overlap`` words hold, but always later than that one began.
     """
-    units = [s[i : i + size] for s in sentences(text) for i in range(0, len(s), size)]
-    lengths = [len(u) for u in units]
-    chunks, begin = [], 0
-    while begin < len(units):
-        end, room = begin, size
-        while end < len(units) and lengths[end] <= room:
-            room -= lengths[end]
-            end += 1
-        chunks.append([w for u in units[begin:end] for w in u])
-        if end == len(units):
+    found = [m.span() for m in re.finditer(r"\S+", text)]
+    ends = np.concatenate([borders(text, found) + 1, [len(found)]])
+    begins = np.concatenate([[0], ends[:-1]])
+    # Where units begin, counted in words: sentences, and every ``size`` words within one.
+    edges = np.unique(np.concatenate([np.arange(a, b, size) for a, b in zip(begins, ends, strict=True)] + [[len(found)]])).astype(np.int64)
+    chunks, at = [], 0
+    while at < len(edges) - 1:
+        stop = int(np.searchsorted(edges, edges[at] + size, "right")) - 1
+        chunks.append(found[edges[at] : edges[stop]])
+        if stop == len(edges) - 1:
             break
-        back, room = end, overlap
-        while back - 1 > begin and lengths[back - 1] <= room:
-            back -= 1
-            room -= lengths[back]
-        begin = back
+        at = max(at + 1, int(np.searchsorted(edges, edges[stop] - overlap, "left")))
     return chunks
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,36 +11,35 @@ from pyspark.sql import functions as F
 from glosspan.functions.text import col, is_url, normalized, path_segments
 
 
-@dataclass(frozen=True)
-class SourceFilter:
-    """Which sources a search may return, by a pattern read on the driver.
+def _folded(pattern: str) -> str:
+    """A pattern as :func:`normalized` folds sources: letter by letter, as a Java lower-casing does."""
+    return pattern.strip().replace("\\", "/").lower()
 
-    Empty: all.  Starting with a dot (or ``*.``): a file type.  An http(s)
-    address: a prefix.  Otherwise: consecutive path segments.  Case and the
-    kind of slash don't matter.
-    """
 
-    pattern: str = ""
+#: What a pattern may be, in the order in which it is asked: a test of the folded pattern, and the predicate over folded sources.
+RULES: list[tuple[Callable[[str], bool], Callable[[str, Column], Column]]] = [
+    (lambda p: not p, lambda p, source: F.lit(True)),
+    (lambda p: p.startswith("."), lambda p, source: F.endswith(source, F.lit(p))),
+    (lambda p: p.startswith(("http://", "https://")), lambda p, source: F.startswith(source, F.lit(p))),
+    (lambda p: not p.strip("/"), lambda p, source: F.lit(False)),
+    (lambda p: True, lambda p, source: F.contains(path_segments(source), F.lit(f"/{re.sub('/+', '/', p.strip('/'))}/"))),
+]
+
 
-    @property
-    def wanted(self) -> str:
-        return self.pattern.strip().replace("\\", "/").casefold().lstrip("*")
+def in_scope(pattern: str, source: str | Column = "source") -> Column:
+    """Whether a search with this source filter may return the source.
+
+    No pattern: all.  A dot first (or ``*.``): a file type.  An http(s) address:
+    a prefix.  Otherwise: consecutive path segments.  Case and the kind of slash
+    don't matter.
+    """
+    wanted = _folded(pattern).lstrip("*")
+    return next(made(wanted, normalized(source)) for fits, made in RULES if fits(wanted))
 
-    def __bool__(self) -> bool:
-        return bool(self.wanted)
 
-    def matches(self, source: str | Column = "source") -> Column:
-        found, wanted = normalized(source), self.wanted
-        if not wanted:
-            return F.lit(True)
-        if wanted.startswith("."):
-            return F.endswith(found, F.lit(wanted))
-        if wanted.startswith(("http://", "https://")):
-            return F.startswith(found, F.lit(wanted))
-        segments = [s for s in wanted.split("/") if s]
-        if not segments:
-            return F.lit(False)
-        return F.contains(path_segments(found), F.lit("/" + "/".join(segments) + "/"))
+def is_open(pattern: str) -> bool:
+    """Whether the filter keeps every source."""
+    return not _folded(pattern).lstrip("*")
 
 
 def under_path(target: str, source: str | Column = "source") -> Column:
@@ -58,9 +58,10 @@ def changed_only(documents: DataFrame, known: DataFrame) -> DataFrame:
     return documents.join(known.select("source", "content_hash").distinct(), ["source", "content_hash"], "left_anti")
 
 
-def ignored(path: str | Column, folder: str, roots: list[str]) -> Column:
-    """Inside an ignored folder, unless that folder contains the watched root."""
-    if any((root.rstrip("/") + "/").startswith(folder.rstrip("/") + "/") for root in roots):
-        return F.lit(False)
-    path = col(path)
-    return (path == folder) | F.startswith(path, F.lit(folder.rstrip("/") + "/"))
+def ignored(path: str | Column, folders: list[str], roots: list[str]) -> Column:
+    """Inside an ignored folder; one that contains a watched root is not ignored."""
+    inside = F.lit(False)
+    for folder in (f.rstrip("/") for f in folders):
+        if not any((root.rstrip("/") + "/").startswith(folder + "/") for root in roots):
+            inside = inside | (col(path) == folder) | F.startswith(col(path), F.lit(folder + "/"))
+    return inside

@@ -1,17 +1,18 @@
 """The index: chunks, postings and their statistics as tables.
 
-``postings`` carries each chunk's length and order, so a search reads one table,
-filtered by term, and joins nothing but a few query terms.
+``postings`` carries each chunk's length and order (its document's number, then
+its position), so a search reads one table, filtered by term, and joins nothing
+but a few query terms.  A saved index holds its totals, so no search counts it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspan.functions.text import content_hash, is_term, raw_tokens
+from glosspan.functions.text import DEFAULT, Tokenizer, content_hash
 from glosspan.operators import chunking
 from glosspan.operators.filters import changed_only, under_path, under_url
 
@@ -19,37 +20,35 @@ CHUNKS = "id string, source string, text string, position int, content_hash stri
 
 
 def chunked(documents: DataFrame, chunker: Callable[..., DataFrame] = chunking.windows, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, indexed_at: str = "") -> DataFrame:
-    """Chunk rows of documents (source, text, seq of the document)."""
+    """Chunk rows of documents (source, text, seq: the document's number)."""
     marked = documents.withColumn("content_hash", content_hash("text"))
     rows = chunker(marked, size, overlap)
-    order = (F.col("seq") * (1 << 24) + F.col("position")).alias("seq")
-    return rows.select("id", "source", "text", "position", "content_hash", "first_page", "last_page", "section", F.lit(indexed_at).alias("indexed_at"), order)
+    return rows.select("id", "source", "text", "position", "content_hash", "first_page", "last_page", "section", F.lit(indexed_at).alias("indexed_at"), "seq")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(id, source, seq, term, tf, length): one row per chunk and term.
+def postings(chunks: DataFrame, tokenizer: Tokenizer = DEFAULT) -> DataFrame:
+    """(id, source, seq, position, term, tf, length): one row per chunk and term.
 
-    Chunks are placed by id before their terms are exploded; counting terms and
-    summing lengths both find their rows together, so texts are shuffled once
-    and terms never.
+    A chunk is one row of bounded size, so its terms are counted inside it and
+    nothing is shuffled.
     """
-    placed = chunks.select("id", "source", "seq", "text").repartition("id")
-    terms = placed.select("id", "source", "seq", F.explode(raw_tokens("text")).alias("raw")).select("id", "source", "seq", F.lower("raw").alias("term")).where(is_term(F.col("term")))
-    counted = terms.groupBy("id", "source", "seq", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
+    listed = chunks.select("id", "source", "seq", "position", tokenizer.terms_of("text").alias("terms"))
+    counted = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), (F.size("terms") - F.size(F.array_remove("terms", t))).cast("long").alias("tf")))
+    rows = listed.select("id", "source", "seq", "position", F.size("terms").cast("long").alias("length"), F.explode(counted).alias("t"))
+    return rows.select("id", "source", "seq", "position", "t.term", "t.tf", "length")
 
 
 class Index:
     """Chunks and postings; every change gives a new index."""
 
-    def __init__(self, chunks: DataFrame, terms: DataFrame | None = None):
-        self.chunks = chunks
-        self.postings = postings(chunks) if terms is None else terms
-        self._totals: tuple[int, float] | None = None
+    def __init__(self, chunks: DataFrame, terms: DataFrame | None = None, tokenizer: Tokenizer = DEFAULT, totals: tuple[int, float] | None = None, sources: DataFrame | None = None):
+        self.chunks, self.tokenizer = chunks, tokenizer
+        self.postings = postings(chunks, tokenizer) if terms is None else terms
+        self._totals, self._sources = totals, sources
 
     @classmethod
-    def of(cls, documents: DataFrame, **options) -> Index:
-        return cls(chunked(documents, **options))
+    def of(cls, documents: DataFrame, tokenizer: Tokenizer = DEFAULT, **options) -> Index:
+        return cls(chunked(documents, **options), tokenizer=tokenizer)
 
     def totals(self) -> tuple[int, float]:
         """Number of chunks and their mean length, chunks without terms included."""
@@ -59,15 +58,28 @@ class Index:
             self._totals = n, terms / n if n else 0.0
         return self._totals
 
+    def sources(self) -> DataFrame:
+        """(source, content_hash, seq, chunks): one row per document."""
+        if self._sources is not None:
+            return self._sources
+        return self.chunks.groupBy("source").agg(F.max("content_hash").alias("content_hash"), F.max("seq").alias("seq"), F.count(F.lit(1)).alias("chunks"))
+
+    def _with(self, chunks: DataFrame, terms: DataFrame) -> Index:
+        return Index(chunks, terms, self.tokenizer)
+
     def upsert(self, chunks: DataFrame) -> Index:
         """Rows with a known id are replaced, the others appended."""
         rest = self.chunks.join(chunks.select("id"), "id", "left_anti")
         kept = self.postings.join(chunks.select("id"), "id", "left_anti")
-        return Index(rest.unionByName(chunks), kept.unionByName(postings(chunks)))
+        return self._with(rest.unionByName(chunks), kept.unionByName(postings(chunks, self.tokenizer)))
 
     def where(self, condition: Column) -> Index:
         """Only chunks whose source meets the condition."""
-        return Index(self.chunks.where(condition), self.postings.where(condition))
+        return self._with(self.chunks.where(condition), self.postings.where(condition))
+
+    def without(self, sources: DataFrame) -> Index:
+        """All chunks but those of these sources (source)."""
+        return self._with(self.chunks.join(sources, "source", "left_anti"), self.postings.join(sources, "source", "left_anti"))
 
     def remove(self, source: str) -> tuple[Index, int]:
         gone = F.col("source") == source
@@ -80,24 +92,45 @@ class Index:
         return self.where(~under_url(url))
 
     def hashes(self) -> DataFrame:
-        return self.chunks.select("source", "content_hash").distinct()
+        return self.sources().select("source", "content_hash")
 
     def add(self, documents: DataFrame, force: bool = False, **options) -> Index:
-        """Index documents that are new or changed; their old chunks go."""
+        """Index documents that are new or changed; their old chunks go.
+
+        Documents are numbered from 0 each run; they come after those that are there.
+        """
         todo = documents if force else changed_only(documents.withColumn("content_hash", content_hash("text")), self.hashes()).drop("content_hash")
+        last = self.sources().agg(F.max("seq")).first()[0]
+        todo = todo.withColumn("seq", F.col("seq") + (0 if last is None else last + 1))
         new = chunked(todo, **options)
         rest = self.chunks.join(todo.select("source"), "source", "left_anti")
         kept = self.postings.join(todo.select("source"), "source", "left_anti")
-        return Index(rest.unionByName(new), kept.unionByName(postings(new)))
+        return self._with(rest.unionByName(new), kept.unionByName(postings(new, self.tokenizer)))
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        """Chunks and postings as Parquet; postings in term order, so that a search skips row groups."""
+        """Chunks, sources, totals and postings as Parquet; postings in term order, so that a search skips row groups.
+
+        Ranges are cut by term and chunk, so the commonest term is no single
+        task's; postings are written before they are sorted, since the sort's
+        sample would compute them twice.
+        """
+        spark = self.chunks.sparkSession
         self.chunks.write.mode(mode).parquet(f"{path}/chunks")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+        kept = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+        Index(kept, self.postings).sources().write.mode(mode).parquet(f"{path}/sources")
+        self.postings.write.mode(mode).parquet(f"{path}/unsorted")
+        rows = spark.read.parquet(f"{path}/unsorted")
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+        totals = kept.agg(F.count(F.lit(1)).alias("chunks")).crossJoin(rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms")))
+        totals.write.mode(mode).parquet(f"{path}/totals")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+    def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer = DEFAULT) -> Index:
+        n, terms = spark.read.parquet(f"{path}/totals").first()
+        sources = spark.read.parquet(f"{path}/sources")
+        return cls(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"), tokenizer, (n, terms / n if n else 0.0), sources)
 
     def export_json(self, path: str) -> None:
         """One JSON object per chunk."""

@@ -8,21 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glosspan.functions.text import cosine, highlights, idf, is_term, matched_terms, raw_tokens, tf_norm, tokenize
-from glosspan.operators.filters import SourceFilter
+from glosspan.functions.text import DEFAULT, Tokenizer, cosine, highlights, idf, matched_terms, tf_norm
+from glosspan.operators.filters import in_scope, is_open
 from glosspan.operators.index import Index
 
 RRF_K, RRF_DEPTH, RERANK_DEPTH = 60, 50, 20
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+#: Query vectors of at most so many bytes are sent to every task; more are dealt with in blocks.
+VECTOR_BYTES = 16 << 20
+#: Order among equal scores: the document's number, then the chunk's place in it.
+PLACE = ("seq", "position")
+
+
+def query_terms(queries: DataFrame, tokenizer: Tokenizer = DEFAULT) -> DataFrame:
     """(query_id, term, times)."""
-    terms = queries.select("query_id", F.explode(raw_tokens("query")).alias("raw")).select("query_id", F.lower("raw").alias("term"))
-    return terms.where(is_term(F.col("term"))).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = queries.select("query_id", F.explode(tokenizer.raw("query")).alias("raw")).select("query_id", F.lower("raw").alias("term"))
+    return terms.where(tokenizer.keeps(F.col("term"))).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def asked(index: Index, **queries: str) -> DataFrame:
@@ -30,27 +36,27 @@ def asked(index: Index, **queries: str) -> DataFrame:
 
 
 def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """Every chunk with a query term: query_id, id, seq, score, contributions (largest first).
+    """Every chunk with a query term: query_id, id, seq, position, score, contributions (largest first).
 
     The score is the fold of the sorted contributions, so equal texts get equal sums.
     """
     n, average = index.totals()
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, index.tokenizer)
     # Document frequencies of query terms only; the term filter reaches the postings' scan.
     hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = wanted.join(df, "term").select("query_id", "term", (F.col("times") * idf(F.lit(float(n)), F.col("df"))).alias("weight"))
     share = F.col("weight") * tf_norm(F.col("tf"), F.col("length"), F.lit(average or 1.0))
-    parts = hits.join(weights, "term").select("query_id", "id", "source", "seq", "term", share.alias("share"))
-    best = parts.groupBy("query_id", "id", "source", "seq").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("minus"), "term"))).alias("parts"))
+    parts = hits.join(weights, "term").select("query_id", "id", "source", *PLACE, "term", share.alias("share"))
+    best = parts.groupBy("query_id", "id", "source", *PLACE).agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("minus"), "term"))).alias("parts"))
     score = F.aggregate("parts", F.lit(0.0), lambda s, p: s - p["minus"])
     contributions = F.transform("parts", lambda p: F.struct(p["term"].alias("term"), (-p["minus"]).alias("score")))
-    return best.select("query_id", "id", "source", "seq", score.alias("score"), contributions.alias("contributions"))
+    return best.select("query_id", "id", "source", *PLACE, score.alias("score"), contributions.alias("contributions"))
 
 
-def ranked(scores: DataFrame, k: int, order: str = "seq") -> DataFrame:
-    """The best ``k`` of each query; scores equal to nine places keep the order column."""
-    by = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), order)
+def ranked(scores: DataFrame, k: int, *order: str) -> DataFrame:
+    """The best ``k`` of each query; scores equal to nine places keep the order of the columns, by default PLACE as far as it is there."""
+    by = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), *(order or [c for c in PLACE if c in scores.columns]))
     return scores.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
@@ -59,10 +65,29 @@ def bm25(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of every vector (id, seq, vector) with every query (query_id, vector), above 0."""
-    q = queries.select("query_id", F.col("vector").alias("q"))
-    met = vectors.crossJoin(F.broadcast(q))  # a handful of queries against all vectors
-    return met.withColumn("score", cosine("vector", "q")).where("score > 0").drop("q", "vector")
+    """Cosine of every vector (id, seq, vector) with every query (query_id, vector), above 0.
+
+    The queries are stated by the caller: as many as VECTOR_BYTES hold are gathered
+    in one array that every task gets, block after block, and each task walks
+    its vectors against it; no join is made.
+    """
+    stated = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    out, held, size = None, [], 0
+
+    def block(rows: list) -> DataFrame:
+        each = queries.sparkSession.createDataFrame([(rows,)], "all array<struct<query_id:string,q:array<double>>>")
+        met = vectors.join(F.broadcast(each)).select(*vectors.columns, F.explode("all").alias("a"))  # one row
+        scored = met.select("a.query_id", *[c for c in vectors.columns if c != "vector"], cosine("vector", "a.q").alias("score"))
+        return scored.where("score > 0")
+
+    for row in stated.toLocalIterator():
+        held.append((row["query_id"], row["q"]))
+        size += 8 * len(row["q"] or []) + 64
+        if size >= VECTOR_BYTES:
+            out = block(held) if out is None else out.unionByName(block(held))
+            held, size = [], 0
+    last = block(held)
+    return last if out is None else out.unionByName(last)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -98,7 +123,7 @@ def parsed_grades(answers: DataFrame) -> DataFrame:
 
 def coverage_grades(index: Index, queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """The offline grader: 0 to 10 by the share of query terms that a candidate holds."""
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, index.tokenizer)
     asked_for = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"))
     held = candidates.select("query_id", "id").join(index.postings.select("id", "term"), "id").join(wanted, ["query_id", "term"]).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("held"))
     return held.join(asked_for, "query_id").select("query_id", "id", F.floor(10 * F.col("held") / F.col("asked")).cast("int").alias("grade"))
@@ -111,24 +136,23 @@ def scoped(index: Index, queries: DataFrame, pattern: str, k: int = 5, search: C
     filtered and cut, so fewer than ``k`` may come back; ``exact`` filters
     before the cut instead.
     """
-    wanted = SourceFilter(pattern)
-    if not wanted:
+    if is_open(pattern):
         return search(index, queries, k)
     total = index.totals()[0]
-    kept = index.chunks.where(wanted.matches()).count()
+    kept = index.sources().where(in_scope(pattern)).agg(F.sum("chunks")).first()[0] or 0
     depth = min(total, -(-k * total // kept)) if kept else 0
     found = search(index, queries, total if exact else depth)
-    return ranked(found.drop("rank").where(wanted.matches()), k)
+    return ranked(found.drop("rank").where(in_scope(pattern)), k)
 
 
 def with_passages(found: DataFrame, index: Index, query: str) -> DataFrame:
     """Result rows with their chunk, the highlighted spans and the matched terms."""
-    chunks = index.chunks.drop("seq", "source")
+    chunks = index.chunks.drop("seq", "source", "position" if "position" in found.columns else "")
     rows = found.join(chunks, "id")
-    return rows.withColumn("highlights", highlights("text", tokenize(query))).withColumn("matched_terms", matched_terms("highlights"))
+    return rows.withColumn("highlights", highlights("text", index.tokenizer.terms(query), index.tokenizer)).withColumn("matched_terms", matched_terms("highlights"))
 
 
-def retriever(kind: str, index: Index, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, rerank: bool = False) -> Callable[[DataFrame, int], DataFrame]:
+def retriever(kind: str, index: Index, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, rerank: bool = False, grade: Callable[[Index, DataFrame, DataFrame], DataFrame] = coverage_grades, depth: int = RERANK_DEPTH) -> Callable[[DataFrame, int], DataFrame]:
     """A search by name: bm25, embedding or hybrid, re-ranked or not."""
     searches = {
         "bm25": lambda q, k: bm25(index, q, k),
@@ -142,11 +166,8 @@ def retriever(kind: str, index: Index, vectors: DataFrame | None = None, embed:
         return search
 
     def regraded(queries: DataFrame, k: int) -> DataFrame:
-        first = search(queries, max(k, RERANK_DEPTH))
-        return reranked(first, coverage_grades(index, queries, first), k)
+        first = search(queries, max(k, depth))
+        return reranked(first, grade(index, queries, first), k)
 
     return regraded
 
-
-def score_column() -> Column:
-    return F.round("score", 6)

@@ -1,18 +1,30 @@
-"""Embeddings: an offline embedder and a cache keyed by model and text."""
+"""Embeddings: embedders, and a cache keyed by model and text."""
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspan.functions.text import content_hash, is_term, raw_tokens
+from glosspan.functions.text import DEFAULT, Tokenizer, content_hash
 
 DIM = 64
+CACHE = "text_sha string, model string, vector array<double>"
+
+
+class Embedder(Protocol):
+    """Anything that gives texts vectors; vectors of different models are never mixed."""
+
+    model: str
+
+    def embed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, vector) of rows; a text may go without one."""
 
 
-def hashed(rows: DataFrame, key: str = "id", text: str = "text", dim: int = DIM) -> DataFrame:
+def hashed(rows: DataFrame, key: str = "id", text: str = "text", dim: int = DIM, tokenizer: Tokenizer = DEFAULT) -> DataFrame:
     """(key, vector): a bag of words hashed by md5 into ``dim`` counts."""
-    terms = rows.select(key, F.explode(raw_tokens(text)).alias("raw")).select(key, F.lower("raw").alias("term")).where(is_term(F.col("term")))
+    terms = rows.select(key, F.explode(tokenizer.raw(text)).alias("raw")).select(key, F.lower("raw").alias("term")).where(tokenizer.keeps(F.col("term")))
     bucket = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int") % dim).alias("bucket")
     counts = terms.groupBy(key, bucket).agg(F.count(F.lit(1)).cast("double").alias("n"))
     filled = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("found"))
@@ -20,14 +32,24 @@ def hashed(rows: DataFrame, key: str = "id", text: str = "text", dim: int = DIM)
     return filled.select(key, vector.alias("vector"))
 
 
+class Hashed:
+    """The offline embedder: hashed bags of words."""
+
+    def __init__(self, dim: int = DIM, tokenizer: Tokenizer = DEFAULT):
+        self.dim, self.tokenizer, self.model = dim, tokenizer, f"hashed-{dim}"
+
+    def embed(self, rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+        return hashed(rows, key, text, self.dim, self.tokenizer)
+
+
 def missing(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """The distinct texts that the cache (text_sha, model, vector) lacks for this model."""
     keyed = texts.select(content_hash("text").alias("text_sha"), "text").dropDuplicates(["text_sha"])
     return keyed.join(cache.where(F.col("model") == model).select("text_sha"), "text_sha", "left_anti")
 
 
-def cached(texts: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of all texts, and the rows to append to the cache."""
-    new = hashed(missing(texts, cache, model), "text_sha").withColumn("model", F.lit(model))
-    known = cache.where(F.col("model") == model).select("text_sha", "vector", "model").unionByName(new)
+def cached(texts: DataFrame, cache: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    """Vectors of all texts, and the rows to append to the cache; only texts that it lacks are embedded."""
+    new = embedder.embed(missing(texts, cache, embedder.model), "text_sha", "text").select("text_sha", F.lit(embedder.model).alias("model"), "vector")
+    known = cache.where(F.col("model") == embedder.model).select("text_sha", "model", "vector").unionByName(new)
     return texts.withColumn("text_sha", content_hash("text")).join(known, "text_sha", "left"), new

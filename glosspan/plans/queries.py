@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
-from glosspan.operators.filters import SourceFilter, changed_only, under_path, under_url
+from glosspan.operators.filters import changed_only, in_scope, under_path, under_url
 from glosspan.operators.index import Index
 from glosspan.sources import html, tables
 from glosspan.streaming import watch
@@ -27,7 +27,7 @@ def joined(column: str | Column, by: str = ",") -> Column:
 def index(spark: SparkSession, sf: str) -> Index:
     """The index of all documents, windows of 200 words; stamps alternate by document."""
     base = Index.of(tables.documents(spark, sf))
-    stamp = F.when(F.shiftright("seq", 24) % 3 == 0, "").otherwise(F.concat(F.lit("2026-01-"), F.lpad((1 + F.shiftright("seq", 24) % 28).cast("string"), 2, "0"), F.lit("T00:00:00+00:00")))
+    stamp = F.when(F.col("seq") % 3 == 0, "").otherwise(F.concat(F.lit("2026-01-"), F.lpad((1 + F.col("seq") % 28).cast("string"), 2, "0"), F.lit("T00:00:00+00:00")))
     return Index(base.chunks.withColumn("indexed_at", stamp), base.postings)
 
 
@@ -90,7 +90,7 @@ def source_filters(spark, sf):
     """How many documents and pages each pattern keeps."""
     sources = tables.documents(spark, sf).select("source").unionByName(tables.pages(spark, sf).select("source"))
     patterns = ["", "*.txt", ".TXT", "src3", "SRC3/en", "en", "src", "/", "https://", "https://ex", "src1\\de"]
-    counts = [F.count(F.when(SourceFilter(p).matches(), 1)).alias(f"p{i}") for i, p in enumerate(patterns)]
+    counts = [F.count(F.when(in_scope(p), 1)).alias(f"p{i}") for i, p in enumerate(patterns)]
     one = sources.agg(*counts)
     return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"p{i}").alias("kept")) for i, p in enumerate(patterns)])).alias("r")).select("r.*")
 
@@ -254,7 +254,7 @@ def dedup_hash(spark, sf):
 def upsert_chunks(spark, sf):
     """Known chunks of every tenth document replaced by shorter ones; the ids that stay and their lengths."""
     idx = Index.of(tables.documents(spark, sf))
-    new = idx.chunks.where("shiftright(seq, 24) % 10 = 0").withColumn("text", F.substring("text", 1, 20))
+    new = idx.chunks.where("seq % 10 = 0").withColumn("text", F.substring("text", 1, 20))
     return idx.upsert(new).chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("text")).alias("chars"))
 
 

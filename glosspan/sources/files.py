@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,27 +42,67 @@ def pdf_pages(content: bytes) -> list[str]:
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
 
 
+def _plain(content: bytes, name: str) -> tuple[str, str, list[int] | None]:
+    return plain(content), "", None
+
+
+def _html(content: bytes, name: str) -> tuple[str, str, list[int] | None]:
+    page = html.whole(content.decode("utf-8", errors="replace"))
+    return page.text, page.title, None
+
+
+def _docx(content: bytes, name: str) -> tuple[str, str, list[int] | None]:
+    return *docx.to_text(content, name), None
+
+
+def _pdf(content: bytes, name: str) -> tuple[str, str, list[int] | None]:
+    pages = pdf_pages(content)
+    return "\n\n".join(pages), "", [sum(len(p) + 2 for p in pages[:i]) for i in range(len(pages))]
+
+
+#: By loader, what turns a file's bytes and name into (text, title, page offsets).
+PARSERS: dict[str, Callable[[bytes, str], tuple[str, str, list[int] | None]]] = {"markdown": _plain, "text": _plain, "html": _html, "docx": _docx, "pdf": _pdf}
+
+
 def parse(kind: str, content: bytes, name: str) -> tuple[str, str, list[int] | None]:
     """(text, title, page offsets) of a file's bytes."""
-    if kind in ("text", "markdown"):
-        return plain(content), "", None
-    if kind == "html":
-        page = html.whole(content.decode("utf-8", errors="replace"))
-        return page.text, page.title, None
-    if kind == "docx":
-        return *docx.to_text(content, name), None
-    if kind == "pdf":
-        pages = pdf_pages(content)
-        starts = [sum(len(p) + 2 for p in pages[:i]) for i in range(len(pages))]
-        return "\n\n".join(pages), "", starts
-    raise Unsupported(name)
+    if kind not in PARSERS:
+        raise Unsupported(name)
+    return PARSERS[kind](content, name)
+
+
+def resolved(spark: SparkSession, path: str) -> str:
+    """A path as :func:`documents` names sources: absolute, without a scheme for local files."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub("^file:/*", "/", full).rstrip("/") or "/"
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """path, modificationTime, length, content of every file below ``path``, read lazily."""
+    """path, modificationTime, length, content of every file below ``path``.
+
+    The content column is read only by plans that use it.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files at these paths, and no others."""
+    return spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+
+
+def text_of(spark: SparkSession, source: str) -> str | None:
+    """A source read again; None for a URL, a kind that no loader takes, or a file that cannot be read."""
+    if re.match("(?i)https?://", source):
+        return None
+    try:
+        row = documents(read(spark, [source])).first()
+    except AnalysisException:  # it is gone
+        return None
+    return row["text"] if row is not None and row["failed"] is None else None
+
+
 def documents(files: DataFrame) -> DataFrame:
     """Parsed files; a file that cannot be parsed has its reason in ``failed``."""
     rows = files.select(F.regexp_replace("path", "^file:/*", "/").alias("source"), "content").withColumn("type", loader())

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from glosspan.operators.filters import ignored, under_path
 from glosspan.operators.index import Index
 from glosspan.sources import files
+from glosspan.store import Conflict
 
 SNAPSHOT = "path string, mtime long, size long"
 
@@ -42,63 +44,61 @@ def applied(index: Index, changes: DataFrame, read: Callable[[DataFrame], DataFr
     gone = changes.where("kind = 'removed'").select(F.col("path").alias("source"))
     fresh = read(changes.where("kind = 'changed'").select("path"))
     index = index.add(fresh, indexed_at=indexed_at, **options)
-    return Index(index.chunks.join(gone, "source", "left_anti"), index.postings.join(gone, "source", "left_anti"))
+    return index.without(gone)
 
 
 class Watcher:
-    """Re-lists the roots on every trigger and applies the difference to a saved index.
+    """Re-lists the roots on every trigger and applies the difference to the searched index.
 
-    Each batch reads the newest version of the index, writes the next one
-    beside it and then moves the version file, so a reader never sees half of a
-    write and a batch that is repeated gives the same index.
+    Each batch opens the newest version, reads the files that have changed and
+    no others, and publishes the next version; a version by another writer in
+    the meantime is a conflict, and the batch is done again on top of it.  The
+    snapshot that a version stands for is kept with it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *roots: str, clock: Callable[[], str] = lambda: "", after: Callable[[DataFrame], None] | None = None):
-        self.spark, self.path, self.roots, self.clock, self.after = spark, path.rstrip("/"), roots, clock, after
+    TRIES = 5
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def __init__(self, engine, *roots: str, ignored: list[str] | None = None, after: Callable[[DataFrame], None] | None = None):
+        self.engine, self.spark, self.after = engine, engine.spark, after
+        self.roots = [files.resolved(self.spark, r) for r in roots]
+        self.ignored = [files.resolved(self.spark, f) for f in ignored or []]
 
-    def version(self) -> int:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return 0
-        return max((int(s.getPath().getName()[1:]) for s in fs.listStatus(path(self.path)) if s.getPath().getName().startswith("v")), default=0)
+    def snapshot(self) -> DataFrame:
+        """The files below the roots that a loader takes and that no ignored folder holds."""
+        found = snapshot(self.spark, *self.roots)
+        return found.where(files.loader("path").isNotNull() & ~ignored("path", self.ignored, self.roots))
 
-    def index(self) -> Index | None:
-        version = self.version()
-        return Index.load(self.spark, f"{self.path}/v{version}") if version else None
+    def known(self) -> DataFrame:
+        """The files that the newest version has seen below the roots."""
+        newest = self.engine.store.newest()
+        if newest is None or not self.engine.store.has(newest, "files"):
+            return self.spark.createDataFrame([], SNAPSHOT)
+        below = F.lit(False)
+        for root in self.roots:
+            below = below | under_path(root, "path")
+        return self.spark.read.schema(SNAPSHOT).parquet(f"{newest}/files").where(below)
 
     def poll(self) -> int:
         """One round; the number of changes."""
-        version = self.version()
-        now = snapshot(self.spark, *self.roots)
-        before = self.spark.read.schema(SNAPSHOT).parquet(f"{self.path}/v{version}/files") if version else self.spark.createDataFrame([], SNAPSHOT)
-        changes = difference(before, now).cache()
-        count = changes.count()
-        if count or not version:
-            index = self.index() or Index.of(self.spark.createDataFrame([], "source string, text string, type string, seq long"))
-
-            def read(paths: DataFrame) -> DataFrame:
-                listing = self.spark.createDataFrame([], "path string, content binary")
-                for root in self.roots:
-                    listing = listing.unionByName(files.listed(self.spark, root).select("path", "content"))
-                wanted = listing.withColumn("source", F.regexp_replace("path", "^file:/*", "/")).join(paths.withColumnRenamed("path", "source"), "source", "left_semi")
-                return files.documents(wanted).where("failed IS NULL").select("source", "text", "type", F.lit(0).cast("long").alias("seq"))
-
-            made = applied(index, changes, read, self.clock())
-            target, part = f"{self.path}/v{version + 1}", f"{self.path}/next"
-            made.save(part)
-            now.write.mode("overwrite").parquet(f"{part}/files")
-            fs, path = self._fs()
-            fs.rename(path(part), path(target))
-            if self.after:
+        now = self.snapshot().cache()
+        try:
+            for left in reversed(range(self.TRIES)):
+                changes = difference(self.known(), now).cache()
+                count = changes.count()
+                try:
+                    if count:
+                        self.engine.apply(changes, now)
+                    break
+                except Conflict:
+                    if not left:
+                        raise
+            if count and self.after:
                 self.after(changes)
-        changes.unpersist()
-        return count
+            return count
+        finally:
+            now.unpersist()
 
     def start(self, interval: str = "1 second") -> StreamingQuery:
-        """Poll on each trigger of a rate stream."""
+        """Poll on each trigger of a rate stream; an error ends the stream."""
         ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
         return ticks.writeStream.trigger(processingTime=interval).foreachBatch(lambda batch, number: self.poll()).start()

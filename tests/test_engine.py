@@ -6,10 +6,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
+from glosspan.engine import Engine
+from glosspan.functions.text import Tokenizer
+from glosspan.operators import analytics, answers, chunking, evaluation, filters, retrieval, vectors
 from glosspan.operators.index import Index
 from glosspan.sources import docx, files, html, settings, web
-from glosspan.streaming import watch
+from glosspan.store import Conflict, Store
 
 
 def docs(spark, *rows):
@@ -143,9 +145,9 @@ def test_index_round_trip(spark, tmp_path):
 def test_vector_cache(spark):
     rows = docs(spark, ("a", "x y"), ("b", "x y"), ("c", "z"))
     empty = spark.createDataFrame([], "text_sha string, model string, vector array<double>")
-    done, new = vectors.cached(rows, empty, "m")
+    done, new = vectors.cached(rows, empty, vectors.Hashed())
     assert new.count() == 2 and done.where("vector IS NULL").count() == 0
-    assert vectors.missing(rows, new, "m").count() == 0 and vectors.missing(rows, new, "other").count() == 2
+    assert vectors.missing(rows, new, "hashed-64").count() == 0 and vectors.missing(rows, new, "other").count() == 2
 
 
 def test_analytics(spark):
@@ -246,18 +248,81 @@ def test_watching(spark, tmp_path):
     (folder / "a.md").write_text("# A\nalpha")
     (folder / "b.txt").write_bytes(b"beta\r\nline")
     (folder / "c.bin").write_bytes(b"\x00")
-    watcher = watch.Watcher(spark, store, str(folder), clock=lambda: "now")
-    assert watcher.poll() == 3 and {r.source.rsplit("/", 1)[1] for r in watcher.index().chunks.collect()} == {"a.md", "b.txt"}
-    assert watcher.poll() == 0
+    engine = Engine(spark, settings.Settings(index_path=store), clock=lambda: "now")
+    watcher = engine.watch(str(folder))
+    names = lambda: {r.source.rsplit("/", 1)[1] for r in engine.index().chunks.collect()}
+    assert watcher.poll() == 2 and names() == {"a.md", "b.txt"}
+    assert engine.search("beta").first().source.endswith("b.txt")
+    assert watcher.poll() == 0 and engine.store.versions() == [1]
     (folder / "b.txt").write_text("gamma delta epsilon")
     (folder / "a.md").unlink()
-    assert watcher.poll() == 2 and [r.text for r in watcher.index().chunks.collect()] == ["gamma delta epsilon"]
+    assert watcher.poll() == 2 and [r.text for r in engine.index().chunks.collect()] == ["gamma delta epsilon"]
+    assert engine.search("alpha").isEmpty() and engine.search("gamma").count() == 1
+    (folder / "out").mkdir()
+    (folder / "out" / "made.txt").write_text("made words")
+    assert engine.watch(str(folder), ignored=[str(folder / "out")]).poll() == 0
+    assert engine.watch(str(folder / "out"), ignored=[str(folder / "out")]).poll() == 1 and engine.search("made").count() == 1
     (folder / "d.txt").write_text("streamed")
     query = watcher.start("100 milliseconds")
     for _ in range(100):
-        if watcher.index().chunks.count() == 2:
+        if "d.txt" in names():
             break
         query.awaitTermination(0.3)
     query.stop()
-    assert {r.text for r in watcher.index().chunks.collect()} == {"gamma delta epsilon", "streamed"}
+    assert names() == {"b.txt", "made.txt", "d.txt"}
     assert [r.source.rsplit("/", 1)[1] for r in files.skipped(files.listed(spark, str(folder))).collect()] == ["c.bin"]
+
+
+def test_writers_do_not_overwrite_each_other(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.range(3)
+    assert store.publish(lambda f: rows.write.parquet(f), 0) == 1
+    with pytest.raises(Conflict):
+        store.publish(lambda f: rows.write.parquet(f), 0)
+    assert store.publish(lambda f: rows.write.parquet(f), 1) == 2 and store.publish(lambda f: rows.write.parquet(f)) == 3
+    assert store.versions() == [2, 3] and not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("draft")]
+    assert spark.read.parquet(store.newest()).count() == 3
+
+
+def test_many_partitions_and_later_runs_keep_their_order(spark):
+    rows = spark.range(200, numPartitions=200).select(F.concat(F.lit("s"), "id").alias("source"), F.lit("same words here").alias("text"), F.monotonically_increasing_id().alias("seq"))
+    index = Index.of(rows)
+    assert index.chunks.count() == 200
+    later = index.add(docs(spark, ("later", "same words here")))
+    found = [r.source for r in retrieval.bm25(later, queries(spark, "words"), 201).orderBy("rank").collect()]
+    assert found[:3] == ["s0", "s1", "s2"] and found[-1] == "later"
+
+
+def test_source_filters_off_ascii(spark):
+    rows = spark.createDataFrame([("/a/Straße/B.TXT",), ("/a/strasse/b.txt",), ("/ÉTÉ/x.md",)], "source string")
+    kept = lambda p: [r.source for r in rows.where(filters.in_scope(p)).collect()]
+    assert kept("STRAßE") == ["/a/Straße/B.TXT"] and kept("été") == ["/ÉTÉ/x.md"] and len(kept("*.txt")) == 2 and kept("//") == []
+
+
+def test_relations_of_copies(spark):
+    texts = ["alpha beta gamma"] * 40 + ["alpha beta delta"] * 3 + ["omega"]
+    idx = Index.of(docs(spark, *((f"d{i:02}", t) for i, t in enumerate(texts))))
+    got = [(r.first, r.second, r.strength) for r in analytics.relations(idx).collect()]
+    every = [(r.first, r.second, r.strength) for r in analytics.relations(idx, most=None).collect()]
+    assert got == sorted(every, key=lambda r: (-r[2], r[0], r[1]))[:30] and len(every) == 43 * 42 // 2
+
+
+def test_citations(spark):
+    rows = spark.createDataFrame([("see [1] and [3], [0], [12345678901], [2](x) [1]", 3)], "text string, n int")
+    out = rows.select(answers.citations("text", F.col("n")).alias("c"), answers.linked("text", F.col("n"), lambda n: F.concat(F.lit("<"), n, F.lit(">"))).alias("t")).first()
+    assert list(out.c) == [1, 3] and out.t == "see <1> and <3>, [0], [12345678901], [2](x) <1>"
+
+
+def test_replaceable_tokenizer(spark):
+    only = Tokenizer("[a-z]+[0-9]", ["x1"])
+    idx = Index.of(docs(spark, ("a", "A1 x1 plain b2 b2")), tokenizer=only)
+    assert {(r.term, r.tf, r.length) for r in idx.postings.collect()} == {("b2", 2, 2)}
+    assert retrieval.with_passages(retrieval.bm25(idx, queries(spark, "b2 plain"), 2), idx, "b2").first().matched_terms == ["b2"]
+
+
+def test_many_query_vectors_are_dealt_with_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BYTES", 200)
+    vecs = spark.createDataFrame([(str(i), i, [1.0, float(i)]) for i in range(5)], "id string, seq long, vector array<double>")
+    asked = spark.createDataFrame([(f"q{i}", [float(i), 1.0]) for i in range(7)], "query_id string, vector array<double>")
+    assert retrieval.dense(vecs, asked, 2).groupBy("query_id").count().where("count = 2").count() == 7
+    assert retrieval.dense(vecs, asked.limit(0), 2).count() == 0

@@ -1,8 +1,10 @@
 import json
+import os
 
 from glosspan import cli
 from glosspan.engine import Engine
 from glosspan.sources.settings import Settings
+from glosspan.store import Store
 
 
 def corpus(folder):
@@ -35,7 +37,15 @@ def test_service(spark, tmp_path):
     assert engine.evaluate(cases, 3)[1].first().mrr == 1.0
     fetched = engine.index_urls("https://e.org/a", "ftp://no", fetcher=lambda u: (u, "text/plain", None, b"remote words"))
     assert fetched.indexed == 2 and engine.remove("https://e.org") == 1
-    assert engine.remove(where) == 3
+    again = engine.source_page(top.id, query="image").first()
+    assert again.text[again.highlights[0].start :].startswith("image") and engine.source_page("unknown").isEmpty()
+    hybrid = engine.changed("retriever=hybrid")
+    assert hybrid.search("ranked passages", 2).count() == 2
+    cache = Store(spark, str(tmp_path / "index" / "cache"))
+    held = cache.versions()
+    assert held and hybrid.search("ranked passages", 2).count() == 2 and cache.versions() == held
+
+    assert engine.remove(os.path.relpath(where)) == 3
 
 
 def test_command_line(spark, tmp_path, capsys):

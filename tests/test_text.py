@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
-from glosspan.operators.filters import SourceFilter, under_path, under_url
+from glosspan.operators.filters import in_scope, under_path, under_url
 
 
 def one(spark, column, **values):
@@ -38,7 +38,7 @@ def test_highlights_count_code_points(spark):
     ],
 )
 def test_source_filter(spark, pattern, source, kept):
-    assert one(spark, SourceFilter(pattern).matches("s"), s=source) is kept
+    assert one(spark, in_scope(pattern, "s"), s=source) is kept
 
 
 @pytest.mark.parametrize(
