@@ -168,7 +168,8 @@ def surroundings(rows: DataFrame, hot: np.ndarray, length: int, width: int) -> D
             own = text[row[begin]]
             whole = body.tobytes()
             cut = [None if k else whole[a : b + length] for k, a, b in zip(known[begin].tolist(), at[begin].tolist(), at[stop].tolist(), strict=True)]
-            key = np.where(single[begin] | known[begin], strings[begin].view(np.int64) if len(begin) else 0, rank[row[begin]])
+            spread = mix(node[own].view(U) + at[begin].astype(U)).view(np.int64)  # a span needs no other one
+            key = np.where(known[begin], spread, np.where(single[begin], strings[begin].view(np.int64), rank[row[begin]]))
             columns = [pa.array(key), pa.array(node[own]), pa.array(doc[own]), pa.array((at[begin] - ends[own]).astype(np.int32)), pa.array((at[stop] + length - ends[own]).astype(np.int32)), pa.array(cut, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["rank", "node", "place", "start", "stop", "body"])
 
