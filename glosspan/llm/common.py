@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -22,39 +21,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a single machine, tests) a temporary folder
-    takes its place.
+    Only on a single machine (tests) a temporary folder takes its place where
+    that is unset; on a cluster nothing else is shared, so it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="glosspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/glosspan/{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _kept.add(folder)
+    return folder
+
+
+_kept: set[str] = set()
+#: Spark then deletes a plan's shuffle files when its execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage, so an executor that is lost later costs no
-    recomputation of what came before.
+    recomputation of what came before; the shuffle files of what came before
+    are deleted.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glosspan/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It learns of them when the driver's JVM collects garbage, which on a quiet
-    driver may be long after a stage's files have become useless.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession
@@ -91,9 +104,32 @@ def small_enough(df: DataFrame, row_bytes: int) -> bool:
     return df.count() * row_bytes <= BROADCAST_BYTES
 
 
+#: Words of 64 bits in a key map: 1 MB, whatever the number of keys.
+MAP_WORDS = 1 << 17
+
+
+def may_hold(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key may be among the side's: a bit map of fixed size spares a shuffle most of the others.
+
+    The map is one row that every task gets; reading it is an array access in
+    generated code.
+    """
+    key = F.pmod(F.xxhash64(*on), F.lit(MAP_WORDS * 64))
+    bits = side.select(key.alias("_k")).selectExpr("cast(_k div 64 AS int) AS word", "shiftleft(1L, cast(_k % 64 AS int)) AS bit")
+    words = [0] * MAP_WORDS
+    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        words[row["word"]] = row["bits"]
+    one = rows.sparkSession.createDataFrame([(words,)], "_map array<long>")
+    met = rows.withColumn("_k", key).join(F.broadcast(one))
+    return met.where("shiftright(_map[cast(_k div 64 AS int)], cast(_k % 64 AS int)) & 1 = 1").drop("_k", "_map")
+
+
 def lookup(rows: DataFrame, side: DataFrame, on: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
     """Join a staged side: by broadcast where its counted size allows that, else by sort-merge.
 
-    The sort-merge join leaves both exchanges to Spark, which splits skewed partitions.
+    Before a sort-merge inner join, a key map drops the rows that cannot meet
+    any; both exchanges are left to Spark, which splits skewed partitions.
     """
-    return rows.join(F.broadcast(side) if small_enough(side, row_bytes) else side.hint("merge"), on, how)
+    if small_enough(side, row_bytes):
+        return rows.join(F.broadcast(side), on, how)
+    return (may_hold(rows, side, on) if how == "inner" else rows).join(side.hint("merge"), on, how)

@@ -33,8 +33,11 @@ def normalised(column="text"):
 class DigestIndex:
     """A table of known digests, bucketed and sorted by digest.
 
-    ``buckets`` is fixed when the table is created: choose it so that a bucket
-    of the expected index fits a task (40 bytes a text).
+    Give it a ``name`` to keep it from run to run.  ``buckets`` is fixed when
+    the table is created: choose it so that a bucket of the expected index fits
+    a task (40 bytes a text).  One writer at a time; where two have entered one
+    digest all the same, its longest, then earliest row counts.  ``compact``
+    brings the files of many appends back to one sorted file a bucket.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
@@ -66,6 +69,18 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
+    def known(self) -> DataFrame:
+        """digest and keep_id, one row per digest."""
+        best = F.min_by("keep_id", F.struct((-F.col("n_points")).alias("minus"), F.col("keep_id").isNull().alias("none"), "keep_id"))
+        return self.rows().groupBy("digest").agg(best.alias("known_id"))
+
+    def compact(self) -> None:
+        """Rewrite the index with one file a bucket and one row per digest."""
+        rows = self.rows().groupBy("digest").agg(F.min(F.struct((-F.col("n_points")).alias("minus"), F.col("keep_id").isNull().alias("none"), F.col("keep_id").alias("id"))).alias("b"))
+        rows = staged(rows.select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.minus")).alias("n_points")), "compacted")
+        self.drop()
+        self.append(rows)
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
@@ -88,8 +103,7 @@ def register(seen: DataFrame, index: DigestIndex) -> DataFrame:
     )
     groups = staged(groups.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.minus")).alias("n_points"), "group_size"), "groups")
     index.append(index.unseen(groups))
-    known = index.rows().select("digest", F.col("keep_id").alias("known_id"))
-    joined = groups.join(known.hint("merge"), "digest")
+    joined = groups.join(index.known().hint("merge"), "digest")
     alone = (F.col("group_size") == 1) & F.col("keep_id").eqNullSafe(F.col("known_id"))
     return joined.select("digest", F.col("known_id").alias("keep_id"), "group_size", alone.alias("alone"))
 
@@ -116,15 +130,22 @@ def attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns only."""
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
     verdict = decide(docs, index).where("kept").select("doc_id", "text_sha256").distinct()
+    if own:
+        verdict = staged(verdict, "verdict")
+        index.drop()
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.lower(F.sha2(normalised(), 256)).alias("sha"))
     return rows.alias("r").join(verdict.alias("v"), F.expr("r.doc_id <=> v.doc_id AND r.sha = v.text_sha256"), "left_semi").select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digest of :func:`decide` over all documents."""
-    return decide(table(spark, sf_dir, "documents"), DigestIndex(spark))
+    """The contract's digest of :func:`decide` over all documents, against an index of its own that goes afterwards."""
+    index = DigestIndex(spark)
+    out = staged(decide(table(spark, sf_dir, "documents"), index), "decided")
+    index.drop()
+    return out
 
 
 ORACLE = r"""

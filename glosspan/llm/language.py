@@ -1,11 +1,14 @@
 """Language identification with language-bitmask n-gram filters.
 
 Training counts byte n-grams (3, 4 and 5 bytes; A-Z lower-cased, other ASCII
-signs as blanks) per language.  A language *contains* an n-gram if its rate
-there is at least ``SHARE`` of the highest rate of any language.  All languages
-share one bit-sliced Bloom filter: every slot is a mask with one bit per
-language (as many 64-bit words as they need), an n-gram sets its languages' bits in three slots, and the AND of
-the three slots returns every language that contains it.
+signs as blanks) per language.  A language *contains* an n-gram that its texts
+show at least LEAST times, at a rate of at least ``SHARE`` of the highest rate
+of any language.  All languages share one bit-sliced Bloom filter: every slot is
+a mask with one bit per language (as many 64-bit words as they need), an n-gram
+sets its languages' bits in three slots, and the AND of the three slots returns
+every language that contains it.  The filter has at least eight slots for each
+n-gram; masks are put together by slot in Spark, so the driver gets slots, not
+n-grams.
 
 Prediction counts, over all n-grams of the whole text, how often each
 language's bit comes back, takes off the count expected by chance from the
@@ -15,13 +18,16 @@ the largest corrected count over the text's n-grams that are not all blanks;
 unlike the score it does not depend on how many languages there are.
 
 Training reads a bounded, documented sample: per language the ``PER_LANGUAGE``
-training documents with the smallest md5 of their id.  Prediction reads every
-text whole, in pieces of bounded size.
-
-Defined results: a null text, a text without a letter, or an empty training
-set gives ``und`` with score 0; a text with letters but no known n-gram gets
-the language with most training documents and score 0; ties go to the smaller
-name; rows with null lang don't train; every other lang value is learned.
+training documents with the smallest md5 of their id (fewer where the last of
+them share one).  Prediction reads every text whole, in pieces of bounded size.
+
+Defined results: a null text, a text without a letter (Unicode's letter
+categories; numerals are none), or an empty training set gives ``und`` with
+score 0; a text with letters but no known n-gram gets the language with most
+training documents and score 0; ties go to the smaller name; rows with null
+lang don't train, a null doc_id does; every other lang value is learned; rows
+that repeat have one result each; an empty table gives an empty result; columns
+other than those asked for, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +38,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,12 +47,14 @@ from glosspan.llm.common import crc_mod, staged, table
 PER_LANGUAGE = 1500
 GRAMS = (3, 4, 5)
 SHARE = 0.6
-#: A language keeps at most so many n-grams, the most frequent.
-KEPT = 40_000
 LEAST = 3
-SLOT_BITS = 20
+#: The filter has 2**SLOT_BITS slots at least, and SPARE for each n-gram.
+SLOT_BITS, SPARE = 20, 8
+#: Hash digits by which the sample's cut is found, a step at a time.
+DIGIT_BITS, STEPS = 12, 5
 PIECE = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters and a few numerals; :func:`has_letter` tells them apart.
+WORD_SIGN = re.compile(r"[^\W\d_]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -72,8 +79,16 @@ def grams(body: np.ndarray, n: int) -> np.ndarray:
     return packed
 
 
-def slots(hashes: np.ndarray) -> list[np.ndarray]:
-    return [(hashes >> np.uint64(64 - (i + 1) * SLOT_BITS)).astype(np.int64) & ((1 << SLOT_BITS) - 1) for i in range(3)]
+def has_letter(text: str) -> bool:
+    """Whether there is a letter."""
+    return any(m[0].isalpha() for m in WORD_SIGN.finditer(text))
+
+
+def slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three slots of each n-gram."""
+    mask = np.uint64((1 << bits) - 1)
+    again = hashes * MIX
+    return [(x & mask).astype(np.int64) for x in (hashes >> np.uint64(64 - bits), again >> np.uint64(64 - bits), (again ^ hashes) >> np.uint64(20))]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,16 +105,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Filters:
     """The fitted filter: names, masks, and each language's chance rate."""
 
-    def __init__(self, names: list[str], default: str, hashes: np.ndarray, owners: np.ndarray):
-        """``owners`` has the number of a language that contains the n-gram in ``hashes``."""
+    def __init__(self, names: list[str], default: str, slot_bits: int = SLOT_BITS):
         kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(names) <= 8 * np.dtype(k).itemsize), np.uint64)
-        self.bits = 8 * np.dtype(kind).itemsize
+        self.bits, self.slot_bits = 8 * np.dtype(kind).itemsize, slot_bits
         self.names, self.default = names, default
-        self.tables = np.zeros((max(1, -(-len(names) // self.bits)), 1 << SLOT_BITS), kind)
-        word, bit = owners // self.bits, np.left_shift(kind(1), (owners % self.bits).astype(kind))
-        for place in slots(hashes):
-            np.bitwise_or.at(self.tables, (word, place), bit)
-        self.chance = np.array([np.mean((self.tables[i // self.bits] >> kind(i % self.bits)) & kind(1)) ** 3 for i in range(len(names))])
+        self.tables = np.zeros((max(1, -(-len(names) // self.bits)), 1 << slot_bits), kind)
+        self.chance = np.zeros(len(names))
+
+    def ready(self) -> Filters:
+        """With the chance rates of the masks that are there."""
+        kind = self.tables.dtype.type
+        self.chance = np.array([np.mean((self.tables[i // self.bits] >> kind(i % self.bits)) & kind(1)) ** 3 for i in range(len(self.names))])
+        return self
 
     def counts(self, body: np.ndarray) -> tuple[np.ndarray, int, int]:
         """Per language the n-grams of these bytes that it contains; how many there are, and how many not all blank."""
@@ -108,7 +125,7 @@ class Filters:
         for begin in range(0, len(body), PIECE):
             empty = body[begin : begin + PIECE + GRAMS[-1] - 1] == 32
             for n in GRAMS:
-                a, b, c = slots(grams(body[begin : begin + PIECE + n - 1], n))
+                a, b, c = slots(grams(body[begin : begin + PIECE + n - 1], n), self.slot_bits)
                 total += len(a)
                 if len(a):
                     blank += np.count_nonzero(np.logical_and.reduce([empty[i : i + len(a)] for i in range(n)]))
@@ -124,7 +141,7 @@ class Filters:
 
     def predict(self, text: str | None, body: np.ndarray) -> tuple[str, float, float]:
         """lang_pred, score, known."""
-        if not self.names or text is None or not LETTER.search(text):
+        if not self.names or text is None or not has_letter(text):
             return "und", 0.0, 0.0
         counts, total, written = self.counts(body)
         counts = np.maximum(counts - total * self.chance, 0)
@@ -135,14 +152,43 @@ class Filters:
 
 
 def sampled(docs: DataFrame, per_language: int) -> tuple[DataFrame, dict[str, int]]:
-    """lang and text of the training rows, at most ``per_language`` ids a language; and all rows by language."""
+    """lang and text of the training rows, at most ``per_language`` ids a language; and all rows by language.
+
+    The cut in each language's hashes is found by histograms: of the first
+    digits of all hashes, then of the next digits of those in the bin where the
+    sample ends.  Every step collects at most 2**DIGIT_BITS bins a language, and no
+    language's ids come together anywhere.
+    """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    ids = rows.select("lang", key.alias("h"))
+    whole = DIGIT_BITS * STEPS
+    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, whole // 4), 16, 10).cast("long")
+    ids = staged(rows.select("lang", key.alias("h")), "hashes")
     sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    last = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
-    return rows.join(F.broadcast(last), "lang").where(key <= F.col("last")).select("lang", "text"), sizes
+    cut, left, bins = dict.fromkeys(sizes, 0), dict.fromkeys(sizes, per_language), None
+    for step in range(STEPS):
+        shift = whole - DIGIT_BITS * (step + 1)
+        here = ids
+        if bins is not None:
+            if not bins:
+                break
+            ends = docs.sparkSession.createDataFrame(list(bins.items()), "lang string, bin long")
+            here = ids.join(F.broadcast(ends), "lang").where(F.shiftright("h", shift + DIGIT_BITS) == F.col("bin"))
+        counts: dict[str, list[tuple[int, int]]] = {}
+        for r in here.groupBy("lang", F.shiftright("h", shift).alias("bin")).count().toLocalIterator():
+            counts.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+        bins = {}
+        for lang, found in counts.items():
+            for place, n in sorted(found):
+                if n > left[lang]:
+                    cut[lang], bins[lang] = place << shift, place
+                    break
+                left[lang] -= n
+            else:
+                cut[lang] = max(cut[lang], (max(found)[0] + 1) << shift)
+            if not left[lang]:
+                bins.pop(lang, None)
+    ends = docs.sparkSession.createDataFrame(list(cut.items()), "lang string, cut long")
+    return rows.join(F.broadcast(ends), "lang").where(key < F.col("cut")).select("lang", "text"), sizes
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
@@ -164,29 +210,37 @@ def fit_with_usual(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[F
 def learn(sample: DataFrame, sizes: dict[str, int]) -> Filters:
     names = sorted(sizes)
     if not names:
-        return Filters([], "und", np.empty(0, np.uint64), np.empty(0, np.int64))
+        return Filters([], "und")
+    default = min(names, key=lambda x: (-sizes[x], x))
+    numbered = sample.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "lang string, owner int")
     counted = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    top = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= KEPT).select("lang", "gram", "n")
-    learned = top.toPandas()  # at most KEPT rows a language
-    return assembled(names, max(names, key=lambda x: (sizes[x], x)), learned)
-
-
-def assembled(names: list[str], default: str, learned) -> Filters:
-    hashes, place = np.unique(learned["gram"].to_numpy(np.int64), return_inverse=True)
-    owner = learned["lang"].map({name: i for i, name in enumerate(names)}).to_numpy(np.int64)
-    rate = learned["n"].to_numpy(np.float64)
-    rate = rate / np.maximum(np.bincount(owner, rate, minlength=len(names)), 1)[owner]
-    highest = np.zeros(len(hashes))
-    np.maximum.at(highest, place, rate)
-    holds = (rate >= SHARE * highest[place]) & (rate > 0)
-    # What most languages share tells nothing apart.
-    holds &= np.bincount(place[holds], minlength=len(hashes))[place] <= max(1, len(names) // 2)
-    return Filters(names, default, hashes[place[holds]].view(np.uint64), owner[holds])
+    counted = staged(counted.join(F.broadcast(numbered), "lang").select("owner", "gram", "n"), "grams")
+    totals = {r["owner"]: r["n"] for r in counted.groupBy("owner").agg(F.sum("n").alias("n")).collect()}
+    rates = sample.sparkSession.createDataFrame([(i, float(n)) for i, n in totals.items()], "owner int, total double")
+    rated = counted.join(F.broadcast(rates), "owner").select("owner", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    by_gram = rated.groupBy("gram").agg(F.max("rate").alias("highest"), F.collect_list(F.struct("owner", "rate")).alias("all"))  # one entry a language
+    holds = by_gram.select("gram", F.explode("all").alias("o"), "highest").where(F.col("o.rate") >= SHARE * F.col("highest")).select("gram", "o.owner")
+    holds = staged(holds, "holds")
+    n = holds.select("gram").distinct().count()
+    out = Filters(names, default, max(SLOT_BITS, (SPARE * max(n, 1) - 1).bit_length()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner = batch.column("owner").to_numpy().astype(np.int64)
+            for place in slots(batch.column("gram").to_numpy().view(np.uint64), out_bits):
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(owner // kind), pa.array(np.left_shift(1, owner % kind))], ["slot", "word", "mask"])
+
+    out_bits, kind = out.slot_bits, min(out.bits, 32)  # halves of 64-bit words, so that a mask's sign is plain
+    masks = holds.mapInArrow(placed, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    found = masks.toArrow()  # as many rows as slots at most, for each 32 languages
+    slot, word, mask = (found.column(c).to_numpy() for c in ("slot", "word", "mask"))
+    np.bitwise_or.at(out.tables, (word * kind // out.bits, slot), mask.astype(out.tables.dtype) << (word * kind % out.bits).astype(out.tables.dtype))
+    return out.ready()
 
 
 def identify(docs: DataFrame, filters: Filters, keep: list[str] = ()) -> DataFrame:
     """Columns ``keep`` of each row, then lang_pred, score and known."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)  # a table of 2**20 masks
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # a table of slots, for each 64 languages
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:

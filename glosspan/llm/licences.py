@@ -8,7 +8,9 @@ such as a one-line grant stands on a line of its own).  Known texts are a
 parameter; those below are public licence texts and notices.
 
 Defined results: null text is the empty text; a unit whose canonical form is
-empty matches nothing; rows that repeat a doc_id and text give equal rows.
+empty matches nothing; rows that repeat a doc_id and text give equal rows; a null
+doc_id is one like any other; an empty table gives an empty result; columns
+other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -84,8 +86,6 @@ KNOWN = [
 ]
 #: (spelling, the one it counts as), applied as whole words in this order.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("favour", "favor"), ("organisation", "organization"), ("per cent", "percent")]
-#: With more distinct sizes of known texts than this, lines aren't told apart by size.
-MOST_SIZES = 2000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r"
 #: (?d): only a line feed ends a line.
 COPYRIGHT_LINE = r"(?md)^[ \t]*(?:copyright|\(c\)|©)[^\n]*"
@@ -145,9 +145,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     brought to the canonical form.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "body"))
-    sizes = known.select(F.explode(F.sequence("least", "most")).alias("size")).distinct().limit(MOST_SIZES + 1).collect()
-    if len(sizes) <= MOST_SIZES:  # else every line is digested
-        lines = lines.where(F.length(F.translate("body", PUNCTUATION + " ", "")).isin([row["size"] for row in sizes]))
+    sizes = staged(known.select(F.explode(F.sequence("least", "most")).alias("size")).distinct(), "sizes")
+    lines = lookup(lines.withColumn("size", F.length(F.translate("body", PUNCTUATION + " ", ""))), sizes, ["size"], row_bytes=32)
     hits = lookup(lines.select("doc_id", "tk", "line", digest("body").alias("digest")), known.select("digest", "licence"), ["digest"], row_bytes=256)
     hits = hits.distinct().groupBy("doc_id", "tk").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("found"))
     hits = hits.select(F.col("doc_id").alias("_id"), "tk", "n", "found")

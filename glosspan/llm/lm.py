@@ -378,17 +378,17 @@ def _block(predictor: int, begin: int, body: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([predictor], pa.int32()), pa.array([begin], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["predictor", "begin", "body"])
 
 
-def _added(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks of each key; rows come sorted by key."""
+def _added(batches: Iterator[pa.RecordBatch], kind: type, finish) -> Iterator[pa.RecordBatch]:
+    """64-bit sums of the blocks (of ``kind``) of each key; rows come sorted by key."""
     key, total = None, None
     for batch in batches:
         for i in range(batch.num_rows):
             at = (batch.column("predictor")[i].as_py(), batch.column("begin")[i].as_py())
-            body = np.frombuffer(batch.column("body")[i].as_buffer(), float if at[0] == PREDICTORS else np.int64)
+            body = np.frombuffer(batch.column("body")[i].as_buffer(), float if at[0] == PREDICTORS else kind)
             if at != key:
                 if key:
                     yield _block(*key, finish(key, total))
-                key, total = at, body.copy()
+                key, total = at, body.astype(float if at[0] == PREDICTORS else np.int64)
             else:
                 total += body
     if key:
@@ -413,16 +413,16 @@ def train(docs: DataFrame, code: Code, bits: int, n_bytes: int) -> Model:
                 for b in range(0, len(counts), 2 * BLOCK):
                     block = counts[b : b + 2 * BLOCK]
                     if block.any():
-                        yield _block(k, b // 2, block.astype(np.int64))
+                        yield _block(k, b // 2, block)
             yield _block(PREDICTORS, 0, learner.rest())
 
-    tasks = max(2 * spark.sparkContext.defaultParallelism, n_bytes // (16 * sum(sizes(bits))))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, n_bytes // (4 * sum(sizes(bits))))
     blocks = docs.select("text").coalesce(tasks).mapInArrow(run, BLOCKS)
     # First within groups of tasks, then over all: no task adds up more than a share of the blocks of a key.
     keys = ["predictor", "begin"]
     some = blocks.withColumn("group", F.spark_partition_id() % 16).repartition(*keys, "group").sortWithinPartitions(*keys, "group").select("predictor", "begin", "body")
-    some = some.mapInArrow(lambda batches: _added(batches, lambda key, total: total), BLOCKS)
-    whole = some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _added(batches, lambda key, total: total if key[0] == PREDICTORS else log_odds(total)), BLOCKS)
+    some = some.mapInArrow(lambda batches: _added(batches, np.int32, lambda key, total: total), BLOCKS)
+    whole = some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _added(batches, np.int64, lambda key, total: total if key[0] == PREDICTORS else log_odds(total)), BLOCKS)
     odds = [np.zeros(n, np.int8) for n in sizes(bits)]
     rest = np.zeros(1 + PREDICTORS * GATES + 2 * NODES * LEVELS)
     for row in whole.toLocalIterator():  # of fixed size, however many tasks there are

@@ -8,9 +8,13 @@ a card or phone number, a URL, an account number or a postal address, and
 validates it.  Every parser looks at one run of characters around its anchor
 and no run is parsed twice, so the work is linear in the text.
 
+An account number or house number stands within REACH characters of its cue;
+base spans have no such bound.
+
 Defined results: a null text has no spans; offsets count code points of the
 whole text, ends exclusive; each row is judged alone, so repeated rows repeat
-their result.
+their result and a null doc_id is none to it; an empty table gives an empty
+result; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ KINDS = (*BASE, "url", "iban", "account", "address")
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "konto", "kontonummer", "compte", "cuenta", "customer id", "licence no", "license no", "tax id", "patient id")
 STREET_CUES = (" street", " avenue", " road", " boulevard", " lane", "straße", "strasse", " platz", "rue ", "avenue ", "calle ", "plaza ")
 
+#: Characters between a cue and the end of the identifier or the begin of the house number.
+REACH = 80
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED, SPACED = re.compile(r"[0-9.]+"), re.compile(r"[0-9 -]+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+NUMBERS, NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile("[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL_TAIL = re.compile(r"[^\s<>\"'`{}|\\^]+")
@@ -63,6 +69,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def addresses(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Addresses in a run of digits and dots: of numbers with single dots between them, every four from the left."""
+    out = []
+    for m in NUMBERS.finditer(text, a, b):
+        parts = [p.span() for p in NUMBER.finditer(text, *m.span())]
+        for i in range(0, len(parts) - 3, 4):
+            if all(len(text[x:y].lstrip("0")) <= 3 and int(text[x:y].lstrip("0") or "0") <= 255 for x, y in parts[i : i + 4]):
+                out.append((parts[i][0], parts[i + 3][1]))
+    return out
+
+
 def iban_holds(code: str) -> bool:
     code = code.replace(" ", "")
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
@@ -86,7 +103,7 @@ def spans(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tu
             if last >= dotted_end:
                 a = _left(text, last, dotted_end, digits | {"."})
                 dotted_end = DOTTED.match(text, last).end()
-                found["ip"] += [m.span() for m in IP.finditer(text, a, dotted_end) if all(int(x[-20:]) <= 255 and (len(x) <= 20 or not x[:-20].strip("0")) for x in m[0].split("."))]
+                found["ip"] += addresses(text, a, dotted_end)
             if last >= spaced_end:
                 spaced_end = SPACED.match(text, last).end()  # the first digit of its run: what is left of it holds none
                 for m in CARD.finditer(text, last, spaced_end):
@@ -117,19 +134,19 @@ def spans(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tu
         elif kind == "account":
             if last < account_end or (last + 1 < len(text) and text[last + 1].isalpha()):
                 continue
-            if (m := IBAN.match(text, last + 1, last + 81)) and iban_holds(m[1]):
+            if (m := IBAN.match(text, last + 1, last + 1 + REACH)) and iban_holds(m[1]):
                 found["iban"].append(m.span(1))
                 account_end = m.end()
-            elif m := IDENTIFIER.match(text, last + 1, last + 81):
+            elif m := IDENTIFIER.match(text, last + 1, last + 1 + REACH):
                 found["account"].append(m.span(1))
                 account_end = m.end()
         elif last >= address_end:
             first = last - length + 1
-            before = STREET_BEFORE.search(text[max(address_end, first - 80) : first])
+            before = STREET_BEFORE.search(text[max(address_end, first - REACH) : first])
             if before:
                 found["address"].append((first - len(before[0]), last + 1))
                 address_end = last + 1
-            elif m := STREET_AFTER.match(text, last + 1, last + 81):
+            elif m := STREET_AFTER.match(text, last + 1, last + 1 + REACH):
                 a = _left(text, first, address_end, frozenset("abcdefghijklmnopqrstuvwxyzäöüßéèABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜ"))
                 found["address"].append((a + (text[a] == " "), m.end()))
                 address_end = m.end()

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspan.llm.common import parts, staged
+from glosspan.llm.common import discard, parts, staged
 
 #: Rows that a task sorts at a time.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 
 
 def _stacked(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -34,7 +34,7 @@ def recurring(rows: DataFrame, key: str, of: list[str]) -> DataFrame:
     """The rows (key, things) whose key occurs with at least two different things.
 
     A row that is listed again may come back more than once.  Columns are
-    whole numbers without nulls.
+    whole numbers without nulls.  The result is staged.
     """
     names = [key, *of]
     rows = rows.select(*names)
@@ -99,4 +99,6 @@ def recurring(rows: DataFrame, key: str, of: list[str]) -> DataFrame:
     marked = staged(rows.mapInArrow(mark, f"{ddl}, sure boolean, told boolean"), "marked")
     asked = marked.where("told OR NOT sure").select(*names, F.col("sure").cast("int").alias("sure"))
     dealt = asked.repartition(parts(rows.sparkSession), key).sortWithinPartitions(*names, F.desc("sure"))
-    return marked.where("sure").select(*names).unionByName(dealt.mapInArrow(stream, ddl))
+    out = staged(marked.where("sure").select(*names).unionByName(dealt.mapInArrow(stream, ddl)), "recurring")
+    discard(marked)
+    return out

@@ -53,7 +53,7 @@ from glosspan.llm.scan import kept_by_map
 
 LENGTH, ANCHOR = 100, 36
 #: Bytes of text within which strings are compared before they are sent on.
-COMPARED = 1 << 20
+COMPARED = 1 << 19
 #: Strings of an anchor that occurs more often are dealt out one by one.
 HOT = 1 << 14
 #: Bits of a position within a piece of text; the other bits of the key order by hash.
@@ -277,7 +277,7 @@ def changes(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR) -> tuple
     groups = marks.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = staged(groups.withColumn("alone", F.col("group_size") == 1), "groups")
     rows = attach(marks, groups).withColumn("node", F.xxhash64("digest"))
-    found = staged(recurring(positions(texts.select("node", "text"), length, width), "rank", ["node", "at"]), "recurring")
+    found = recurring(positions(texts.select("node", "text"), length, width), "rank", ["node", "at"])
     holders = groups.select(F.xxhash64("digest").alias("node"), F.coalesce("keep_id", F.lit(NEVER)).alias("place"))
     listed = found.groupBy("node").agg(F.collect_list("at").alias("at")).join(holders, "node")
     listed = staged(listed, "alive")

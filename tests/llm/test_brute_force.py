@@ -6,13 +6,14 @@ import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glosspan.llm import components, decontamination, exact_dedup, jaccard, language, licences, lm, mixing, pii, recurring, secrets, substrings
+from glosspan.llm import common, components, decontamination, exact_dedup, jaccard, language, licences, lm, mixing, pii, recurring, secrets, substrings
 
 DATA = "/root/testdata/sf0.01"
 BLANK = r"[\x20\x09-\x0D]"
@@ -99,7 +100,7 @@ def test_secrets_and_ledger(spark, make, awkward):
     got = secrets.scan(make(rows), ledger).collect()
     assert collections.Counter((r.doc_id, r.base_sha256) for r in got) == collections.Counter((i, sha(brute_secrets(t))) for i, t in rows)
     blobs = len({t or "" for _, t in rows})
-    assert spark.table(ledger.name).count() == blobs
+    assert spark.table(ledger.name).count() == blobs and secrets.scan(make([]), ledger).count() == 0
     again = make([*rows[:5], (999, "token: abcdefgh12")])
     assert secrets.scan(again, ledger).count() == 6 and spark.table(ledger.name).count() == blobs + 1
     assert secrets.scan(again, ledger, 2).count() == 6 and spark.table(ledger.name).count() == blobs + 1 + 6
@@ -332,10 +333,38 @@ def test_language(spark, make, awkward, clashing):
     assert all(0 <= r.score <= 1 for r in got.values())
     odd = language.identify(widened(make(awkward), clashing).select(F.struct("*").alias("all"), "text"), filters, ["all"]).collect()
     assert len(odd) == len(awkward)
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.all.text or "")) for r in odd)
+    assert all((r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.all.text or "")) for r in odd)
+    signs = language.identify(make([(1, "½ ² 12 _"), (2, "½ a")]), filters, ["doc_id"]).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in signs} == {1: True, 2: False}
+    assert language.fit(make([(1, "aaa bbb", "yy"), (2, "ccc ddd", "xx")])).default == "xx"
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_is_that_of_plain_counts(make):
+    """Against sets of n-grams in place of the filter, for every text."""
+    rng = random.Random(81)
+    parts = {"en": ["the", "ing", "th", "sh", "ou"], "fr": ["é", "que", "eau", "les", "ou"], "de": ["sch", "ung", "ü", "the", "ei"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate(["en", "fr", "de"] * 60)]
+    fold = lambda t: bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in t.encode())
+    grams = lambda t: [fold(t)[i : i + n] for n in (3, 4, 5) for i in range(len(fold(t)) - n + 1)]
+    counts = {lang: collections.Counter(g for _, t, x in rows if x == lang for g in grams(t)) for lang in parts}
+    counts = {lang: {g: n for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    held = {lang: {g for g, x in c.items() if x >= 0.6 * max(r.get(g, 0) for r in rate.values())} for lang, c in rate.items()}
+    got = {r.doc_id: r.lang_pred for r in language.identify(make(rows), language.fit(make(rows)), ["doc_id"]).collect()}
+    for i, t, _ in rows:
+        found = {lang: sum(g in held[lang] for g in grams(t)) for lang in held}
+        assert found[got[i]] >= max(found.values()) - 0.02 * len(grams(t))
+
+
+def test_language_sample_is_bounded(make):
+    docs = make([(i, f"text {i}", "en" if i % 3 else "de") for i in range(3000)] + [(5000, None, "en"), (5001, "x", None)])
+    sample, sizes = language.sampled(docs, 100)
+    assert sizes == {"en": 2000, "de": 1000} and {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()} == {"en": 100, "de": 100}
+    smallest = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(3000) if i % 3)[:100]
+    assert {hashlib.md5(r.text.split()[1].encode()).hexdigest() for r in sample.where("lang = 'en'").collect()} == set(smallest)
+
+
 def test_more_than_64_languages(make):
     rng = random.Random(80)
     parts = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for k in range(70)}
@@ -501,3 +530,45 @@ def test_repeats_keeps_a_passage_of_a_repeated_representative(make):
     expected = brute_repeats(rows, 100)
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(make(rows)).collect())
     assert got == collections.Counter((i, *expected[i, t]) for i, t in rows)
+
+
+def test_every_operator_takes_odd_tables(spark, make, awkward, clashing):
+    """Clashing columns change nothing, and an empty table gives an empty result."""
+    rows = awkward[:14]
+    items = spark.createDataFrame([(1, "no id at all here"), (2, None)], "item_id long, text string")
+    held = (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(-1)) == 0).alias("held_out")
+    runs = {
+        "dedup": lambda d: exact_dedup.decide(d, exact_dedup.DigestIndex(spark)),
+        "pii": pii.find,
+        "decontamination": lambda d: decontamination.decontaminate(d, items),
+        "mixing": mixing.mix,
+        "lm": lambda d: lm.score(d.select("*", held), lm.Fitted(d)),
+        "secrets": lambda d: secrets.scan(d, secrets.BlobLedger(spark)),
+        "licences": lambda d: licences.scan(d, licences.known_digests(spark)),
+        "language": lambda d: language.identify(d, language.fit(d), ["doc_id"]),
+        "jaccard": lambda d: jaccard.join(d).drop("node"),
+        "repeats": substrings.remove_repeats,
+    }
+    plain, wide = make(rows), widened(make(rows), clashing)
+    for name, run in runs.items():
+        listed = lambda d: collections.Counter(map(tuple, run(d).collect()))  # noqa: B023, E731
+        assert listed(plain) == listed(wide), name
+        assert run(widened(make([]), clashing)).count() == 0, name
+
+
+def test_very_long_texts(make):
+    """Five million bytes of one sign, and of digits, go through every operator that runs in Python."""
+    rows = [(1, "a" * 5_000_000), (2, "7" * 5_000_000), (3, "a b"), (4, "1.2.3.4 " * 300_000)]
+    docs = make(rows)
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == {1: 4_999_999, 2: 4_999_999, 3: 0, 4: 2_400_000 - 8}
+    assert {r.doc_id: r.n_ip for r in pii.find(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 300_000}
+    assert {r.doc_id for r in jaccard.join(docs).collect()} == {1, 2, 3, 4}
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, language.fit(docs.where("doc_id = 3")), ["doc_id"]).collect()} == {1: "en", 2: "und", 3: "en", 4: "und"}
+
+
+def test_key_map_drops_no_match(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    rows = spark.range(5000).selectExpr("id % 700 AS k", "id AS v")
+    side = spark.range(0, 7000, 7).selectExpr("id AS k", "'x' AS w")
+    assert common.lookup(rows, side, ["k"], 16).count() == rows.where("k % 7 = 0").count()
+    assert common.may_hold(rows, side, ["k"]).count() < 1500
