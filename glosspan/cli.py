@@ -1,13 +1,16 @@
-"""Command line: index, watch, remove, search, ask, chat, stats, dashboard, evaluate."""
+"""Command line: index, watch, remove, search, ask, compare, chat, stats, dashboard, evaluate, report, serve, mcp."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 from dataclasses import replace
+from pathlib import Path
 
-from glosspan.engine import Engine
+from glosspan import __version__, arguments, reports
+from glosspan.engine import Engine, is_address
 from glosspan.render import text as render
 from glosspan.session import session
 from glosspan.sources import settings
@@ -19,20 +22,40 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--config", help="settings as TOML")
     top.add_argument("--retriever", choices=("bm25", "embedding", "hybrid"))
     top.add_argument("--rerank", action="store_true", default=None)
+    top.add_argument("-v", "--verbose", action="store_true", help="log what is done to standard error")
+    top.add_argument("--version", action="version", version=f"glosspan {__version__}")
     todo = top.add_subparsers(dest="command", required=True)
     for name, words in (("index", "+"), ("watch", "+"), ("remove", "+")):
         sub = todo.add_parser(name)
         sub.add_argument("targets", nargs=words)
         if name == "index":
             sub.add_argument("--force", action="store_true")
+        if name == "watch":
+            sub.add_argument("--ignore", action="append", default=[], help="a folder that is not watched")
     for name in ("search", "ask"):
         sub = todo.add_parser(name)
         sub.add_argument("query")
         sub.add_argument("-k", "--top-k", type=int)
         sub.add_argument("--source", default="")
         sub.add_argument("--json", action="store_true")
-    for name in ("chat", "stats", "dashboard"):
+        if name == "ask":
+            sub.add_argument("--usage", action="store_true")
+    for name in ("chat", "stats", "mcp"):
         todo.add_parser(name)
+    sub = todo.add_parser("dashboard")
+    sub.add_argument("--html", help="file to write the page to")
+    sub = todo.add_parser("compare")
+    sub.add_argument("query")
+    sub.add_argument("changes", nargs="+", help="settings of the other side, as key=value")
+    sub.add_argument("--source", default="")
+    sub = todo.add_parser("report")
+    sub.add_argument("query")
+    sub.add_argument("-o", "--output", required=True, help="an .html or .md file")
+    sub.add_argument("-k", "--top-k", type=int)
+    sub.add_argument("--source", default="")
+    sub = todo.add_parser("serve")
+    sub.add_argument("--host", default="127.0.0.1")
+    sub.add_argument("--port", type=int, default=8000)
     sub = todo.add_parser("evaluate")
     sub.add_argument("cases")
     sub.add_argument("-k", type=int, default=5)
@@ -40,23 +63,37 @@ def parser() -> argparse.ArgumentParser:
 
 
 def as_json(rows) -> str:
-    return json.dumps([json.loads(r) for r in rows.toJSON().collect()], indent=2, ensure_ascii=False)
+    return json.dumps(render.objects(rows), indent=2, ensure_ascii=False)
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.verbose:
+        logging.basicConfig(level=logging.INFO, stream=sys.stderr, format="%(message)s")
+    config = args.config or settings.discovered()
     try:
-        options = settings.read(args.config) if args.config else settings.Settings()
+        options = settings.read(config) if config else settings.Settings()
     except settings.SettingsError as error:
         print(error, file=sys.stderr)
         return 2
     given = {"index_path": args.index, "retriever": args.retriever, "rerank": args.rerank}
     engine = Engine(session(), replace(options, **{k: v for k, v in given.items() if v is not None}))
-    return globals()[f"run_{args.command}"](engine, args)
+    logging.getLogger(__name__).info(logged("command", name=args.command, index=engine.options.index_path))
+    try:
+        return globals()[f"run_{args.command}"](engine, args)
+    except (settings.SettingsError, arguments.ArgumentError) as error:
+        print(error, file=sys.stderr)
+        return 2
+
+
+def logged(event: str, **values) -> str:
+    """``event key=value ...``; values with blanks or quotes are quoted."""
+    quoted = lambda v: json.dumps(v, ensure_ascii=False) if not v or any(c in v for c in ' "=\n') else v
+    return " ".join([event, *(f"{k}={quoted(str(v))}" for k, v in values.items())])
 
 
 def run_index(engine: Engine, args) -> int:
-    urls = [t for t in args.targets if t.lower().startswith(("http://", "https://"))]
+    urls = [t for t in args.targets if is_address(t)]
     paths = [t for t in args.targets if t not in urls]
     done = engine.index_paths(*paths, force=args.force)
     if urls:
@@ -68,7 +105,7 @@ def run_index(engine: Engine, args) -> int:
 
 
 def run_watch(engine: Engine, args) -> int:
-    engine.watch(*args.targets).start().awaitTermination()
+    engine.watch(*args.targets, ignored=args.ignore).start().awaitTermination()
     return 0
 
 
@@ -79,15 +116,46 @@ def run_remove(engine: Engine, args) -> int:
 
 
 def run_search(engine: Engine, args) -> int:
-    found = engine.search(args.query, args.top_k, args.source).cache()
+    found = engine.search(arguments.query(args.query), arguments.number(args.top_k, engine.options.top_k, 1, arguments.MOST_RESULTS, "top_k"), args.source).cache()
     print(as_json(found.orderBy("rank")) if args.json else render.results(found) or "nothing found")
     return int(found.isEmpty())
 
 
 def run_ask(engine: Engine, args) -> int:
-    text, found = engine.ask(args.query, args.top_k, args.source)
-    sources = [f"[{r['rank']}] {r['source']}" for r in found.orderBy("rank").collect()]
-    print(json.dumps({"answer": text, "sources": sources}, indent=2, ensure_ascii=False) if args.json else "\n".join([text, "", *sources]))
+    made = engine.answer(arguments.query(args.query), args.top_k, args.source)
+    sources = [f"[{r['rank']}] {r['source']}" for r in made.passages.orderBy("rank").collect()]
+    usage = None if made.usage is None else vars(made.usage) | {"cost_usd": made.cost_usd}
+    if args.json:
+        print(json.dumps({"answer": made.text, "sources": sources, "usage": usage}, indent=2, ensure_ascii=False))
+    else:
+        print("\n".join([made.text, "", *sources, *([logged("usage", **usage)] if args.usage and usage else [])]))
+    return 0
+
+
+def run_compare(engine: Engine, args) -> int:
+    print(reports.comparison(engine, arguments.query(args.query), *args.changes, source=args.source, form="text").content)
+    return 0
+
+
+def run_report(engine: Engine, args) -> int:
+    form = "markdown" if args.output.endswith(".md") else "html"
+    Path(args.output).write_text(reports.answer(engine, arguments.query(args.query), args.top_k, args.source, form).content, "utf-8")
+    return 0
+
+
+def run_serve(engine: Engine, args) -> int:
+    from glosspan.serve import http
+
+    with http.serve(engine, args.host, args.port) as server:
+        print(f"http://{args.host}:{server.server_address[1]}")
+        server.serve_forever()
+    return 0
+
+
+def run_mcp(engine: Engine, args) -> int:
+    from glosspan.serve import mcp
+
+    mcp.Server(engine, lambda message: print(json.dumps(message), flush=True)).run()
     return 0
 
 
@@ -110,11 +178,10 @@ def run_stats(engine: Engine, args) -> int:
 
 
 def run_dashboard(engine: Engine, args) -> int:
-    tables = engine.overview()
-    print(as_json(tables["stats"]))
-    print(render.bars(tables["types"], "type", "documents"))
-    print(render.bars(tables["lengths"], "low", "count"))
-    print(render.mermaid(tables["relations"]))
+    if args.html:
+        Path(args.html).write_text(reports.dashboard(engine).content, "utf-8")
+    else:
+        print(reports.dashboard(engine, "text").content)
     return 0
 
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glosspan.functions import text as T
+
+
+def objects(rows: DataFrame) -> list[dict]:
+    """Few rows as JSON shapes; empty fields are left out."""
+    return [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"))).collect()]
+
 
 def labels(sources: DataFrame) -> DataFrame:
     """(source, label): the file name, or the whole path where names clash."""
@@ -21,8 +30,12 @@ def edge_label(terms: str = "shared_terms", most: int = 3):
 
 
 def results(rows: DataFrame) -> str:
-    """One paragraph per result row (rank, score, source, text)."""
-    return "\n\n".join(f"{r['rank']}. {r['source']} ({r['score']:.2f})\n   {' '.join(r['text'].split())[:160]}" for r in rows.orderBy("rank").collect())
+    """One paragraph per result row (rank, score, source, text), with what its score is made of where that is known."""
+    parts = T.breakdown("contributions") if "contributions" in rows.columns else F.lit(None)
+    out = []
+    for r in rows.select("rank", "score", "source", T.preview("text", 160).alias("text"), parts.alias("parts")).orderBy("rank").collect():
+        out.append(f"{r['rank']}. {r['source']} ({r['score']:.2f})\n   {r['text']}" + (f"\n   {r['parts']}" if r["parts"] else ""))
+    return "\n\n".join(out)
 
 
 def bars(rows: DataFrame, label: str, value: str, width: int = 40) -> str:
@@ -56,3 +69,14 @@ def evaluation(outcomes: DataFrame, report: DataFrame) -> str:
     total = report.first()
     lines = [f"{r['query_id']}: {'miss' if r['first_hit'] is None else 'rank ' + str(r['first_hit'])}" for r in outcomes.orderBy("query_id").collect()]
     return "\n".join([*lines, f"recall {total['recall']:.2f}, MRR {total['mrr']:.2f} over {total['cases']} cases"])
+
+
+def dashboard(tables: dict[str, DataFrame], most_points: int = 2000) -> str:
+    """The overview's tables as plain text; documents go by their short labels, the map's letters by document."""
+    row = tables["stats"].first()
+    named = {r["source"]: r["label"] for r in labels(tables["recent"]).collect()}
+    recent = [f"{named[r['source']]}: {r['at']}, {r['size']}" for r in tables["recent"].select("source", T.indexed_label("indexed_at").alias("at"), T.plural("chunks", "chunk").alias("size")).collect()]
+    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.pmod(F.xxhash64("source"), F.lit(26)) + 1).cast("int"), F.lit(1))
+    spots = tables["map"].orderBy("id").limit(most_points).select(letter.alias("label"), "x", "y")
+    parts = [f"{row['documents']} documents, {row['chunks']} chunks, {row['terms']} terms, {row['vocabulary']} different", bars(tables["types"], "type", "documents"), bars(tables["lengths"], "low", "count"), mermaid(tables["relations"]), grid(spots), "\n".join(recent)]
+    return "\n\n".join(parts)
