@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspan.functions.text import source_matches
+from glosspan.functions.text import source_matches, words
 
 
 def outcomes(ranking: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
@@ -29,3 +29,29 @@ def report(done: DataFrame, k: int = 5) -> DataFrame:
     """One row: cases, recall (at k), mrr, mean_curve; zeros without cases."""
     curve = F.array(*[F.coalesce(F.avg(F.element_at("recall_curve", i + 1)), F.lit(0.0)) for i in range(k)])
     return done.agg(F.count(F.lit(1)).alias("cases"), F.coalesce(F.avg(F.element_at("recall_curve", k)), F.lit(0.0)).alias("recall"), F.coalesce(F.avg(F.coalesce(1 / F.col("first_hit"), F.lit(0.0))), F.lit(0.0)).alias("mrr"), curve.alias("mean_curve"))
+
+
+#: Words that a passage and a text must share before they are compared whole.
+KEY = 8
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, relevant): the sources of the documents that hold a passage's words in order.
+
+    A passage's first words (KEY of them, or all) are looked up among the runs of
+    as many words of the documents; only what meets is compared whole.
+    """
+    asked = passages.select("query_id", words("text").alias("ws")).where(F.size("ws") > 0)
+    asked = asked.select("query_id", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("passage"), F.least(F.size("ws"), F.lit(KEY)).alias("k"), F.array_join(F.slice("ws", 1, KEY), " ").alias("key"))
+    held = docs.select("source", words("text").alias("ws"))
+    out = None
+    for (k,) in sorted(asked.select("k").distinct().collect()):  # KEY values at most
+        runs = F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1), lambda i: F.array_join(F.slice("ws", i, k), " "))
+        keyed = held.where(F.size("ws") >= k).select("source", F.explode(F.array_distinct(runs)).alias("key"))
+        met = keyed.join(asked.where(F.col("k") == k).select("query_id", "key", "passage"), "key")
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return asked.select("query_id", F.array().cast("array<string>").alias("relevant")).limit(0)
+    whole = docs.select("source", F.concat(F.lit(" "), F.array_join(words("text"), " "), F.lit(" ")).alias("body"))
+    found = out.join(whole, "source").where(F.contains("body", "passage"))
+    return found.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("relevant"))

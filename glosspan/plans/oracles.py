@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from glosspan.functions.stopwords import STOPWORDS
 from glosspan.functions.text import TOKEN, WORD
+from glosspan.operators.chunking import ABBREVIATIONS, CLOSING, OPENING
 from glosspan.plans.queries import PRICES, QUERY
 
 _GAP = WORD.replace("[^", "[").rstrip("+")
+_CLOSING, _OPENING = (signs.replace("'", "''") for signs in (CLOSING, OPENING))
+_ABBREVIATIONS = ", ".join(f"'{a}'" for a in sorted(ABBREVIATIONS))
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _DOCS = "docs AS (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS source, coalesce(text, '') AS text, doc_id AS seq FROM documents)"
 
@@ -29,7 +32,7 @@ post AS (SELECT id, source, seq, term, count(*) AS tf FROM ({_terms("chunks", "i
 lens AS (SELECT id, sum(tf) AS length FROM post GROUP BY 1)"""
 _STAMPED = """stamped AS (SELECT *, CASE WHEN doc % 3 = 0 THEN '' ELSE '2026-01-' || lpad((1 + doc % 28)::VARCHAR, 2, '0') || 'T00:00:00+00:00' END AS indexed_at FROM chunks)"""
 _ONE = f"q AS (SELECT 'q' AS query_id, '{QUERY}' AS query)"
-_ITEMS = f"q AS (SELECT item_id::VARCHAR AS query_id, array_to_string(list_slice(regexp_extract_all(text, '{WORD}'), 1, 8), ' ') AS query FROM benchmark)"
+_ITEMS = "q AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark)"
 
 
 def _bm25(queries: str = _ONE) -> str:
@@ -51,7 +54,22 @@ depth AS (SELECT CASE WHEN kept = 0 THEN 0 ELSE least(total, ceil(10 * total / k
 SELECT row_number() OVER (ORDER BY rank)::INT AS rank, id, source, round(score, 6) AS score FROM ranks, depth WHERE rank <= depth AND {keep} ORDER BY rank LIMIT 10"""
 
 
-_CASES = "cases AS (SELECT query_id, list_sort(list(DISTINCT d.source)) AS relevant FROM docs d JOIN (SELECT item_id::VARCHAR AS query_id, substr(text, 1, 60) AS start FROM benchmark) b ON contains(d.text, b.start) GROUP BY 1)"
+def _encoded(text: str) -> str:
+    return f"replace(replace(replace(url_encode({text}), '+', '%20'), '-', '%2D'), '*', '%2A')"
+
+
+def _spans(name: str, chunks: str) -> str:
+    """(source, id, position, a, b): where the words of chunks first stand in their documents, as code points."""
+    return f"""{name}_d AS (SELECT source, ws, list_transform(gs, lambda x: length(x)) AS gl, list_transform(ws, lambda x: length(x)) AS wl, ' ' || array_to_string(ws, ' ') || ' ' AS flat
+  FROM (SELECT source, regexp_extract_all(text, '{WORD}') AS ws, regexp_split_to_array(text, '{WORD}') AS gs FROM docs)),
+{name}_p AS (SELECT c.source, c.id, c.position, gl, wl, len(regexp_extract_all(c.text, '{WORD}')) AS n,
+  len(string_split(substr(flat, 1, instr(flat, ' ' || c.text || ' ')), ' ')) - 1 AS i FROM {chunks} c JOIN {name}_d d USING (source)),
+{name} AS (SELECT source, id, position, (list_sum(gl[:i]) + coalesce(list_sum(wl[:i - 1]), 0))::INT AS a, (list_sum(gl[:i + n - 1]) + list_sum(wl[:i + n - 1]))::INT AS b FROM {name}_p)"""
+
+
+_CASES = f"""iw AS (SELECT item_id::VARCHAR AS query_id, regexp_extract_all(text, '{WORD}') AS ws FROM benchmark),
+dw AS (SELECT source, ' ' || array_to_string(regexp_extract_all(text, '{WORD}'), ' ') || ' ' AS body FROM docs),
+cases AS (SELECT query_id, list_sort(list(DISTINCT source)) AS relevant FROM dw JOIN iw ON len(ws) > 0 AND contains(body, ' ' || array_to_string(ws, ' ') || ' ') GROUP BY 1)"""
 _OUTCOMES = f"""{_bm25(_ITEMS)}, {_CASES},
 labels AS (SELECT query_id, unnest(relevant) AS label, len(relevant) AS n FROM cases),
 met AS (SELECT l.query_id, label, min(rank) AS rank FROM labels l JOIN ranks r ON l.query_id = r.query_id AND r.rank <= 5 AND (r.source = label OR ends_with(r.source, '/' || label)) GROUP BY ALL),
@@ -101,12 +119,25 @@ SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id)::INT AS rank, id, r
 g AS (SELECT r.id, r.rank, floor(10 * (SELECT count(*) FROM post p JOIN qt USING (term) WHERE p.id = r.id) / (SELECT count(*) FROM qt)::DOUBLE)::INT AS grade FROM ranks r WHERE rank <= 20)
 SELECT row_number() OVER (ORDER BY grade DESC, rank)::INT AS rank, id, grade FROM g ORDER BY grade DESC, rank LIMIT 10""".replace("SELECT row_number() OVER (ORDER BY grade DESC, rank)::INT AS rank, id, grade FROM g ORDER BY grade DESC, rank LIMIT 10", "SELECT n::INT AS rank, id, grade FROM (SELECT *, row_number() OVER (ORDER BY grade DESC, rank) AS n FROM g) WHERE n <= 10"),
     "grades_parsed": "SELECT item_id::VARCHAR AS query_id, 1 AS passage, greatest(0, least(10, item_id % 13 - 1))::INT AS grade FROM benchmark UNION ALL SELECT item_id::VARCHAR, 2, 10 FROM benchmark",
+    "sentence_chunks": f"""WITH RECURSIVE {_DOCS},
+w AS (SELECT source, regexp_extract_all(text, '{WORD}') AS ws, regexp_split_to_array(text, '{WORD}') AS gs FROM docs),
+x AS (SELECT source, ws, gs, list_transform(ws, lambda y: rtrim(y, '{_CLOSING}')) AS stems, list_transform(ws, lambda y: substr(ltrim(y, '{_OPENING}'), 1, 1)) AS heads FROM w WHERE len(ws) > 0),
+c AS (SELECT source, ws, list_filter(range(1, len(ws) + 1), lambda i: i = len(ws) OR regexp_matches(gs[i + 1], '\\n[ \\t]*\\r?\\n')
+    OR (right(stems[i], 1) IN ('.', '!', '?', '…') AND NOT list_contains([{_ABBREVIATIONS}], lower(rtrim(stems[i], '.'))) AND NOT (heads[i + 1] = lower(heads[i + 1]) AND heads[i + 1] <> upper(heads[i + 1])))) AS ends FROM x),
+e AS (SELECT source, ws, list_sort(list_distinct(flatten(list_transform(range(1, len(ends) + 1), lambda k: range(CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END, ends[k], 200))) || [len(ws)])) AS edges FROM c),
+p(source, a, position) AS (
+  SELECT source, 1::BIGINT, 0 FROM e
+  UNION ALL SELECT source, z, position + 1 FROM (
+    SELECT p.source, p.position, edges, s, greatest(a + 1, len(list_filter(edges, lambda v: v < edges[s] - 40)) + 1) AS z
+    FROM (SELECT p.source, p.a, p.position, edges, len(list_filter(edges, lambda v: v <= edges[p.a] + 200)) AS s FROM p JOIN e USING (source)) p) WHERE s < len(edges))
+SELECT substr(sha1(source), 1, 10) || '-' || position AS id, source, position::INT AS position,
+  array_to_string(ws[edges[a] + 1:edges[len(list_filter(edges, lambda v: v <= edges[a] + 200))]], ' ') AS text FROM p JOIN e USING (source)""",
     "highlights": f"""WITH {_DOCS},
 t AS (SELECT source, unnest(regexp_extract_all(text, '({TOKEN}|[^\\p{{L}}\\p{{N}}_]+)')) AS piece, generate_subscripts(regexp_extract_all(text, '({TOKEN}|[^\\p{{L}}\\p{{N}}_]+)'), 1) AS i FROM docs),
 o AS (SELECT source, lower(piece) AS w, sum(length(piece)) OVER (PARTITION BY source ORDER BY i) AS stop, length(piece) AS n FROM t),
 q AS (SELECT '{QUERY}' AS query), qt AS (SELECT DISTINCT term FROM ({_terms("q", "query", "query")}))
 SELECT source, count(*) AS hits, min(stop - n)::INT AS first, max(stop)::INT AS last, sum(stop - n)::BIGINT AS starts FROM o WHERE w IN (SELECT term FROM qt) GROUP BY 1""",
-    "passage_spans": f"WITH {_DOCS} SELECT source, length(regexp_extract(text, '^{_GAP}*'))::INT AS start, length(regexp_extract(text, '^(?:{_GAP}*{WORD}){{1,50}}'))::INT AS \"end\" FROM docs WHERE regexp_matches(text, '{WORD}')",
+    "passage_spans": f"WITH {_DOCS}, {_chunks(50, 10)}, {_spans('sp', 'chunks')} SELECT source, position, a AS start, b AS \"end\" FROM sp",
     "docs_by_type": f"WITH {_DOCS} SELECT CASE WHEN starts_with(lower(source), 'http') THEN 'web' ELSE 'txt' END AS type, count(*) AS documents FROM (SELECT DISTINCT c.source FROM docs c WHERE length(regexp_extract(text, '{WORD}')) > 0 UNION SELECT DISTINCT url FROM pages) GROUP BY 1",
     "chunk_histogram": f"""WITH {_DOCS}, {_chunks()},
 v AS (SELECT len(regexp_extract_all(text, '{WORD}')) AS n FROM chunks),
@@ -130,11 +161,45 @@ SELECT conv_id, turn, model, round((n * x[1] + n % 97 * x[2] + CASE WHEN turn %
 u AS (SELECT *, row_number() OVER w AS n, sum(length(text)) OVER w AS used FROM chunks WINDOW w AS (PARTITION BY source ORDER BY position)),
 k AS (SELECT *, n = 1 OR NOT max(used > 2500) OVER (PARTITION BY source ORDER BY position) AS keep FROM u)
 SELECT source, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS omitted, sum(length(text)) FILTER (WHERE keep)::BIGINT AS chars FROM k GROUP BY 1""",
-    "segments_merge": f"""WITH {_DOCS}, {_chunks(50, 10)},
-s AS (SELECT source, position * 40 + position % 3 * 25 AS a, position * 40 + position % 3 * 25 + 45 AS b, position AS r FROM chunks),
+    "segments_merge": f"""{_bm25()}, best AS (SELECT c.source, c.id, c.position, c.text FROM chunks c JOIN ranks USING (id) WHERE rank <= 200), {_spans('sp', 'best')},
+s AS (SELECT sp.source, a, b, rank AS r FROM sp JOIN ranks USING (id)),
 f AS (SELECT *, CASE WHEN a >= coalesce(max(b) OVER (PARTITION BY source ORDER BY a, b, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS begins FROM s),
 i AS (SELECT *, sum(begins) OVER (PARTITION BY source ORDER BY a, b, r ROWS UNBOUNDED PRECEDING) AS seg FROM f)
 SELECT source, min(a)::INT AS start, max(b)::INT AS "end", string_agg(r::VARCHAR, ',' ORDER BY r) AS ranks FROM i GROUP BY source, seg""",
+    "paged_windows": f"""WITH o AS (SELECT source, string_split(text, chr(10)) AS pages FROM (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS source, coalesce(text, '') AS text FROM documents)),
+p AS (SELECT source, array_to_string(pages, chr(10) || chr(10)) AS text, list_transform(range(len(pages)), lambda i: coalesce(list_sum(list_transform(pages[:i], lambda x: length(x) + 2)), 0)) AS starts FROM o),
+w AS (SELECT source, starts, regexp_extract_all(text, '{WORD}') AS ws, list_transform(regexp_split_to_array(text, '{WORD}'), lambda x: length(x)) AS gl FROM p),
+c AS (SELECT *, unnest(range(CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 60 THEN 1 ELSE 1 + ceil((len(ws) - 60) / 48.0)::INT END)) AS n FROM (SELECT *, list_transform(ws, lambda x: length(x)) AS wl FROM w)),
+b AS (SELECT source, n, starts, n * 48 + 1 AS i, least(n * 48 + 60, len(ws)) AS j, gl, wl FROM c),
+f AS (SELECT source, n, greatest(1, len(list_filter(starts, lambda x: x <= list_sum(gl[:i]) + coalesce(list_sum(wl[:i - 1]), 0)))) AS a, greatest(1, len(list_filter(starts, lambda x: x <= list_sum(gl[:j]) + coalesce(list_sum(wl[:j - 1]), 0)))) AS z FROM b)
+SELECT substr(sha1(source), 1, 10) || '-' || n AS id, n::INT AS position, a::INT AS first_page, z::INT AS last_page, source || CASE WHEN a = z THEN ', p. ' || a ELSE ', pp. ' || a || '-' || z END AS citation FROM f""",
+    "emphasized": f"""WITH {_DOCS},
+t AS (SELECT source, unnest(regexp_extract_all(text, '({TOKEN}|[^\\p{{L}}\\p{{N}}_]+)')) AS piece, generate_subscripts(regexp_extract_all(text, '({TOKEN}|[^\\p{{L}}\\p{{N}}_]+)'), 1) AS i FROM docs),
+q AS (SELECT '{QUERY}' AS query), qt AS (SELECT DISTINCT term FROM ({_terms("q", "query", "query")})),
+m AS (SELECT source, i, piece, lower(piece) IN (SELECT term FROM qt) AS hit FROM t),
+e AS (SELECT source, md5(string_agg(CASE WHEN hit THEN '**' || piece || '**' ELSE piece END, '' ORDER BY i)) AS text_md5, count(*) FILTER (WHERE hit) AS hits FROM m GROUP BY 1)
+SELECT source, coalesce(text_md5, md5('')) AS text_md5, coalesce(hits, 0)::INT AS hits FROM docs LEFT JOIN e USING (source)""",
+    "source_hrefs": f"WITH {_DOCS} SELECT '/my docs/' || source AS source, 'file:///my%20docs/' || source || CASE WHEN seq % 2 = 0 THEN '#page=' || seq % 9 ELSE '' END AS href FROM docs UNION ALL SELECT url, url FROM pages",
+    "document_labels": f"WITH {_DOCS}, n AS (SELECT DISTINCT source || '/' || seq % 400 || '.txt' AS source, seq % 400 || '.txt' AS name FROM docs) SELECT source, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN source ELSE name END AS label FROM n",
+    "edge_labels": f"{_WEIGHTS}, p AS (SELECT a.source AS first, b.source AS second, count(*) AS n, list_sort(list(a.term)) AS ts FROM doc_terms a JOIN doc_terms b ON a.term = b.term AND a.source < b.source GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 30) SELECT first, second, array_to_string(ts[:3], ', ') || CASE WHEN n > 3 THEN ' +' || (n - 3) ELSE '' END AS edge FROM p",
+    "score_breakdown": f"{_bm25()} SELECT r.rank::INT AS rank, id, string_agg(term || ' ' || printf('%.2f', share), ' + ' ORDER BY share DESC, term) AS parts FROM shares JOIN ranks r USING (query_id, id) WHERE r.rank <= 10 GROUP BY 1, 2",
+    "label_texts": """WITH u AS (SELECT conv_id, turn, length(coalesce(text, '')) * 37 AS n FROM conversations)
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'soon' ELSE '2026-03-0' || (turn % 7 + 1) || ' 10:0' || conv_id % 10 || ' UTC' END AS indexed,
+  'm: ' || format('{:,}', n) || ' input tokens' || CASE WHEN n % 3 > 0 THEN ' (' || format('{:,}', n % 3 * 1000) || ' cached)' ELSE '' END || ', ' || format('{:,}', n % 5000) || ' output tokens' || CASE WHEN turn % 2 = 0 THEN ', ~$' || printf('%.4f', round(n / 8192.0 + 1e-12, 4)) ELSE '' END AS usage FROM u""",
+    "chunk_lookup": f"WITH {_DOCS}, {_chunks()}, m AS (SELECT source FROM chunks GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT id, position, sha256(text) AS text_sha FROM chunks JOIN m USING (source)",
+    "ignored_files": f"WITH {_DOCS} SELECT '/w/' || source AS path FROM docs WHERE NOT starts_with(source, 'src1/en/')",
+    "prompt_context": f"""{_bm25(_ITEMS)}, b AS (SELECT query_id, rank, '[' || rank || '] (source: ' || c.source || ')' || chr(10) || c.text AS block FROM ranks JOIN chunks c USING (id) WHERE rank <= 3)
+SELECT query_id, md5('<context>' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || '</context>' || chr(10) || chr(10) || 'Question: Why?') AS prompt_md5 FROM b GROUP BY 1""",
+    "citation_links": """WITH t AS (SELECT item_id, substr(text, 1, 30) AS head, item_id % 7 AS x, item_id % 5 AS y, item_id % 4 + 1 AS n FROM benchmark)
+SELECT item_id, array_to_string(list_filter([CASE WHEN x BETWEEN 1 AND n THEN x END, CASE WHEN n >= 2 AND x <> 2 THEN 2 END], lambda v: v IS NOT NULL), ',') AS cited,
+  head || CASE WHEN x BETWEEN 1 AND n THEN ' <' || x || '>' ELSE ' [' || x || ']' END || ' and ' || CASE WHEN n >= 2 THEN '<2>' ELSE '[2]' END || ', [' || y || '](x) [12] [007]' AS linked FROM t""",
+    "text_fragments": f"""WITH {_DOCS}, {_chunks(14, 0)},
+w AS (SELECT id, regexp_extract_all(text, '{WORD}') AS ws, regexp_extract_all(text, '{TOKEN}') AS ts FROM chunks WHERE NOT regexp_matches(text, '[^ -~]')),
+q AS (SELECT '{QUERY}' AS query), qt AS (SELECT list(DISTINCT term) AS terms FROM ({_terms("q", "query", "query")})),
+e AS (SELECT id, CASE WHEN len(ws) <= 12 THEN 'text=' || {_encoded("array_to_string(ws, ' ')")} ELSE 'text=' || {_encoded("array_to_string(ws[:6], ' ')")} || ',' || {_encoded("array_to_string(ws[-6:], ' ')")} END AS span,
+  list_filter(ts, lambda t: list_contains(terms, lower(t))) AS met FROM w, qt),
+d AS (SELECT id, span, list_filter(met, lambda t, i: list_position(met, t) = i)[:4] AS seen FROM e)
+SELECT id, array_to_string(list_concat([span], list_transform(seen, lambda t: 'text=' || {_encoded("t")})), '&') AS directives FROM d""",
     "incremental_changed": f"WITH {_DOCS} SELECT source FROM docs WHERE seq % 7 = 0",
     "snapshot_diff": """WITH a AS (SELECT '/d/' || doc_id AS path, doc_id AS m, n_chars AS s FROM documents WHERE doc_id % 5 <> 0),
 b AS (SELECT '/d/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN doc_id + 1 ELSE doc_id END AS m, n_chars AS s FROM documents WHERE doc_id % 7 <> 0)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
-from glosspan.operators.filters import changed_only, in_scope, under_path, under_url
+from glosspan.operators.filters import changed_only, ignored, in_scope, under_path, under_url
 from glosspan.operators.index import Index
+from glosspan.render.text import edge_label, labels
 from glosspan.sources import html, tables
 from glosspan.streaming import watch
 
@@ -32,9 +33,9 @@ def index(spark: SparkSession, sf: str) -> Index:
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """All benchmark items as queries, by their first eight words."""
+    """All benchmark items as queries, with all their words."""
     rows = tables.read(spark, sf, "benchmark")
-    return rows.select(F.col("item_id").cast("string").alias("query_id"), joined(F.slice(T.words("text"), 1, 8), " ").alias("query"))
+    return rows.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
 
 
 def asked(spark: SparkSession, query: str = QUERY) -> DataFrame:
@@ -129,10 +130,10 @@ def highlights(spark, sf):
 
 
 def passage_spans(spark, sf):
-    """Where each document's first window stands in its text."""
+    """Where each document's windows stand in its text."""
     docs = tables.documents(spark, sf)
-    first = chunking.windows(docs.select("source", "text"), 50, 10).where("position = 0").select("source", F.col("text").alias("passage"))
-    return docs.join(first, "source").select("source", T.passage_span("text", "passage").alias("s")).select("source", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    found = chunking.windows(docs.select("source", "text"), 50, 10).select("source", "position", F.col("text").alias("passage"))
+    return docs.join(found, "source").select("source", "position", T.passage_span("text", "passage").alias("s")).select("source", "position", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 def docs_by_type(spark, sf):
@@ -161,11 +162,9 @@ def doc_relations(spark, sf):
 
 
 def _cases(spark, sf) -> DataFrame:
-    """Benchmark items with the documents that hold their first 60 characters."""
-    items = tables.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.substring("text", 1, 60).alias("start"))
-    docs = tables.documents(spark, sf).select("source", "text")
-    held = docs.join(items, F.contains("text", "start"))
-    return held.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("relevant"))
+    """Benchmark items with the documents that hold all their words in order."""
+    items = tables.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    return evaluation.holders(tables.documents(spark, sf), items)
 
 
 def eval_outcomes(spark, sf):
@@ -215,10 +214,84 @@ def prompt_budget(spark, sf):
 
 
 def segments_merge(spark, sf):
-    """Overlapping stretches of text around each document's chunks of 50 words, by made-up offsets."""
-    rows = chunking.windows(tables.documents(spark, sf).select("source", "text"), 50, 10)
-    start = F.col("position") * 40 + F.col("position") % 3 * 25
-    return answers.merged_segments(rows.select("source", start.alias("start"), (start + 45).alias("end"), F.col("position").alias("rank"))).select("source", "start", "end", joined("ranks").alias("ranks"))
+    """The stretches of each document that the 200 best passages for a query cover."""
+    idx = index(spark, sf)
+    best = retrieval.bm25(idx, asked(spark), 200).join(idx.chunks.select("id", F.col("text").alias("passage")), "id")
+    spans = tables.documents(spark, sf).select("source", "text").join(best.select("source", "rank", "passage"), "source").select("source", "rank", T.passage_span("text", "passage").alias("s"))
+    return answers.merged_segments(spans.select("source", "rank", "s.start", "s.end")).select("source", "start", "end", joined("ranks").alias("ranks"))
+
+
+def paged_windows(spark, sf):
+    """Windows with page ranges, when every line of a document is a page."""
+    docs = tables.documents(spark, sf).select("source", F.split("text", "\n").alias("pages"))
+    paged = docs.select("source", F.array_join("pages", "\n\n").alias("text"), T.page_offsets("pages").alias("page_offsets"))
+    return chunking.windows(paged, 60, 12).select("id", "position", "first_page", "last_page", T.citation().alias("citation"))
+
+
+def emphasized(spark, sf):
+    rows = tables.documents(spark, sf).select("source", "text", T.highlights("text", T.tokenize(QUERY)).alias("found"))
+    return rows.select("source", F.md5(T.emphasized("text", "found").cast("binary")).alias("text_md5"), F.size("found").alias("hits"))
+
+
+def source_hrefs(spark, sf):
+    docs = tables.documents(spark, sf).select(F.concat(F.lit("/my docs/"), "source").alias("source"), F.when(F.col("seq") % 2 == 0, (F.col("seq") % 9).cast("int")).alias("first_page"))
+    return docs.unionByName(tables.pages(spark, sf).select("source", F.lit(3).alias("first_page"))).select("source", T.source_href().alias("href"))
+
+
+def document_labels(spark, sf):
+    """Short labels of files, some of which share their name with another."""
+    named = F.concat(F.col("source"), F.lit("/"), F.col("seq") % 400, F.lit(".txt"))
+    return labels(tables.documents(spark, sf).select(named.alias("source")))
+
+
+def edge_labels(spark, sf):
+    return analytics.relations(index(spark, sf)).select("first", "second", edge_label().alias("edge"))
+
+
+def score_breakdown(spark, sf):
+    return retrieval.bm25(index(spark, sf), asked(spark), 10).select("rank", "id", T.breakdown("contributions").alias("parts"))
+
+
+def label_texts(spark, sf):
+    """What is shown of time stamps and of the usage of a call, over all conversation turns."""
+    rows = tables.read(spark, sf, "conversations").withColumn("n", F.char_length(F.coalesce("text", F.lit(""))) * 37)
+    stamp = F.when(F.col("turn") % 4 == 0, "").when(F.col("turn") % 4 == 1, "soon").otherwise(F.concat(F.lit("2026-03-0"), F.col("turn") % 7 + 1, F.lit("T10:0"), F.col("conv_id") % 10, F.lit(":30+00:00")))
+    cost = F.when(F.col("turn") % 2 == 0, F.col("n") / F.lit(8192.0))
+    return rows.select("conv_id", "turn", T.indexed_label(stamp).alias("indexed"), T.usage_summary(F.lit("m"), "n", F.col("n") % 3 * 1000, F.col("n") % 5000, cost).alias("usage"))
+
+
+def chunk_lookup(spark, sf):
+    """The chunks of the document with the most chunks, in order."""
+    idx = index(spark, sf)
+    most = idx.chunks.groupBy("source").count().orderBy(F.desc("count"), "source").first()["source"]
+    return analytics.chunks_of(idx, most).select("id", "position", F.sha2("text", 256).alias("text_sha"))
+
+
+def ignored_files(spark, sf):
+    """Watched files when two folders are ignored, one of which holds a watched root."""
+    paths = tables.documents(spark, sf).select(F.concat(F.lit("/w/"), "source").alias("path"))
+    return paths.where(~ignored("path", ["/w/src1/en", "/w/src2", "/w"], ["/w/src2/de", "/w"]))
+
+
+def prompt_context(spark, sf):
+    """The numbered passages that a question's prompt holds."""
+    idx = index(spark, sf)
+    found = retrieval.bm25(idx, benchmark_queries(spark, sf), 3).join(idx.chunks.drop("source", "seq", "position"), "id")
+    return answers.context(found).select("query_id", F.md5(answers.prompt("Why?").cast("binary")).alias("prompt_md5"))
+
+
+def citation_links(spark, sf):
+    """Which citations of a text count, when its sources are fewer than it cites, and the text with links."""
+    items = tables.read(spark, sf, "benchmark").select("item_id", F.concat(F.substring("text", 1, 30), F.lit(" ["), F.col("item_id") % 7, F.lit("] and [2], ["), F.col("item_id") % 5, F.lit("](x) [12] [007]")).alias("text"), (F.col("item_id") % 4 + 1).alias("sources"))
+    link = lambda n: F.concat(F.lit("<"), n, F.lit(">"))
+    return items.select("item_id", joined(answers.citations("text", F.col("sources"))).alias("cited"), answers.linked("text", F.col("sources"), link).alias("linked"))
+
+
+def text_fragments(spark, sf):
+    """Fragment directives of every chunk of 10 words and more words of the documents."""
+    rows = chunking.windows(tables.documents(spark, sf).select("source", "text"), 14, 0).where(~F.rlike("text", F.lit("[^ -~]")))
+    marked = rows.withColumn("found", T.highlights("text", T.tokenize(QUERY)))
+    return marked.select("id", joined(T.text_directives("text", "found"), "&").alias("directives"))
 
 
 def incremental_changed(spark, sf):
@@ -323,6 +396,7 @@ QUERIES = {
         chunk_window, tokens_stats, top_terms, index_stats, bm25_search, bm25_batch, bm25_explain, source_filters, dense_search, hybrid_rrf, rerank_grades, grades_parsed, highlights, passage_spans,
         docs_by_type, chunk_histogram, recent_documents, catalog, doc_top_terms, doc_relations, eval_outcomes, eval_report, cited_documents, answer_overlap, usage_cost, chat_window, prompt_budget,
         segments_merge, incremental_changed, snapshot_diff, remove_path, remove_url, dedup_hash, upsert_chunks, loader_dispatch, text_functions, vector_cache_missing, pages_main_content, pages_chunks,
-        sentence_chunks, markdown_sections, pca_map, watch_apply,
+        sentence_chunks, markdown_sections, pca_map, watch_apply, paged_windows, emphasized, source_hrefs, document_labels, edge_labels, score_breakdown, label_texts, chunk_lookup, ignored_files,
+        prompt_context, citation_links, text_fragments,
     )
 } | {"bm25_scoped_type": scoped("*.txt"), "bm25_scoped_folder": scoped("src3/en"), "bm25_scoped_url": scoped("https://example.com")}
