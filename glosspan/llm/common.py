@@ -48,6 +48,8 @@ def run_dir(spark: SparkSession) -> str:
 _kept: set[str] = set()
 #: Spark then deletes a plan's shuffle files when its execution ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that go to Python at a time; rows are never split.
+ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -55,16 +57,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage, so an executor that is lost later costs no
     recomputation of what came before; the shuffle files of what came before
-    are deleted.
+    are deleted, and Python gets its rows in batches of bounded size.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", ARROW: ARROW_BYTES}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,8 +14,8 @@ Prediction counts, over all n-grams of the whole text, how often each
 language's bit comes back, takes off the count expected by chance from the
 share of that language's bits that are set (to the power three), and decides
 for the largest; the score is its share of the corrected counts.  ``known`` is
-the largest corrected count over the text's n-grams that are not all blanks;
-unlike the score it does not depend on how many languages there are.
+the share of the text's n-grams (but for all blanks) that some language
+contains, corrected likewise: a text that mixes learned languages is known, too.
 
 Training reads a bounded, documented sample: per language the ``PER_LANGUAGE``
 training documents with the smallest md5 of their id (fewer where the last of
@@ -118,9 +118,9 @@ class Filters:
         self.chance = np.array([np.mean((self.tables[i // self.bits] >> kind(i % self.bits)) & kind(1)) ** 3 for i in range(len(self.names))])
         return self
 
-    def counts(self, body: np.ndarray) -> tuple[np.ndarray, int, int]:
-        """Per language the n-grams of these bytes that it contains; how many there are, and how many not all blank."""
-        out, total, blank = np.zeros(len(self.names)), 0, 0
+    def counts(self, body: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+        """Per language the n-grams of these bytes that it contains; how many some language does, how many there are, and how many not all blank."""
+        out, known, total, blank = np.zeros(len(self.names)), 0, 0, 0
         body = FOLD[body]
         for begin in range(0, len(body), PIECE):
             empty = body[begin : begin + PIECE + GRAMS[-1] - 1] == 32
@@ -129,26 +129,30 @@ class Filters:
                 total += len(a)
                 if len(a):
                     blank += np.count_nonzero(np.logical_and.reduce([empty[i : i + len(a)] for i in range(n)]))
+                some = None
                 for word, table in enumerate(self.tables):
                     both = table[a] & table[b] & table[c]
+                    some = both != 0 if some is None else some | (both != 0)
                     here = range(word * self.bits, min((word + 1) * self.bits, len(self.names)))
                     if both.dtype == np.uint8:
                         by_mask = np.bincount(both, minlength=256)
                         out[here.start : here.stop] += [by_mask[(np.arange(256) >> i) & 1 == 1].sum() for i in range(len(here))]
                     else:
                         out[here.start : here.stop] += [np.count_nonzero(both & both.dtype.type(1 << i)) for i in range(len(here))]
-        return out, total, total - blank
+                known += np.count_nonzero(some)
+        return out, known, total, total - blank
 
     def predict(self, text: str | None, body: np.ndarray) -> tuple[str, float, float]:
         """lang_pred, score, known."""
         if not self.names or text is None or not has_letter(text):
             return "und", 0.0, 0.0
-        counts, total, written = self.counts(body)
+        counts, some, total, written = self.counts(body)
         counts = np.maximum(counts - total * self.chance, 0)
+        known = max(0.0, some - total * (1 - np.prod(1 - self.chance))) / max(1, written)
         if not counts.any():
-            return self.default, 0.0, 0.0
+            return self.default, 0.0, known
         best = int(np.argmax(counts))
-        return self.names[best], float(counts[best] / counts.sum()), float(counts[best] / max(1, written))
+        return self.names[best], float(counts[best] / counts.sum()), float(known)
 
 
 def sampled(docs: DataFrame, per_language: int) -> tuple[DataFrame, dict[str, int]]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from glosspan.llm.common import discard, parts, staged
 
 #: Rows that a task sorts at a time.
-BUFFER = 1 << 19
+BUFFER = 1 << 17
 
 
 def _stacked(batch: pa.RecordBatch, width: int) -> np.ndarray:
