@@ -15,12 +15,16 @@ the window's rarest shingle is a sufficient prefix.  The plan:
    stand at their offsets; they are joined as words, so a match is exact.
 
 The dictionary is broadcast where its counted size allows it, else joined by
-sort-merge.  A passage found in a third of all documents only adds rows to the
+sort-merge behind a bit map of its keys, which spares the shuffle nearly all
+shingles of the documents.  A passage found in a third of all documents only adds rows to the
 partially aggregated counts and to joins that Spark may split.
 
 Defined results: null text or null item text has no words; items of no words
 match nothing; rows that repeat a doc_id with the same text get the same
-result; an item with a null id counts as one with the id ''.
+result; a null doc_id is one like any other; an item with a null id counts as
+one with the id ''; an empty table of documents gives an empty result, one of
+items contaminates nothing; columns other than doc_id and text, whatever their
+names, are only carried along.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ bucketed side of that join is read as it lies, without a shuffle.
 Defined results: a null text counts as empty; texts of white space only are
 equal to the empty text; rows that repeat one ``doc_id`` with one text are one
 document listed several times and carry the same decision; a null ``doc_id``
-loses every tie against a number.  An empty table gives an empty result.
+loses every tie against a number.  An empty table gives an empty result; columns
+other than doc_id and text, whatever their names, are only carried along.
 """
 
 from __future__ import annotations

@@ -30,7 +30,8 @@ about N^2 / 2^65 among N that share a rank.
 
 Defined results: a null text is empty; rows that repeat a doc_id with one text
 are one document; a null doc_id comes after all others; documents shorter than
-``length`` lose nothing; an empty table gives an empty result.
+``length`` lose nothing; an empty table gives an empty result; columns other
+than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
