@@ -129,6 +129,40 @@ def coverage_grades(index: Index, queries: DataFrame, candidates: DataFrame) ->
     return held.join(asked_for, "query_id").select("query_id", "id", F.floor(10 * F.col("held") / F.col("asked")).cast("int").alias("grade"))
 
 
+class Refused(RuntimeError):
+    """A model that would not grade or answer."""
+
+
+#: What a grading model is asked to return.
+GRADES_SCHEMA = {"type": "object", "required": ["grades"], "properties": {"grades": {"type": "array", "items": {"type": "object", "required": ["passage", "grade"], "properties": {"passage": {"type": "integer"}, "grade": {"type": "integer", "minimum": 0, "maximum": 10}}}}}}
+
+
+def model_grades(call: Callable[[str, dict], str | None]) -> Callable[[Index, DataFrame, DataFrame], DataFrame]:
+    """A grader that asks a model once a query: ``call(prompt, schema)`` returns JSON, or None when it refuses.
+
+    Only the candidates to be re-ranked are collected, a few a query.
+    """
+
+    def grade(index: Index, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+        rows = candidates.select("query_id", "id", "rank").join(index.chunks.select("id", "text"), "id").join(queries, "query_id").orderBy("query_id", "rank").collect()
+        by_query: dict[str, list] = {}
+        for row in rows:
+            by_query.setdefault(row["query_id"], []).append(row)
+        made, numbered = [], []
+        for key, found in by_query.items():
+            passages = "\n\n".join(f"[{i}]\n{row['text']}" for i, row in enumerate(found, 1))
+            answer = call(f"Grade from 0 to 10 how well each passage answers the question.\n\nQuestion: {found[0]['query']}\n\n{passages}", GRADES_SCHEMA)
+            if answer is None:
+                raise Refused(f"no grades for {found[0]['query']!r}")
+            made.append((key, answer, len(found)))
+            numbered += [(key, i, row["id"]) for i, row in enumerate(found, 1)]
+        spark = queries.sparkSession
+        grades = parsed_grades(spark.createDataFrame(made, "query_id string, answer string, count int"))
+        return grades.join(spark.createDataFrame(numbered, "query_id string, passage int, id string"), ["query_id", "passage"]).select("query_id", "id", "grade")
+
+    return grade
+
+
 def scoped(index: Index, queries: DataFrame, pattern: str, k: int = 5, search: Callable[[Index, DataFrame, int], DataFrame] = bm25, exact: bool = False) -> DataFrame:
     """Search within a source filter, with statistics of the whole index.
 

@@ -326,3 +326,19 @@ def test_many_query_vectors_are_dealt_with_in_blocks(spark, monkeypatch):
     asked = spark.createDataFrame([(f"q{i}", [float(i), 1.0]) for i in range(7)], "query_id string, vector array<double>")
     assert retrieval.dense(vecs, asked, 2).groupBy("query_id").count().where("count = 2").count() == 7
     assert retrieval.dense(vecs, asked.limit(0), 2).count() == 0
+
+
+def test_model_grades(spark):
+    idx = Index.of(docs(spark, *CORPUS))
+    asked = queries(spark, "cats")
+    prompts = []
+
+    def call(prompt, schema):
+        prompts.append(prompt)
+        return '{"grades": [{"passage": 2, "grade": 9}, {"passage": 1, "grade": 3}]}'
+
+    first = retrieval.bm25(idx, asked, 2)
+    found = retrieval.retriever("bm25", idx, rerank=True, grade=retrieval.model_grades(call))(asked, 2).orderBy("rank").collect()
+    assert [r.id for r in found] == [r.id for r in first.orderBy(F.desc("rank")).collect()] and len(prompts) == 1 and "Question: cats" in prompts[0]
+    with pytest.raises(retrieval.Refused):
+        retrieval.model_grades(lambda prompt, schema: None)(idx, asked, first)
