@@ -26,7 +26,7 @@ Equal sets are one class from the start.  Within a bucket, every set is paired
 with the bucket's centre first, the set that shares most signatures.  What these
 links connect needs no further test.  Buckets that still hold several components
 are joined into clusters, and within a cluster only sets of different components
-are compared, block against block, by sketches; only pairs that sizes and
+are compared if their sizes are near, block against block, by sketches; only pairs that sizes and
 sketches cannot rule out become rows and are verified.  A group of a thousand
 copies thus costs about a thousand pairs a bucket, and no link between different
 components is lost.
@@ -319,16 +319,21 @@ def parities(tokens: np.ndarray) -> np.ndarray:
 def across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of members (node, label, cluster, n, value: a sketch) of one cluster and different labels that may link.
 
-    A cluster is dealt into blocks of about BLOCK sets, and each task compares
-    two blocks by sizes and sketches, so a cluster of any size is spread out,
-    sets needn't be shipped, and no pair becomes a row that these rule out.
+    Partners' sizes lie in one band or in two neighbouring ones, so only such
+    sets of a cluster meet.  Those are dealt into blocks of about BLOCK sets, and
+    each task compares two blocks by sizes and sketches, so a cluster of any
+    size is spread out, sets needn't be shipped, and no pair becomes a row that
+    these rule out.
     """
-    sized = members.join(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")), "cluster")
+    step = math.log(100 / percent) * (1 + 1e-6)  # a little wide, for rounded logarithms
+    band = F.floor(F.log("n") / F.lit(step))
+    members = members.withColumn("band", band).withColumn("bands", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("low", F.col("band") == F.col("bands"))
+    sized = members.join(members.groupBy("cluster", "bands").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")), ["cluster", "bands"])
     sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = sized.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "value")
+    dealt = sized.select("cluster", "bands", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "low", "node", "label", "n", "value")
 
     def run(group: pa.Table) -> pa.Table:
-        own, node, label, n = (group.column(c).to_numpy() for c in ("own", "node", "label", "n"))
+        own, node, label, n, lower = (group.column(c).to_numpy() for c in ("own", "node", "label", "n", "low"))
         values = group.column("value").combine_chunks()
         flat, ends = values.values.to_numpy().view(U), values.offsets.to_numpy()
         words = np.diff(ends)
@@ -342,7 +347,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             exact = words[some] == length
             for x in low.tolist():
                 y = high if i != j else high[node[some[high]] > node[some[x]]]
-                y = y[(label[some[y]] != label[some[x]]) & (exact[y] | exact[x])]
+                y = y[(label[some[y]] != label[some[x]]) & (exact[y] | exact[x]) & (lower[some[y]] | lower[some[x]])]
                 y = y[np.minimum(n[some[y]], n[some[x]]) * 100 >= np.maximum(n[some[y]], n[some[x]]) * percent] if len(y) else y
                 if len(y):
                     both = n[some[y]] + n[some[x]]
@@ -350,7 +355,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                     found += [(node[some[x]], node[some[z]]) for z in y[apart * (100 + percent) <= both * (100 - percent)].tolist()]
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long")
+    return dealt.groupBy("cluster", "bands", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

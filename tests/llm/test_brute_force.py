@@ -240,6 +240,19 @@ def test_jaccard(make, awkward, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
+def test_jaccard_compares_all_that_may_link_in_a_cluster(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([pool[:s], rng.integers(1, 2**63, rng.integers(0, 12), dtype=np.uint64)])) for s in rng.integers(30, 200, 60).tolist()]
+    rows = [(i, i % 7, 1, len(s), [int(v) for v in jaccard.parities(s).view(np.int64)]) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "node long, label long, cluster long, n long, value array<long>")
+    got = {tuple(sorted((r.u, r.v))) for r in jaccard.across(members, 80).collect()}
+    linked = {(a, b) for b in range(60) for a in range(b) if a % 7 != b % 7 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked <= got and len(linked) > 20
+
+
 def test_jaccard_keeps_one_of_each_group(make, awkward, clashing):
     docs = widened(make(awkward), clashing)
     kept = jaccard.keep_one(docs)
