@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
-from glosspan.operators.filters import is_open, under_path, under_url
+from glosspan.operators.filters import under_path, under_url
 from glosspan.operators.index import CHUNKS, Index
 from glosspan.sources import files, settings, web
 from glosspan.store import Store
@@ -68,7 +68,7 @@ class Engine:
         newest = self.store.newest()
         return Index.load(self.spark, newest, self.ports.tokenizer) if newest else Index(self.spark.createDataFrame([], CHUNKS), tokenizer=self.ports.tokenizer)
 
-    def _kept_files(self, gone=None) -> DataFrame | None:
+    def _kept_files(self) -> DataFrame | None:
         """The snapshot of watched files that the newest version holds."""
         newest = self.store.newest()
         if newest is None or not self.store.has(newest, "files"):
@@ -265,5 +265,3 @@ class Engine:
     def __len__(self) -> int:
         return self.index().totals()[0]
 
-
-__all__ = ["Engine", "Ports", "Report", "is_address", "is_open", "now"]

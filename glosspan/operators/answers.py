@@ -175,18 +175,21 @@ def extractive(question: str, passages: list[str], on_text: Callable[[str], None
     return "".join(pieces)
 
 
-def generated(question: str, results: DataFrame, generate: Callable = extractive, on_text: Callable[[str], None] | None = None) -> Generated:
+def generated(question: str, results: DataFrame, generate: Callable = extractive, on_text: Callable[[str], None] | None = None, history: list[dict[str, str]] | None = None) -> Generated:
     """What a generator makes of the top passages; without any, a fixed sentence and no call.
 
     A generator that takes ``on_text`` gives its text piece by piece; of another
-    one the whole text is passed on at once.
+    one the whole text is passed on at once.  One that takes ``history`` gets
+    the conversation's earlier turns.
     """
     passages = [row["text"] for row in results.orderBy("rank").select("text").collect()]  # the top k only
     if not passages:
         made, told = Generated(NOTHING_FOUND), False
     else:
-        told = on_text is not None and "on_text" in inspect.signature(generate).parameters
-        made = generate(question, passages, on_text=on_text) if told else generate(question, passages)
+        takes = inspect.signature(generate).parameters
+        told = on_text is not None and "on_text" in takes
+        more = ({"on_text": on_text} if told else {}) | ({"history": history} if history and "history" in takes else {})
+        made = generate(question, passages, **more)
         made = made if isinstance(made, Generated) else Generated(made)
     if on_text and not told:
         on_text(made.text)
@@ -226,15 +229,18 @@ class Chat:
     def __init__(self, search: Callable[[str], DataFrame], generate: Callable = extractive, most: int = 10):
         self.search, self.generate, self.most = search, generate, most
         self.turns: list[tuple[str, str]] = []
+        self.usage: Usage | None = None
 
     def history(self) -> list[dict[str, str]]:
         return [m for q, a in self.turns[-self.most :] for m in ({"role": "user", "content": f"Question: {q}"}, {"role": "assistant", "content": a})]
 
-    def ask(self, question: str) -> str:
-        text = answer(question, self.search(question), self.generate)
-        if text != NOTHING_FOUND:
-            self.turns.append((question, text))
-        return text
+    def ask(self, question: str, on_text: Callable[[str], None] | None = None) -> str:
+        """The answer; a turn without passages is no part of the conversation. ``usage`` is that of the last call."""
+        made = generated(question, self.search(question), self.generate, on_text, self.history())
+        self.usage = made.usage
+        if made.text != NOTHING_FOUND:
+            self.turns.append((question, made.text))
+        return made.text
 
     def reset(self) -> None:
         self.turns.clear()

@@ -42,6 +42,18 @@ def test_answers_have_usage_and_cost(engine):
     assert made.documents().first().source.endswith("install.md")
 
 
+def test_conversations(spark, engine):
+    seen = []
+
+    def talk(question, passages, history=None):
+        seen.append(history)
+        return answers.Generated("said [1]", answers.Usage("m", 1, 2))
+
+    chat = answers.Chat(engine.search, talk, 1)
+    assert [chat.ask(q) for q in ("container", "image", "zebra", "folder")] == ["said [1]", "said [1]", answers.NOTHING_FOUND, "said [1]"]
+    assert seen == [None, *([{"role": "user", "content": f"Question: {q}"}, {"role": "assistant", "content": "said [1]"}] for q in ("container", "image"))] and chat.usage.output_tokens == 2
+
+
 def test_answer_reports(engine):
     page = reports.answer(engine, "container image").content
     assert '<a href="#passage-1">[1]</a>' in page and "[9]" in page and "&lt;b&gt;" in page and "~$0.0030" in page and "<mark>image</mark>" in page
