@@ -14,7 +14,22 @@ BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of rows that go to Python at a time; rows are never split.
+ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of bounded size, unless the session has a bound of its own.
+
+    A plan runs after the function that made it has returned, so this is set for
+    the session.
+    """
+    if not spark.conf.get(ARROW, None):
+        spark.conf.set(ARROW, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,8 +63,6 @@ def run_dir(spark: SparkSession) -> str:
 _kept: set[str] = set()
 #: Spark then deletes a plan's shuffle files when its execution ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Bytes of rows that go to Python at a time; rows are never split.
-ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -61,15 +74,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    settings = {CLEANUP: "true", ARROW: ARROW_BYTES}
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
+    small_batches(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

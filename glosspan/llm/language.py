@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosspan.llm.arrow import slices, utf8
-from glosspan.llm.common import crc_mod, staged, table
+from glosspan.llm.common import crc_mod, small_batches, staged, table
 
 PER_LANGUAGE = 1500
 GRAMS = (3, 4, 5)
@@ -243,19 +243,24 @@ def learn(sample: DataFrame, sizes: dict[str, int]) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, keep: list[str] = ()) -> DataFrame:
-    """Columns ``keep`` of each row, then lang_pred, score and known."""
+    """Columns ``keep`` of each row, then lang_pred, score and known.
+
+    A kept ``text`` goes to Python once.
+    """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(filters)  # a table of slots, for each 64 languages
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            texts = batch.column("_text")
+            texts = batch.column(at)
             body, ends = utf8(texts)
             found = [held.value.predict(text.as_py(), body[ends[i] : ends[i + 1]]) for i, text in enumerate(texts)]
             columns = [batch.column(c) for c in range(len(keep))] + [pa.array([f[0] for f in found], pa.string()), *(pa.array([f[k] for f in found], pa.float64()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "known"])
 
     names = [f"c{i}" for i in range(len(keep))]
-    renamed = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("_text"))
+    at = list(keep).index("text") if "text" in keep else len(keep)
+    renamed = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *[F.col("text").alias("_text")] * (at == len(keep)))
     schema = T.StructType([*renamed.drop("_text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
     return renamed.mapInArrow(batches, schema).toDF(*keep, "lang_pred", "score", "known")
 
