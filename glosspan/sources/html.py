@@ -1,9 +1,17 @@
-"""HTML to Markdown-like text, whole pages or their main content, by an event-driven builder."""
+"""HTML to Markdown-like text, whole pages or their main content.
+
+Markup becomes a tree whose nodes know what they inherit: whether they are
+hidden, which heading or preformatted element they belong to, which scopes they
+lie in.  The texts of the tree are then chosen by scope and fall into blocks:
+all of a heading, all of a preformatted element, or what lies between two line
+breaks.
+"""
 
 from __future__ import annotations
 
+import itertools
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,155 +23,139 @@ LEVELS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 INVISIBLE = frozenset({"script", "style", "noscript", "template", "svg", "iframe", "object"})
 CHROME = frozenset({"nav", "header", "footer", "aside", "form", "dialog"})
 LINES = frozenset(
-    "address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form header hr li main nav ol p section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form header hr li main nav ol p section summary table tbody tfoot thead tr ul".split()
 )
 CELLS = frozenset({"td", "th"})
-_HEADING_LIKE = re.compile(r"#{1,6}[ \t]")
+EMPTY = frozenset({"br", "hr"})
+SCOPES = ("main", "article")
 
 
 def squeezed(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
-
-
-def guarded(line: str) -> str:
-    """A paragraph that would read as a heading gets a backslash."""
-    return "\\" + line if _HEADING_LIKE.match(line) else line
+    return " ".join(text.split())
 
 
-@dataclass
-class Page:
-    """What a parse leaves: blocks of text, the title, and which scopes the page has."""
+def block(text: str, level: int = 0) -> str:
+    """A heading of that level, or a paragraph; one that would read as a heading gets a backslash."""
+    if level:
+        return f"{'#' * level} {text}" if text else ""
+    marks = len(text) - len(text.lstrip("#"))
+    return "\\" + text if 1 <= marks <= 6 and text[marks : marks + 1] in (" ", "\t") else text
 
-    blocks: list[str] = field(default_factory=list)
-    title: str = ""
-    scopes: set[str] = field(default_factory=set)
 
-    @property
-    def text(self) -> str:
-        return "\n\n".join(self.blocks)
+@dataclass(eq=False)
+class Node:
+    """An element with what it takes over from those around it."""
 
+    tag: str
+    hidden: bool = False
+    title: bool = False
+    #: The outermost heading or preformatted element.
+    whole: Node | None = None
+    scopes: frozenset[str] = frozenset()
 
-#: What an element does, by tag; the hidden ones and the scope come on top per parse.
-ROLES = {tag: "line" for tag in LINES} | {tag: "cell" for tag in CELLS} | {tag: "heading" for tag in LEVELS} | {"title": "title", "pre": "pre"}
+    def child(self, tag: str, unseen: frozenset[str]) -> Node:
+        hidden = self.hidden or tag in unseen
+        node = Node(tag, hidden, self.title or tag == "title", self.whole, self.scopes | {tag} if tag in SCOPES else self.scopes)
+        if self.whole is None and (tag in LEVELS or tag == "pre"):
+            node.whole = node
+        return node
 
 
-class Builder(HTMLParser):
-    """Folds parser events into a Page through one small method per role and side.
+class Tree(HTMLParser):
+    """Collects (node, line, text) for every text, in order.
 
-    Text gathers in ``buffer`` until something ends the line.  Within a heading
-    or ``pre`` nothing else ends it.
+    An end tag closes the nearest open element of its name and all within it;
+    from within a hidden element it reaches no further than that element.
     """
 
-    def __init__(self, hidden: frozenset[str], scope: str | None = None):
+    def __init__(self, markup: str, unseen: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.roles = ROLES | dict.fromkeys(hidden, "hidden") | ({scope: "scope"} if scope else {})
-        self.page = Page()
-        self.buffer = ""
-        self.depth = dict.fromkeys(("hidden", "scope", "pre"), 0)
-        self.depth["scope"] = 0 if scope else 1
-        self.level, self.in_title = 0, False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("main", "article"):
-            self.page.scopes.add(tag)
-        getattr(self, f"enter_{self.roles.get(tag)}", self.nothing)(tag)
-
-    def handle_endtag(self, tag):
-        getattr(self, f"leave_{self.roles.get(tag)}", self.nothing)(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        if tag in LINES:
-            self.line()
-
-    def handle_data(self, data):
-        if self.depth["hidden"]:
+        self.unseen = unseen
+        self.open = [Node("")]
+        self.places: dict[str, list[int]] = {}
+        self.texts: list[tuple[Node, int, str]] = []
+        self.line = 0
+        self.scopes: set[str] = set()
+        self.feed(markup)
+        self.close()
+
+    def broken(self, tag: str) -> None:
+        if tag in LINES and tag not in self.unseen:
+            self.line += 1
+
+    def text(self, data: str) -> None:
+        self.texts.append((self.open[-1], self.line, data))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in SCOPES:
+            self.scopes.add(tag)
+        self.broken(tag)
+        if tag in EMPTY:
             return
-        if self.in_title:
-            self.page.title = squeezed(f"{self.page.title} {data}")
-        elif self.depth["scope"]:
-            self.buffer += data
-
-    def nothing(self, tag=None):
-        pass
-
-    def taken(self) -> str:
-        text, self.buffer = self.buffer, ""
-        return text
-
-    def line(self, tag=None):
-        if not self.depth["pre"] and not self.level and (text := squeezed(self.taken())):
-            self.page.blocks.append(guarded(text))
-
-    enter_line = leave_line = line
-
-    def counted(self, name: str, by: int):
-        self.depth[name] = max(0, self.depth[name] + by)
-
-    def enter_hidden(self, tag):
-        self.counted("hidden", 1)
-
-    def leave_hidden(self, tag):
-        self.counted("hidden", -1)
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(self.open[-1].child(tag, self.unseen))
+        if tag in CELLS:
+            self.text(" ")
+        elif tag == "pre":
+            self.text("")
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.broken(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        place = self.places.get(tag)
+        if place and (not self.open[-1].hidden or self.open[place[-1]].hidden):
+            while len(self.open) > place[-1]:
+                gone = self.open.pop()
+                at = self.places[gone.tag]
+                if at[-1] == len(self.open):
+                    at.pop()
+                    if gone.tag == tag:
+                        break
+        self.broken(tag)
+
+    def handle_data(self, data: str) -> None:
+        self.text(data)
 
-    def enter_scope(self, tag):
-        self.line()
-        self.counted("scope", 1)
 
-    def leave_scope(self, tag):
-        self.line()
-        self.counted("scope", -1)
-
-    def enter_title(self, tag):
-        self.in_title = True
-
-    def leave_title(self, tag):
-        self.in_title = False
-
-    def enter_cell(self, tag):
-        self.buffer += " "
-
-    def enter_heading(self, tag):
-        self.line()
-        self.level = LEVELS[tag]
-
-    def leave_heading(self, tag):
-        if self.level:
-            if text := squeezed(self.taken()):
-                self.page.blocks.append("#" * self.level + " " + text)
-            self.level = 0
-
-    def enter_pre(self, tag):
-        self.line()
-        self.counted("pre", 1)
-
-    def leave_pre(self, tag):
-        if self.depth["pre"]:
-            self.counted("pre", -1)
-            code = self.taken().strip("\n")
-            self.page.blocks.append(f"```\n{code}\n```")
-
-
-def parsed(html: str, hidden: frozenset[str] = INVISIBLE, scope: str | None = None) -> Page:
-    builder = Builder(hidden, scope)
-    builder.feed(html)
-    builder.close()
-    builder.line()
-    return builder.page
+@dataclass
+class Page:
+    text: str
+    title: str
+
+
+def blocks(texts: list[tuple[Node, int, str]], scope: str | None = None) -> list[str]:
+    """The blocks of the texts that can be seen in the scope."""
+    shown = [(node.whole or line, data) for node, line, data in texts if not (node.hidden or node.title) and (scope is None or scope in node.scopes)]
+    out = []
+    for whole, run in itertools.groupby(shown, key=lambda pair: pair[0]):
+        text = "".join(data for _, data in run)
+        if not isinstance(whole, Node):
+            out.append(block(squeezed(text)))
+        elif whole.tag == "pre":
+            code = text.strip("\n")
+            out.append(f"```\n{code}\n```")
+        else:
+            out.append(block(squeezed(text), LEVELS[whole.tag]))
+    return [found for found in out if found]
+
+
+def page(markup: str, unseen: frozenset[str], scopes: tuple[str, ...] = ()) -> Page:
+    """The first of the scopes that the page has, if there is text in it, else everything."""
+    tree = Tree(markup, unseen)
+    scope = next((s for s in scopes if s in tree.scopes), None)
+    found = (scope and blocks(tree.texts, scope)) or blocks(tree.texts)
+    title = squeezed(" ".join(data for node, _, data in tree.texts if node.title and not node.hidden))
+    return Page("\n\n".join(found), title)
 
 
 def whole(html: str) -> Page:
-    return parsed(html)
+    return page(html, INVISIBLE)
 
 
 def main_content(html: str) -> Page:
     """The main element's text, else the articles', else the page's, without its chrome."""
-    hidden = INVISIBLE | CHROME
-    everything = parsed(html, hidden)
-    for scope in ("main", "article"):
-        if scope in everything.scopes:
-            inside = parsed(html, hidden, scope)
-            return inside if inside.text else everything
-    return everything
+    return page(html, INVISIBLE | CHROME, SCOPES)
 
 
 def to_text(rows: DataFrame, column: str = "html", main: bool = True) -> DataFrame:
