@@ -51,7 +51,7 @@ SEED = 42
 SLICE = 1 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 NO_WORD = re.compile(rb"[^0-9a-z\x80-\xff]")
-BLOCK = "doc_id array<long>, n_words array<long>, start array<long>, bucket array<short>, n array<int>"
+BLOCK = "doc_id array<long>, n_words array<long>, start array<long>, bucket binary, n binary"
 
 
 def _byte_table() -> np.ndarray:
@@ -161,14 +161,29 @@ def counted(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.n
     return sizes, np.searchsorted(keys, np.arange(len(texts) + 1) * BUCKETS), keys % BUCKETS, counts
 
 
+def packed(starts: np.ndarray, of: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Buckets as steps from the one before in their row, and counts in as few bytes each as the largest needs."""
+    steps = np.diff(of, prepend=0)
+    first = starts[:-1][np.diff(starts) > 0]
+    steps[first] = of[first]
+    return steps.astype("<u2").tobytes(), counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def unpacked(starts: np.ndarray, bucket: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.frombuffer(bucket, "<u2").astype(np.int64)
+    ahead = np.concatenate([[0], np.cumsum(steps)])
+    of = ahead[1:] - np.repeat(ahead[starts[:-1]], np.diff(starts))
+    return of, np.frombuffer(n, f"u{len(n) // max(len(of), 1) or 1}").astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, types = zip(*((f, pa.list_(t)) for f, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("start", pa.int64()), ("bucket", pa.int16()), ("n", pa.int32()))), strict=True)
+    names, types = ["doc_id", "n_words", "start", "bucket", "n"], [*[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
     for batch in batches:
         body, offsets = utf8(batch.column(1))
         for i, j in slices(offsets, SLICE):
             sizes, starts, of, counts = counted([body[offsets[r] : offsets[r + 1]].tobytes().lower() for r in range(i, j)])
-            columns = [batch.column(0).slice(i, j - i).to_pylist(), sizes, starts, of.astype(np.int16), counts.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, types, strict=True)], list(names))
+            columns = [batch.column(0).slice(i, j - i).to_pylist(), sizes, starts, *packed(starts, of, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def matrix(docs: DataFrame, label: str = "counts") -> DataFrame:
@@ -176,22 +191,27 @@ def matrix(docs: DataFrame, label: str = "counts") -> DataFrame:
     return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, BLOCK), label)
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_id, words, row starts, buckets, counts) of each block."""
+    for i in range(batch.num_rows):
+        ids, words, starts, bucket, n = (batch.column(k)[i] for k in range(5))
+        starts = starts.values.to_numpy()
+        yield ids.values.to_pylist(), words.values.to_numpy(), starts, *unpacked(starts, bucket.as_py(), n.as_py())
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        # Sums of doubles stay exact far beyond what one batch can hold.
-        total += np.bincount(_flat(batch, "bucket"), _flat(batch, "n"), BUCKETS).astype(np.int64)
+        for *_, of, n in _rows(batch):
+            # Sums of doubles stay exact far beyond what one block can hold.
+            total += np.bincount(of, n, BUCKETS).astype(np.int64)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
 
 
 def column_sums(blocks: DataFrame) -> np.ndarray:
     """How often each bucket occurs in the whole matrix."""
-    partial = blocks.select("bucket", "n").mapInArrow(_sums, "bucket int, n long")
+    partial = blocks.mapInArrow(_sums, "bucket int, n long")
     out = np.zeros(BUCKETS, np.int64)
     for row in partial.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[row["bucket"]] = row["n"]
@@ -215,18 +235,12 @@ def weights(blocks: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).flatten().to_pylist()
-            words = _flat(batch, "n_words")
-            ahead = np.concatenate([[0], np.cumsum(gain[_flat(batch, "bucket")] * _flat(batch, "n"))])
-            # Row starts count within their block; a block has one start more than rows.
-            sizes = np.diff(batch.column(2).offsets.to_numpy())
-            base = np.concatenate([[0], np.cumsum(np.diff(batch.column(3).offsets.to_numpy()))])[:-1]
-            start = _flat(batch, "start") + np.repeat(base, sizes)
-            last = np.cumsum(sizes) - 1
-            weight = ahead[np.delete(start, last - sizes + 1)] - ahead[np.delete(start, last)]
-            features = sum(np.maximum(words - k, 0) for k in range(MOST_WORDS))
-            score = weight + np.fromiter((gumbel(i, seed) for i in ids), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words), pa.array(features), pa.array(weight), pa.array(score)], ["doc_id", "n_words", "n_features", "weight", "score"])
+            for ids, words, starts, of, n in _rows(batch):
+                ahead = np.concatenate([[0], np.cumsum(gain[of] * n)])
+                weight = ahead[starts[1:]] - ahead[starts[:-1]]
+                features = sum(np.maximum(words - k, 0) for k in range(MOST_WORDS))
+                score = weight + np.fromiter((gumbel(i, seed) for i in ids), np.int64, len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words), pa.array(features), pa.array(weight), pa.array(score)], ["doc_id", "n_words", "n_features", "weight", "score"])
 
     return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long, score long")
 
