@@ -29,22 +29,38 @@ def chunked(documents: DataFrame, chunker: Callable[..., DataFrame] = chunking.w
 def postings(chunks: DataFrame, tokenizer: Tokenizer = DEFAULT) -> DataFrame:
     """(id, source, seq, position, term, tf, length): one row per chunk and term.
 
-    A chunk is one row of bounded size, so its terms are counted inside it and
-    nothing is shuffled.
+    Tokens are counted by a hash aggregate; a chunk's tokens are in one task,
+    so what is shuffled is already counted.
     """
     listed = chunks.select("id", "source", "seq", "position", tokenizer.terms_of("text").alias("terms"))
-    counted = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), (F.size("terms") - F.size(F.array_remove("terms", t))).cast("long").alias("tf")))
-    rows = listed.select("id", "source", "seq", "position", F.size("terms").cast("long").alias("length"), F.explode(counted).alias("t"))
-    return rows.select("id", "source", "seq", "position", "t.term", "t.tf", "length")
+    tokens = listed.select("id", "source", "seq", "position", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
+    counted = tokens.groupBy("id", "source", "seq", "position", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.select("id", "source", "seq", "position", "term", "tf", "length")
+
+
+#: A term's postings are bounded block by block; a block is the chunks whose id begins alike.
+BLOCK_DIGITS = 2
+
+
+def block() -> Column:
+    return F.substring(F.col("id"), 1, BLOCK_DIGITS).alias("block")
+
+
+def bounds(terms: DataFrame) -> DataFrame:
+    """(term, block, n, most_tf, least_length): what no posting of a block exceeds, whatever the mean length becomes."""
+    return terms.groupBy("term", block()).agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
 
 
 class Index:
     """Chunks and postings; every change gives a new index."""
 
-    def __init__(self, chunks: DataFrame, terms: DataFrame | None = None, tokenizer: Tokenizer = DEFAULT, totals: tuple[int, float] | None = None, sources: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, terms: DataFrame | None = None, tokenizer: Tokenizer = DEFAULT, totals: tuple[int, float] | None = None, sources: DataFrame | None = None, blocks: DataFrame | None = None):
         self.chunks, self.tokenizer = chunks, tokenizer
+        self._derived = terms is None
         self.postings = postings(chunks, tokenizer) if terms is None else terms
         self._totals, self._sources = totals, sources
+        #: Saved bounds, of which the counts add up to each term's number of chunks; None where rows have gone since.
+        self.blocks = blocks
 
     @classmethod
     def of(cls, documents: DataFrame, tokenizer: Tokenizer = DEFAULT, **options) -> Index:
@@ -108,29 +124,29 @@ class Index:
         return self._with(rest.unionByName(new), kept.unionByName(postings(new, self.tokenizer)))
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        """Chunks, sources, totals and postings as Parquet; postings in term order, so that a search skips row groups.
+        """Chunks, postings, bounds, sources and totals as Parquet; postings in term order, so that a search skips row groups.
 
         Ranges are cut by term and chunk, so the commonest term is no single
-        task's; postings are written before they are sorted, since the sort's
-        sample would compute them twice.
+        task's.  Counting tokens ends in a shuffle, whose files the ranges'
+        sample and the sort both read.
         """
         spark = self.chunks.sparkSession
         self.chunks.write.mode(mode).parquet(f"{path}/chunks")
         kept = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-        Index(kept, self.postings).sources().write.mode(mode).parquet(f"{path}/sources")
-        self.postings.write.mode(mode).parquet(f"{path}/unsorted")
-        rows = spark.read.parquet(f"{path}/unsorted")
+        rows = postings(kept, self.tokenizer) if self._derived else self.postings
         rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
-        totals = kept.agg(F.count(F.lit(1)).alias("chunks")).crossJoin(rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms")))
+        terms = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+        bounds(terms).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode(mode).parquet(f"{path}/blocks")
+        by_source = Index(kept, terms).sources().join(terms.groupBy("source").agg(F.sum("tf").alias("terms")), "source", "left")
+        by_source.select("source", "content_hash", "seq", "chunks", F.coalesce("terms", F.lit(0)).cast("long").alias("terms")).write.mode(mode).parquet(f"{path}/sources")
+        totals = spark.read.parquet(f"{path}/sources").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"))
         totals.write.mode(mode).parquet(f"{path}/totals")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer = DEFAULT) -> Index:
         n, terms = spark.read.parquet(f"{path}/totals").first()
-        sources = spark.read.parquet(f"{path}/sources")
-        return cls(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"), tokenizer, (n, terms / n if n else 0.0), sources)
+        sources, blocks = spark.read.parquet(f"{path}/sources"), spark.read.parquet(f"{path}/blocks")
+        return cls(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"), tokenizer, (n, terms / n if n else 0.0), sources, blocks)
 
     def export_json(self, path: str) -> None:
         """One JSON object per chunk."""

@@ -6,15 +6,20 @@ rank).  Any number of queries runs as one job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glosspan.functions.text import DEFAULT, Tokenizer, cosine, highlights, idf, matched_terms, tf_norm
+from glosspan.functions.text import DEFAULT, Tokenizer, highlights, idf, matched_terms, tf_norm
 from glosspan.operators.filters import in_scope, is_open
-from glosspan.operators.index import Index
+from glosspan.operators.index import Index, block, bounds
 
 RRF_K, RRF_DEPTH, RERANK_DEPTH = 60, 50, 20
 
@@ -35,25 +40,102 @@ def asked(index: Index, **queries: str) -> DataFrame:
     return index.chunks.sparkSession.createDataFrame(list(queries.items()), "query_id string, query string")
 
 
-def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """Every chunk with a query term: query_id, id, seq, position, score, contributions (largest first).
+def term_weights(index: Index, wanted: DataFrame) -> DataFrame:
+    """(query_id, term, weight): times asked, times the inverse frequency in the whole index.
 
-    The score is the fold of the sorted contributions, so equal texts get equal sums.
+    The number of chunks a term is in comes from the saved bounds where they
+    are exact, so postings are not read for it.
     """
-    n, average = index.totals()
-    wanted = query_terms(queries, index.tokenizer)
-    # Document frequencies of query terms only; the term filter reaches the postings' scan.
-    hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = wanted.join(df, "term").select("query_id", "term", (F.col("times") * idf(F.lit(float(n)), F.col("df"))).alias("weight"))
+    n, _ = index.totals()
+    asked_for = wanted.select("term").distinct()
+    if index.blocks is not None:
+        df = index.blocks.join(asked_for, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    else:
+        df = index.postings.join(asked_for, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return wanted.join(df, "term").select("query_id", "term", (F.col("times") * idf(F.lit(float(n)), F.col("df"))).alias("weight"))
+
+
+def _scored(hits: DataFrame, weights: DataFrame, on: list[str], average: float) -> DataFrame:
+    """The fold of each chunk's sorted contributions, so equal texts get equal sums."""
     share = F.col("weight") * tf_norm(F.col("tf"), F.col("length"), F.lit(average or 1.0))
-    parts = hits.join(weights, "term").select("query_id", "id", "source", *PLACE, "term", share.alias("share"))
+    parts = hits.join(weights, on).select("query_id", "id", "source", *PLACE, "term", share.alias("share"))
     best = parts.groupBy("query_id", "id", "source", *PLACE).agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("minus"), "term"))).alias("parts"))
     score = F.aggregate("parts", F.lit(0.0), lambda s, p: s - p["minus"])
     contributions = F.transform("parts", lambda p: F.struct(p["term"].alias("term"), (-p["minus"]).alias("score")))
     return best.select("query_id", "id", "source", *PLACE, score.alias("score"), contributions.alias("contributions"))
 
 
+def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
+    """Every chunk with a query term: query_id, id, seq, position, score, contributions (largest first)."""
+    weights = term_weights(index, query_terms(queries, index.tokenizer))
+    hits = index.postings.join(weights.select("term").distinct(), "term", "left_semi")
+    return _scored(hits, weights, ["term"], index.totals()[1])
+
+
+#: What a sum of rounded shares may be off; a bound must be lower than the threshold by more.
+SLACK = 1e-6
+
+
+@dataclass
+class Bounded:
+    """The parts of a search by upper bounds, so that what each reads can be counted."""
+
+    #: Postings of each query's dearest terms, which give the threshold.
+    first: DataFrame
+    #: (query_id, theta): no chunk below it is among the best k.
+    thresholds: DataFrame
+    #: Postings of blocks that may hold one of the best.
+    opened: DataFrame
+    #: All postings of the chunks met there, by query.
+    hits: DataFrame
+    scores: DataFrame
+
+    def rows_read(self) -> int:
+        return self.first.count() + self.opened.count() + self.hits.count()
+
+
+def bm25_bounded_scores(index: Index, queries: DataFrame, k: int = 5) -> Bounded:
+    """Scores of all chunks that can be among the best ``k`` of a query, found by upper bounds.
+
+    A share is at most what the largest count and the least length of its block
+    (or term) allow.  The k-th best share of a query's dearest term is a
+    threshold that the k-th best score reaches; a block is opened only if its
+    bound and those of the query's other terms reach it together.  Terms whose
+    bounds together stay below it open no block: they only add to chunks found
+    by the others.
+    """
+    average = index.totals()[1] or 1.0
+    blocks = index.blocks if index.blocks is not None else bounds(index.postings)
+    weights = term_weights(index, query_terms(queries, index.tokenizer))
+    limit = lambda: F.col("weight") * tf_norm(F.col("most_tf"), F.col("least_length"), F.lit(average))
+    met = blocks.join(weights, "term").select("query_id", "term", "block", "n", "weight", limit().alias("bound"))
+    terms = met.groupBy("query_id", "term", "weight").agg(F.max("bound").alias("bound"), F.sum("n").alias("df"))
+    by = W.partitionBy("query_id")
+    terms = terms.withColumn("place", F.row_number().over(by.orderBy(F.desc("bound"), "term"))).withColumn("total", F.sum("bound").over(by))
+    terms = terms.withColumn("below", F.sum("bound").over(by.orderBy("bound", F.desc("term")).rowsBetween(W.unboundedPreceding, 0)))
+
+    lead = terms.where("place = 1")
+    first = index.postings.join(lead.select("query_id", "term", "weight"), "term").withColumn("share", F.col("weight") * tf_norm(F.col("tf"), F.col("length"), F.lit(average)))
+    best = first.select("query_id", "share").withColumn("rank", F.row_number().over(by.orderBy(F.desc("share")))).where(F.col("rank") <= k)
+    thresholds = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("share")).otherwise(0.0).alias("theta"))
+
+    known = terms.join(thresholds, "query_id").withColumn("rest", F.col("total") - F.col("bound"))
+    open_terms = known.where(F.col("below") >= F.col("theta") - SLACK).select("query_id", "term", "rest", "theta")
+    open_blocks = met.join(open_terms, ["query_id", "term"]).where(F.col("bound") + F.col("rest") >= F.col("theta") - SLACK).select("query_id", "term", "block")
+    placed = index.postings.withColumn("block", block())
+    opened = placed.join(open_blocks, ["term", "block"]).select("query_id", "id", "block")
+    found = opened.distinct()
+    lookups = met.select("query_id", "term", "block", "weight").join(found.select("query_id", "block").distinct(), ["query_id", "block"], "left_semi")
+    hits = placed.join(lookups, ["term", "block"]).join(found.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    scores = _scored(hits.drop("weight"), weights, ["query_id", "term"], average)
+    return Bounded(first, thresholds, opened, hits, scores)
+
+
+def bm25_bounded(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+    """:func:`bm25`, opening only blocks that can matter."""
+    return ranked(bm25_bounded_scores(index, queries, k).scores, k)
+
+
 def ranked(scores: DataFrame, k: int, *order: str) -> DataFrame:
     """The best ``k`` of each query; scores equal to nine places keep the order of the columns, by default PLACE as far as it is there."""
     by = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), *(order or [c for c in PLACE if c in scores.columns]))
@@ -64,34 +146,75 @@ def bm25(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked(bm25_scores(index, queries), k)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of every vector (id, seq, vector) with every query (query_id, vector), above 0.
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The best ``k`` by cosine above 0 of vectors (id, seq, vector) for each query (query_id, vector).
 
-    The queries are stated by the caller: as many as VECTOR_BYTES hold are gathered
-    in one array that every task gets, block after block, and each task walks
-    its vectors against it; no join is made.
+    The queries are stated by the caller; as many as VECTOR_BYTES hold are sent
+    to every task and meet each batch of vectors as one matrix product.  A task
+    keeps the best ``k`` a query of all it has seen, so k rows a query and task
+    are shuffled and ranked.  Vectors without a length, or of another number of
+    components, have no cosine.
     """
+    spark = vectors.sparkSession
+    columns = [c for c in vectors.columns if c not in ("vector", "query_id", "score", "rank")]
+    schema = ", ".join(["query_id string", *(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in columns), "score double"])
     stated = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    out, held, size = None, [], 0
-
-    def block(rows: list) -> DataFrame:
-        each = queries.sparkSession.createDataFrame([(rows,)], "all array<struct<query_id:string,q:array<double>>>")
-        met = vectors.join(F.broadcast(each)).select(*vectors.columns, F.explode("all").alias("a"))  # one row
-        scored = met.select("a.query_id", *[c for c in vectors.columns if c != "vector"], cosine("vector", "a.q").alias("score"))
-        return scored.where("score > 0")
-
-    for row in stated.toLocalIterator():
-        held.append((row["query_id"], row["q"]))
-        size += 8 * len(row["q"] or []) + 64
-        if size >= VECTOR_BYTES:
-            out = block(held) if out is None else out.unionByName(block(held))
-            held, size = [], 0
-    last = block(held)
-    return last if out is None else out.unionByName(last)
-
-
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return ranked(dense_scores(vectors, queries), k)
+    count, width = stated.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    if not count:
+        return ranked(spark.createDataFrame([], schema), k)
+    blocks = -(-count * (8 * width + 64) // VECTOR_BYTES)
+    rows = vectors.select(*columns, F.col("vector").cast("array<double>").alias("vector"))
+    parts = []
+    for number in range(blocks):
+        held = stated.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else stated
+        asked_for = [(r["query_id"], r["q"]) for r in held.collect() if r["q"] and None not in r["q"]]
+        if asked_for:
+            sent = spark.sparkContext.broadcast(asked_for)
+            parts.append(rows.mapInArrow(_best_of(sent, columns, k), schema))
+    return ranked(functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema), k)
+
+
+def _best_of(sent, columns: list[str], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Maps batches of vectors to the best ``k`` rows for each of the queries sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_width: dict[int, list[tuple[str, list[float]]]] = {}
+        for query in sent.value:
+            by_width.setdefault(len(query[1]), []).append(query)
+        best: dict[int, pa.Table] = {}
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(len(columns))), 0).to_numpy(zero_copy_only=False)
+            for width, asked_for in by_width.items():
+                some = batch.filter(pa.array(lengths == width))
+                if not some.num_rows:
+                    continue
+                x = some.column(len(columns)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                q = np.array([v for _, v in asked_for])
+                with np.errstate(all="ignore"):
+                    score = (x @ q.T) / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] / np.sqrt(np.einsum("ij,ij->i", q, q))
+                    score = np.where(score > 0, score, -1.0)
+                least = np.partition(score, -k, axis=0)[-k] if len(x) > k else np.zeros(len(q))
+                # Near ties of the k-th stay until they are put in order.
+                at, of = np.nonzero((score > 0) & (score >= least - 1e-8))
+                found = pa.Table.from_batches([some.select(columns)]).take(pa.array(at))
+                found = found.append_column("_q", pa.array(of)).append_column("score", pa.array(score[at, of]))
+                best[width] = _first(pa.concat_tables([best[width], found]) if width in best else found, k)
+        for width, table in best.items():
+            names = pa.array([name for name, _ in by_width[width]], pa.string()).take(table["_q"].combine_chunks())
+            yield from pa.Table.from_arrays([names, *(table[c] for c in columns), table["score"]], ["query_id", *columns, "score"]).combine_chunks().to_batches()
+
+    return run
+
+
+def _first(table: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows of each query, as :func:`ranked` orders them."""
+    place = [c for c in PLACE if c in table.column_names]
+    table = table.append_column("_minus", pa.array(-np.round(table["score"].to_numpy(), 9)))
+    table = table.sort_by([(c, "ascending") for c in ("_q", "_minus", *place)])
+    of = table["_q"].to_numpy()
+    begins = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
+    rank = np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+    return table.drop_columns("_minus").filter(pa.array(rank < k)) if len(of) else table.drop_columns("_minus")
 
 
 def fused(rankings: list[DataFrame], k: int = 5, rrf_k: int = RRF_K) -> DataFrame:
@@ -163,18 +286,51 @@ def model_grades(call: Callable[[str, dict], str | None]) -> Callable[[Index, Da
     return grade
 
 
+#: Steps of score that a ranking is cut by before its exact order matters.
+BINS = 1024
+
+
+def within_depth(scores: DataFrame, depth: int, condition: Column, *order: str) -> DataFrame:
+    """The rows that meet a condition and are among the first ``depth`` of all rows of their query.
+
+    A histogram of scores finds the step that the depth-th row lies in: rows of
+    higher steps are within, of lower ones not, and only that one step is put in
+    order.
+    """
+    by = order or [c for c in PLACE if c in scores.columns]
+    scores = scores.withColumn("_r", F.round("score", 9))
+    top = scores.groupBy("query_id").agg(F.max("_r").alias("_hi"), F.min("_r").alias("_lo"))
+    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))
+    steps = scores.join(F.broadcast(top), "query_id").withColumn("_step", F.least(F.floor((F.col("_hi") - F.col("_r")) / span * BINS), F.lit(BINS - 1)))
+    counts = steps.groupBy("query_id", "_step").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy("query_id").orderBy("_step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_ahead", ahead).where(F.col("_ahead") < depth).drop("_n")
+    # At most BINS rows a query.
+    near = steps.join(F.broadcast(counts.withColumn("_last", F.max("_step").over(W.partitionBy("query_id")))), ["query_id", "_step"])
+    sure = near.where((F.col("_step") < F.col("_last")) & condition)
+    edge = near.where(F.col("_step") == F.col("_last"))
+    edge = edge.withColumn("_k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("_r"), *by)) + F.col("_ahead"))
+    edge = edge.where((F.col("_k") <= depth) & condition).drop("_k")
+    return sure.unionByName(edge).drop("_hi", "_lo", "_r", "_step", "_ahead", "_last")
+
+
 def scoped(index: Index, queries: DataFrame, pattern: str, k: int = 5, search: Callable[[Index, DataFrame, int], DataFrame] = bm25, exact: bool = False) -> DataFrame:
     """Search within a source filter, with statistics of the whole index.
 
-    As many candidates are ranked as the filter's selectivity asks for, then
-    filtered and cut, so fewer than ``k`` may come back; ``exact`` filters
-    before the cut instead.
+    As many candidates count as the filter's selectivity asks for, so fewer than
+    ``k`` may come back; with ``exact``, all in scope count.  BM25 hits are
+    filtered before they are ranked, and the depth is found without ranking what
+    is out of scope; another ``search`` is asked for its candidates.
     """
     if is_open(pattern):
         return search(index, queries, k)
     total = index.totals()[0]
     kept = index.sources().where(in_scope(pattern)).agg(F.sum("chunks")).first()[0] or 0
     depth = min(total, -(-k * total // kept)) if kept else 0
+    if search is bm25:
+        scores = bm25_scores(index, queries)
+        found = scores.where(in_scope(pattern)) if exact or depth >= total else within_depth(scores, depth, in_scope(pattern))
+        return ranked(found, k)
     found = search(index, queries, total if exact else depth)
     return ranked(found.drop("rank").where(in_scope(pattern)), k)
 

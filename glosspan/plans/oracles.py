@@ -102,6 +102,9 @@ words AS (SELECT id, lower(w) AS w, i FROM (SELECT id, unnest(ws) AS w, generate
 met AS (SELECT id, string_agg(w, ',' ORDER BY i) AS matched_terms FROM (SELECT id, w, min(i) AS i FROM words WHERE w IN (SELECT term FROM qt) GROUP BY ALL) GROUP BY 1)
 SELECT rank::INT AS rank, id, source, round(score, 6) AS score, matched_terms FROM ranks JOIN met USING (id) WHERE rank <= 10""",
     "bm25_batch": f"{_bm25(_ITEMS)} SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM ranks WHERE rank <= 5",
+    "bm25_bounded": f"{_bm25(_ITEMS)} SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM ranks WHERE rank <= 5",
+    "scoped_exact": f"{_bm25(_ITEMS)} SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS rank, id, round(score, 6) AS score FROM ranks WHERE contains('/' || lower(source) || '/', '/src3/en/')) WHERE rank <= 5",
+    "dense_batch": "SELECT * FROM (SELECT q.vec_id::VARCHAR AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(score, 9) DESC, id)::INT AS rank, id, round(score, 6) AS score FROM (SELECT q.vec_id AS q, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q) JOIN embeddings q ON q.vec_id = q WHERE score > 0) WHERE rank <= 5",
     "bm25_explain": f"{_bm25()} SELECT r.rank::INT AS rank, id, (row_number() OVER (PARTITION BY id ORDER BY share DESC, term) - 1)::INT AS place, term, round(share, 6) AS share FROM shares JOIN ranks r USING (query_id, id) WHERE r.rank <= 10",
     "bm25_scoped_type": _scoped("ends_with(lower(source), '.txt')"),
     "bm25_scoped_folder": _scoped("contains('/' || lower(source) || '/', '/src3/en/')"),

@@ -74,6 +74,24 @@ def bm25_batch(spark, sf):
     return retrieval.bm25(index(spark, sf), benchmark_queries(spark, sf), 5).select("query_id", "rank", "id", r6("score").alias("score"))
 
 
+def bm25_bounded(spark, sf):
+    """The same as bm25_batch, opening only blocks of postings whose bounds reach the threshold."""
+    return retrieval.bm25_bounded(index(spark, sf), benchmark_queries(spark, sf), 5).select("query_id", "rank", "id", r6("score").alias("score"))
+
+
+def scoped_exact(spark, sf):
+    """All benchmark items as queries among the documents of one folder."""
+    found = retrieval.scoped(index(spark, sf), benchmark_queries(spark, sf), "src3/en", 5, exact=True)
+    return found.select("query_id", "rank", "id", r6("score").alias("score"))
+
+
+def dense_batch(spark, sf):
+    """Every vector as a query against all vectors."""
+    rows = tables.vectors(spark, sf)
+    found = retrieval.dense(rows, rows.select(F.col("id").cast("string").alias("query_id"), "vector"), 5)
+    return found.select("query_id", "rank", "id", r6("score").alias("score"))
+
+
 def bm25_explain(spark, sf):
     found = retrieval.bm25(index(spark, sf), asked(spark), 10)
     parts = found.select("rank", "id", F.posexplode("contributions").alias("place", "c"))
@@ -393,7 +411,7 @@ def watch_apply(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_window, tokens_stats, top_terms, index_stats, bm25_search, bm25_batch, bm25_explain, source_filters, dense_search, hybrid_rrf, rerank_grades, grades_parsed, highlights, passage_spans,
+        chunk_window, tokens_stats, top_terms, index_stats, bm25_search, bm25_batch, bm25_bounded, scoped_exact, dense_batch, bm25_explain, source_filters, dense_search, hybrid_rrf, rerank_grades, grades_parsed, highlights, passage_spans,
         docs_by_type, chunk_histogram, recent_documents, catalog, doc_top_terms, doc_relations, eval_outcomes, eval_report, cited_documents, answer_overlap, usage_cost, chat_window, prompt_budget,
         segments_merge, incremental_changed, snapshot_diff, remove_path, remove_url, dedup_hash, upsert_chunks, loader_dispatch, text_functions, vector_cache_missing, pages_main_content, pages_chunks,
         sentence_chunks, markdown_sections, pca_map, watch_apply, paged_windows, emphasized, source_hrefs, document_labels, edge_labels, score_breakdown, label_texts, chunk_lookup, ignored_files,

@@ -60,3 +60,12 @@ class Store:
         for old in found[:-1]:
             fs.delete(self._at(f"v{old}")[1], True)
         return number
+
+    def remove(self, folder: str, unused: Callable[[str], bool], older: float = 3600.0) -> None:
+        """Delete what lies in a folder, is not in use and has not changed for so many seconds, in which a writer may still name it."""
+        fs, path = self._at(folder)
+        if fs.exists(path):
+            newest = max((status.getModificationTime() for status in fs.listStatus(path)), default=0)
+            for status in fs.listStatus(path):
+                if unused(status.getPath().getName()) and newest - status.getModificationTime() >= older * 1000:
+                    fs.delete(status.getPath(), True)
