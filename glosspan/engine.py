@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
-from glosspan.operators.filters import under_path, under_url
-from glosspan.operators.index import CHUNKS, Index
+from glosspan.operators.filters import changed_only, under_path, under_url
+from glosspan.operators.index import Index, chunked
+from glosspan.operators.segments import VECTORS, Segments
 from glosspan.sources import files, settings, web
-from glosspan.store import Store
-from glosspan.streaming.watch import Watcher, applied
+from glosspan.streaming.watch import Watcher
 
 
 def now() -> str:
@@ -60,58 +60,48 @@ class Engine:
         self.ports = ports or Ports()
         if generate is not None:
             self.ports = replace(self.ports, generate=generate)
-        self.store = Store(spark, self.options.index_path)
+        self.segments = Segments(spark, self.options.index_path, self.ports.tokenizer)
+        self.store = self.segments.store
 
     # The index.
 
     def index(self) -> Index:
-        newest = self.store.newest()
-        return Index.load(self.spark, newest, self.ports.tokenizer) if newest else Index(self.spark.createDataFrame([], CHUNKS), tokenizer=self.ports.tokenizer)
+        return self.segments.index()
 
-    def _kept_files(self) -> DataFrame | None:
-        """The snapshot of watched files that the newest version holds."""
-        newest = self.store.newest()
-        if newest is None or not self.store.has(newest, "files"):
-            return None
-        return self.spark.read.parquet(f"{newest}/files")
+    def _publish(self, documents: DataFrame | None, gone: DataFrame, read: int, applied: dict[str, int] | None = None) -> None:
+        """The next version: these documents (numbered from 0) in place of what the sources ``gone`` had."""
+        chunks = None
+        if documents is not None:
+            chunks = chunked(documents.withColumn("seq", F.col("seq") + F.lit(self.segments.next_seq())), **self._options())
+        embed = None if self.options.retriever == "bm25" else self._vectors
+        self.segments.publish(chunks, gone, read, applied, embed)
 
-    def _publish(self, index: Index, read: int, seen: DataFrame | None = None) -> None:
-        """The next version: tables, vectors where the retriever needs them, and the watched files' snapshot."""
-        seen = seen if seen is not None else self._kept_files()
+    def _read_version(self) -> int:
+        return self.segments.version()
 
-        def write(folder: str) -> None:
-            index.save(folder)
-            if self.options.retriever != "bm25":
-                self._vectors(Index.load(self.spark, folder, self.ports.tokenizer)).write.parquet(f"{folder}/vectors")
-            if seen is not None:
-                seen.write.parquet(f"{folder}/files")
+    def _vectors(self, chunks: DataFrame) -> DataFrame:
+        """(id, source, seq, position, model, vector): each text that the cache lacks is embedded once and added to it."""
+        home, path = self.ports.embedder, f"{self.store.path}/cache/vectors"
+        empty = self.spark.createDataFrame([], vectors.CACHE)
 
-        self.store.publish(write, read)
+        def known() -> DataFrame:
+            held = self.spark.read.schema(vectors.CACHE).parquet(path) if self.store.has(f"{self.store.path}/cache", "vectors") else empty
+            return held.where(F.col("model") == home.model).dropDuplicates(["text_sha"])
 
-    def _read_version(self) -> int:
-        found = self.store.versions()
-        return found[-1] if found else 0
-
-    def _vectors(self, index: Index) -> DataFrame:
-        """(id, source, seq, position, model, vector): each text that the cache lacks is embedded once and kept."""
-        cache, home = Store(self.spark, f"{self.options.index_path}/cache"), self.ports.embedder
-        newest = cache.newest()
-        known = self.spark.read.schema(vectors.CACHE).parquet(newest) if newest else self.spark.createDataFrame([], vectors.CACHE)
-        _, new = vectors.cached(index.chunks.select("text"), known, home)
+        _, new = vectors.cached(chunks.select("text"), known(), home)
+        new = new.persist()
         if not new.isEmpty():
-            cache.publish(lambda folder: known.where(F.col("model") == home.model).unionByName(new).write.parquet(folder))
-            known = self.spark.read.schema(vectors.CACHE).parquet(cache.newest())
-        keyed = index.chunks.select("id", "source", "seq", "position", T.content_hash("text").alias("text_sha"))
-        return keyed.join(known.where(F.col("model") == home.model), "text_sha").drop("text_sha")
+            new.write.mode("append").partitionBy("model").parquet(path)
+        new.unpersist()
+        keyed = chunks.select("id", "source", "seq", "position", T.content_hash("text").alias("text_sha"))
+        return keyed.join(known(), "text_sha").select(*[f.split(" ")[0] for f in VECTORS.split(", ")])
 
     def vectors(self, index: Index) -> DataFrame:
         """The newest version's vectors, if they are this embedder's; else made from the cache."""
-        newest = self.store.newest()
-        if newest and self.store.has(newest, "vectors"):
-            kept = self.spark.read.parquet(f"{newest}/vectors")
-            if kept.where(F.col("model") != self.ports.embedder.model).isEmpty():
-                return kept
-        return self._vectors(index)
+        kept = self.segments.vectors()
+        if kept is not None and kept.where(F.col("model") != self.ports.embedder.model).isEmpty():
+            return kept
+        return self._vectors(index.chunks)
 
     def _options(self) -> dict:
         body = self.options.chunker
@@ -126,7 +116,7 @@ class Engine:
         todo = hashed if force else hashed.join(before.hashes(), ["source", "content_hash"], "left_anti")
         total, fresh, made = good.count(), todo.count(), 0
         if fresh:
-            self._publish(before.add(good, force, **self._options()), version)
+            self._publish(todo.drop("content_hash"), todo.select("source"), version)
             made = self.index().sources().join(todo.select("source"), "source", "left_semi").agg(F.sum("chunks")).first()[0] or 0
         parsed.unpersist()
         return Report(fresh, total - fresh, made, [], failed)
@@ -143,18 +133,23 @@ class Engine:
         fetched = web.fetched(self.spark.createDataFrame([(u,) for u in urls], "url string"), fetcher)
         return self._store(web.documents(fetched).withColumn("page_offsets", F.lit(None).cast("array<int>")), force)
 
-    def apply(self, changes: DataFrame, seen: DataFrame) -> None:
-        """One batch of watched changes (path, kind): only changed files are read; ``seen`` is the new snapshot of all watched files."""
-        version, index = self._read_version(), self.index()
+    def apply(self, changes: DataFrame, applied: dict[str, int] | None = None) -> int:
+        """One batch of watched changes (path, kind), published with the marks ``applied``; how many documents it changes.
 
-        def read(paths: DataFrame) -> DataFrame:
-            wanted = [r["path"] for r in paths.toLocalIterator()]  # paths of one batch of changes, as the file listing holds them, too
-            good = files.documents(files.read(self.spark, wanted)).where("failed IS NULL")
-            return good.select("source", "text", "type", "page_offsets").withColumn("seq", F.monotonically_increasing_id()).cache()
-
-        kept = self._kept_files()
-        others = seen if kept is None else kept.join(seen.select("path").unionByName(changes.select("path")), "path", "left_anti").unionByName(seen)
-        self._publish(applied(index, changes, read, **self._options()), version, others)
+        Changed files are read in tasks, no others; those whose text is indexed
+        already are not indexed again.
+        """
+        version, index = self._read_version(), self.index()
+        good = files.documents(files.opened(changes.where("kind = 'changed'"))).where("failed IS NULL")
+        fresh = changed_only(good.withColumn("content_hash", T.content_hash("text")), index.hashes()).drop("content_hash")
+        fresh = fresh.select("source", "text", "type", "page_offsets").withColumn("seq", F.monotonically_increasing_id()).persist()
+        removed = changes.where("kind = 'removed'").select(F.col("path").alias("source")).join(index.sources().select("source"), "source", "left_semi")
+        gone = fresh.select("source").unionByName(removed).persist()
+        count = gone.count()
+        self._publish(fresh if count else None, gone, version, applied)
+        gone.unpersist()
+        fresh.unpersist()
+        return count
 
     def remove(self, target: str) -> int:
         """Documents at or below a path or URL; nothing is written if there are none.
@@ -163,10 +158,12 @@ class Engine:
         """
         condition = under_url(target) if is_address(target) else under_path(files.resolved(self.spark, target)) | under_path(target)
         version, index = self._read_version(), self.index()
-        gone = index.sources().where(condition).count()
-        if gone:
-            self._publish(index.where(~condition), version)
-        return gone
+        gone = index.sources().where(condition).select("source").persist()
+        count = gone.count()
+        if count:
+            self._publish(None, gone, version)
+        gone.unpersist()
+        return count
 
     def watch(self, *roots: str, ignored: list[str] | None = None, after: Callable[[DataFrame], None] | None = None) -> Watcher:
         return Watcher(self, *roots, ignored=ignored, after=after)
@@ -177,7 +174,8 @@ class Engine:
         """Ranked passages with highlights and matched terms; a blank query finds nothing."""
         index, k = self.index(), top_k or self.options.top_k
         asked = retrieval.asked(index, q=query)
-        found = retrieval.scoped(index, asked, source, k, lambda i, q, n: self._search(i)(q, n))
+        plain = self.options.retriever == "bm25" and not self.options.rerank
+        found = retrieval.scoped(index, asked, source, k, retrieval.bm25 if plain else lambda i, q, n: self._search(i)(q, n))
         return retrieval.with_passages(found, index, query)
 
     def _search(self, index: Index) -> Callable[[DataFrame, int], DataFrame]:

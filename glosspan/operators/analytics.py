@@ -39,29 +39,65 @@ def document_terms(index: Index, k: int = 10) -> DataFrame:
 def relations(index: Index, k: int = 10, most: int | None = 30) -> DataFrame:
     """Pairs of documents that share characteristic terms: first, second, strength, shared_terms.
 
-    Documents with equal term lists (copies, above all) are one class.  Classes
-    are paired by shared term and weighed by how many document pairs they stand
-    for; only those are spelled out that can be among the ``most`` strongest, and
-    of a class only as many documents as the ``most`` first pairs can name.
+    Documents with equal term lists (copies, above all) are one class.  The
+    ``most`` strongest pairs come from a join that goes down from the greatest
+    strength: classes that share s terms share one of the len - s + 1 rarest of
+    each, so only those are joined, and the search ends at the strength of the
+    last pair that is still asked for.  Of a class only as many documents are
+    spelled out as the ``most`` first pairs can name.
     """
     terms = document_terms(index, k).groupBy("source").agg(F.array_sort(F.collect_list("term")).alias("terms"))
     if most is None:
-        return _pairs(terms)
-    by = W.partitionBy("terms").orderBy("source")
-    terms = terms.withColumn("place", F.row_number().over(by))
+        classes = terms.groupBy("terms").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+        return _spelled(_paired(classes, 1), _inside(classes))
     # Pairs are ordered by (strength, first, second): a document beyond place most + 1 of its class comes after that many others.
-    return _pairs(terms.where(F.col("place") <= most + 1).drop("place")).orderBy(F.desc("strength"), "first", "second").limit(most)
-
-
-def _pairs(terms: DataFrame) -> DataFrame:
-    classes = terms.groupBy("terms").agg(F.collect_list("source").alias("sources")).withColumn("class", F.xxhash64("terms"))
-    listed = classes.select("class", F.explode("terms").alias("term"))
-    a, b = listed.alias("a"), listed.alias("b")
-    met = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.class") <= F.col("b.class"))).groupBy(F.col("a.class").alias("x"), F.col("b.class").alias("y")).agg(F.array_sort(F.collect_list("a.term")).alias("shared_terms"))
-    left, right = (classes.select(F.col("class").alias(c), F.col("sources").alias(f"of_{c}")) for c in "xy")
-    rows = met.join(left, "x").join(right, "y").select("x", "y", "shared_terms", F.explode("of_x").alias("p"), "of_y").select("x", "y", "shared_terms", "p", F.explode("of_y").alias("q"))
-    rows = rows.where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
-    return rows.select(F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), F.size("shared_terms").alias("strength"), "shared_terms")
+    place = F.row_number().over(W.partitionBy("terms").orderBy("source"))
+    classes = terms.withColumn("place", place).where(F.col("place") <= most + 1).groupBy("terms").agg(F.array_sort(F.collect_list("source")).alias("sources")).persist()
+    try:
+        found = _inside(classes)
+        strongest = lambda rows: rows.orderBy(F.desc("strength"), "first", "second").limit(most)
+        best = found.sparkSession.createDataFrame([], "first string, second string, strength int, shared_terms array<string>")
+        for strength in range(k, 0, -1):
+            best = strongest(_spelled(_paired(classes, strength), found))
+            held = best.agg(F.count(F.lit(1)), F.min("strength")).first()
+            if held[0] == most and held[1] >= strength:
+                break
+        # At most ``most`` rows: they outlive the classes.
+        return strongest(found.sparkSession.createDataFrame(best.collect(), best.schema))
+    finally:
+        classes.unpersist()
+
+
+def _inside(classes: DataFrame) -> DataFrame:
+    """Pairs of documents of one class."""
+    rows = classes.where(F.size("sources") > 1).select("terms", F.posexplode("sources").alias("at", "first"), "sources")
+    rows = rows.select("first", F.explode(F.slice("sources", F.col("at") + 2, F.size("sources"))).alias("second"), "terms")
+    return rows.select("first", "second", F.size("terms").alias("strength"), F.col("terms").alias("shared_terms"))
+
+
+def _paired(classes: DataFrame, strength: int) -> DataFrame:
+    """Pairs of classes that share ``strength`` terms or more: of_x, of_y, shared_terms.
+
+    A pair is made once, by the first of the prefix terms it shares.
+    """
+    numbered = classes.select(F.xxhash64("terms").alias("class"), "terms", "sources")
+    df = numbered.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = numbered.where(F.size("terms") >= strength).select("class", F.explode("terms").alias("term")).join(df, "term")
+    ordered = ranked.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("by"))
+    prefix = ordered.select("class", F.slice("by", 1, F.size("by") - (strength - 1)).alias("prefix"))
+    listed = numbered.join(prefix, "class").select("class", "terms", "sources", "prefix", F.explode("prefix").alias("p"))
+    # A term that only one class has in its prefix makes no pair.
+    a, b = (listed.where("p.df > 1").select(F.col("class").alias(f"class_{c}"), F.col("terms").alias(f"terms_{c}"), F.col("sources").alias(f"of_{c}"), F.col("prefix").alias(f"prefix_{c}"), "p") for c in "xy")
+    met = a.join(b, "p").where("class_x < class_y")
+    met = met.where(F.element_at(F.array_sort(F.array_intersect("prefix_x", "prefix_y")), 1) == F.col("p"))
+    met = met.withColumn("shared_terms", F.array_sort(F.array_intersect("terms_x", "terms_y")))
+    return met.where(F.size("shared_terms") >= strength).select("of_x", "of_y", "shared_terms")
+
+
+def _spelled(pairs: DataFrame, inside: DataFrame) -> DataFrame:
+    """Pairs of documents: those of two classes, and those inside one."""
+    rows = pairs.select("shared_terms", F.explode("of_x").alias("p"), "of_y").select("shared_terms", "p", F.explode("of_y").alias("q"))
+    return rows.select(F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), F.size("shared_terms").alias("strength"), "shared_terms").unionByName(inside)
 
 
 def documents_by_type(index: Index) -> DataFrame:

@@ -58,10 +58,19 @@ def changed_only(documents: DataFrame, known: DataFrame) -> DataFrame:
     return documents.join(known.select("source", "content_hash").distinct(), ["source", "content_hash"], "left_anti")
 
 
+def _hidden_by(folders: list[str], roots: list[str]) -> list[str]:
+    """Ignored folders, without those that contain a watched root."""
+    bare = [f.rstrip("/") for f in folders]
+    return [f for f in bare if not any((root.rstrip("/") + "/").startswith(f + "/") for root in roots)]
+
+
+def is_ignored(path: str, folders: list[str], roots: list[str]) -> bool:
+    return any(path == f or path.startswith(f + "/") for f in _hidden_by(folders, roots))
+
+
 def ignored(path: str | Column, folders: list[str], roots: list[str]) -> Column:
     """Inside an ignored folder; one that contains a watched root is not ignored."""
     inside = F.lit(False)
-    for folder in (f.rstrip("/") for f in folders):
-        if not any((root.rstrip("/") + "/").startswith(folder + "/") for root in roots):
-            inside = inside | (col(path) == folder) | F.startswith(col(path), F.lit(folder + "/"))
+    for folder in _hidden_by(folders, roots):
+        inside = inside | (col(path) == folder) | F.startswith(col(path), F.lit(folder + "/"))
     return inside

@@ -8,7 +8,7 @@ with their counts; it is published by one rename, and versions share segments.
 When FANOUT segments of one level stand at the end, they are merged into one of
 the next level, so a row is rewritten once a level and reading opens a number of
 segments that grows with the logarithm of the index.  A merge reads those
-segments only; of the names in ``gone`` it keeps those that older segments need.
+segments only; names in ``gone`` stay as long as there are older segments.
 
 Counts are exact at any time: a batch looks up what its sources had, and the
 version keeps the live totals.  The number of documents a term is in is counted
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspan.functions.text import DEFAULT, Tokenizer
-from glosspan.operators.index import CHUNKS, Index
+from glosspan.operators.index import CHUNKS, Index, bounds
 from glosspan.store import Store
 
 FANOUT = 4
@@ -33,7 +33,8 @@ POSTINGS = "id string, source string, seq long, position int, term string, tf lo
 SOURCES = "source string, content_hash string, seq long, chunks long, terms long"
 GONE = "source string"
 VECTORS = "id string, source string, seq long, position int, model string, vector array<double>"
-SCHEMAS = {"chunks": CHUNKS, "postings": POSTINGS, "sources": SOURCES, "gone": GONE, "vectors": VECTORS}
+BLOCKS = "term string, block string, n long, most_tf long, least_length long"
+SCHEMAS = {"chunks": CHUNKS, "postings": POSTINGS, "sources": SOURCES, "gone": GONE, "vectors": VECTORS, "blocks": BLOCKS}
 #: The list of segments: their order, level, rows of each table, and the live totals of the index after them.
 LISTED = "segment string, place long, level int, chunks long, postings long, sources long, gone long, vectors boolean"
 HEAD = "live_chunks long, live_terms long, last_seq long, applied map<string,long>"
@@ -91,7 +92,14 @@ class Segments:
         n, terms = (head["live_chunks"], head["live_terms"]) if head else (0, 0)
         columns = lambda name: [f.strip().split(" ")[0] for f in SCHEMAS[name].split(", ")]
         tables = {name: self.live(segments, name).select(*columns(name)) for name in ("chunks", "postings", "sources")}
-        return Index(tables["chunks"], tables["postings"], self.tokenizer, (n, terms / n if n else 0.0), tables["sources"])
+        return Index(tables["chunks"], tables["postings"], self.tokenizer, (n, terms / n if n else 0.0), tables["sources"], self._blocks(segments))
+
+    def _blocks(self, segments: list) -> DataFrame | None:
+        """The bounds of all segments together; None where a later segment has replaced rows that they count."""
+        if not segments or any(s["gone"] for s in segments[1:]):
+            return None
+        rows = functools.reduce(DataFrame.unionByName, [self._table(s["segment"], "blocks") for s in segments if s["postings"]] or [self.spark.createDataFrame([], BLOCKS)])
+        return rows if len(segments) == 1 else rows.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("most_tf").alias("most_tf"), F.min("least_length").alias("least_length"))
 
     def vectors(self, version: int | None = None) -> DataFrame | None:
         """The live vectors, if every segment with chunks has them."""
@@ -115,12 +123,13 @@ class Segments:
         name = uuid.uuid4().hex
         place = segments[-1]["place"] + 1 if segments else 0
         made = self._write(name, place, 0, chunks, gone, embed)
-        lost = self.live(segments, "sources").join(self._table(name, "gone"), "source", "left_semi").agg(F.sum("chunks"), F.sum("terms")).first() if segments else (0, 0)
+        lost = self.live(segments, "sources").join(self._table(name, "gone"), "source", "left_semi").agg(F.sum("chunks"), F.sum("terms")).first() if segments and made[6] else (0, 0)
         won = self._table(name, "sources").agg(F.sum("chunks"), F.sum("terms"), F.max("seq")).first()
         counts = [(head[k] if head else 0) - (lost[i] or 0) + (won[i] or 0) for i, k in enumerate(("live_chunks", "live_terms"))]
         last = max(x for x in (won[2], head["last_seq"] if head else None, -1) if x is not None)
         marks = {**((head["applied"] or {}) if head else {}), **(applied or {})}
-        tail = self._merged([*map(tuple, segments), made], embed is not None)
+        # A batch that brings and takes nothing leaves only its marks.
+        tail = self._merged([*map(tuple, segments), *([made] if made[3] or made[6] else [])])
 
         def write(folder: str) -> None:
             self.spark.createDataFrame(tail, LISTED).coalesce(1).write.parquet(f"{folder}/segments")
@@ -151,7 +160,7 @@ class Segments:
     def _row(self, name: str, place: int, level: int, vectors: bool) -> tuple:
         return (name, place, level, *(self._table(name, t).count() for t in ("chunks", "postings", "sources", "gone")), vectors)
 
-    def _merged(self, rows: list[tuple], vectors: bool) -> list[tuple]:
+    def _merged(self, rows: list[tuple]) -> list[tuple]:
         """The list after merging; levels fall from old to new, so what is merged is always the newest part."""
         while len(rows) >= self.fanout and len({r[2] for r in rows[-self.fanout :]}) == 1:
             old, parts = rows[: -self.fanout], rows[-self.fanout :]
@@ -162,6 +171,8 @@ class Segments:
                 self.live(named, table).write.parquet(f"{home}/{table}")
             ordered = self.live(named, "postings").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
             ordered.write.parquet(f"{home}/postings")
+            made = bounds(self._table(name, "postings")).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+            made.write.parquet(f"{home}/blocks")
             needed = self._all(named, "gone").select("source").distinct()
             (needed if old else needed.limit(0)).write.parquet(f"{home}/gone")
             rows = [*old, self._row(name, parts[-1][1], parts[0][2] + 1, kept)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
-from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
+from glosspan.operators import analytics, answers, chunking, evaluation, passages, retrieval, vectors
 from glosspan.operators.filters import changed_only, ignored, in_scope, under_path, under_url
 from glosspan.operators.index import Index
 from glosspan.render.text import edge_label, labels
@@ -151,7 +151,7 @@ def passage_spans(spark, sf):
     """Where each document's windows stand in its text."""
     docs = tables.documents(spark, sf)
     found = chunking.windows(docs.select("source", "text"), 50, 10).select("source", "position", F.col("text").alias("passage"))
-    return docs.join(found, "source").select("source", "position", T.passage_span("text", "passage").alias("s")).select("source", "position", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return passages.located(docs, found).select("source", "position", "start", "end")
 
 
 def docs_by_type(spark, sf):
@@ -235,8 +235,8 @@ def segments_merge(spark, sf):
     """The stretches of each document that the 200 best passages for a query cover."""
     idx = index(spark, sf)
     best = retrieval.bm25(idx, asked(spark), 200).join(idx.chunks.select("id", F.col("text").alias("passage")), "id")
-    spans = tables.documents(spark, sf).select("source", "text").join(best.select("source", "rank", "passage"), "source").select("source", "rank", T.passage_span("text", "passage").alias("s"))
-    return answers.merged_segments(spans.select("source", "rank", "s.start", "s.end")).select("source", "start", "end", joined("ranks").alias("ranks"))
+    spans = passages.located(tables.documents(spark, sf), best.select("source", "rank", "passage"))
+    return answers.merged_segments(spans.select("source", "rank", "start", "end")).select("source", "start", "end", joined("ranks").alias("ranks"))
 
 
 def paged_windows(spark, sf):

@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +94,22 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
 
 
+def opened(paths: DataFrame) -> DataFrame:
+    """(path, content) of paths (path), read in tasks; a file that has gone in the meantime is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+                try:
+                    with system.open_input_stream(inner, compression=None) as source:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([source.read()], pa.binary())], ["path", "content"])
+                except FileNotFoundError:
+                    continue
+
+    return paths.select("path").mapInArrow(run, "path string, content binary")
+
+
 def text_of(spark: SparkSession, source: str) -> str | None:
     """A source read again; None for a URL, a kind that no loader takes, or a file that cannot be read."""
     if re.match("(?i)https?://", source):
