@@ -6,6 +6,9 @@ written so that Java's and RE2's engines agree with them.
 
 from __future__ import annotations
 
+import functools
+import string
+
 import re
 
 from pyspark.sql import Column
@@ -80,9 +83,43 @@ def file_type(source: str | Column) -> Column:
     return F.when(is_url(source), "web").when(found == "", "other").otherwise(found)
 
 
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Code points whose case folding is one other code point, and those that fold to several."""
+    one, more = {}, {}
+    for code in range(0x80, 0x110000):
+        sign = chr(code)
+        folded = sign.casefold()
+        if folded != sign and not 0xD800 <= code < 0xE000:
+            (one if len(folded) == 1 else more)[sign] = folded
+    return one, more
+
+
+@functools.cache
+def _folding_text() -> tuple[str, str, list[tuple[str, str]]]:
+    one, more = _foldings()
+    return "".join(one), "".join(one.values()), list(more.items())
+
+
+def casefolded(text: str | Column) -> Column:
+    """Unicode's full case folding: letters that differ only in case are equal, also ``ß`` and ``SS``, and both small sigmas.
+
+    The rules come from Python's; only texts beyond ASCII ask for them.
+    """
+    before, after, several = _folding_text()
+    text = col(text)
+    ascii_only = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+    spelled = F.when(F.rlike(text, F.lit("[" + "".join(a for a, _ in several) + "]")), F.aggregate(pairs, ascii_only, lambda s, p: F.replace(s, p["a"], p["b"]))).otherwise(ascii_only)
+    return F.when(F.rlike(text, F.lit("[^\\x00-\\x7f]")), F.translate(spelled, before, after)).otherwise(ascii_only)
+
+
+#: What stripping takes off the ends of a source or pattern.
+_ENDS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def normalized(source: str | Column) -> Column:
-    """Trimmed, with forward slashes, lower-cased: :func:`folded` does the same to a pattern on the driver."""
-    return F.lower(F.replace(F.trim(col(source)), F.lit("\\"), F.lit("/")))
+    """Trimmed, with forward slashes, case folded: :func:`glosspan.operators.filters._folded` does the same to a pattern on the driver."""
+    return casefolded(F.replace(F.btrim(col(source), F.lit(_ENDS)), F.lit("\\"), F.lit("/")))
 
 
 def path_segments(source: str | Column) -> Column:

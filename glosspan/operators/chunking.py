@@ -185,6 +185,13 @@ def _pieces(text: str, offsets, body: str, size: int, overlap: int) -> Iterator[
         yield " ".join(text[a:b] for a, b in group), _page(offsets, group[0][0]), _page(offsets, group[-1][0])
 
 
+def cut(text: str, offsets, size: int, overlap: int, body: str, headings: bool) -> Iterator[tuple[str, str, int | None, int | None]]:
+    """(section, text, first page, last page) of a document's chunks, in order."""
+    for section, part in sections(text) if headings else [("", text)]:
+        for piece in _pieces(part, None if headings else offsets, body, size, overlap):
+            yield section, *piece
+
+
 def _mapped(documents: DataFrame, size: int, overlap: int, body: str, headings: bool) -> DataFrame:
     checked(size, overlap)
     keep = [c for c in documents.columns if c not in ("source", "text", "page_offsets")]
@@ -195,10 +202,7 @@ def _mapped(documents: DataFrame, size: int, overlap: int, body: str, headings:
         for frame in frames:
             rows = []
             for row in frame.to_dict("records"):
-                text = row["text"] or ""
-                offsets = None if headings else row.get("page_offsets")
-                parts = sections(text) if headings else [("", text)]
-                pieces = [(section, *p) for section, part in parts for p in _pieces(part, offsets, body, size, overlap)]
+                pieces = cut(row["text"] or "", row.get("page_offsets"), size, overlap, body, headings)
                 rows += [(row["source"], t, i, a, b, section, *(row[c] for c in keep)) for i, (section, t, a, b) in enumerate(pieces)]
             out = pd.DataFrame(rows, columns=["source", "text", "position", "first_page", "last_page", "section", *keep])
             yield out.astype({"first_page": "Int32", "last_page": "Int32"})

@@ -12,8 +12,8 @@ from glosspan.functions.text import col, is_url, normalized, path_segments
 
 
 def _folded(pattern: str) -> str:
-    """A pattern as :func:`normalized` folds sources: letter by letter, as a Java lower-casing does."""
-    return pattern.strip().replace("\\", "/").lower()
+    """A pattern as :func:`normalized` folds sources."""
+    return pattern.strip().replace("\\", "/").casefold()
 
 
 #: What a pattern may be, in the order in which it is asked: a test of the folded pattern, and the predicate over folded sources.

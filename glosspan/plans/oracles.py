@@ -223,3 +223,9 @@ SELECT source, CASE WHEN length(flat) > 40 THEN rtrim(substr(flat, 1, 40)) || '.
 SELECT source, count(*) AS chunks, '' AS indexed_at FROM chunks WHERE doc % 11 <> 0 AND doc % 10 <> 0 GROUP BY 1
 UNION ALL SELECT source, count(*), '2026-01-01T00:00:00+00:00' FROM fresh GROUP BY 1""",
 }
+ORACLES |= {
+    "chat_window_stream": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
+    "sql_sentence_chunks": ORACLES["sentence_chunks"],
+    "sql_search": ORACLES["bm25_explain"],
+    "folded_filters": f"WITH {_DOCS} SELECT ['Straße', 'STRASSE', 'ΣΟΦΟΣ', 'σοφος', 'plain'][seq % 5 + 1] || '/' || source AS source FROM docs WHERE seq % 5 < 4",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from glosspan.operators import analytics, answers, chunking, evaluation, passage
 from glosspan.operators.filters import changed_only, ignored, in_scope, under_path, under_url
 from glosspan.operators.index import Index
 from glosspan.render.text import edge_label, labels
+from glosspan.session import shared_dir
 from glosspan.sources import html, tables
-from glosspan.streaming import watch
+from glosspan.sql import register
+from glosspan.streaming import conversations, watch
 
 QUERY = "the eronly thonan inti of heand queeau"
 STAMP = "2026-01-01T00:00:00+00:00"
@@ -226,6 +230,33 @@ def chat_window(spark, sf):
     return answers.last_turns(tables.read(spark, sf, "conversations"), 3).select("conv_id", "turn", "role")
 
 
+def chat_window_stream(spark, sf):
+    """The turns that conversations remember after all of them went through the stream."""
+    home = f"{shared_dir(spark)}/conversations-{uuid.uuid4().hex}"
+    rows = tables.read(spark, sf, "conversations")
+    table = conversations.replayed(spark, f"{sf}/conversations.parquet", home, 3, rows.schema)
+    return conversations.windows(table).select(F.col("conv_id").cast("long").alias("conv_id"), "turn")
+
+
+def sql_sentence_chunks(spark, sf):
+    """sentence_chunks by its table function."""
+    register(spark)
+    tables.documents(spark, sf).select("source", "text").createOrReplaceTempView("glosspan_docs")
+    return spark.sql("SELECT id, source, position, text FROM sentence_chunks(TABLE(glosspan_docs) PARTITION BY (source), 200, 40)")
+
+
+def sql_search(spark, sf):
+    """bm25_explain by its table function."""
+    register(spark, index(spark, sf))
+    return spark.sql(f"SELECT rank, id, place, term, round(share, 6) AS share FROM explain_search('{QUERY}', 10)")
+
+
+def folded_filters(spark, sf):
+    """Documents of folders whose names differ from the pattern in case beyond ASCII."""
+    docs = tables.documents(spark, sf).select(F.concat(F.element_at(F.array(*map(F.lit, ["Straße", "STRASSE", "ΣΟΦΟΣ", "σοφος", "plain"])), (F.col("seq") % 5 + 1).cast("int")), F.lit("/"), "source").alias("source"))
+    return docs.where(in_scope("strasse") | in_scope("σοφοσ"))
+
+
 def prompt_budget(spark, sf):
     rows = answers.budgeted(index(spark, sf).chunks, 2500)
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.max("omitted").alias("omitted"), F.sum(F.char_length("text")).alias("chars"))
@@ -412,7 +443,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_window, tokens_stats, top_terms, index_stats, bm25_search, bm25_batch, bm25_bounded, scoped_exact, dense_batch, bm25_explain, source_filters, dense_search, hybrid_rrf, rerank_grades, grades_parsed, highlights, passage_spans,
-        docs_by_type, chunk_histogram, recent_documents, catalog, doc_top_terms, doc_relations, eval_outcomes, eval_report, cited_documents, answer_overlap, usage_cost, chat_window, prompt_budget,
+        docs_by_type, chunk_histogram, recent_documents, catalog, doc_top_terms, doc_relations, eval_outcomes, eval_report, cited_documents, answer_overlap, usage_cost, chat_window, chat_window_stream, sql_sentence_chunks, sql_search, folded_filters, prompt_budget,
         segments_merge, incremental_changed, snapshot_diff, remove_path, remove_url, dedup_hash, upsert_chunks, loader_dispatch, text_functions, vector_cache_missing, pages_main_content, pages_chunks,
         sentence_chunks, markdown_sections, pca_map, watch_apply, paged_windows, emphasized, source_hrefs, document_labels, edge_labels, score_breakdown, label_texts, chunk_lookup, ignored_files,
         prompt_context, citation_links, text_fragments,

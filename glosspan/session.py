@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,14 @@ def session(app: str = "glosspan", master: str | None = None, shuffle_partitions
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see, ``spark.checkpoint.dir``; on a single machine a temporary one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="glosspan-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
