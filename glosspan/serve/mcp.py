@@ -16,6 +16,7 @@ from glosspan.engine import Engine
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers
 from glosspan.render import text as plain
+from glosspan.streaming import events
 
 VERSION = "2025-06-18"
 #: Characters of documents that a prompt holds.
@@ -127,8 +128,21 @@ class Server:
         return f"{data['documents']} documents, {data['chunks']} chunks, {data['terms']} terms", data
 
     def watch(self, *roots: str, interval: str = "1 second"):
-        """Follow folders in the background; each batch that changes the index is announced, an error ends the watching."""
-        return self.engine.watch(*roots, after=lambda changes: self.changed()).start(interval)
+        """Follow folders in the background; batches that bring changes are announced, and so is the end of the watching, also by an error."""
+        watcher = self.engine.watch(*roots)
+        streams = self.engine.spark.streams
+
+        def tell(event: str, details: dict) -> None:
+            if event == events.UPDATED:
+                self.changed()
+            elif event == events.STOPPED:
+                self.announce({"jsonrpc": "2.0", "method": "notifications/message", "params": {"level": "error" if details["error"] else "info", "logger": "watch", "data": {"roots": list(roots), "error": details["error"]}}})
+
+        announcer = events.Announcer(tell, watcher.name, done=lambda: streams.removeListener(announcer))
+        streams.addListener(announcer)
+        query = watcher.start(interval)
+        announcer.follow(query.runId)
+        return query
 
     # Resources and prompts.
 

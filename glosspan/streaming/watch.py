@@ -71,6 +71,7 @@ class Watcher:
         named = hashlib.sha256(json.dumps([self.roots, self.ignored]).encode()).hexdigest()[:16]
         self.home = f"{files.resolved(self.spark, engine.store.path)}/watch-{named}"
         self.manifests = Manifests(f"{self.home}/manifests")
+        self.name = f"watch {', '.join(self.roots)}"
 
     def applied(self) -> int:
         """The manifest that the index stands for; 0 if it has followed none of this series."""
@@ -129,4 +130,4 @@ class Watcher:
         series = self.manifests.name()
         options = {"roots": json.dumps(self.roots), "ignored": json.dumps(self.ignored), "home": f"{self.home}/manifests", "from": str(self.applied())}
         changes = self.spark.readStream.format(FolderChanges.name()).options(**options).load()
-        return changes.writeStream.queryName(f"watch {', '.join(self.roots)}").option("checkpointLocation", f"{self.home}/{series}").trigger(processingTime=interval).foreachBatch(self._batch).start()
+        return changes.writeStream.queryName(self.name).option("checkpointLocation", f"{self.home}/{series}").trigger(processingTime=interval).foreachBatch(self._batch).start()
