@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspan.llm.common import BLANKS, parts, staged, table, text_or_empty
+from glosspan.llm.common import BLANKS, crc_mod, parts, staged, table, text_or_empty
 
 #: Copies of one digest are joined back through so many salted keys.
 SALTS = 16
@@ -31,6 +31,11 @@ def normalised(column="text"):
     return F.translate(text_or_empty(column), BLANKS, "")
 
 
+def order(name: str):
+    """Which of equal texts comes first: the longest, then the smallest id."""
+    return F.struct((-F.col("n_points")).alias("minus"), F.col(name).isNull().alias("none"), F.col(name).alias("keep_id"))
+
+
 class DigestIndex:
     """A table of known digests, bucketed and sorted by digest.
 
@@ -52,13 +57,24 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def create(self, batch: DataFrame) -> None:
+        """An empty table for rows like the batch's, unless there is one; a compaction that broke off is ended first."""
+        if not self.exists() and self.spark.catalog.tableExists(f"{self.name}_compacted"):
+            self.spark.sql(f"ALTER TABLE {self.name}_compacted RENAME TO {self.name}")
+        kind = batch.schema["keep_id"].dataType.simpleString()
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {kind}, n_points INT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
+
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` (one per digest) whose digest the index lacks."""
-        if not self.exists():
-            return batch
         return batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, batch: DataFrame) -> None:
+    def better(self, batch: DataFrame) -> DataFrame:
+        """Rows of ``batch`` (one per digest) that come before what the index has for their digest."""
+        known = self.rows().groupBy("digest").agg(F.min(order("keep_id")).alias("known"))
+        met = batch.withColumn("own", order("keep_id")).join(known.hint("merge"), "digest")
+        return met.where(F.col("own") < F.col("known")).select(batch.columns)
+
+    def append(self, batch: DataFrame, name: str | None = None) -> None:
         """Add rows (digest, keep_id, n_points)."""
         (
             batch.select("digest", "keep_id", "n_points")
@@ -67,20 +83,24 @@ class DigestIndex:
             .write.mode("append")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
-            .saveAsTable(self.name)
+            .saveAsTable(name or self.name)
         )
 
     def known(self) -> DataFrame:
         """digest and keep_id, one row per digest."""
-        best = F.min_by("keep_id", F.struct((-F.col("n_points")).alias("minus"), F.col("keep_id").isNull().alias("none"), "keep_id"))
-        return self.rows().groupBy("digest").agg(best.alias("known_id"))
+        return self.rows().groupBy("digest").agg(F.min_by("keep_id", order("keep_id")).alias("known_id"))
 
     def compact(self) -> None:
-        """Rewrite the index with one file a bucket and one row per digest."""
-        rows = self.rows().groupBy("digest").agg(F.min(F.struct((-F.col("n_points")).alias("minus"), F.col("keep_id").isNull().alias("none"), F.col("keep_id").alias("id"))).alias("b"))
-        rows = staged(rows.select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.minus")).alias("n_points")), "compacted")
+        """Rewrite the index with one file a bucket and one row per digest.
+
+        The new table is whole before the old one goes; if the run stops before
+        it has taken the old one's name, ``create`` gives it that.
+        """
+        rows = self.rows().groupBy("digest").agg(F.min(order("keep_id")).alias("b"))
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_compacted")
+        self.append(rows.select("digest", F.col("b.keep_id").alias("keep_id"), (-F.col("b.minus")).alias("n_points")), f"{self.name}_compacted")
         self.drop()
-        self.append(rows)
+        self.spark.sql(f"ALTER TABLE {self.name}_compacted RENAME TO {self.name}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -91,6 +111,12 @@ def marks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"), F.char_length(text_or_empty()).alias("n_points"))
 
 
+def reduced(seen: DataFrame) -> DataFrame:
+    """One row per digest: digest, keep_id, n_points, group_size."""
+    groups = seen.groupBy("digest").agg(F.min(order("doc_id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return staged(groups.select("digest", F.col("best.keep_id").alias("keep_id"), (-F.col("best.minus")).alias("n_points"), "group_size"), "groups")
+
+
 def register(seen: DataFrame, index: DigestIndex) -> DataFrame:
     """Enter a batch into the index; return digest, keep_id, group_size, alone.
 
@@ -98,21 +124,43 @@ def register(seen: DataFrame, index: DigestIndex) -> DataFrame:
     index knew before keeps its earlier representative.  ``group_size`` counts
     the batch; ``alone`` marks a text with one row, its own representative.
     """
-    groups = seen.groupBy("digest").agg(
-        F.min(F.struct((-F.col("n_points")).alias("minus"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("best"),
-        F.count(F.lit(1)).alias("group_size"),
-    )
-    groups = staged(groups.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.minus")).alias("n_points"), "group_size"), "groups")
+    groups = reduced(seen)
+    index.create(groups)
     index.append(index.unseen(groups))
+    return settled(groups, index)
+
+
+def settled(groups: DataFrame, index: DigestIndex) -> DataFrame:
+    """digest, keep_id, group_size, alone of the groups, by what the index has."""
     joined = groups.join(index.known().hint("merge"), "digest")
     alone = (F.col("group_size") == 1) & F.col("keep_id").eqNullSafe(F.col("known_id"))
     return joined.select("digest", F.col("known_id").alias("keep_id"), "group_size", alone.alias("alone"))
 
 
-def decide(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def register_all(seen: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
+    """Enter rows batch by batch (dealt by a checksum of doc_id), then settle all of them together.
+
+    Each batch's digests meet the index by an anti-join; besides new ones, a
+    batch adds rows that come before what the index has, so the representative
+    is that of all rows, however they were dealt.
+    """
+    dealt = seen.withColumn("_batch", crc_mod("doc_id", batches))
+    every = None
+    for batch in range(batches):
+        mine = F.col("_batch") == batch
+        groups = reduced(dealt.where(mine | (F.col("_batch") < 0) if batch == 0 else mine))
+        index.create(groups)
+        found = index.unseen(groups) if batch == 0 else staged(index.unseen(groups).unionByName(index.better(groups)), "entered")
+        index.append(found)
+        every = groups if every is None else every.unionByName(groups)
+    whole = every.groupBy("digest").agg(F.min_by("keep_id", order("keep_id")).alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return settled(whole, index)
+
+
+def decide(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     seen = staged(marks(docs), "marks")
-    groups = register(seen, index)
+    groups = register(seen, index) if batches == 1 else register_all(seen, index, batches)
     return attach(seen, groups).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -142,9 +190,9 @@ def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digest of :func:`decide` over all documents, against an index of its own that goes afterwards."""
+    """All documents in two batches, the second against what the first has entered, in an index of its own that goes afterwards."""
     index = DigestIndex(spark)
-    out = staged(decide(table(spark, sf_dir, "documents"), index), "decided")
+    out = staged(decide(table(spark, sf_dir, "documents"), index, 2), "decided")
     index.drop()
     return out
 

@@ -8,8 +8,9 @@ a card or phone number, a URL, an account number or a postal address, and
 validates it.  Every parser looks at one run of characters around its anchor
 and no run is parsed twice, so the work is linear in the text.
 
-An account number or house number stands within REACH characters of its cue;
-base spans have no such bound.
+Between a cue and its identifier or house number stand at most GAP blanks a
+place; how far the identifier itself reaches is up to its own boundary.  Cues
+are found in any case.
 
 Defined results: a null text has no spans; offsets count code points of the
 whole text, ends exclusive; each row is judged alone, so repeated rows repeat
@@ -31,11 +32,13 @@ from glosspan.llm.common import table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account", "address")
-#: Cues after which an identifier may stand, and street words beside a house number; matched in lower, title and upper case.
+#: Cues after which an identifier may stand, and street words beside a house number; matched in any case.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "konto", "kontonummer", "compte", "cuenta", "customer id", "licence no", "license no", "tax id", "patient id")
 STREET_CUES = (" street", " avenue", " road", " boulevard", " lane", "straße", "strasse", " platz", "rue ", "avenue ", "calle ", "plaza ")
 
-#: Characters between a cue and the end of the identifier or the begin of the house number.
+#: Blanks in a row that a cue and its identifier may have between them.
+GAP = 40
+#: Characters before a street word in which its house number is looked for.
 REACH = 80
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,17 +47,18 @@ NUMBERS, NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile("[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL_TAIL = re.compile(r"[^\s<>\"'`{}|\\^]+")
-IDENTIFIER = re.compile(r"[ \t]*(?:no\.?|number|nr\.?|id|#)?[ \t]*[:#=]?[ \t]*((?=[A-Za-z0-9-]*[0-9][A-Za-z0-9-]*[0-9][A-Za-z0-9-]*[0-9][A-Za-z0-9-]*[0-9])[A-Za-z0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])", re.I)
-IBAN = re.compile(r"[ \t]*[:#=]?[ \t]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30})(?![A-Za-z0-9])")
+BLANKS = f"[ \\t]{{0,{GAP}}}"
+IDENTIFIER = re.compile(rf"{BLANKS}(?:no\.?|number|nr\.?|id|#)?{BLANKS}[:#=]?{BLANKS}([A-Za-z0-9][A-Za-z0-9-]{{4,33}})(?![A-Za-z0-9])", re.I)
+IBAN = re.compile(rf"{BLANKS}[:#=]?{BLANKS}([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{10,30}})(?![A-Za-z0-9])")
 STREET_BEFORE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,? (?:[^\W\d_][\w'.-]* ){0,3}[^\W\d_][\w'.-]*\Z")
-STREET_AFTER = re.compile(r"(?:[^\W\d_][\w'.-]* ?){0,4}[ ,]{1,2}[0-9]{1,5}[A-Za-z]?(?![0-9A-Za-z])")
+STREET_AFTER = re.compile(r"(?:[^\W\d_][\w'.-]{0,40} ?){0,4}[ ,]{1,2}[0-9]{1,5}[A-Za-z]?(?![0-9A-Za-z])")
 
 
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     words = {"@": "email", "+": "phone", "://": "url", "www.": "www"} | {str(d): "digit" for d in range(10)}
     for kind, cues in (("account", ACCOUNT_CUES), ("address", STREET_CUES)):
-        words |= {form: kind for cue in cues for form in (cue, cue.title(), cue.upper())}
+        words |= dict.fromkeys(cues, kind)
     for word, kind in words.items():
         out.add_word(word, (kind, len(word)))
     out.make_automaton()
@@ -98,7 +102,10 @@ def spans(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tu
         return found
     email_end = dotted_end = spaced_end = url_end = account_end = address_end = 0
     digits = frozenset("0123456789")
-    for last, (kind, length) in anchors.iter(text):
+    low = text.lower()
+    if len(low) != len(text):  # a few letters grow when they are lowered
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for last, (kind, length) in anchors.iter(low):
         if kind == "digit":
             if last >= dotted_end:
                 a = _left(text, last, dotted_end, digits | {"."})
@@ -134,19 +141,19 @@ def spans(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tu
         elif kind == "account":
             if last < account_end or (last + 1 < len(text) and text[last + 1].isalpha()):
                 continue
-            if (m := IBAN.match(text, last + 1, last + 1 + REACH)) and iban_holds(m[1]):
+            if (m := IBAN.match(text, last + 1)) and iban_holds(m[1]):
                 found["iban"].append(m.span(1))
                 account_end = m.end()
-            elif m := IDENTIFIER.match(text, last + 1, last + 1 + REACH):
+            elif (m := IDENTIFIER.match(text, last + 1)) and sum(c in digits for c in m[1]) >= 4:
                 found["account"].append(m.span(1))
                 account_end = m.end()
         elif last >= address_end:
             first = last - length + 1
-            before = STREET_BEFORE.search(text[max(address_end, first - REACH) : first])
+            before = STREET_BEFORE.search(text, max(address_end, first - REACH), first)
             if before:
                 found["address"].append((first - len(before[0]), last + 1))
                 address_end = last + 1
-            elif m := STREET_AFTER.match(text, last + 1, last + 1 + REACH):
+            elif m := STREET_AFTER.match(text, last + 1):
                 a = _left(text, first, address_end, frozenset("abcdefghijklmnopqrstuvwxyzäöüßéèABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜ"))
                 found["address"].append((a + (text[a] == " "), m.end()))
                 address_end = m.end()

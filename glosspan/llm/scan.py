@@ -1,4 +1,4 @@
-"""Skipping rows of a scan by a bit map of fixed size."""
+"""Skipping rows of a scan by a bit map that grows with the number of keys."""
 
 from __future__ import annotations
 
@@ -9,19 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2**23 bits: 1 MB, whatever the number of keys.
-MAP_BITS = 23
+#: A map has 2**LEAST to 2**MOST bits (128 KB to 32 MB), at least BITS_EACH a key; more keys are joined instead.
+LEAST, MOST, BITS_EACH = 20, 28, 8
 
 
-def bit_map(keys: DataFrame, column: str) -> np.ndarray:
-    """Bit x is set if some key has xxhash64 = x modulo 2**MAP_BITS.
+def map_bits(keys: int) -> int | None:
+    """The power of two of bits for so many keys; None if a map of bounded size would let too much pass."""
+    power = max(LEAST, (BITS_EACH * max(keys, 1) - 1).bit_length())
+    return power if power <= MOST else None
 
-    Spark's bitmap aggregate builds pages of 4 KB; at most 256 pages are collected.
+
+def bit_map(keys: DataFrame, column: str, power: int) -> np.ndarray:
+    """Bit x is set if some key has xxhash64 = x modulo 2**power.
+
+    Spark's bitmap aggregate builds pages of 4 KB; at most 2**(MOST - 15) pages are collected.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(1 << MAP_BITS)) + 1
+    bit = F.pmod(F.xxhash64(column), F.lit(1 << power)) + 1
     pages = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for row in pages.collect():
+    out = np.zeros((1 << power) // 8, np.uint8)
+    for row in pages.toLocalIterator():
         begin = (row["page"] - 1) * 4096
         out[begin : begin + 4096] = np.frombuffer(row["bits"], np.uint8)
     return out
@@ -30,10 +36,14 @@ def bit_map(keys: DataFrame, column: str) -> np.ndarray:
 def kept_by_map(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """The rows whose key is among ``keys``, and a few others that share a bit.
 
-    A join afterwards makes this exact; the map only spares its shuffle most
-    of the rows. When every bit is set, all rows pass.
+    ``keys`` is a staged table.  A join afterwards makes this exact; the map
+    only spares its shuffle most of the rows.  Keys beyond what a map of bounded
+    size can tell apart are joined here.
     """
-    held = rows.sparkSession.sparkContext.broadcast(bit_map(keys, column))
+    power = map_bits(keys.count())
+    if power is None:
+        return rows.join(keys.select(column).distinct().hint("merge"), column, "left_semi").select(rows.columns)
+    held = rows.sparkSession.sparkContext.broadcast(bit_map(keys, column, power))
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,5 +53,5 @@ def kept_by_map(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
             if found.num_rows:
                 yield pa.RecordBatch.from_arrays(found.columns[:-1], names)
 
-    marked = rows.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(1 << MAP_BITS)))
+    marked = rows.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(1 << power)))
     return marked.mapInArrow(run, rows.schema)

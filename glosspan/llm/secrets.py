@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspan.llm.common import staged, table, text_or_empty
+from glosspan.llm.common import crc_mod, staged, table, text_or_empty
 from glosspan.llm.scan import kept_by_map
 
 RULE_VERSION = 1
@@ -93,8 +93,7 @@ class BlobLedger:
         self.findings = f"{self.name}_findings"
 
     def unseen(self, blobs: DataFrame, rule_version: int) -> DataFrame:
-        if not self.spark.catalog.tableExists(self.name):
-            return blobs
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (blob BINARY, rule_version INT) USING parquet")
         seen = self.spark.table(self.name).where(F.col("rule_version") == rule_version).select("blob")
         return blobs.join(seen.hint("merge"), "blob", "left_anti")
 
@@ -136,9 +135,14 @@ def scan(docs: DataFrame, ledger: BlobLedger, rule_version: int = RULE_VERSION)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns of :func:`scan` over all documents, with a ledger of its own that goes afterwards."""
-    ledger = BlobLedger(spark)
-    out = staged(scan(table(spark, sf_dir, "documents"), ledger), "found")
+    """All documents in two batches (dealt by a checksum of doc_id), the second beside what the first has entered.
+
+    Blobs that the first batch has scanned are not scanned again.  The ledger is
+    the query's own and goes afterwards.
+    """
+    ledger, docs = BlobLedger(spark), table(spark, sf_dir, "documents")
+    later = crc_mod("doc_id", 2) == 1
+    out = staged(scan(docs.where(~later), ledger), "found").unionByName(staged(scan(docs.where(later), ledger), "found"))
     ledger.drop()
     return out
 

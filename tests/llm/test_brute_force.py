@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glosspan.llm import common, components, decontamination, exact_dedup, jaccard, language, licences, lm, mixing, pii, recurring, secrets, substrings
+from glosspan.llm import common, components, decontamination, exact_dedup, jaccard, language, licences, lm, mixing, pii, recurring, scan, secrets, substrings
 
 DATA = "/root/testdata/sf0.01"
 BLANK = r"[\x20\x09-\x0D]"
@@ -46,6 +46,37 @@ def test_exact_dedup(spark, make, awkward, clashing):
     assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == len(groups)
 
 
+def test_exact_dedup_in_batches(spark, make, awkward, clashing):
+    """However documents are dealt to batches, the result is that of one batch."""
+    docs = widened(make(awkward), clashing)
+    pick = lambda frame: sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept, r.text_sha256) for r in frame.collect())
+    whole = pick(exact_dedup.decide(docs, exact_dedup.DigestIndex(spark)))
+    for batches in (2, 5):
+        index = exact_dedup.DigestIndex(spark, buckets=3)
+        assert pick(exact_dedup.decide(docs, index, batches)) == whole
+        index.compact()
+        assert index.rows().count() == len({r[-1] for r in whole})
+        index.drop()
+
+
+def test_a_compaction_that_broke_off_is_ended(spark, make):
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    exact_dedup.decide(make([(1, "a"), (2, "b")]), index).collect()
+    spark.sql(f"ALTER TABLE {index.name} RENAME TO {index.name}_compacted")
+    found = exact_dedup.decide(make([(3, "a"), (4, "c")]), index)
+    assert {(r.doc_id, r.keep_id) for r in found.collect()} == {(3, 1), (4, 4)}
+    index.drop()
+
+
+def test_maps_grow_with_their_keys(spark, monkeypatch):
+    assert [scan.map_bits(n) for n in (0, 1 << 17, (1 << 17) + 1, 1 << 25, (1 << 25) + 1)] == [20, 20, 21, 28, None]
+    rows, keys = spark.range(500), spark.range(0, 500, 7)
+    for most in (28, 5):
+        monkeypatch.setattr(scan, "MOST", most)
+        kept = {r.id for r in scan.kept_by_map(rows, keys, "id").collect()}
+        assert kept >= set(range(0, 500, 7)) and len(kept) < 100
+
+
 def test_digest_index_is_incremental(spark, make):
     index = exact_dedup.DigestIndex(spark, buckets=3)
     first = exact_dedup.decide(make([(1, "a b"), (2, "c")]), index)
@@ -77,6 +108,11 @@ def test_pii(make, awkward):
     assert len(got) == len(rows)
     texts = collections.Counter((i, sha(brute_pii(t))) for i, t in rows)
     assert collections.Counter((r.doc_id, r.base_sha256) for r in got) == texts
+    anchors = pii.automaton()
+    kinds = lambda t: [(k, t[a:b]) for k, found in pii.spans(t, anchors).items() for a, b in found]
+    assert kinds("account" + " " * 72 + "1234567890123") == [("account", "1234567890123")]
+    assert kinds("İ aCCount: 99887766") == [("account", "99887766")]
+    assert kinds("account 1234567890123456789012345678901234567890") == []
     extra = next(r.spans for r in got if r.doc_id == 1000)
     assert {s.split(":")[0] for s in extra.split(",")} == {"card", "account", "url", "iban", "address"}
 
