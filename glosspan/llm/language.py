@@ -45,6 +45,8 @@ from glosspan.llm.arrow import slices, utf8
 from glosspan.llm.common import crc_mod, small_batches, staged, table
 
 PER_LANGUAGE = 1500
+#: Bytes that the filter's tables take at most; where the sample's n-grams need more, the rarer ones are left out.
+TABLE_BYTES = 256 << 20
 GRAMS = (3, 4, 5)
 SHARE = 0.6
 LEAST = 3
@@ -211,6 +213,17 @@ def fit_with_usual(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[F
     return filters, usual
 
 
+def least_count(by_gram: DataFrame, room: int) -> int:
+    """The lowest count with which no more than ``room`` n-grams stay (those of the greatest count always do); 0 where all do."""
+    found = {r["n"]: r["count"] for r in by_gram.groupBy(F.least("most", F.lit(1 << 16)).alias("n")).count().collect()}
+    total = 0
+    for n in sorted(found, reverse=True):
+        total += found[n]
+        if total > room:
+            return min(n + 1, max(found))
+    return 0
+
+
 def learn(sample: DataFrame, sizes: dict[str, int]) -> Filters:
     names = sorted(sizes)
     if not names:
@@ -221,8 +234,10 @@ def learn(sample: DataFrame, sizes: dict[str, int]) -> Filters:
     counted = staged(counted.join(F.broadcast(numbered), "lang").select("owner", "gram", "n"), "grams")
     totals = {r["owner"]: r["n"] for r in counted.groupBy("owner").agg(F.sum("n").alias("n")).collect()}
     rates = sample.sparkSession.createDataFrame([(i, float(n)) for i, n in totals.items()], "owner int, total double")
-    rated = counted.join(F.broadcast(rates), "owner").select("owner", "gram", (F.col("n") / F.col("total")).alias("rate"))
-    by_gram = rated.groupBy("gram").agg(F.max("rate").alias("highest"), F.collect_list(F.struct("owner", "rate")).alias("all"))  # one entry a language
+    room = TABLE_BYTES // (SPARE * 8 * -(-len(names) // 64))
+    rated = counted.join(F.broadcast(rates), "owner").select("owner", "gram", "n", (F.col("n") / F.col("total")).alias("rate"))
+    by_gram = rated.groupBy("gram").agg(F.max("rate").alias("highest"), F.max("n").alias("most"), F.collect_list(F.struct("owner", "rate")).alias("all"))  # one entry a language
+    by_gram = by_gram.where(F.col("most") >= least_count(by_gram, room))
     holds = by_gram.select("gram", F.explode("all").alias("o"), "highest").where(F.col("o.rate") >= SHARE * F.col("highest")).select("gram", "o.owner")
     holds = staged(holds, "holds")
     n = holds.select("gram").distinct().count()

@@ -67,6 +67,8 @@ SYMBOLS, NODES = 256, 255
 ORDERS = (1, 2, 4)
 PREDICTORS = len(ORDERS) + 2
 MIN_BITS, MAX_BITS = 14, 22
+#: Tasks that learn apart from each other, at least; more where each has as many bytes as its tables take.
+LEAST_TASKS = 16
 BLOCK = 1 << 16
 TOP = 1 << 18
 #: Gates: known long contexts (0 to 3) by place in the word (0, 1, further).
@@ -416,8 +418,10 @@ def train(docs: DataFrame, code: Code, bits: int, n_bytes: int) -> Model:
                         yield _block(k, b // 2, block)
             yield _block(PREDICTORS, 0, learner.rest())
 
-    tasks = max(2 * spark.sparkContext.defaultParallelism, n_bytes // (4 * sum(sizes(bits))))
-    blocks = docs.select("text").coalesce(tasks).mapInArrow(run, BLOCKS)
+    # How texts are dealt and in which order a task reads them depends on the texts alone, so any cluster learns the same.
+    tasks = max(LEAST_TASKS, n_bytes // (4 * sum(sizes(bits))))
+    dealt = docs.withColumn("key", F.xxhash64(*docs.columns)).repartition(tasks, "key").sortWithinPartitions("key", "text")
+    blocks = dealt.select("text").mapInArrow(run, BLOCKS)
     # First within groups of tasks, then over all: no task adds up more than a share of the blocks of a key.
     keys = ["predictor", "begin"]
     some = blocks.withColumn("group", F.spark_partition_id() % 16).repartition(*keys, "group").sortWithinPartitions(*keys, "group").select("predictor", "begin", "body")
@@ -458,7 +462,7 @@ class Fitted:
     """The model and the counts of all words (a staged table)."""
 
     def __init__(self, docs: DataFrame):
-        docs = docs.select(text_or_empty().alias("text"))
+        docs = docs.select(*[F.col("doc_id").cast("long").alias("doc_id")] * ("doc_id" in docs.columns), text_or_empty().alias("text"))
         counted = staged(count_all(docs), "counts")
         self.known = counted.where(~F.col("sign")).select("hash", "c")
         n, words = self.known.agg(F.sum("c"), F.count(F.lit(1))).first()

@@ -43,8 +43,10 @@ SHARE, CEILING = 1.5, 2
 BLOCK = 256
 #: Hash digits that make a cell of a source: 4,096 cells.
 CELL_DIGITS = 3
-#: Parts of the unit interval by which points find their source: 2**GRID_BITS.
+#: Parts of the unit interval by which points find their source: 2**GRID_BITS, and more than there are sources.
 GRID_BITS = 10
+#: Sources whose running sums are taken together.
+PART = 4096
 KEY = ["none", "name"]
 
 
@@ -79,24 +81,31 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: flo
     """One row per source: key, source_size, weight, target, take (whole words).
 
     What a target has above ``ceiling`` times its source's size is shared anew
-    by weight until none is above; each round is one aggregate of one row.
+    by weight until none is above.  In the order of ceiling by weight the
+    sources above are a first part, so one pass of running sums finds where it
+    ends, however many sources there are.
     """
     sources = rows.groupBy(*KEY).agg(F.sum("size").alias("source_size"))
     sources = ordered_rank(sources, KEY)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
     sources = staged(sources.withColumn("weight", weight), "sources")
     top = ceiling * F.col("source_size")
-    first = sources.agg(F.sum("source_size"), F.sum("weight")).first()
-    budget, level, capped = share * (first[0] or 0), 0.0, -1
-    if first[1]:
-        level = budget / first[1]
-        while True:
-            above = F.col("weight") * level > top
-            now = sources.agg(F.sum(F.when(above, top)), F.sum(F.when(~above, F.col("weight"))), F.count(F.when(above, 1))).first()
-            if now[2] == capped or not now[1]:
-                break
-            capped, level = now[2], (budget - (now[0] or 0)) / now[1]
-    target = F.round(F.least(F.col("weight") * level, top.cast("double")), 6)
+    size, all_weights = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = None
+    if all_weights:
+        order = [top / F.col("weight"), *KEY]
+        cut = ordered_rank(sources.drop("rank"), order).withColumn("part", F.floor(F.col("rank") / PART))
+        before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        # As many rows as there are parts of PART sources.
+        parts_of = cut.groupBy("part").agg(F.sum(top).alias("tops"), F.sum("weight").alias("heavy"))
+        ahead = parts_of.select("part", F.coalesce(F.sum("tops").over(before), F.lit(0)).alias("tops"), F.coalesce(F.sum("heavy").over(before), F.lit(0)).alias("heavy"))
+        within = W.partitionBy("part").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+        below = F.col("tops") + F.coalesce(F.sum(top).over(within), F.lit(0))
+        above = F.lit(all_weights) - F.col("heavy") - F.coalesce(F.sum("weight").over(within), F.lit(0.0))
+        found = cut.join(F.broadcast(ahead), "part").withColumn("level", (F.lit(share * (size or 0)) - below) / above)
+        level = found.where(F.col("level") * F.col("weight") <= top).agg(F.min_by("level", "rank")).first()[0]
+    whole = top.cast("double")
+    target = F.round(whole if level is None else F.least(F.col("weight") * level, whole), 6)
     return staged(sources.withColumn("target", target).withColumn("take", F.floor(F.col("target") + 0.5)), "targets")
 
 
@@ -149,13 +158,13 @@ def schedule(goals: DataFrame, block: int = BLOCK, upto: int | None = None) -> D
     spark = goals.sparkSession
     need = F.ceil(F.col("take") / F.lit(block)).cast("long")
     goals = staged(ordered_rank(goals.where("take > 0").select(*KEY, need.alias("need")), KEY), "goals")
-    total = goals.agg(F.sum("need")).first()[0] or 0
+    total, sources = goals.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count(F.lit(1))).first()
     m = max(1, (max(total, 1) - 1).bit_length())
-    cut = goals.withColumn("part", F.floor(F.col("rank") / 4096))
+    cut = goals.withColumn("part", F.floor(F.col("rank") / PART))
     ahead = cut.groupBy("part").agg(F.sum("need").alias("part_need")).withColumn("ahead", F.coalesce(F.sum("part_need").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     upper = F.col("ahead") + F.sum("need").over(W.partitionBy("part").orderBy("rank"))
     bounds = cut.join(ahead.select("part", "ahead"), "part").withColumn("upper", upper.cast("long")).withColumn("lower", F.col("upper") - F.col("need"))
-    wide = max(0, m - GRID_BITS)
+    wide = max(0, m - max(GRID_BITS, sources.bit_length()))
     grid = F.explode(F.sequence(F.shiftright("lower", wide), F.shiftright(F.col("upper") - 1, wide))).alias("grid")
     bounds = bounds.select(*KEY, "lower", "upper", grid)
     points = spark.range(min(1 << m, upto if upto is not None else 1 << m) if total else 0, numPartitions=parts(spark))

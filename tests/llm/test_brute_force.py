@@ -445,6 +445,42 @@ def test_lm_scoring(spark, make, awkward):
     assert again == sorted(g[2] for g in got)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, make):
+    rng = random.Random(90)
+    rows = [(i, " ".join(rng.choice(["ab", "cde", "the", "éa"]) * rng.randint(1, 3) for _ in range(rng.randint(1, 60)))) for i in range(120)]
+    found = []
+    for n in (1, 8):
+        docs = make(rows).repartition(n).select("doc_id", "text", (F.col("doc_id") % 10 == 0).alias("held_out"))
+        found.append({r.doc_id: round(r.score, 6) for r in lm.score(docs, lm.Fitted(docs.where("NOT held_out"))).collect()})
+    assert found[0] == found[1]
+
+
+def test_many_sources_are_mixed_in_one_pass(spark, make, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 50)
+    rng = random.Random(40)
+    rows = [(i, "w " * rng.randint(0, 9), "en", f"s{rng.randint(0, 400):03}") for i in range(1500)]
+    sizes = collections.Counter()
+    for _, text, _, source in rows:
+        sizes[source] += len(text.split())
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+    budget, target = 1.5 * sum(sizes.values()), {}
+    while len(target) < len(sizes):
+        rest = [s for s in sizes if s not in target]
+        level = (budget - sum(target.values())) / sum(weight[s] for s in rest)
+        above = [s for s in rest if weight[s] * level > 2 * sizes[s]]
+        target |= {s: 2.0 * sizes[s] for s in above} or {s: weight[s] * level for s in rest}
+    got = {r.source: (r.target, r.source_size) for r in mixing.mix(make(rows)).collect()}
+    assert set(got) == set(sizes) and all(got[s][0] == pytest.approx(target[s], abs=1e-5) and got[s][1] == sizes[s] for s in sizes)
+
+
+def test_language_tables_are_bounded(spark, make, monkeypatch):
+    rows = [(i, " ".join(f"{a}{b}" for a in "abcdef"[: i % 6 + 1] for b in "ghijkl") * 2, "en") for i in range(60)]
+    whole = language.fit(make(rows)).tables.any(axis=0).sum()
+    monkeypatch.setattr(language, "TABLE_BYTES", 8 * 8 * 60)
+    few = language.fit(make(rows)).tables.any(axis=0).sum()
+    assert 0 < few <= 3 * 60 < whole
+
+
 def naive_costs(model, text):
     """log10 of each token's probability: the model applied decision by decision, from its tables."""
     tokens = [w.encode() + b" " for w in words(text.translate(FOLD))] + [b"\n"]
