@@ -6,11 +6,14 @@ import argparse
 import json
 import logging
 import sys
+import tempfile
+import webbrowser
 from dataclasses import replace
 from pathlib import Path
 
 from glosspan import __version__, arguments, reports
 from glosspan.engine import Engine, is_address
+from glosspan.render import shapes
 from glosspan.render import text as render
 from glosspan.session import session
 from glosspan.sources import settings
@@ -50,7 +53,9 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--source", default="")
     sub = todo.add_parser("report")
     sub.add_argument("query")
-    sub.add_argument("-o", "--output", required=True, help="an .html or .md file")
+    sub.add_argument("-o", "--output", help="an .html or .md file")
+    sub.add_argument("--format", choices=("html", "markdown", "self-contained"), help="self-contained: a page that holds the cited documents")
+    sub.add_argument("--open", action="store_true", help="open the report in a browser")
     sub.add_argument("-k", "--top-k", type=int)
     sub.add_argument("--source", default="")
     sub = todo.add_parser("serve")
@@ -62,8 +67,22 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def as_json(rows) -> str:
-    return json.dumps(render.objects(rows), indent=2, ensure_ascii=False)
+def dumped(shape) -> str:
+    return json.dumps(shape, indent=2, ensure_ascii=False)
+
+
+def written(content: str, args, name: str, suffix: str) -> None:
+    """A report to the file asked for, with ``--open`` to a temporary one, else to standard output; then to the browser if asked."""
+    output = Path(args.output) if args.output else None
+    if output is None and args.open:
+        output = Path(tempfile.mkdtemp(prefix="glosspan-")) / f"{name}.{suffix}"
+    if output is None:
+        print(content)
+        return
+    output.parent.mkdir(parents=True, exist_ok=True)
+    output.write_text(content, "utf-8")
+    if args.open and not webbrowser.open(output.resolve().as_uri()):
+        print(f"no browser could be opened; the report is at {output}", file=sys.stderr)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -117,7 +136,7 @@ def run_remove(engine: Engine, args) -> int:
 
 def run_search(engine: Engine, args) -> int:
     found = engine.search(arguments.query(args.query), arguments.number(args.top_k, engine.options.top_k, 1, arguments.MOST_RESULTS, "top_k"), args.source).cache()
-    print(as_json(found.orderBy("rank")) if args.json else render.results(found) or "nothing found")
+    print(dumped(shapes.search_results(found, args.query, args.source)) if args.json else render.results(found) or "nothing found")
     return int(found.isEmpty())
 
 
@@ -126,7 +145,7 @@ def run_ask(engine: Engine, args) -> int:
     sources = [f"[{r['rank']}] {r['source']}" for r in made.passages.orderBy("rank").collect()]
     usage = None if made.usage is None else vars(made.usage) | {"cost_usd": made.cost_usd}
     if args.json:
-        print(json.dumps({"answer": made.text, "sources": sources, "usage": usage}, indent=2, ensure_ascii=False))
+        print(dumped(shapes.answer(made, args.source)))
     else:
         print("\n".join([made.text, "", *sources, *([logged("usage", **usage)] if args.usage and usage else [])]))
     return 0
@@ -138,8 +157,9 @@ def run_compare(engine: Engine, args) -> int:
 
 
 def run_report(engine: Engine, args) -> int:
-    form = "markdown" if args.output.endswith(".md") else "html"
-    Path(args.output).write_text(reports.answer(engine, arguments.query(args.query), args.top_k, args.source, form).content, "utf-8")
+    form = args.format or ("markdown" if args.output and args.output.endswith(".md") else "html")
+    content = reports.answer(engine, arguments.query(args.query), args.top_k, args.source, form).content
+    written(content, args, "answer", "md" if form == "markdown" else "html")
     return 0
 
 
@@ -173,7 +193,7 @@ def run_chat(engine: Engine, args) -> int:
 
 
 def run_stats(engine: Engine, args) -> int:
-    print(as_json(engine.overview()["stats"]))
+    print(dumped(shapes.stats(engine.overview()["stats"], engine.segments.size_bytes())))
     return 0
 
 

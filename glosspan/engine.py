@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspan.functions import text as T
-from glosspan.operators import analytics, answers, chunking, evaluation, retrieval, vectors
+from glosspan.operators import analytics, answers, chunking, evaluation, passages, retrieval, vectors
 from glosspan.operators.filters import changed_only, under_path, under_url
 from glosspan.operators.index import Index, chunked
 from glosspan.operators.segments import VECTORS, Segments
@@ -50,6 +50,22 @@ class Ports:
     project: Callable[[DataFrame], DataFrame] = analytics.pca_map
     tokenizer: T.Tokenizer = T.DEFAULT
     prices: list[tuple[str, float, float, float]] = field(default_factory=list)
+    #: What a call cost, given its usage; by default from ``prices``.
+    estimate: Callable[[answers.Usage], float | None] | None = None
+    #: Highlights of a text column for some terms.
+    highlight: Callable[..., Column] = T.highlights
+    #: Where a result row's passage is opened, as a column over source, first_page, text, highlights, matched_terms.
+    locate: Callable[[], Column] = T.passage_href
+    #: (documents, size, overlap) to chunks; by default the chunkers of the settings.
+    chunk: Callable[[DataFrame, int, int], DataFrame] | None = None
+    #: What reads a kind of file: (content, name) to (text, title, page offsets).
+    parsers: dict[str, Callable[[bytes, str], tuple]] = field(default_factory=lambda: dict(files.PARSERS))
+    #: What fetches a URL.
+    fetch: Callable[[str], tuple] = web.fetch
+    #: The index below a folder, as Segments gives it.
+    repository: Callable[..., Segments] = Segments
+    #: Renderers by report and form, before those of the library.
+    renderers: dict[tuple[str, str], Callable[..., str]] = field(default_factory=dict)
 
 
 class Engine:
@@ -60,7 +76,7 @@ class Engine:
         self.ports = ports or Ports()
         if generate is not None:
             self.ports = replace(self.ports, generate=generate)
-        self.segments = Segments(spark, self.options.index_path, self.ports.tokenizer)
+        self.segments = self.ports.repository(spark, self.options.index_path, self.ports.tokenizer)
         self.store = self.segments.store
 
     # The index.
@@ -105,7 +121,8 @@ class Engine:
 
     def _options(self) -> dict:
         body = self.options.chunker
-        return {"chunker": lambda rows, size, overlap: chunking.by_type(rows, size, overlap, body), "size": self.options.chunk_size, "overlap": self.options.chunk_overlap, "indexed_at": self.clock()}
+        made = self.ports.chunk or (lambda rows, size, overlap: chunking.by_type(rows, size, overlap, body))
+        return {"chunker": made, "size": self.options.chunk_size, "overlap": self.options.chunk_overlap, "indexed_at": self.clock()}
 
     def _store(self, parsed: DataFrame, force: bool) -> Report:
         parsed = parsed.withColumn("seq", F.monotonically_increasing_id()).cache()
@@ -125,12 +142,12 @@ class Engine:
         done = Report()
         for path in paths:
             listing = files.listed(self.spark, path)
-            done += self._store(files.documents(listing), force)
+            done += self._store(files.documents(listing, self.ports.parsers), force)
             done.skipped += [r["source"] for r in files.skipped(listing).orderBy("source").collect()]
         return done
 
-    def index_urls(self, *urls: str, force: bool = False, fetcher: Callable[[str], tuple] = web.fetch) -> Report:
-        fetched = web.fetched(self.spark.createDataFrame([(u,) for u in urls], "url string"), fetcher)
+    def index_urls(self, *urls: str, force: bool = False, fetcher: Callable[[str], tuple] | None = None) -> Report:
+        fetched = web.fetched(self.spark.createDataFrame([(u,) for u in urls], "url string"), fetcher or self.ports.fetch)
         return self._store(web.documents(fetched).withColumn("page_offsets", F.lit(None).cast("array<int>")), force)
 
     def apply(self, changes: DataFrame, applied: dict[str, int] | None = None) -> int:
@@ -140,7 +157,7 @@ class Engine:
         already are not indexed again.
         """
         version, index = self._read_version(), self.index()
-        good = files.documents(files.opened(changes.where("kind = 'changed'"))).where("failed IS NULL")
+        good = files.documents(files.opened(changes.where("kind = 'changed'")), self.ports.parsers).where("failed IS NULL")
         fresh = changed_only(good.withColumn("content_hash", T.content_hash("text")), index.hashes()).drop("content_hash")
         fresh = fresh.select("source", "text", "type", "page_offsets").withColumn("seq", F.monotonically_increasing_id()).persist()
         removed = changes.where("kind = 'removed'").select(F.col("path").alias("source")).join(index.sources().select("source"), "source", "left_semi")
@@ -176,7 +193,7 @@ class Engine:
         asked = retrieval.asked(index, q=query)
         plain = self.options.retriever == "bm25" and not self.options.rerank
         found = retrieval.scoped(index, asked, source, k, retrieval.bm25 if plain else lambda i, q, n: self._search(i)(q, n))
-        return retrieval.with_passages(found, index, query)
+        return retrieval.with_passages(found, index, query, self.ports.highlight).withColumn("href", self.ports.locate())
 
     def _search(self, index: Index) -> Callable[[DataFrame, int], DataFrame]:
         kind, home = self.options.retriever, self.ports.embedder
@@ -210,6 +227,8 @@ class Engine:
         return answers.Answer(question, made.text, found, made.usage, self.cost(made.usage))
 
     def cost(self, usage: answers.Usage | None) -> float | None:
+        if usage is not None and self.ports.estimate is not None:
+            return self.ports.estimate(usage)
         if usage is None or not self.ports.prices:
             return None
         rows = self.spark.createDataFrame([usage.row()], answers.USAGE)
@@ -242,6 +261,23 @@ class Engine:
         named = points.join(index.chunks.select("id", "source"), "id")
         return analytics.overview(index) | {"catalog": analytics.catalog(index), "map": named}
 
+    def cited_texts(self, made: answers.Answer) -> DataFrame:
+        """The documents that an answer cites and that can be read again: source, text, segments.
+
+        A segment is a stretch that one cited passage covers or several that
+        overlap: start, end, ranks, and highlights of the question's terms as
+        offsets from its start.
+        """
+        index, passages_of = self.index(), made.passages.select("source", "rank", F.col("text").alias("passage"))
+        cited = passages_of.select("source").distinct().where(~T.is_url(F.col("source")))
+        texts = files.documents(files.opened(cited.select(F.col("source").alias("path"))), self.ports.parsers).where("failed IS NULL").select("source", "text").persist()
+        spans = passages.located(texts, passages_of).where("start IS NOT NULL")
+        segments = answers.merged_segments(spans.select("source", "rank", "start", "end"))
+        inside = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+        marked = segments.join(texts, "source").withColumn("highlights", self.ports.highlight(inside, index.tokenizer.terms(made.question), index.tokenizer))
+        found = marked.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ranks", "highlights"))).alias("segments"))
+        return texts.join(found, "source").select("source", "text", "segments")
+
     def source_page(self, chunk_id: str, texts: DataFrame | None = None, query: str = "") -> DataFrame:
         """One row: a chunk's document, the passage's place in it and highlights inside that.
 
@@ -257,7 +293,7 @@ class Engine:
             texts = self.spark.createDataFrame([(found["source"], text)] if text is not None else [], "source string, text string")
         row = texts.join(F.broadcast(passage), "source").withColumn("span", T.passage_span("text", "passage"))
         inside = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-        marks = F.transform(T.highlights(inside, index.tokenizer.terms(query), index.tokenizer), lambda h: F.struct((h["start"] + F.col("span.start")).alias("start"), (h["end"] + F.col("span.start")).alias("end"), h["term"].alias("term")))
+        marks = F.transform(self.ports.highlight(inside, index.tokenizer.terms(query), index.tokenizer), lambda h: F.struct((h["start"] + F.col("span.start")).alias("start"), (h["end"] + F.col("span.start")).alias("end"), h["term"].alias("term")))
         return row.select("source", "text", F.col("span.start").alias("passage_start"), F.col("span.end").alias("passage_end"), marks.alias("highlights"))
 
     def __len__(self) -> int:

@@ -67,6 +67,11 @@ def content_hash(text: str | Column) -> Column:
     return F.sha2(col(text), 256)
 
 
+def web_address(source: str) -> bool:
+    """:func:`is_url` for one source on the driver."""
+    return source.lower().startswith(("http://", "https://"))
+
+
 def is_url(source: str | Column) -> Column:
     low = F.lower(col(source))
     return F.startswith(low, F.lit("http://")) | F.startswith(low, F.lit("https://"))
@@ -265,6 +270,18 @@ def source_href(source: str | Column = "source", page: str | Column = "first_pag
     return F.when(is_url(source), source).otherwise(F.concat(local, F.when(page.isNotNull(), F.concat(F.lit("#page="), page)).otherwise("")))
 
 
+#: Types that a browser opens at a passage; web pages always do.
+POINTED_INTO = (".html", ".htm", ".md", ".markdown", ".txt", ".rst")
+
+
+def passage_href(text: str | Column = "text", found: str | Column = "highlights", source: str | Column = "source", page: str | Column = "first_page") -> Column:
+    """A source's address that opens at a passage, where a browser can point into it and nothing else is pointed at."""
+    href = source_href(source, page)
+    directives = F.array_join(text_directives(text, found), "&")
+    fits = (is_url(col(source)) | suffix(source).isin(*POINTED_INTO)) & ~F.contains(href, F.lit("#")) & (directives != "")
+    return F.when(fits, F.concat(href, F.lit("#:~:"), directives)).otherwise(href)
+
+
 def breakdown(contributions: str | Column) -> Column:
     """``a 1.20 + b 0.30``."""
     return F.array_join(F.transform(col(contributions), lambda c: F.concat(c["term"], F.lit(" "), F.format_string("%.2f", c["score"]))), " + ")

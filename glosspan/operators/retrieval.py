@@ -335,11 +335,11 @@ def scoped(index: Index, queries: DataFrame, pattern: str, k: int = 5, search: C
     return ranked(found.drop("rank").where(in_scope(pattern)), k)
 
 
-def with_passages(found: DataFrame, index: Index, query: str) -> DataFrame:
+def with_passages(found: DataFrame, index: Index, query: str, highlight: Callable[..., Column] = highlights) -> DataFrame:
     """Result rows with their chunk, the highlighted spans and the matched terms."""
     chunks = index.chunks.drop("seq", "source", "position" if "position" in found.columns else "")
     rows = found.join(chunks, "id")
-    return rows.withColumn("highlights", highlights("text", index.tokenizer.terms(query), index.tokenizer)).withColumn("matched_terms", matched_terms("highlights"))
+    return rows.withColumn("highlights", highlight("text", index.tokenizer.terms(query), index.tokenizer)).withColumn("matched_terms", matched_terms("highlights"))
 
 
 def retriever(kind: str, index: Index, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, rerank: bool = False, grade: Callable[[Index, DataFrame, DataFrame], DataFrame] = coverage_grades, depth: int = RERANK_DEPTH) -> Callable[[DataFrame, int], DataFrame]:

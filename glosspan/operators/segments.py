@@ -141,6 +141,10 @@ class Segments:
         self._sweep()
         return number
 
+    def size_bytes(self) -> int:
+        """Bytes of the newest version's segments."""
+        return sum(self.store.bytes(f"segments/{s['segment']}") for s in self.listed())
+
     def next_seq(self) -> int:
         """The number that comes after those of all documents so far."""
         head = self.head()

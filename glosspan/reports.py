@@ -22,17 +22,18 @@ class Rendered:
 
 #: Replaceable renderers by report and form; each takes the report's data.
 RENDERERS: dict[tuple[str, str], Callable[..., str]] = {
-    ("answer", "html"): html.answer, ("answer", "markdown"): markdown.answer,
+    ("answer", "html"): html.answer, ("answer", "markdown"): markdown.answer, ("answer", "self-contained"): lambda made: html.self_contained(*made),
     ("comparison", "html"): html.comparison, ("comparison", "text"): markdown.comparison,
     ("stats", "html"): html.stats, ("dashboard", "html"): html.dashboard, ("dashboard", "text"): plain.dashboard,
     ("evaluation", "html"): lambda made: html.evaluation(*made), ("evaluation", "text"): lambda made: plain.evaluation(*made),
 }
 
 
-def rendered(name: str, form: str, data: Any) -> Rendered:
-    if (name, form) not in RENDERERS:
+def rendered(name: str, form: str, data: Any, engine: Engine | None = None) -> Rendered:
+    known = RENDERERS | (engine.ports.renderers if engine else {})
+    if (name, form) not in known:
         raise ValueError(f"no {form} form of {name}")
-    return Rendered(data, RENDERERS[name, form](data))
+    return Rendered(data, known[name, form](data))
 
 
 def search(engine: Engine, query: str, top_k: int | None = None, source: str = "", endpoint: str | None = None) -> Rendered:
@@ -42,23 +43,25 @@ def search(engine: Engine, query: str, top_k: int | None = None, source: str = "
 
 
 def answer(engine: Engine, question: str, top_k: int | None = None, source: str = "", form: str = "html") -> Rendered:
-    return rendered("answer", form, engine.answer(question, top_k, source))
+    """``form`` is html, markdown, or self-contained: a page that holds the cited documents, too."""
+    made = engine.answer(question, top_k, source)
+    return rendered("answer", form, (made, engine.cited_texts(made)) if form == "self-contained" else made, engine)
 
 
 def comparison(engine: Engine, question: str, *pairs: str, source: str = "", form: str = "html") -> Rendered:
-    return rendered("comparison", form, engine.comparison(question, *pairs, source=source))
+    return rendered("comparison", form, engine.comparison(question, *pairs, source=source), engine)
 
 
 def stats(engine: Engine, terms: int = 10) -> Rendered:
-    return rendered("stats", "html", analytics.stats(engine.index(), terms))
+    return rendered("stats", "html", analytics.stats(engine.index(), terms), engine)
 
 
 def dashboard(engine: Engine, form: str = "html") -> Rendered:
-    return rendered("dashboard", form, engine.overview())
+    return rendered("dashboard", form, engine.overview(), engine)
 
 
 def evaluation(engine: Engine, cases, k: int = 5, form: str = "html") -> Rendered:
-    return rendered("evaluation", form, engine.evaluate(cases, k))
+    return rendered("evaluation", form, engine.evaluate(cases, k), engine)
 
 
 def source(engine: Engine, chunk_id: str, query: str = "") -> Rendered | None:

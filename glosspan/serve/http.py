@@ -7,6 +7,7 @@ without a socket; ``serve`` puts it behind a threading server.
 from __future__ import annotations
 
 import json
+import mimetypes
 import os
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -16,7 +17,8 @@ from glosspan import arguments, reports
 from glosspan.arguments import MOST_RESULTS, MOST_TERMS, ArgumentError
 from glosspan.engine import Engine, is_address
 from glosspan.operators import analytics
-from glosspan.render.text import objects as rows
+from glosspan.render import html, shapes
+from glosspan.sources import files
 
 Answer = tuple[int, str, bytes]
 
@@ -70,10 +72,12 @@ class Api:
     def search(self, asked: dict) -> Answer:
         query = arguments.query(asked.get("q") or asked.get("query"))
         found = self.engine.search(query, self._top(asked), asked.get("source", ""))
-        return as_json({"query": query, "results": rows(found.select("rank", "id", "source", "position", "section", "first_page", "last_page", "score", "text", "highlights", "matched_terms", "contributions").orderBy("rank"))})
+        return as_json(shapes.search_results(found, query, asked.get("source", "")))
 
     def stats(self, asked: dict) -> Answer:
-        return as_json(rows(analytics.stats(self.engine.index(), arguments.number(asked.get("top_terms"), 10, 0, MOST_TERMS, "top_terms")))[0])
+        index = self.engine.index()
+        made = analytics.stats(index, arguments.number(asked.get("top_terms"), 10, 0, MOST_TERMS, "top_terms"))
+        return as_json(shapes.stats(made, self.engine.segments.size_bytes()))
 
     def index(self, asked: dict) -> Answer:
         target = asked.get("path") or asked.get("url") or ""
@@ -84,12 +88,11 @@ class Api:
             return as_json({"detail": f"no such path: {target}"}, 404)
         else:
             done = self.engine.index_paths(target, force=force)
-        return as_json({"indexed": done.indexed, "unchanged": done.unchanged, "chunks": done.chunks, "skipped": done.skipped, "failed": [{"source": s, "reason": r} for s, r in done.failed]})
+        return as_json(shapes.indexing(done))
 
     def ask(self, asked: dict) -> Answer:
         made = self.engine.answer(arguments.query(asked.get("question")), self._top(asked), asked.get("source", ""))
-        usage = None if made.usage is None else vars(made.usage) | {"cost_usd": made.cost_usd}
-        return as_json({"question": made.question, "answer": made.text, "sources": rows(made.passages.select("rank", "id", "source", "score").orderBy("rank")), "usage": usage})
+        return as_json(shapes.answer(made, asked.get("source", "")))
 
     def search_page(self, asked: dict) -> Answer:
         return as_page(reports.search(self.engine, asked.get("q", ""), self._top(asked), asked.get("source", ""), "/ui/source").content)
@@ -98,10 +101,32 @@ class Api:
         return as_page(reports.answer(self.engine, arguments.query(asked.get("q")), self._top(asked), asked.get("source", "")).content)
 
     def source_page(self, asked: dict) -> Answer:
-        made = reports.source(self.engine, asked.get("chunk", ""), asked.get("terms", ""))
+        """An indexed document: plain text as a page with the passage marked, other formats as the file; nothing else is served."""
+        chunk, path = asked.get("chunk", ""), asked.get("path")
+        if path is not None:
+            if is_address(path) or analytics.chunks_of(self.engine.index(), path).isEmpty():
+                return as_json({"detail": "not an indexed document"}, 404)
+            if not path.lower().endswith(html.SHOWN):
+                content = files.content_of(self.engine.spark, path)
+                return as_json({"detail": "the document is no longer there"}, 404) if content is None else (200, mimetypes.guess_type(path)[0] or "application/octet-stream", content)
+            made = reports.source(self.engine, chunk, asked.get("terms", "")) if chunk else None
+            text = files.text_of(self.engine.spark, path) if made is None else None
+            if made is None and text is not None:
+                return as_page(html.document(path, text))
+        else:
+            made = reports.source(self.engine, chunk, asked.get("terms", ""))
         return as_json({"detail": "no such passage"}, 404) if made is None else as_page(made.content)
 
 
+#: What the service makes itself; all else is a document's own content.
+OWN = (as_json({})[1], as_page("")[1])
+
+
+def guards(kind: str) -> dict[str, str]:
+    """Headers that keep a document from running scripts against the service."""
+    return {} if kind in OWN else {"Content-Security-Policy": "sandbox", "X-Content-Type-Options": "nosniff"}
+
+
 def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
     """A server that is bound; the caller runs ``serve_forever``."""
     api = Api(engine)
@@ -113,6 +138,8 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> Threadin
             self.send_response(status)
             self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(content)))
+            for name, value in guards(kind).items():
+                self.send_header(name, value)
             self.end_headers()
             self.wfile.write(content)
 

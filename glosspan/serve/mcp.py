@@ -15,12 +15,15 @@ from glosspan.arguments import MOST_RESULTS, MOST_TERMS, ArgumentError
 from glosspan.engine import Engine
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers
+from glosspan.render import shapes
 from glosspan.render import text as plain
 from glosspan.streaming import events
 
 VERSION = "2025-06-18"
 #: Characters of documents that a prompt holds.
 PROMPT_BUDGET = 60_000
+#: Documents that the list of documents names.
+MOST_DOCUMENTS = 10_000
 TEXT, NUMBER, YES_NO = {"type": "string"}, {"type": "integer"}, {"type": "boolean"}
 
 
@@ -95,21 +98,19 @@ class Server:
     def search(self, asked: dict) -> tuple[str, dict]:
         query, top, source = self._found(asked, "query")
         found = self.engine.search(query, top, source).cache()
-        data = plain.objects(found.select("rank", "id", "source", "score", "text", T.citation().alias("citation"), "matched_terms").orderBy("rank"))
-        return plain.results(found) or "nothing found", {"query": query, "results": data}
+        return plain.results(found) or "nothing found", shapes.search_results(found, query, source)
 
     def ask(self, asked: dict) -> tuple[str, dict]:
         question, top, source = self._found(asked, "question")
         made = self.engine.answer(question, top, source)
         cited = [r[0] for r in made.passages.orderBy("rank").select(T.citation()).collect()]
         lines = [made.text, "", *(f"[{i}] {c}" for i, c in enumerate(cited, 1))]
-        return "\n".join(lines), {"answer": made.text, "sources": cited}
+        return "\n".join(lines), shapes.answer(made, source)
 
     def indexed(self, done) -> tuple[str, dict]:
         if done.indexed:
             self.changed()
-        data = {"indexed": done.indexed, "unchanged": done.unchanged, "chunks": done.chunks, "skipped": done.skipped, "failed": [list(f) for f in done.failed]}
-        return f"{done.indexed} indexed, {done.unchanged} unchanged, {done.chunks} chunks, {len(done.skipped)} skipped, {len(done.failed)} failed", data
+        return f"{done.indexed} indexed, {done.unchanged} unchanged, {done.chunks} chunks, {len(done.skipped)} skipped, {len(done.failed)} failed", shapes.indexing(done)
 
     def removed(self, target: str) -> tuple[str, dict]:
         gone = self.engine.remove(target)
@@ -149,9 +150,9 @@ class Server:
     def read(self, params: dict) -> dict:
         uri, index = params.get("uri", ""), self.engine.index()
         if uri == "glosspan://documents":
-            body = plain.objects(analytics.catalog(index).orderBy("source"))
+            body = shapes.documents(analytics.catalog(index).limit(MOST_DOCUMENTS))
         elif uri.startswith("glosspan://chunks/"):
-            found = plain.objects(analytics.chunk(index, uri.rpartition("/")[2]))
+            found = shapes.chunk(analytics.chunk(index, uri.rpartition("/")[2]))
             if not found:
                 raise ArgumentError(f"no such chunk: {uri}")
             body = found[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -57,20 +58,24 @@ def _docx(content: bytes, name: str) -> tuple[str, str, list[int] | None]:
     return *docx.to_text(content, name), None
 
 
+def paged(pages: list[str]) -> tuple[str, str, list[int] | None]:
+    """Pages as one text with the offsets at which they begin."""
+    return "\n\n".join(pages), "", list(itertools.accumulate((len(p) + 2 for p in pages[:-1]), initial=0)) if pages else []
+
+
 def _pdf(content: bytes, name: str) -> tuple[str, str, list[int] | None]:
-    pages = pdf_pages(content)
-    return "\n\n".join(pages), "", [sum(len(p) + 2 for p in pages[:i]) for i in range(len(pages))]
+    return paged(pdf_pages(content))
 
 
 #: By loader, what turns a file's bytes and name into (text, title, page offsets).
 PARSERS: dict[str, Callable[[bytes, str], tuple[str, str, list[int] | None]]] = {"markdown": _plain, "text": _plain, "html": _html, "docx": _docx, "pdf": _pdf}
 
 
-def parse(kind: str, content: bytes, name: str) -> tuple[str, str, list[int] | None]:
+def parse(kind: str, content: bytes, name: str, parsers: dict[str, Callable] = PARSERS) -> tuple[str, str, list[int] | None]:
     """(text, title, page offsets) of a file's bytes."""
-    if kind not in PARSERS:
+    if kind not in parsers:
         raise Unsupported(name)
-    return PARSERS[kind](content, name)
+    return parsers[kind](content, name)
 
 
 def resolved(spark: SparkSession, path: str) -> str:
@@ -110,6 +115,12 @@ def opened(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(run, "path string, content binary")
 
 
+def content_of(spark: SparkSession, source: str) -> bytes | None:
+    """A file's bytes; None if it has gone."""
+    row = opened(spark.createDataFrame([(source,)], "path string")).first()
+    return None if row is None else bytes(row["content"])
+
+
 def text_of(spark: SparkSession, source: str) -> str | None:
     """A source read again; None for a URL, a kind that no loader takes, or a file that cannot be read."""
     if re.match("(?i)https?://", source):
@@ -121,7 +132,7 @@ def text_of(spark: SparkSession, source: str) -> str | None:
     return row["text"] if row is not None and row["failed"] is None else None
 
 
-def documents(files: DataFrame) -> DataFrame:
+def documents(files: DataFrame, parsers: dict[str, Callable] = PARSERS) -> DataFrame:
     """Parsed files; a file that cannot be parsed has its reason in ``failed``."""
     rows = files.select(F.regexp_replace("path", "^file:/*", "/").alias("source"), "content").withColumn("type", loader())
 
@@ -130,7 +141,7 @@ def documents(files: DataFrame) -> DataFrame:
             out = []
             for source, content, kind in frame[["source", "content", "type"]].itertuples(index=False):
                 try:
-                    text, title, pages = parse(kind, bytes(content), source)
+                    text, title, pages = parse(kind, bytes(content), source, parsers)
                     out.append((source, text, kind, title, pages, None))
                 except Exception as error:  # noqa: BLE001  one bad file doesn't end the run
                     out.append((source, None, kind, None, None, f"{type(error).__name__}: {error}"))

@@ -61,6 +61,10 @@ class Store:
             fs.delete(self._at(f"v{old}")[1], True)
         return number
 
+    def bytes(self, folder: str) -> int:
+        fs, path = self._at(folder)
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
     def remove(self, folder: str, unused: Callable[[str], bool], older: float = 3600.0) -> None:
         """Delete what lies in a folder, is not in use and has not changed for so many seconds, in which a writer may still name it."""
         fs, path = self._at(folder)

@@ -3,16 +3,19 @@
 import io
 import json
 import threading
+import urllib.parse
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from glosspan import arguments, cli, reports
 from glosspan.engine import Engine, Ports
-from glosspan.operators import answers
+from glosspan.functions import text as T
+from glosspan.operators import answers, chunking
 from glosspan.render import html, svg
 from glosspan.serve import http, mcp
-from glosspan.sources import settings
+from glosspan.sources import files, settings
 
 from .test_service import corpus
 
@@ -73,7 +76,7 @@ def test_comparison(engine):
 def test_other_pages(spark, engine):
     assert "<ol>" not in reports.search(engine, "  ").content
     found = reports.search(engine, "installer", source="*.md", endpoint="/ui/source").content
-    assert "/ui/source?chunk=" in found and "1 passage in *.md" in found
+    assert "/ui/source?path=" in found and "&amp;chunk=" in found and "1 passage in *.md" in found
     page = reports.dashboard(engine).content
     assert page.count("<svg") == 5 and "install.md" in page
     assert "graph LR" in reports.dashboard(engine, "text").content and "<svg" in reports.stats(engine).content
@@ -105,7 +108,7 @@ def test_http(engine, tmp_path):
     answer = json.loads(post("/ask", {"question": "container image"})[2])
     assert answer["usage"]["model"] == "m-1" and answer["sources"][0]["rank"] == 1
     (tmp_path / "new.txt").write_text("fresh words")
-    assert json.loads(post("/index", {"path": str(tmp_path / "new.txt")})[2])["indexed"] == 1 and post("/index", {"path": str(tmp_path / "no")})[0] == 404
+    assert json.loads(post("/index", {"path": str(tmp_path / "new.txt")})[2])["documents"] == 1 and post("/index", {"path": str(tmp_path / "no")})[0] == 404
     assert engine.remove(str(tmp_path / "new.txt")) == 1
     for target in ("/", "/ui?q=installer", "/ui/ask?q=installer", "/ui/dashboard"):
         assert get(target)[0] == 200 and get(target)[2].startswith(b"<!doctype html>")
@@ -126,7 +129,7 @@ def test_tools(engine, tmp_path):
     assert call("search_documents", query=" ")["isError"] and call("index_url", url="x")["isError"] and ask("tools/call", name="other")["error"]["code"] == -32602
     assert "[1]" in call("ask_documents", question="container image")["content"][0]["text"]
     (tmp_path / "new.txt").write_text("fresh words")
-    assert call("index_path", path=str(tmp_path))["structuredContent"]["indexed"] == 1 and call("remove_path", path=str(tmp_path))["structuredContent"] == {"removed": 1}
+    assert call("index_path", path=str(tmp_path))["structuredContent"]["documents"] == 1 and call("remove_path", path=str(tmp_path))["structuredContent"] == {"removed": 1}
     assert [m["method"].rsplit("/", 1)[1] for m in told] == ["list_changed", "updated"] * 2
     assert call("index_stats")["structuredContent"]["documents"] == 3 and "graph LR" in call("index_dashboard")["content"][0]["text"]
     documents = json.loads(ask("resources/read", uri="glosspan://documents")["result"]["contents"][0]["text"])
@@ -151,3 +154,66 @@ def test_command_line_reports(engine, tmp_path, capsys, monkeypatch):
     (tmp_path / "glosspan.toml").write_text(f'index_path = "{index}"\n')
     assert cli.main(["search", "installer"]) == 0 and cli.main(["--index", str(tmp_path / "none"), "search", "installer"]) == 1
     assert cli.logged("e", a="x", b="two words", c="") == 'e a=x b="two words" c=""'
+
+
+def test_self_contained_report(spark, engine):
+    made = engine.answer("container image")
+    texts = {r.source: r for r in engine.cited_texts(made).collect()}
+    first = made.passages.orderBy("rank").first()
+    segment = texts[first.source].segments[0]
+    assert 1 in segment.ranks and texts[first.source].text[segment.start : segment.end].split() == first.text.split()
+    marks = [texts[first.source].text[segment.start + h.start : segment.start + h.end] for h in segment.highlights]
+    assert set(marks) <= {"container", "image", "Container", "Image"} and marks
+    page = reports.answer(engine, "container image", form="self-contained").content
+    assert 'href="#inlined-1"' in page and '<span id="inlined-1"></span>' in page and "Delete the folder." in page and "file://" not in page.split("Cited texts")[0]
+    # A document that has gone is linked instead.
+    gone = answers.Answer("q", "a [1]", made.passages.withColumn("source", F.lit("/gone/away.txt")), None, None)
+    assert engine.cited_texts(gone).isEmpty() and "away.txt" in html.self_contained(gone, engine.cited_texts(gone))
+
+
+def test_passage_links(spark):
+    rows = spark.createDataFrame([("/a b/n.md", None), ("/a/p.pdf", 3), ("/a/p.docx", None), ("https://e.org/x", None), ("https://e.org/x#y", None), ("/a/n.txt", 2)], "source string, first_page int")
+    made = rows.select("source", T.passage_href(F.lit("one two-three"), F.array().cast("array<struct<start:int,end:int,term:string>>")).alias("href")).collect()
+    assert [r.href for r in made] == ["file:///a%20b/n.md#:~:text=one%20two%2Dthree", "file:///a/p.pdf#page=3", "file:///a/p.docx", "https://e.org/x#:~:text=one%20two%2Dthree", "https://e.org/x#y", "file:///a/n.txt#page=2"]
+
+
+def test_served_documents(engine, tmp_path):
+    api = http.Api(engine)
+    get = lambda **asked: api.handle("GET", f"/ui/source?{urllib.parse.urlencode(asked)}")
+    found = engine.search("container image").first()
+    assert b'<section id="passage">' in get(path=found.source, chunk=found.id, terms="image")[2] and b"Uninstall" in get(path=found.source)[2]
+    page = next(r.source for r in engine.index().sources().collect() if r.source.endswith(".html"))
+    status, kind, content = get(path=page)
+    assert (status, kind) == (200, "text/html") and b"<main>" in content and http.guards(kind)["Content-Security-Policy"] == "sandbox"
+    assert [get(path=p)[0] for p in ("/etc/hostname", "https://e.org/a", "")] == [404, 404, 404] and http.guards("application/json") == {}
+
+
+def test_replaceable_parts(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("one two three")
+    (tmp_path / "d" / "b.pdf").write_bytes(b"first page|second page")
+    ports = Ports(
+        highlight=lambda text, terms, tokenizer=None: F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("x").alias("term"))),
+        locate=lambda: F.concat(F.lit("app:"), F.col("id")),
+        chunk=lambda rows, size, overlap: chunking.windows(rows, 2, 0),
+        parsers={"text": files.PARSERS["text"]} | {"pdf": lambda content, name: files.paged(content.decode().split("|"))},
+        estimate=lambda usage: 7.0,
+        renderers={("answer", "plain"): lambda made: f"{made.question}: {made.text}"},
+        generate=lambda question, passages: answers.Generated("said", answers.Usage("m")),
+    )
+    engine = Engine(spark, settings.Settings(index_path=str(tmp_path / "ix")), clock=lambda: "now", ports=ports)
+    assert engine.index_paths(str(tmp_path / "d")).chunks == 4
+    found = engine.search("three").first()
+    assert (found.text, found.href, found.highlights[0].term) == ("three", f"app:{found.id}", "x")
+    page = engine.search("second").first()
+    assert (page.text, page.first_page, page.last_page) == ("second page", 2, 2)
+    assert engine.answer("three").cost_usd == 7.0 and reports.answer(engine, "three", form="plain").content == "three: said"
+
+
+def test_reports_open_in_a_browser(engine, tmp_path, capsys, monkeypatch):
+    opened = []
+    monkeypatch.setattr(cli.webbrowser, "open", lambda uri: opened.append(uri) or len(opened) == 1)
+    for _ in range(2):
+        assert cli.main(["--index", engine.options.index_path, "report", "container image", "--format", "self-contained", "--open"]) == 0
+    assert all(u.startswith("file://") and u.endswith("answer.html") for u in opened) and "no browser" in capsys.readouterr().err
+    assert cli.main(["--index", engine.options.index_path, "report", "container image", "--format", "markdown"]) == 0 and "# container image" in capsys.readouterr().out

@@ -51,7 +51,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--index", index, "index", where]) == 0
     assert cli.main(["--index", index, "search", "installer", "--json"]) == 0
     out = capsys.readouterr().out
-    assert json.loads(out[out.index("[") :])[0]["section"] == "Install"
+    assert json.loads(out[out.index("{\n") :])["results"][0]["chunk"]["section"] == "Install"
     assert cli.main(["--index", index, "search", "zebra"]) == 1
     assert cli.main(["--index", index, "dashboard"]) == 0 and "graph LR" in capsys.readouterr().out
     (tmp_path / "bad.toml").write_text("nope = 1")
