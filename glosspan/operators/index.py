@@ -123,8 +123,8 @@ class Index:
         kept = self.postings.join(todo.select("source"), "source", "left_anti")
         return self._with(rest.unionByName(new), kept.unionByName(postings(new, self.tokenizer)))
 
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        """Chunks, postings, bounds, sources and totals as Parquet; postings in term order, so that a search skips row groups.
+    def save(self, path: str, mode: str = "overwrite", totals: bool = True) -> None:
+        """Chunks, postings, bounds, sources and, unless the caller keeps them, totals as Parquet; postings in term order, so that a search skips row groups.
 
         Ranges are cut by term and chunk, so the commonest term is no single
         task's.  Counting tokens ends in a shuffle, whose files the ranges'
@@ -136,11 +136,13 @@ class Index:
         rows = postings(kept, self.tokenizer) if self._derived else self.postings
         rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
         terms = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        bounds(terms).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode(mode).parquet(f"{path}/blocks")
+        bounds(terms).sortWithinPartitions("term", "block").write.mode(mode).parquet(f"{path}/blocks")
         by_source = Index(kept, terms).sources().join(terms.groupBy("source").agg(F.sum("tf").alias("terms")), "source", "left")
         by_source.select("source", "content_hash", "seq", "chunks", F.coalesce("terms", F.lit(0)).cast("long").alias("terms")).write.mode(mode).parquet(f"{path}/sources")
-        totals = spark.read.parquet(f"{path}/sources").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"))
-        totals.write.mode(mode).parquet(f"{path}/totals")
+        if not totals:
+            return
+        sums = spark.read.parquet(f"{path}/sources").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"))
+        sums.write.mode(mode).parquet(f"{path}/totals")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer = DEFAULT) -> Index:

@@ -155,14 +155,19 @@ class Segments:
         home = f"{self.path}/segments/{name}"
         if chunks is None:
             chunks = self.spark.createDataFrame([], CHUNKS)
-        Index(chunks, tokenizer=self.tokenizer).save(home)
+        Index(chunks, tokenizer=self.tokenizer).save(home, totals=False)
         gone.select("source").distinct().write.mode("overwrite").parquet(f"{home}/gone")
         if embed:
             embed(self._table(name, "chunks")).write.mode("overwrite").parquet(f"{home}/vectors")
         return self._row(name, place, level, bool(embed))
 
     def _row(self, name: str, place: int, level: int, vectors: bool) -> tuple:
-        return (name, place, level, *(self._table(name, t).count() for t in ("chunks", "postings", "sources", "gone")), vectors)
+        """Its counts add up in the small tables; chunks and postings are not read."""
+        one = self._table(name, "sources").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("b"))
+        rows = one.unionByName(self._table(name, "blocks").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("a"), F.lit(-1).cast("long").alias("b")))
+        rows = rows.unionByName(self._table(name, "gone").agg(F.count(F.lit(1)).alias("a"), F.lit(-2).cast("long").alias("b")))
+        found = {min(r["b"], 0): (r["a"], r["b"]) for r in rows.collect()}
+        return (name, place, level, found[0][0], found[-1][0], found[0][1], found[-2][0], vectors)
 
     def _merged(self, rows: list[tuple]) -> list[tuple]:
         """The list after merging; levels fall from old to new, so what is merged is always the newest part."""
@@ -175,7 +180,7 @@ class Segments:
                 self.live(named, table).write.parquet(f"{home}/{table}")
             ordered = self.live(named, "postings").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
             ordered.write.parquet(f"{home}/postings")
-            made = bounds(self._table(name, "postings")).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+            made = bounds(self._table(name, "postings")).sortWithinPartitions("term", "block")
             made.write.parquet(f"{home}/blocks")
             needed = self._all(named, "gone").select("source").distinct()
             (needed if old else needed.limit(0)).write.parquet(f"{home}/gone")

@@ -227,5 +227,6 @@ ORACLES |= {
     "chat_window_stream": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
     "sql_sentence_chunks": ORACLES["sentence_chunks"],
     "sql_search": ORACLES["bm25_explain"],
+    "segmented_search": ORACLES["bm25_batch"],
     "folded_filters": f"WITH {_DOCS} SELECT ['Straße', 'STRASSE', 'ΣΟΦΟΣ', 'σοφος', 'plain'][seq % 5 + 1] || '/' || source AS source FROM docs WHERE seq % 5 < 4",
 }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from glosspan.functions import text as T
 from glosspan.operators import analytics, answers, chunking, evaluation, passages, retrieval, vectors
 from glosspan.operators.filters import changed_only, ignored, in_scope, under_path, under_url
-from glosspan.operators.index import Index
+from glosspan.operators.index import Index, chunked
+from glosspan.operators.segments import Segments
 from glosspan.render.text import edge_label, labels
 from glosspan.session import shared_dir
 from glosspan.sources import html, tables
@@ -83,6 +84,20 @@ def bm25_bounded(spark, sf):
     return retrieval.bm25_bounded(index(spark, sf), benchmark_queries(spark, sf), 5).select("query_id", "rank", "id", r6("score").alias("score"))
 
 
+def segmented_search(spark, sf):
+    """bm25_batch over an index that came about in three batches, one of which replaced half of the documents and one removed strangers."""
+    store = Segments(spark, f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}")
+    docs = tables.documents(spark, sf)
+    odd = F.col("seq") % 2 == 1
+    none = docs.limit(0).select("source")
+    old = docs.where(odd).withColumn("text", F.concat(F.lit("old words "), F.substring("text", 1, 100)))
+    strangers = docs.where("seq % 5 = 0").select(F.concat(F.lit("x/"), "source").alias("source"), "text", "type", "seq")
+    store.publish(chunked(docs.where(~odd).unionByName(old).unionByName(strangers)), none)
+    store.publish(chunked(docs.where(odd)), docs.where(odd).select("source"))
+    store.publish(None, strangers.select("source"))
+    return retrieval.bm25(store.index(), benchmark_queries(spark, sf), 5).select("query_id", "rank", "id", r6("score").alias("score"))
+
+
 def scoped_exact(spark, sf):
     """All benchmark items as queries among the documents of one folder."""
     found = retrieval.scoped(index(spark, sf), benchmark_queries(spark, sf), "src3/en", 5, exact=True)
@@ -442,7 +457,7 @@ def watch_apply(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_window, tokens_stats, top_terms, index_stats, bm25_search, bm25_batch, bm25_bounded, scoped_exact, dense_batch, bm25_explain, source_filters, dense_search, hybrid_rrf, rerank_grades, grades_parsed, highlights, passage_spans,
+        chunk_window, tokens_stats, top_terms, index_stats, bm25_search, bm25_batch, bm25_bounded, segmented_search, scoped_exact, dense_batch, bm25_explain, source_filters, dense_search, hybrid_rrf, rerank_grades, grades_parsed, highlights, passage_spans,
         docs_by_type, chunk_histogram, recent_documents, catalog, doc_top_terms, doc_relations, eval_outcomes, eval_report, cited_documents, answer_overlap, usage_cost, chat_window, chat_window_stream, sql_sentence_chunks, sql_search, folded_filters, prompt_budget,
         segments_merge, incremental_changed, snapshot_diff, remove_path, remove_url, dedup_hash, upsert_chunks, loader_dispatch, text_functions, vector_cache_missing, pages_main_content, pages_chunks,
         sentence_chunks, markdown_sections, pca_map, watch_apply, paged_windows, emphasized, source_hrefs, document_labels, edge_labels, score_breakdown, label_texts, chunk_lookup, ignored_files,
