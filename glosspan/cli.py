@@ -135,7 +135,8 @@ def run_remove(engine: Engine, args) -> int:
 
 
 def run_search(engine: Engine, args) -> int:
-    found = engine.search(arguments.query(args.query), arguments.number(args.top_k, engine.options.top_k, 1, arguments.MOST_RESULTS, "top_k"), args.source).cache()
+    found = engine.search(arguments.query(args.query), arguments.number(args.top_k, engine.options.top_k, 1, arguments.MOST_RESULTS, "top_k"), args.source)
+    found = engine.held(found)
     print(dumped(shapes.search_results(found, args.query, args.source)) if args.json else render.results(found) or "nothing found")
     return int(found.isEmpty())
 

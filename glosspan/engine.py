@@ -214,6 +214,10 @@ class Engine:
         done = evaluation.outcomes(ranking, cases, k)
         return done, evaluation.report(done, k)
 
+    def held(self, rows: DataFrame) -> DataFrame:
+        """A result of bounded size (the top k) computed once and held on the driver, so that nothing stays in storage."""
+        return self.spark.createDataFrame(rows.collect(), rows.schema)
+
     # Answering.
 
     def ask(self, question: str, top_k: int | None = None, source: str = "", on_text: Callable[[str], None] | None = None) -> tuple[str, DataFrame]:
@@ -222,7 +226,7 @@ class Engine:
 
     def answer(self, question: str, top_k: int | None = None, source: str = "", on_text: Callable[[str], None] | None = None) -> answers.Answer:
         """The answer with its passages, the usage of the call that made it and its cost."""
-        found = self.search(question, top_k, source).cache()
+        found = self.held(self.search(question, top_k, source))
         made = answers.generated(question, found, self.ports.generate, on_text)
         return answers.Answer(question, made.text, found, made.usage, self.cost(made.usage))
 

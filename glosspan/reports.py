@@ -38,7 +38,7 @@ def rendered(name: str, form: str, data: Any, engine: Engine | None = None) -> R
 
 def search(engine: Engine, query: str, top_k: int | None = None, source: str = "", endpoint: str | None = None) -> Rendered:
     """A blank query gives the empty page and searches nothing."""
-    found = engine.search(query, top_k, source).cache() if query.strip() else None
+    found = engine.held(engine.search(query, top_k, source)) if query.strip() else None
     return Rendered(found, html.search(query.strip(), found, source, endpoint))
 
 

@@ -97,7 +97,7 @@ class Server:
 
     def search(self, asked: dict) -> tuple[str, dict]:
         query, top, source = self._found(asked, "query")
-        found = self.engine.search(query, top, source).cache()
+        found = self.engine.held(self.engine.search(query, top, source))
         return plain.results(found) or "nothing found", shapes.search_results(found, query, source)
 
     def ask(self, asked: dict) -> tuple[str, dict]:
@@ -150,7 +150,7 @@ class Server:
     def read(self, params: dict) -> dict:
         uri, index = params.get("uri", ""), self.engine.index()
         if uri == "glosspan://documents":
-            body = shapes.documents(analytics.catalog(index).limit(MOST_DOCUMENTS))
+            body = shapes.documents(analytics.catalog(index).orderBy("source").limit(MOST_DOCUMENTS))
         elif uri.startswith("glosspan://chunks/"):
             found = shapes.chunk(analytics.chunk(index, uri.rpartition("/")[2]))
             if not found:
