@@ -121,7 +121,7 @@ SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id)::INT AS rank, id, r
     "rerank_grades": f"""{_bm25()},
 g AS (SELECT r.id, r.rank, floor(10 * (SELECT count(*) FROM post p JOIN qt USING (term) WHERE p.id = r.id) / (SELECT count(*) FROM qt)::DOUBLE)::INT AS grade FROM ranks r WHERE rank <= 20)
 SELECT row_number() OVER (ORDER BY grade DESC, rank)::INT AS rank, id, grade FROM g ORDER BY grade DESC, rank LIMIT 10""".replace("SELECT row_number() OVER (ORDER BY grade DESC, rank)::INT AS rank, id, grade FROM g ORDER BY grade DESC, rank LIMIT 10", "SELECT n::INT AS rank, id, grade FROM (SELECT *, row_number() OVER (ORDER BY grade DESC, rank) AS n FROM g) WHERE n <= 10"),
-    "grades_parsed": "SELECT item_id::VARCHAR AS query_id, 1 AS passage, greatest(0, least(10, item_id % 13 - 1))::INT AS grade FROM benchmark UNION ALL SELECT item_id::VARCHAR, 2, 10 FROM benchmark",
+    "grades_parsed": "SELECT item_id::VARCHAR AS query_id, 1 AS passage, greatest(0, least(10, length(text) % 13 - 1))::INT AS grade FROM benchmark UNION ALL SELECT item_id::VARCHAR, 2, 10 FROM benchmark",
     "sentence_chunks": f"""WITH RECURSIVE {_DOCS},
 w AS (SELECT source, regexp_extract_all(text, '{WORD}') AS ws, regexp_split_to_array(text, '{WORD}') AS gs FROM docs),
 x AS (SELECT source, ws, gs, list_transform(ws, lambda y: rtrim(y, '{_CLOSING}')) AS stems, list_transform(ws, lambda y: substr(ltrim(y, '{_OPENING}'), 1, 1)) AS heads FROM w WHERE len(ws) > 0),
@@ -193,11 +193,11 @@ SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'soon' ELS
     "ignored_files": f"WITH {_DOCS} SELECT '/w/' || source AS path FROM docs WHERE NOT starts_with(source, 'src1/en/')",
     "prompt_context": f"""{_bm25(_ITEMS)}, b AS (SELECT query_id, rank, '[' || rank || '] (source: ' || c.source || ')' || chr(10) || c.text AS block FROM ranks JOIN chunks c USING (id) WHERE rank <= 3)
 SELECT query_id, md5('<context>' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || '</context>' || chr(10) || chr(10) || 'Question: Why?') AS prompt_md5 FROM b GROUP BY 1""",
-    "citation_links": """WITH t AS (SELECT item_id, substr(text, 1, 30) AS head, item_id % 7 AS x, item_id % 5 AS y, item_id % 4 + 1 AS n FROM benchmark)
+    "citation_links": """WITH t AS (SELECT item_id, text AS head, item_id % 7 AS x, item_id % 5 AS y, item_id % 4 + 1 AS n FROM benchmark)
 SELECT item_id, array_to_string(list_filter([CASE WHEN x BETWEEN 1 AND n THEN x END, CASE WHEN n >= 2 AND x <> 2 THEN 2 END], lambda v: v IS NOT NULL), ',') AS cited,
   head || CASE WHEN x BETWEEN 1 AND n THEN ' <' || x || '>' ELSE ' [' || x || ']' END || ' and ' || CASE WHEN n >= 2 THEN '<2>' ELSE '[2]' END || ', [' || y || '](x) [12] [007]' AS linked FROM t""",
     "text_fragments": f"""WITH {_DOCS}, {_chunks(14, 0)},
-w AS (SELECT id, regexp_extract_all(text, '{WORD}') AS ws, regexp_extract_all(text, '{TOKEN}') AS ts FROM chunks WHERE NOT regexp_matches(text, '[^ -~]')),
+w AS (SELECT id, regexp_extract_all(text, '{WORD}') AS ws, regexp_extract_all(text, '{TOKEN}') AS ts FROM chunks),
 q AS (SELECT '{QUERY}' AS query), qt AS (SELECT list(DISTINCT term) AS terms FROM ({_terms("q", "query", "query")})),
 e AS (SELECT id, CASE WHEN len(ws) <= 12 THEN 'text=' || {_encoded("array_to_string(ws, ' ')")} ELSE 'text=' || {_encoded("array_to_string(ws[:6], ' ')")} || ',' || {_encoded("array_to_string(ws[-6:], ' ')")} END AS span,
   list_filter(ts, lambda t: list_contains(terms, lower(t))) AS met FROM w, qt),

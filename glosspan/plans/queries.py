@@ -155,9 +155,10 @@ def rerank_grades(spark, sf):
 
 
 def grades_parsed(spark, sf):
-    """Grades from JSON answers, one answer per benchmark item."""
-    items = tables.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), (F.col("item_id") % 13 - 1).cast("int").alias("g"))
-    answer = F.format_string('{"grades":[{"passage":1,"grade":%d},{"passage":2,"grade":99},{"passage":1,"grade":3},{"passage":7,"grade":5}]}', "g")
+    """Grades from JSON answers, one answer per benchmark item, which quotes the item."""
+    items = tables.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), (F.char_length("text") % 13 - 1).cast("int").alias("g"), "text")
+    grades = [F.struct(F.lit(p).alias("passage"), g.alias("grade")) for p, g in ((1, F.col("g")), (2, F.lit(99)), (1, F.lit(3)), (7, F.lit(5)))]
+    answer = F.to_json(F.struct(F.array(*grades).alias("grades"), F.col("text").alias("quoted")))
     return retrieval.parsed_grades(items.select("query_id", answer.alias("answer"), F.lit(3).alias("count")))
 
 
@@ -346,14 +347,14 @@ def prompt_context(spark, sf):
 
 def citation_links(spark, sf):
     """Which citations of a text count, when its sources are fewer than it cites, and the text with links."""
-    items = tables.read(spark, sf, "benchmark").select("item_id", F.concat(F.substring("text", 1, 30), F.lit(" ["), F.col("item_id") % 7, F.lit("] and [2], ["), F.col("item_id") % 5, F.lit("](x) [12] [007]")).alias("text"), (F.col("item_id") % 4 + 1).alias("sources"))
+    items = tables.read(spark, sf, "benchmark").select("item_id", F.concat("text", F.lit(" ["), F.col("item_id") % 7, F.lit("] and [2], ["), F.col("item_id") % 5, F.lit("](x) [12] [007]")).alias("text"), (F.col("item_id") % 4 + 1).alias("sources"))
     link = lambda n: F.concat(F.lit("<"), n, F.lit(">"))
     return items.select("item_id", joined(answers.citations("text", F.col("sources"))).alias("cited"), answers.linked("text", F.col("sources"), link).alias("linked"))
 
 
 def text_fragments(spark, sf):
-    """Fragment directives of every chunk of 10 words and more words of the documents."""
-    rows = chunking.windows(tables.documents(spark, sf).select("source", "text"), 14, 0).where(~F.rlike("text", F.lit("[^ -~]")))
+    """Fragment directives of every chunk of 14 words of the documents."""
+    rows = chunking.windows(tables.documents(spark, sf).select("source", "text"), 14, 0)
     marked = rows.withColumn("found", T.highlights("text", T.tokenize(QUERY)))
     return marked.select("id", joined(T.text_directives("text", "found"), "&").alias("directives"))
 
