@@ -295,7 +295,7 @@ class Engine:
             found = passage.first()
             text = files.text_of(self.spark, found["source"]) if found else None
             texts = self.spark.createDataFrame([(found["source"], text)] if text is not None else [], "source string, text string")
-        row = texts.join(F.broadcast(passage), "source").withColumn("span", T.passage_span("text", "passage"))
+        row = passages.located(texts, passage).join(texts, "source").withColumn("span", F.when(F.col("start").isNotNull(), F.struct("start", "end")))
         inside = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
         marks = F.transform(self.ports.highlight(inside, index.tokenizer.terms(query), index.tokenizer), lambda h: F.struct((h["start"] + F.col("span.start")).alias("start"), (h["end"] + F.col("span.start")).alias("end"), h["term"].alias("term")))
         return row.select("source", "text", F.col("span.start").alias("passage_start"), F.col("span.end").alias("passage_end"), marks.alias("highlights"))

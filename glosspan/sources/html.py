@@ -10,7 +10,6 @@ breaks.
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
