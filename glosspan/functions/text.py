@@ -41,8 +41,7 @@ class Tokenizer:
 
     def terms_of(self, text: str | Column) -> Column:
         """Lower-cased terms without stopwords, in text order."""
-        stop = F.array(*map(F.lit, self.stopwords)).cast("array<string>")
-        return F.filter(F.transform(self.raw(text), F.lower), lambda t: ~F.array_contains(stop, t))
+        return F.filter(F.transform(self.raw(text), F.lower), self.keeps)
 
     def keeps(self, token: Column) -> Column:
         """Whether a lower-cased token is no stopword; after an explode this stays in generated code."""

@@ -45,7 +45,8 @@ def windows(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     if paged:
         # Offsets of the words: running lengths of alternating gaps and words.
         rows = rows.withColumn("offsets", word_offsets("text", "words"))
-    rows = rows.where(count > 0).withColumn("position", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    # No filter on the words: it would be pushed down and find them all once more.
+    rows = rows.withColumn("position", F.explode(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int")))))
     begin = F.col("position") * step
     text = F.array_join(F.slice("words", begin + 1, size), " ")
     if paged:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,27 +36,41 @@ def report(done: DataFrame, k: int = 5) -> DataFrame:
     return done.agg(F.count(F.lit(1)).alias("cases"), F.coalesce(F.avg(F.element_at("recall_curve", k)), F.lit(0.0)).alias("recall"), F.coalesce(F.avg(F.coalesce(1 / F.col("first_hit"), F.lit(0.0))), F.lit(0.0)).alias("mrr"), curve.alias("mean_curve"))
 
 
-#: Words that a passage and a text must share before they are compared whole.
+#: Words by which a passage is looked up before it is compared whole.
 KEY = 8
 
 
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, relevant): the sources of the documents that hold a passage's words in order.
 
-    A passage's first words (KEY of them, or all) are looked up among the runs of
-    as many words of the documents; only what meets is compared whole.
+    The passages are stated by the caller and sent to every task.  Where one of
+    their first words stands in a document, its next words (KEY of them, or all)
+    are looked up; only what meets is compared whole.  Documents are read once,
+    and what is shuffled is their names.
     """
-    asked = passages.select("query_id", words("text").alias("ws")).where(F.size("ws") > 0)
-    asked = asked.select("query_id", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("passage"), F.least(F.size("ws"), F.lit(KEY)).alias("k"), F.array_join(F.slice("ws", 1, KEY), " ").alias("key"))
-    held = docs.select("source", words("text").alias("ws"))
-    out = None
-    for (k,) in sorted(asked.select("k").distinct().collect()):  # KEY values at most
-        runs = F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1), lambda i: F.array_join(F.slice("ws", i, k), " "))
-        keyed = held.where(F.size("ws") >= k).select("source", F.explode(F.array_distinct(runs)).alias("key"))
-        met = keyed.join(asked.where(F.col("k") == k).select("query_id", "key", "passage"), "key")
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        return asked.select("query_id", F.array().cast("array<string>").alias("relevant")).limit(0)
-    whole = docs.select("source", F.concat(F.lit(" "), F.array_join(words("text"), " "), F.lit(" ")).alias("body"))
-    found = out.join(whole, "source").where(F.contains("body", "passage"))
-    return found.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("relevant"))
+    asked = [(r["query_id"], r["ws"]) for r in passages.select("query_id", words("text").alias("ws")).where(F.size("ws") > 0).collect()]
+    sent = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_key: dict[tuple[str, ...], list[tuple[str, list[str]]]] = {}
+        for query, ws in sent.value:
+            by_key.setdefault(tuple(ws[:KEY]), []).append((query, ws))
+        sizes, first = sorted({len(key) for key in by_key}), pa.array(sorted({key[0] for key in by_key}), pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            at = np.flatnonzero(pc.is_in(flat, value_set=first).to_numpy(zero_copy_only=False))
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[at]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            found = set()
+            for i, r in zip(at.tolist(), row.tolist(), strict=True):
+                ahead = tuple(flat.slice(i, min(KEY, int(ends[r]) - i)).to_pylist())
+                for n in sizes:
+                    for query, ws in by_key.get(ahead[:n], ()) if n <= len(ahead) else ():
+                        if i + len(ws) <= ends[r] and flat.slice(i, len(ws)).to_pylist() == ws:
+                            found.add((query, r))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in pairs], pa.string()), batch.column(0).take(pa.array([r for _, r in pairs], pa.int64()))], ["query_id", "source"])
+
+    met = docs.select("source", words("text").alias("ws")).mapInArrow(run, "query_id string, source string")
+    return met.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("relevant"))

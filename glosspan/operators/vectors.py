@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +27,25 @@ class Embedder(Protocol):
         """(key, vector) of rows; a text may go without one."""
 
 
-def hashed(rows: DataFrame, key: str = "id", text: str = "text", dim: int = DIM, tokenizer: Tokenizer = DEFAULT) -> DataFrame:
-    """(key, vector): a bag of words hashed by md5 into ``dim`` counts."""
-    terms = rows.select(key, F.explode(tokenizer.raw(text)).alias("raw")).select(key, F.lower("raw").alias("term")).where(tokenizer.keeps(F.col("term")))
-    bucket = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int") % dim).alias("bucket")
-    counts = terms.groupBy(key, bucket).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    filled = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("found"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("found", i), F.lit(0.0)))
-    return filled.select(key, vector.alias("vector"))
+def hashed(rows: DataFrame, key: str = "id", text: str = "text", dim: int = DIM, tokenizer: Tokenizer = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, vector, and the columns ``keep``): a bag of words hashed by md5 into ``dim`` counts.
+
+    A row's terms are counted where they are made; rows without terms have no vector.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(0).flatten().dictionary_encode()
+            bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dim for t in terms.dictionary.to_pylist()], np.int64)
+            row = pc.list_parent_indices(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = np.bincount(row * dim + bucket[terms.indices.to_numpy(zero_copy_only=False)], minlength=len(batch) * dim).reshape(-1, dim) if len(row) else np.zeros((len(batch), dim))
+            at = np.flatnonzero(found.any(axis=1))
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(found[at].ravel().astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[1:]), vector], [key, *keep, "vector"])
+
+    listed = rows.select(tokenizer.terms_of(text).alias("_terms"), key, *keep)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return listed.mapInArrow(run, f"{schema}, vector array<double>")
 
 
 class Hashed:

@@ -34,7 +34,7 @@ def index(spark: SparkSession, sf: str) -> Index:
     """The index of all documents, windows of 200 words; stamps alternate by document."""
     base = Index.of(tables.documents(spark, sf))
     stamp = F.when(F.col("seq") % 3 == 0, "").otherwise(F.concat(F.lit("2026-01-"), F.lpad((1 + F.col("seq") % 28).cast("string"), 2, "0"), F.lit("T00:00:00+00:00")))
-    return Index(base.chunks.withColumn("indexed_at", stamp), base.postings)
+    return Index(base.chunks.withColumn("indexed_at", stamp))
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +141,7 @@ def dense_search(spark, sf):
 
 def hybrid_rrf(spark, sf):
     idx = index(spark, sf)
-    vecs = vectors.hashed(idx.chunks).join(idx.chunks.select("id", "seq"), "id")
+    vecs = vectors.hashed(idx.chunks, keep=("seq",))
     q = vectors.hashed(asked(spark).withColumnRenamed("query", "text"), "query_id")
     depth = retrieval.RRF_DEPTH
     return retrieval.fused([retrieval.bm25(idx, asked(spark), depth), retrieval.dense(vecs, q, depth)], 10).select("rank", "id", r6("score").alias("score"))
@@ -219,7 +219,7 @@ def eval_report(spark, sf):
 
 def cited_documents(spark, sf):
     idx = index(spark, sf)
-    found = retrieval.bm25(idx, asked(spark), 20).join(idx.chunks.select("id", "indexed_at"), "id")
+    found = idx.chunks.select("id", "indexed_at").join(F.broadcast(retrieval.bm25(idx, asked(spark), 20)), "id")
     return answers.cited_documents(found).select("source", "indexed_at", "best_rank", joined("ranks").alias("ranks"))
 
 
@@ -281,8 +281,10 @@ def prompt_budget(spark, sf):
 def segments_merge(spark, sf):
     """The stretches of each document that the 200 best passages for a query cover."""
     idx = index(spark, sf)
-    best = retrieval.bm25(idx, asked(spark), 200).join(idx.chunks.select("id", F.col("text").alias("passage")), "id")
-    spans = passages.located(tables.documents(spark, sf), best.select("source", "rank", "passage"))
+    # The 200 best are sent to the tables, which are not shuffled for them.
+    best = idx.chunks.select("id", F.col("text").alias("passage")).join(F.broadcast(retrieval.bm25(idx, asked(spark), 200)), "id").persist()
+    docs = tables.documents(spark, sf).join(F.broadcast(best.select("source").distinct()), "source", "left_semi")
+    spans = passages.located(docs, best.select("source", "rank", "passage"))
     return answers.merged_segments(spans.select("source", "rank", "start", "end")).select("source", "start", "end", joined("ranks").alias("ranks"))
 
 
@@ -341,7 +343,7 @@ def ignored_files(spark, sf):
 def prompt_context(spark, sf):
     """The numbered passages that a question's prompt holds."""
     idx = index(spark, sf)
-    found = retrieval.bm25(idx, benchmark_queries(spark, sf), 3).join(idx.chunks.drop("source", "seq", "position"), "id")
+    found = idx.chunks.drop("source", "seq", "position").join(F.broadcast(retrieval.bm25(idx, benchmark_queries(spark, sf), 3)), "id")
     return answers.context(found).select("query_id", F.md5(answers.prompt("Why?").cast("binary")).alias("prompt_md5"))
 
 
