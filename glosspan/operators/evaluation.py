@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspan.functions.text import source_matches, words
+from glosspan.session import small_batches
 
 
 def outcomes(ranking: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
@@ -48,6 +49,7 @@ def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     are looked up; only what meets is compared whole.  Documents are read once,
     and what is shuffled is their names.
     """
+    small_batches(docs.sparkSession)
     asked = [(r["query_id"], r["ws"]) for r in passages.select("query_id", words("text").alias("ws")).where(F.size("ws") > 0).collect()]
     sent = docs.sparkSession.sparkContext.broadcast(asked)
 

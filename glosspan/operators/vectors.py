@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspan.functions.text import DEFAULT, Tokenizer, content_hash
+from glosspan.session import small_batches
 
 DIM = 64
 CACHE = "text_sha string, model string, vector array<double>"
@@ -43,6 +44,7 @@ def hashed(rows: DataFrame, key: str = "id", text: str = "text", dim: int = DIM,
             vector = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(found[at].ravel().astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[1:]), vector], [key, *keep, "vector"])
 
+    small_batches(rows.sparkSession)
     listed = rows.select(tokenizer.terms_of(text).alias("_terms"), key, *keep)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
     return listed.mapInArrow(run, f"{schema}, vector array<double>")

@@ -34,3 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="glosspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+#: Bytes of rows that go to Python at once, unless the session has a bound of its own.
+ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of bounded size.
+
+    A plan runs after the function that made it has returned, so this is set for
+    the session.
+    """
+    if not spark.conf.get(ARROW, None) or spark.conf.get(ARROW) == "-1":
+        spark.conf.set(ARROW, ARROW_BYTES)
