@@ -2,7 +2,7 @@
 
 A passage is a sequence of words; in a document it may have any white space
 between them, and its first and last word may be the end and the beginning of
-longer ones.  A document's words get rolling hashes of all runs of the lengths
+longer ones, unless whole words are asked for.  A document's words get rolling hashes of all runs of the lengths
 its passages ask for, so a passage is looked up by the hash of the words between
 its first and its last, verified word by word, and placed by the code points at
 which its words begin and end.  The work is linear in the text and its passages,
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosspan.session import small_batches
+
 GROUP = 4096
 #: Base of the rolling hash, odd; arithmetic is modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,9 +72,15 @@ class Words:
         own = int(np.sum(_codes(words) * self.power[:n], dtype=np.uint64))
         return own * int(self.power[size - n]) % (1 << 64) if n <= size else -1
 
-    def first(self, passage: str) -> tuple[int, int] | None:
-        """(start, end) of the passage where it first stands, in code points."""
+    def first(self, passage: str, whole: bool = False) -> tuple[int, int] | None:
+        """(start, end) of the passage where it first stands, in code points; ``whole``: only between whole words."""
         words = passage.split()
+        if whole:
+            n = len(words)
+            for i in self.places(n, self.key(words)) if words else ():
+                if self.words[i : i + n] == words:
+                    return self.spans[i][0], self.spans[i + n - 1][1]
+            return None
         if len(words) < 3:
             found = re.search(r"\s+".join(map(re.escape, words)), self.text) if words else None
             return found.span() if found else None
@@ -84,11 +92,14 @@ class Words:
         return None
 
 
-def located(documents: DataFrame, passages: DataFrame) -> DataFrame:
+def located(documents: DataFrame, passages: DataFrame, whole: bool = False) -> DataFrame:
     """Passages (source, passage, and further columns) with start and end, null where they don't stand in their document (source, text).
 
+    ``whole``: the first and the last word are whole words of the document, as those of its chunks are.
+
     ``source`` names one document; passages of unknown sources are left out.
     """
+    small_batches(documents.sparkSession)
     keys = [c for c in passages.columns if c != "source"]
     counts = passages.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     groups = F.ceil(F.col("_n") / GROUP)
@@ -103,7 +114,7 @@ def located(documents: DataFrame, passages: DataFrame) -> DataFrame:
             for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = Words(text or "")
                 known: dict[str, tuple[int, int] | None] = {}
-                spans.append([known[p] if p in known else known.setdefault(p, words.first(p or "")) for p in wanted])
+                spans.append([known[p] if p in known else known.setdefault(p, words.first(p or "", whole)) for p in wanted])
             made = pa.array([[None if s is None else {"start": s[0], "end": s[1]} for s in row] for row in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), made], ["source", "asked", "spans"])
 

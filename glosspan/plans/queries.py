@@ -171,7 +171,7 @@ def passage_spans(spark, sf):
     """Where each document's windows stand in its text."""
     docs = tables.documents(spark, sf)
     found = chunking.windows(docs.select("source", "text"), 50, 10).select("source", "position", F.col("text").alias("passage"))
-    return passages.located(docs, found).select("source", "position", "start", "end")
+    return passages.located(docs, found, whole=True).select("source", "position", "start", "end")
 
 
 def docs_by_type(spark, sf):
@@ -284,7 +284,7 @@ def segments_merge(spark, sf):
     # The 200 best are sent to the tables, which are not shuffled for them.
     best = idx.chunks.select("id", F.col("text").alias("passage")).join(F.broadcast(retrieval.bm25(idx, asked(spark), 200)), "id").persist()
     docs = tables.documents(spark, sf).join(F.broadcast(best.select("source").distinct()), "source", "left_semi")
-    spans = passages.located(docs, best.select("source", "rank", "passage"))
+    spans = passages.located(docs, best.select("source", "rank", "passage"), whole=True)
     return answers.merged_segments(spans.select("source", "rank", "start", "end")).select("source", "start", "end", joined("ranks").alias("ranks"))
 
 
