@@ -7,10 +7,13 @@ written so that Java's and RE2's engines agree with them.
 from __future__ import annotations
 
 import functools
-import string
-
 import re
+import string
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,6 +145,24 @@ def chunk_id(source: str | Column, position: str | Column) -> Column:
     return F.concat(F.substring(F.sha1(col(source)), 1, 10), F.lit("-"), col(position).cast("string"))
 
 
+@functools.cache
+def _running() -> Callable[[Column], Column]:
+    @F.arrow_udf("array<int>")
+    def sums(lists: pa.Array) -> pa.Array:
+        flat = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(flat)])
+        made = (total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(made), mask=lists.is_null())
+
+    return sums
+
+
+def running(lists: Column) -> Column:
+    """Running sums of an ``array<int>``, in one pass: an aggregate that appends copies what it has at every step."""
+    return _running()(lists)
+
+
 def page_at(offsets: str | Column, offset: Column) -> Column:
     """The page (from 1) that holds an offset; null without pages."""
     pages = col(offsets)
@@ -150,8 +171,8 @@ def page_at(offsets: str | Column, offset: Column) -> Column:
 
 def page_offsets(pages: str | Column) -> Column:
     """Where each page starts once pages are joined by a blank line."""
-    begun = F.aggregate(col(pages), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, p: F.struct((s["at"] + F.char_length(p) + 2).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
-    return begun["all"]
+    before = F.concat(F.array(F.lit(0)), F.transform(col(pages), lambda p: F.char_length(p) + 2))
+    return running(F.slice(before, 1, F.size(col(pages))))
 
 
 def citation(source="source", section="section", first="first_page", last="last_page") -> Column:

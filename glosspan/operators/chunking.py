@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspan.functions.text import WORD, chunk_id, page_at, words
+from glosspan.functions.text import WORD, chunk_id, page_at, running, words
+from glosspan.session import small_batches
 
 SIZE, OVERLAP = 200, 40
 CHUNK_COLUMNS = ["id", "source", "text", "position", "first_page", "last_page", "section"]
@@ -61,9 +62,9 @@ def windows(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
 def word_offsets(text: str, found: str):
     """Code-point offset of each word."""
     gaps = F.split(F.col(text), WORD)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), F.col(found), lambda g, w: F.struct(F.char_length(g).alias("gap"), F.char_length(w).alias("word")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(lengths, state, lambda s, x: F.struct((s["at"] + x["gap"] + x["word"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["gap"])).alias("all")), lambda s: s["all"])
+    # Between the starts of two words are the first of them and the gap.
+    before = F.concat(F.array(F.lit(0)), F.transform(F.col(found), F.char_length))
+    return running(F.zip_with(F.slice(gaps, 1, F.size(found)), F.slice(before, 1, F.size(found)), lambda g, w: F.char_length(g) + w))
 
 
 # Fixed values that decide where a sentence ends.
@@ -195,6 +196,7 @@ def cut(text: str, offsets, size: int, overlap: int, body: str, headings: bool)
 
 def _mapped(documents: DataFrame, size: int, overlap: int, body: str, headings: bool) -> DataFrame:
     checked(size, overlap)
+    small_batches(documents.sparkSession)
     keep = [c for c in documents.columns if c not in ("source", "text", "page_offsets")]
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     schema = "source string, text string, position int, first_page int, last_page int, section string" + (f", {fields}" if fields else "")
