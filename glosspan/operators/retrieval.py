@@ -21,12 +21,15 @@ from glosspan.functions.text import DEFAULT, Tokenizer, highlights, idf, matched
 from glosspan.operators import direct
 from glosspan.operators.filters import in_scope, is_open
 from glosspan.operators.index import Index, block, bounds, postings
+from glosspan.session import small_batches
 
 RRF_K, RRF_DEPTH, RERANK_DEPTH = 60, 50, 20
 
 
 #: Query vectors of at most so many bytes are sent to every task; more are dealt with in blocks.
 VECTOR_BYTES = 16 << 20
+#: Vectors, and queries, that a task multiplies at once.
+TILE = 1024
 #: Order among equal scores: the document's number, then the chunk's place in it.
 PLACE = ("seq", "position")
 
@@ -166,6 +169,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     columns = [c for c in vectors.columns if c not in ("vector", "query_id", "score", "rank")]
     schema = ", ".join(["query_id string", *(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in columns), "score double"])
+    small_batches(spark)
     stated = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
     count, width = stated.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
     if not count:
@@ -189,25 +193,35 @@ def _best_of(sent, columns: list[str], k: int) -> Callable[[Iterator[pa.RecordBa
         by_width: dict[int, list[tuple[str, list[float]]]] = {}
         for query in sent.value:
             by_width.setdefault(len(query[1]), []).append(query)
-        best: dict[int, pa.Table] = {}
-        for batch in batches:
+        best: dict[tuple[int, int], pa.Table] = {}
+        floor: dict[tuple[int, int], np.ndarray] = {}
+        for batch in (whole.slice(at, TILE) for whole in batches for at in range(0, whole.num_rows, TILE)):
             lengths = pc.fill_null(pc.list_value_length(batch.column(len(columns))), 0).to_numpy(zero_copy_only=False)
             for width, asked_for in by_width.items():
                 some = batch.filter(pa.array(lengths == width))
                 if not some.num_rows:
                     continue
                 x = some.column(len(columns)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                q = np.array([v for _, v in asked_for])
-                with np.errstate(all="ignore"):
-                    score = (x @ q.T) / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] / np.sqrt(np.einsum("ij,ij->i", q, q))
-                    score = np.where(score > 0, score, -1.0)
-                least = np.partition(score, -k, axis=0)[-k] if len(x) > k else np.zeros(len(q))
-                # Near ties of the k-th stay until they are put in order.
-                at, of = np.nonzero((score > 0) & (score >= least - 1e-8))
-                found = pa.Table.from_batches([some.select(columns)]).take(pa.array(at))
-                found = found.append_column("_q", pa.array(of)).append_column("score", pa.array(score[at, of]))
-                best[width] = _first(pa.concat_tables([best[width], found]) if width in best else found, k)
-        for width, table in best.items():
+                for begin in range(0, len(asked_for), TILE):
+                    q = np.array([v for _, v in asked_for[begin : begin + TILE]])
+                    with np.errstate(all="ignore"):
+                        score = (x @ q.T) / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] / np.sqrt(np.einsum("ij,ij->i", q, q))
+                        score = np.where(score > 0, score, -1.0)
+                    least = np.partition(score, -k, axis=0)[-k] if len(x) > k else np.zeros(len(q))
+                    held = floor.setdefault((width, begin), np.zeros(len(q)))
+                    # Near ties of the k-th stay until they are put in order.
+                    at, of = np.nonzero((score > 0) & (score >= np.maximum(least, held) - 1e-8))
+                    if not len(at):
+                        continue
+                    found = pa.Table.from_batches([some.select(columns)]).take(pa.array(at))
+                    found = found.append_column("_q", pa.array(of + begin)).append_column("score", pa.array(score[at, of]))
+                    one = _first(pa.concat_tables([best[width, begin], found]) if (width, begin) in best else found, k)
+                    best[width, begin] = one
+                    # What the k-th of a query has, once it has k, is the least that a later row needs.
+                    numbers, low = one["_q"].to_numpy() - begin, np.full(len(q), np.inf)
+                    np.minimum.at(low, numbers, one["score"].to_numpy())
+                    floor[width, begin] = np.where(np.bincount(numbers, minlength=len(q)) >= k, low, 0.0)
+        for (width, _), table in best.items():
             names = pa.array([name for name, _ in by_width[width]], pa.string()).take(table["_q"].combine_chunks())
             yield from pa.Table.from_arrays([names, *(table[c] for c in columns), table["score"]], ["query_id", *columns, "score"]).combine_chunks().to_batches()
 

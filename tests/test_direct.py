@@ -1,6 +1,6 @@
 """Searches over chunks without stored postings, against those over stored ones."""
 
-from glosspan.operators import retrieval
+from glosspan.operators import passages, retrieval
 from glosspan.operators.index import Index
 
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
@@ -39,3 +39,33 @@ def test_stored_postings_are_joined_with_terms_not_with_queries(spark, tmp_path)
     found = retrieval.bm25(stored, queries, 2)
     assert found.count() == 100
     assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_stand_where_their_words_are_whole(spark):
+    docs = spark.createDataFrame([("d", "xone two threex one two three"), ("e", "ab b"), ("f", "a\u00a0b  c d")], "source string, text string")
+    asked = spark.createDataFrame([("d", "one two three"), ("e", "b"), ("e", "b b"), ("f", "b c"), ("f", "")], "source string, passage string")
+    got = {(r["source"], r["passage"]): (r["start"], r["end"]) for r in passages.located(docs, asked, whole=True).collect()}
+    assert got == {("d", "one two three"): (16, 29), ("e", "b"): (3, 4), ("e", "b b"): (None, None), ("f", "b c"): (2, 6), ("f", ""): (None, None)}
+
+
+def test_offsets_are_running_sums(spark):
+    from glosspan.functions.text import page_offsets
+    from glosspan.operators.chunking import word_offsets
+
+    rows = spark.createDataFrame([(0, " ab  c\n", ["ab", "c"], ["x", "", "yz"]), (1, "", [], []), (2, "q", ["q"], None)], "i int, text string, found array<string>, pages array<string>")
+    got = [tuple(r) for r in rows.select("i", word_offsets("text", "found"), page_offsets("pages")).orderBy("i").collect()]
+    assert got[:2] == [(0, [1, 5], [0, 3, 5]), (1, [], [])] and got[2][1] == [0]
+    assert "aggregate(" not in rows.select(word_offsets("text", "found"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dense_search_holds_a_tile_of_scores_at_once(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, i, [float(1 + i % 7), float(i % 5), 1.0]) for i in range(50)], "id long, seq long, vector array<double>")
+    queries = vectors.selectExpr("cast(id AS string) AS query_id", "vector")
+    whole = sorted((r["query_id"], r["rank"], r["id"]) for r in retrieval.dense(vectors, queries, 4).collect())
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    sent = type("Sent", (), {"value": [(r["query_id"], r["vector"]) for r in queries.collect()]})()
+    batch = vectors.toArrow().select(["id", "seq", "vector"]).combine_chunks().to_batches()[0]
+    parts = list(retrieval._best_of(sent, ["id", "seq"], 4)(iter([batch.slice(0, 30), batch.slice(30)])))
+    found = sorted((q, i) for p in parts for q, i in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True))
+    assert found == sorted((q, i) for q, _, i in whole)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in (None, "-1")
