@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosspan.functions.text import descriptive, file_type, word_count
 from glosspan.operators.index import Index
+from glosspan.operators.terms import lists, sent
+from glosspan.session import small_batches, shared_dir
+
+
+def term_counts(index: Index) -> DataFrame:
+    """(term, count): how often each term occurs in all chunks.
+
+    Without stored postings a task counts terms batch by batch, without their
+    chunks, so a row for each term and batch leaves it at most.
+    """
+    if not index.derived:
+        return index.postings.groupBy("term").agg(F.sum("tf").alias("count"))
+    small_batches(index.chunks.sparkSession)
+    stop = index.tokenizer.stopwords
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = pa.chunked_array([found.flatten() for found in lists(batch.column(0), stop)], pa.string())
+            yield pa.RecordBatch.from_struct_array(met.value_counts()).rename_columns(["term", "tf"])
+
+    rows = index.chunks.select(sent(index.tokenizer).alias("terms")).mapInArrow(run, "term string, tf long")
+    return rows.groupBy("term").agg(F.sum("tf").alias("count"))
 
 
 def top_terms(index: Index, k: int = 10) -> DataFrame:
-    return index.postings.groupBy("term").agg(F.sum("tf").alias("count")).orderBy(F.desc("count"), "term").limit(k)
+    return term_counts(index).orderBy(F.desc("count"), "term").limit(k)
 
 
 def stats(index: Index, k: int = 10) -> DataFrame:
     """One row: documents, chunks, terms, vocabulary, top_terms."""
     by_source = index.chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     counts = by_source.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
-    by_term = index.postings.groupBy("term").agg(F.sum("tf").alias("n"))
+    by_term = term_counts(index).withColumnRenamed("count", "n")
     terms = by_term.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("terms"), F.count(F.lit(1)).alias("vocabulary"))
-    top = top_terms(index, k).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("minus"), "term"))).alias("t"))
+    top = by_term.withColumnRenamed("n", "count").orderBy(F.desc("count"), "term").limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("minus"), "term"))).alias("t"))
     top = top.select(F.transform("t", lambda t: F.struct(t["term"].alias("term"), (-t["minus"]).alias("count"))).alias("top_terms"))
     return counts.crossJoin(terms).crossJoin(top)  # three rows of totals
 

@@ -32,3 +32,19 @@ def test_a_pass_over_chunks_makes_no_lists_of_plain_texts(spark):
     rows = {r["i"]: r["s"] for r in frame.select("i", sent(DEFAULT).alias("s")).collect()}
     assert rows[0]["text"] == "Plain and straße" and rows[0]["terms"] is None
     assert rows[1]["text"] is None and rows[1]["terms"]
+
+
+def test_terms_are_counted_without_postings(spark):
+    from pyspark.sql import functions as F
+
+    from glosspan.operators import analytics
+    from glosspan.operators.index import Index
+
+    docs = spark.createDataFrame([("a", "one Two two", 0), ("b", "two three Ω", 1), ("c", "", 2)], "source string, text string, seq long")
+    index = Index.of(docs, size=2, overlap=0)
+    wanted = index.postings.groupBy("term").agg(F.sum("tf")).collect()
+    index.postings = None  # what counting must not ask for
+    assert sorted(map(tuple, analytics.term_counts(index).collect())) == sorted(map(tuple, wanted))
+    assert tuple(analytics.stats(index, 2).first()[:4]) == (2, 4, 6, 4)
+    empty = Index.of(docs.limit(0))
+    assert analytics.top_terms(empty).collect() == [] and tuple(analytics.stats(empty, 2).first()) == (0, 0, 0, 0, [])
