@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +53,107 @@ def stats(index: Index, k: int = 10) -> DataFrame:
     return counts.crossJoin(terms).crossJoin(top)  # three rows of totals
 
 
+#: Terms whose number of documents is sent to every task.
+COMMON = 1 << 17
+
+
 def document_terms(index: Index, k: int = 10) -> DataFrame:
-    """Characteristic terms of each document: source, rank, term, weight = tf ln((1 + D) / df)."""
-    tf = index.postings.where(descriptive("term")).groupBy("source", "term").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    documents = index.chunks.select("source").distinct().count()
-    weighed = tf.join(df, "term").withColumn("weight", F.col("tf") * F.log(F.lit(1.0 + documents) / F.col("df")))
+    """Characteristic terms of each document: source, rank, term, weight = tf ln((1 + D) / df).
+
+    A document's counts are one row, shuffled once and kept.  The df of the
+    COMMON commonest terms are sent to every task; any other term has one
+    between 1 and the least of those, so its weight has bounds.  Only terms
+    whose weight may be among the document's best ``k`` leave the task, and of
+    these only the others are joined with their df.
+    """
+    spark = index.chunks.sparkSession
+    small_batches(spark)
+    home = f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
+    if index.derived:
+        stop = index.tokenizer.stopwords
+        rows = index.chunks.select("source", sent(index.tokenizer).alias("terms")).mapInArrow(lambda batches: _by_source(batches, stop), "source string, terms array<string>, tfs array<long>")
+        rows = rows.groupBy("source").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.flatten(F.collect_list("tfs")).alias("tfs"))
+    else:
+        rows = index.postings.groupBy("source").agg(F.collect_list(F.struct("term", "tf")).alias("met"))
+        rows = rows.select("source", F.transform("met", lambda m: m["term"]).alias("terms"), F.transform("met", lambda m: m["tf"]).alias("tfs"))
+    rows.write.parquet(f"{home}/documents")
+    counts = spark.read.parquet(f"{home}/documents")
+    counts.select("terms", "tfs").mapInArrow(_met_in, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")).where(descriptive("term")).write.parquet(f"{home}/df")
+    df = spark.read.parquet(f"{home}/df")
+    # Chunks without terms leave a row, postings none.
+    documents = counts.count() if index.derived else index.chunks.select("source").distinct().count()
+    common = df.orderBy(F.desc("df"), "term").limit(COMMON).toArrow()
+    rest = common.num_rows == COMMON
+    most = min(common["df"].to_pylist()) if rest else 1
+    known = spark.sparkContext.broadcast((common["term"].to_pylist(), common["df"].to_pylist()))
+    maybe = counts.mapInArrow(_candidates(known, documents, rest, most, k), "source string, term string, tf long, df long")
+    found = maybe.where("df IS NOT NULL")
+    if rest:
+        found = found.unionByName(maybe.where("df IS NULL").drop("df").join(df, "term"))
+    weighed = found.withColumn("weight", F.col("tf") * F.log(F.lit(1.0 + documents) / F.col("df")))
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("weight", 9)), "term"))
     return weighed.withColumn("rank", rank).where(F.col("rank") <= k).select("source", "rank", "term", "weight")
 
 
+def _summed(lists: pa.Array, counts: pa.Array | None, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, tf, dictionary) of lists of terms, put together by row, in that order."""
+    terms = lists.flatten().dictionary_encode()
+    kinds = max(1, len(terms.dictionary))
+    of = row[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)].astype(np.int64)
+    keys, at = np.unique(of * kinds + terms.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    tf = np.bincount(at, None if counts is None else counts.flatten().to_numpy(zero_copy_only=False), len(keys)).astype(np.int64)
+    return keys // kinds, keys % kinds, tf, terms.dictionary
+
+
+def _by_source(batches: Iterator[pa.RecordBatch], stop: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts of terms of chunks (source, terms), for each run of chunks of one source."""
+    for batch in batches:
+        at = 0
+        for found in lists(batch.column(1), stop):
+            source, at = batch.column(0).slice(at, len(found)), at + len(found)
+            ends = pc.run_end_encode(source)
+            stops = ends.run_ends.to_numpy(zero_copy_only=False)
+            row, code, tf, names = _summed(found, None, np.searchsorted(stops, np.arange(len(found)), "right"))
+            begins = pa.array(np.searchsorted(row, np.arange(len(stops) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ends.values, pa.ListArray.from_arrays(begins, names.take(pa.array(code))), pa.ListArray.from_arrays(begins, pa.array(tf))], ["source", "terms", "tfs"])
+
+
+def _met_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of documents that each term of a batch is in."""
+    for batch in batches:
+        _, code, _, names = _summed(batch.column(0), None, np.arange(batch.num_rows))
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(code, minlength=len(names)))], ["term", "n"])
+
+
+def _candidates(known, documents: int, rest: bool, most: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Maps documents (source, terms, tfs) to their terms that may be among the best ``k``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df = pa.array(known.value[0], pa.string()), np.array([*known.value[1], 0], np.int64)
+        for batch in batches:
+            row, code, tf, names = _summed(batch.column(1), batch.column(2), np.arange(batch.num_rows))
+            here = df[pc.fill_null(pc.index_in(names, value_set=terms), len(terms)).to_numpy(zero_copy_only=False)]
+            kept = pc.greater_equal(pc.utf8_length(names), 3).to_numpy(zero_copy_only=False) & ~pc.match_substring_regex(names, r"^\p{Nd}+$").to_numpy(zero_copy_only=False)
+            # Where all terms are sent, one that was not is none that counts.
+            kept &= (here > 0) | rest
+            some = kept[code]
+            row, code, tf = row[some], code[some], tf[some]
+            n = here[code]
+            low, high = tf * np.log((1.0 + documents) / np.where(n > 0, n, most)), tf * np.log((1.0 + documents) / np.where(n > 0, n, 1))
+            order = np.lexsort((-low, row))
+            begins = np.searchsorted(row, np.arange(batch.num_rows))
+            size = np.diff(np.append(begins, len(row)))
+            # The k-th greatest lower bound of each document.
+            least = np.full(batch.num_rows, -np.inf)
+            full = np.flatnonzero(size >= k)
+            least[full] = low[order[begins[full] + k - 1]]
+            at = high >= least[row] - 1e-6
+            row, code, n = row[at], code[at], n[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names.take(pa.array(code)), pa.array(tf[at]), pa.array(n, mask=n == 0)], ["source", "term", "tf", "df"])
+
+    return run
+
+
 def relations(index: Index, k: int = 10, most: int | None = 30) -> DataFrame:
     """Pairs of documents that share characteristic terms: first, second, strength, shared_terms.
 

@@ -48,3 +48,31 @@ def test_terms_are_counted_without_postings(spark):
     assert tuple(analytics.stats(index, 2).first()[:4]) == (2, 4, 6, 4)
     empty = Index.of(docs.limit(0))
     assert analytics.top_terms(empty).collect() == [] and tuple(analytics.stats(empty, 2).first()) == (0, 0, 0, 0, [])
+
+
+def test_document_terms_are_those_of_all_weights(spark, tmp_path, monkeypatch):
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from glosspan.functions.text import descriptive
+    from glosspan.operators import analytics
+    from glosspan.operators.index import Index
+
+    pick = random.Random(3)
+    rows = [(f"s{i % 50}", " ".join(f"w{int(pick.paretovariate(0.5)) % 400}" for _ in range(pick.randrange(60))), i) for i in range(70)]
+    docs = spark.createDataFrame([*rows, ("x", "the 123 ab", 70), ("y", "", 71)], "source string, text string, seq long").repartition(5)
+    index = Index.of(docs, size=10, overlap=3)
+    tf = index.postings.where(descriptive("term")).groupBy("source", "term").agg(F.sum("tf").alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.col("tf") * F.log(F.lit(1.0 + index.chunks.select("source").distinct().count()) / F.col("df"))
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("weight", 9)), "term"))
+    wanted = sorted(map(tuple, tf.join(df, "term").withColumn("weight", weight).withColumn("rank", rank).where("rank <= 5").select("source", "rank", "term", "weight").collect()))
+    index.save(str(tmp_path / "i"))
+    stored = Index.load(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, analytics.document_terms(stored, 5).collect())) == wanted
+    index.postings = None  # what a derived index must not ask for
+    for common in (1 << 17, 9):
+        monkeypatch.setattr(analytics, "COMMON", common)
+        found = analytics.document_terms(index, 5)
+        assert sorted(map(tuple, found.collect())) == wanted
+    assert analytics.document_terms(Index.of(docs.limit(0))).collect() == []
