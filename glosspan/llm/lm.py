@@ -67,7 +67,7 @@ SYMBOLS, NODES = 256, 255
 ORDERS = (1, 2, 4)
 PREDICTORS = len(ORDERS) + 2
 MIN_BITS, MAX_BITS = 14, 22
-#: Tasks that learn apart from each other, at least; more where each has as many bytes as its tables take.
+#: Learners apart from each other, at least; more where each has as many bytes as its tables take.
 LEAST_TASKS = 16
 BLOCK = 1 << 16
 TOP = 1 << 18
@@ -400,17 +400,28 @@ def _added(batches: Iterator[pa.RecordBatch], kind: type, finish) -> Iterator[pa
 def train(docs: DataFrame, code: Code, bits: int, n_bytes: int) -> Model:
     """The model learned online over all texts, in one pass.
 
-    A task reads as many bytes as its tables take, where there are enough tasks
-    to choose from, so summing the tables costs no more than reading.
+    A learner reads as many bytes as its tables take, where there are enough
+    learners to choose from, so summing the tables costs no more than reading.
+    Each text names its learner, so more partitions make no more tables.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((code, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(*held.value)
-        for _, stream in _streams(batches):
-            learner.learn(stream)
-        if learner.size:
+        number, learner = None, None
+        for batch in batches:
+            numbers = batch.column("learner").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if j > i and numbers[i] != number:
+                    yield from learned(learner)
+                    number, learner = numbers[i], Learner(*held.value)
+                for _, stream in _streams(iter([batch.slice(i, j - i)])):
+                    learner.learn(stream)
+        yield from learned(learner)
+
+    def learned(learner: Learner | None) -> Iterator[pa.RecordBatch]:
+        if learner and learner.size:
             for k, counts in enumerate(learner.counts):
                 for b in range(0, len(counts), 2 * BLOCK):
                     block = counts[b : b + 2 * BLOCK]
@@ -418,10 +429,11 @@ def train(docs: DataFrame, code: Code, bits: int, n_bytes: int) -> Model:
                         yield _block(k, b // 2, block)
             yield _block(PREDICTORS, 0, learner.rest())
 
-    # How texts are dealt and in which order a task reads them depends on the texts alone, so any cluster learns the same.
-    tasks = max(LEAST_TASKS, n_bytes // (4 * sum(sizes(bits))))
-    dealt = docs.withColumn("key", F.xxhash64(*docs.columns)).repartition(tasks, "key").sortWithinPartitions("key", "text")
-    blocks = dealt.select("text").mapInArrow(run, BLOCKS)
+    # How texts are dealt and in which order a learner reads them depends on the texts alone, so any cluster learns the same.
+    learners = max(LEAST_TASKS, n_bytes // (4 * sum(sizes(bits))))
+    keyed = docs.withColumn("key", F.xxhash64(*docs.columns)).withColumn("learner", F.pmod("key", F.lit(learners)).cast("int"))
+    dealt = keyed.repartitionById(learners, "learner").sortWithinPartitions("learner", "key", "text")
+    blocks = dealt.select("learner", "text").mapInArrow(run, BLOCKS)
     # First within groups of tasks, then over all: no task adds up more than a share of the blocks of a key.
     keys = ["predictor", "begin"]
     some = blocks.withColumn("group", F.spark_partition_id() % 16).repartition(*keys, "group").sortWithinPartitions(*keys, "group").select("predictor", "begin", "body")

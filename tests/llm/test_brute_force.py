@@ -455,6 +455,28 @@ def test_lm_scores_do_not_depend_on_partitions(spark, make):
     assert found[0] == found[1]
 
 
+def test_lm_learners_are_no_more_with_more_partitions(make, monkeypatch):
+    """Each learner's tables are shuffled, so their number is that of the data's, whatever the number of partitions."""
+    docs = make([(i, f"the word {i % 9} of {i}") for i in range(200)])
+    kind, seen = type(docs), []
+
+    def met(self, run, schema, *rest):
+        out = kept_map(self, run, schema, *rest)
+        if schema == lm.BLOCKS and "text" in self.columns:
+            seen.append(out.where("predictor = 5").count())
+        return out
+
+    kept_map, keyed, by_id = kind.mapInArrow, kind.repartition, getattr(kind, "repartitionById", None)
+    monkeypatch.setattr(kind, "mapInArrow", met)
+    models = [lm.Fitted(docs).model]
+    more = lambda n, columns: max(n, 211) if isinstance(n, int) and columns else n
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *columns: keyed(self, more(n, columns), *columns))
+    monkeypatch.setattr(kind, "repartitionById", lambda self, n, column: by_id(self, 211, column), raising=False)
+    models.append(lm.Fitted(docs).model)
+    assert seen == [lm.LEAST_TASKS, lm.LEAST_TASKS]
+    assert np.array_equal(models[0].last, models[1].last) and np.allclose(models[0].weights, models[1].weights)
+
+
 def test_many_sources_are_mixed_in_one_pass(spark, make, monkeypatch):
     monkeypatch.setattr(mixing, "PART", 50)
     rng = random.Random(40)
