@@ -22,9 +22,11 @@ LEAST_PART = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without letters or without a decision go."""
-    filters, usual = language.fit_with_usual(docs.where(crc_mod("doc_id", 4) != 2))
+    filters = language.fit(docs.where(crc_mod("doc_id", 4) != 2))
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
-    found = language.identify(rows, filters, ["row", "text"])
+    found = staged(language.identify(rows, filters, ["row", "text"]), "identified")
+    trained = found.where(crc_mod("row.doc_id", 4) != 2).select(F.col("row.lang").alias("lang"), "lang_pred", "known")
+    usual = language.usual_share(trained)
     least = spark.createDataFrame([(name, LEAST_PART * share) for name, share in usual.items()], "_lang string, _least double")
     found = found.join(F.broadcast(least), F.col("lang_pred") == F.col("_lang"), "left")
     doubt = 1 / F.sqrt(F.char_length("text"))

@@ -17,9 +17,11 @@ for the largest; the score is its share of the corrected counts.  ``known`` is
 the share of the text's n-grams (but for all blanks) that some language
 contains, corrected likewise: a text that mixes learned languages is known, too.
 
-Training reads a bounded, documented sample: per language the ``PER_LANGUAGE``
-training documents with the smallest md5 of their id (fewer where the last of
-them share one).  Prediction reads every text whole, in pieces of bounded size.
+Training reads all training documents, or, where ``fit`` is given a bound, per
+language as many of them with the smallest md5 of their id (fewer where the last
+of them share one); ``op8_language`` is fitted with the bound ``PER_LANGUAGE``.
+A task adds up the counts of its texts before they are shuffled.  Prediction
+reads every text whole, in pieces of bounded size.
 
 Defined results: a null text, a text without a letter (Unicode's letter
 categories; numerals are none), or an empty training set gives ``und`` with
@@ -55,6 +57,10 @@ SLOT_BITS, SPARE = 20, 8
 #: Hash digits by which the sample's cut is found, a step at a time.
 DIGIT_BITS, STEPS = 12, 5
 PIECE = 1 << 19
+#: N-grams whose counts a task holds at most, at 16 bytes each, beside those of one batch; and those that it hands on at a time.
+TOGETHER, ROWS = 1 << 21, 1 << 16
+#: Steps of the share ``known`` by which a language's usual one is found.
+KNOWN_STEPS = 1 << 12
 #: Letters and a few numerals; :func:`has_letter` tells them apart.
 WORD_SIGN = re.compile(r"[^\W\d_]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +99,28 @@ def slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(x & mask).astype(np.int64) for x in (hashes >> np.uint64(64 - bits), again >> np.uint64(64 - bits), (again ^ hashes) >> np.uint64(20))]
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and their counts."""
+    grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.empty(0, np.int64)
+    return grams[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n): counts of each ``TOGETHER`` n-grams or so are added up before they go on."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang in sorted(held):
+            hashes, counts = _added(held[lang])
+            for i in range(0, len(hashes), ROWS):
+                some = hashes[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.view(np.int64)), pa.array(counts[i : i + ROWS])], ["lang", "gram", "n"])
+        held.clear()
+
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         body, ends = utf8(batch.column("text"))
@@ -101,7 +128,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang in sorted(set(langs[i:j])):
                 found = [grams(FOLD[body[ends[r] : ends[r + 1]]], n) for r in range(i, j) if langs[r] == lang for n in GRAMS]
                 hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+                held.setdefault(lang, []).append((hashes, counts.astype(np.int64)))
+                size += len(hashes)
+        if size > TOGETHER:
+            held = {lang: [_added(parts)] for lang, parts in held.items()}
+            size = sum(len(parts[0][0]) for parts in held.values())
+            if size > TOGETHER // 2:
+                yield from rows()
+                size = 0
+    yield from rows()
 
 
 class Filters:
@@ -197,20 +232,34 @@ def sampled(docs: DataFrame, per_language: int) -> tuple[DataFrame, dict[str, in
     return rows.join(F.broadcast(ends), "lang").where(key < F.col("cut")).select("lang", "text"), sizes
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
-    """Learn from rows with text and lang; the sample's bound is ``per_language``."""
-    sample, sizes = sampled(docs, per_language)
-    return learn(sample, sizes)
+def fit(docs: DataFrame, per_language: int | None = None) -> Filters:
+    """Learn from all rows with text and lang, or from at most ``per_language`` ids a language."""
+    if per_language is None:
+        rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
+        return learn(rows, {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()})
+    return learn(*sampled(docs, per_language))
 
 
-def fit_with_usual(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Filters, dict[str, float]]:
-    """The filter, and by language the share ``known`` that all but one in twenty of its training texts reach."""
-    sample, sizes = sampled(docs, per_language)
-    sample = staged(sample, "language-sample")
-    filters = learn(sample, sizes)
-    found = identify(sample, filters, ["lang"]).where(F.col("lang") == F.col("lang_pred"))
-    usual = {r["lang"]: r["usual"] for r in found.groupBy("lang").agg(F.percentile("known", 0.05).alias("usual")).collect()}
-    return filters, usual
+def usual_share(found: DataFrame) -> dict[str, float]:
+    """By language the share ``known`` that all but one in twenty of its rows (lang, lang_pred, known) reach.
+
+    Of all rows that are predicted right, by a histogram: at most KNOWN_STEPS
+    rows a language come to the driver, and shares count in such steps, rounded
+    down.
+    """
+    right = found.where(F.col("lang") == F.col("lang_pred"))
+    steps: dict[str, list[tuple[int, int]]] = {}
+    for r in right.groupBy("lang", F.floor(F.col("known") * KNOWN_STEPS).alias("step")).count().collect():
+        steps.setdefault(r["lang"], []).append((r["step"], r["count"]))
+    usual = {}
+    for lang, counts in steps.items():
+        below = sum(n for _, n in counts) // 20  # so many may stay below
+        for step, n in sorted(counts):
+            usual[lang] = step / KNOWN_STEPS
+            below -= n
+            if below < 0:
+                break
+    return usual
 
 
 def least_count(by_gram: DataFrame, room: int) -> int:
@@ -250,9 +299,9 @@ def learn(sample: DataFrame, sizes: dict[str, int]) -> Filters:
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(owner // kind), pa.array(np.left_shift(1, owner % kind))], ["slot", "word", "mask"])
 
     out_bits, kind = out.slot_bits, min(out.bits, 32)  # halves of 64-bit words, so that a mask's sign is plain
-    masks = holds.mapInArrow(placed, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    masks = holds.mapInArrow(placed, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).select(F.col("slot").cast("int"), F.col("word").cast("short"), "mask")
     found = masks.toArrow()  # as many rows as slots at most, for each 32 languages
-    slot, word, mask = (found.column(c).to_numpy() for c in ("slot", "word", "mask"))
+    slot, word, mask = (found.column(c).to_numpy().astype(np.int64) for c in ("slot", "word", "mask"))
     np.bitwise_or.at(out.tables, (word * kind // out.bits, slot), mask.astype(out.tables.dtype) << (word * kind % out.bits).astype(out.tables.dtype))
     return out.ready()
 
@@ -284,7 +333,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     docs = table(spark, sf_dir, "documents")
     held = crc_mod("doc_id", 4) == 2
-    out = identify(docs.select("doc_id", held.alias("held_out"), "text"), fit(docs.where(~held)), ["doc_id", "held_out"])
+    out = identify(docs.select("doc_id", held.alias("held_out"), "text"), fit(docs.where(~held), PER_LANGUAGE), ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -1,8 +1,11 @@
 """The pipeline against its stages restated in plain Python."""
 
+import hashlib
 import random
+import zlib
 
 import corpus_pipeline
+from glosspan.llm import language
 from glosspan.llm.common import staged
 
 from .test_brute_force import brute_components, brute_hits, sha, widened
@@ -67,6 +70,28 @@ def test_language_stage_keeps_many_related_languages(spark, make):
     assert corpus_pipeline.identify_language(spark, make(rows), "").count() == len(rows)
 
 
+def test_language_stage_learns_from_all_training_texts(spark, make, monkeypatch):
+    """Words of a few texts count, wherever these would stand in a sample's order; counts that are added up early are the same."""
+    rng = random.Random(33)
+    few = [f"{a}{b}q" for a in ("vow", "zky", "jix", "wuk") for b in ("or", "ul", "em", "ip")]
+    ids = sorted((i for i in range(2300) if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: hashlib.md5(str(i).encode()).digest())
+    rows = [(i, " ".join(rng.choice(["the", "ing", "thou", "shing"]) for _ in range(40)), "en") for i in ids[:-12]]
+    rows += [(i, " ".join(rng.choice(few) for _ in range(40)), "en") for i in ids[-12:]]
+    rows += [(5000 + i, " ".join(rng.choice(["sch", "ung", "über", "deri"]) for _ in range(40)), "de") for i in range(40)]
+    assert len(ids) > language.PER_LANGUAGE + 100
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, make(rows), "").collect()}
+    assert kept == {r[0] for r in rows}
+    whole = language.fit(make(rows)).tables
+    monkeypatch.setattr(language, "TOGETHER", 100)
+    assert (whole == language.fit(make(rows)).tables).all()
+
+
+def test_usual_share_is_that_of_all_rows(spark):
+    rows = [("en", "en", i / 4096) for i in range(1000, 1200)] + [("en", "de", 0.0)] * 50 + [("de", "de", 0.5)]
+    found = spark.createDataFrame(rows, "lang string, lang_pred string, known double")
+    assert language.usual_share(found) == {"en": 1010 / 4096, "de": 0.5}
+
+
 def test_stages_take_odd_tables(spark, make, awkward, clashing, tmp_path):
     """Nulls, repeated rows, clashing columns, long texts and empty tables go through every stage."""
     folder = str(tmp_path)
