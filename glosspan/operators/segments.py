@@ -178,7 +178,7 @@ class Segments:
             home = f"{self.path}/segments/{name}"
             for table in ("chunks", "sources", *(["vectors"] if kept else [])):
                 self.live(named, table).write.parquet(f"{home}/{table}")
-            ordered = self.live(named, "postings").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+            ordered = self.live(named, "postings").sortWithinPartitions("term", "id")
             ordered.write.parquet(f"{home}/postings")
             made = bounds(self._table(name, "postings")).sortWithinPartitions("term", "block")
             made.write.parquet(f"{home}/blocks")

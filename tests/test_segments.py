@@ -131,3 +131,20 @@ def test_a_stopped_stream_applies_each_change_once(spark, tmp_path):
     # The first batch came again and changed nothing; the next one has the new file only.
     assert told == [1, 1] and engine.store.versions()[-1] == published + 1
     assert {r.text for r in engine.index().chunks.collect()} == {"alpha", "beta"}
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """A batch's postings stay with the task that made them, in term order within each file."""
+    kind, dealt = type(spark.range(1)), []
+    kept = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *columns: dealt.append(columns) or kept(self, *columns))
+    store = Segments(spark, str(tmp_path / "index"), fanout=2)
+    none = spark.createDataFrame([], "source string")
+    for n in range(2):  # the second batch is merged with the first
+        store.publish(chunked(documents(spark, {f"d{n}{i}": f"word{i} container zebra{i % 3}" for i in range(20)})), none)
+    assert not dealt
+    rows = store.index().postings.select(F.input_file_name().alias("file"), "term", "id").collect()
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(r.file, []).append((r.term, r.id))
+    assert len(rows) == 2 * 20 * 3 and all(found == sorted(found) for found in by_file.values())
