@@ -55,7 +55,7 @@ from glosspan.llm.arrow import slices, utf8
 from glosspan.llm.common import discard, staged, table
 from glosspan.llm.components import components
 from glosspan.llm.recurring import recurring
-from glosspan.llm.scan import kept_by_map
+from glosspan.llm.scan import marked_by_map
 
 PIECE = 1 << 18
 #: A set with more weak segments than its scheme's slack costs about so many signatures.
@@ -268,19 +268,37 @@ def read_sets(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def reread(docs: DataFrame, wanted: DataFrame, plan: Plan, what: str) -> DataFrame:
-    """(node, value) of the documents in ``wanted`` (node, doc_id): signatures, sketches or whole sets.
+    """(doc_id, node, value) of the documents in ``wanted`` (node, doc_id): sketches or whole sets.
 
     A bit map of fixed size lets the scan skip documents; one that it lets
     through by chance adds rows that later joins drop.
     """
-    made = {"signatures": plan.signatures, "sketches": parities, "sets": lambda tokens: tokens}[what]
+    made = {"sketches": parities, "sets": lambda tokens: tokens}[what]
+    marked, kept = marked_by_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sets in _texts(batches, plan.k):
+        for rows, sets in _texts(kept(batches), plan.k):
             values = [made(s) for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), _longs(values)], ["doc_id", "node", "value"])
 
-    return kept_by_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").mapInArrow(run, "doc_id long, node long, value array<long>")
+    return marked.mapInArrow(run, "doc_id long, node long, value array<long>")
+
+
+def shared_signatures(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
+    """(signature, node) of the documents in ``wanted``, where a signature is that of two nodes at least.
+
+    Skipping documents, signing and sorting are one function: a task that hands
+    signatures from one Python worker to the next needs three at a time.
+    """
+    marked, kept = marked_by_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _texts(kept(batches), plan.k):
+            values = [plan.signatures(s) for s in sets]
+            nodes = np.repeat([_class(s) for s in sets], [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(nodes, pa.int64())], ["signature", "node"])
+
+    return recurring(marked, "signature", ["node"], signed)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -371,8 +389,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     least = F.expr(f"(n * {percent} + 99) div 100")  # as in Plan.needed
     needed = F.least(F.expr(f"(((n * {percent} + 99) div 100) * {percent} + 99) div 100"), 1 + F.floor(least / PREFIX_SHARE))
     alive = staged(classes.join(met, "node").where(F.col("met") >= needed).select("node", "doc_id"), "alive")
-    signed = reread(docs, alive, plan, "signatures")
-    buckets = staged(recurring(signed.select(F.explode("value").alias("signature"), "node"), "signature", ["node"]).distinct(), "buckets")
+    buckets = staged(shared_signatures(docs, alive, plan).distinct(), "buckets")
     facts = classes.select("node", "n", "s0", "s1", "s2", "s3")
     # A bucket's centre is its set that shares most signatures: the text that the others vary.
     shared = buckets.join(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")

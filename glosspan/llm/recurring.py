@@ -9,7 +9,7 @@ key compare neighbours in a sorted stream, in constant memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +30,22 @@ def _batch(rows: np.ndarray, schema: pa.Schema, *flags: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(r).cast(field.type) for r, field in zip(rows, schema, strict=False)] + [pa.array(f) for f in flags], schema=schema)
 
 
-def recurring(rows: DataFrame, key: str, of: list[str]) -> DataFrame:
+def recurring(rows: DataFrame, key: str, of: list[str], make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """The rows (key, things) whose key occurs with at least two different things.
 
     A row that is listed again may come back more than once.  Columns are
-    whole numbers without nulls.  The result is staged.
+    whole numbers without nulls.  The result is staged.  If ``make`` is given,
+    it makes batches of them (all longs) from those of ``rows``, in the Python
+    worker that sorts them.
     """
     names = [key, *of]
-    rows = rows.select(*names)
+    rows = rows if make else rows.select(*names)
     width = len(names)
-    kinds = [pa.int32() if f.dataType.simpleString() == "int" else pa.int64() for f in rows.schema]
+    types = ["bigint"] * width if make else [f.dataType.simpleString() for f in rows.schema]
+    kinds = [pa.int32() if kind == "int" else pa.int64() for kind in types]
     marked_schema = pa.schema([*zip(names, kinds, strict=True), ("sure", pa.bool_()), ("told", pa.bool_())])
     out_schema = pa.schema([*zip(names, kinds, strict=True)])
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    ddl = ", ".join(f"{name} {kind}" for name, kind in zip(names, types, strict=True))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -61,7 +64,7 @@ def recurring(rows: DataFrame, key: str, of: list[str]) -> DataFrame:
             keep = told | other
             yield _batch(rows[:, keep], marked_schema, sure[keep], told[keep])
 
-        for batch in batches:
+        for batch in make(batches) if make else batches:
             for i in range(0, batch.num_rows, BUFFER):
                 part = batch.slice(i, BUFFER)
                 held.append(_stacked(part, width))

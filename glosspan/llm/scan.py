@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +33,31 @@ def bit_map(keys: DataFrame, column: str, power: int) -> np.ndarray:
     return out
 
 
-def kept_by_map(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose key is among ``keys``, and a few others that share a bit.
+def marked_by_map(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """What a function in Python is to read, and what gives it the rows whose key is among ``keys``, and a few others that share a bit.
 
     ``keys`` is a staged table.  A join afterwards makes this exact; the map
     only spares its shuffle most of the rows.  Keys beyond what a map of bounded
-    size can tell apart are joined here.
+    size can tell apart are joined here.  What skips rows and what reads them
+    then are one function, so a task has one Python worker for both.
     """
     power = map_bits(keys.count())
     if power is None:
-        return rows.join(keys.select(column).distinct().hint("merge"), column, "left_semi").select(rows.columns)
+        return rows.join(keys.select(column).distinct().hint("merge"), column, "left_semi").select(rows.columns), lambda batches: batches
     held = rows.sparkSession.sparkContext.broadcast(bit_map(keys, column, power))
     names = rows.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(len(names)).to_numpy()
             found = batch.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if found.num_rows:
                 yield pa.RecordBatch.from_arrays(found.columns[:-1], names)
 
-    marked = rows.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(1 << power)))
-    return marked.mapInArrow(run, rows.schema)
+    return rows.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(1 << power))), kept
+
+
+def kept_by_map(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose key is among ``keys`` (a staged table), and a few others, as by ``marked_by_map``."""
+    marked, kept = marked_by_map(rows, keys, column)
+    return marked.mapInArrow(kept, rows.schema) if "_bit" in marked.columns else marked

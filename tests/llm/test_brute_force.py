@@ -276,6 +276,20 @@ def test_jaccard(make, awkward, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+def test_jaccard_tasks_have_one_python_worker_each(make, awkward, monkeypatch):
+    """Rows that go from one Python function to the next in a task need as many workers, each with memory of its own."""
+    met = {}
+    for module in (jaccard, recurring):
+
+        def counted(df, label, kept=module.staged):
+            met[label] = max(met.get(label, 0), df._jdf.queryExecution().sparkPlan().toString().count("MapInArrow"))
+            return kept(df, label)
+
+        monkeypatch.setattr(module, "staged", counted)
+    assert jaccard.join(make(awkward)).count() == len(awkward)
+    assert met["marked"] == met["values"] == 1 and max(met.values()) == 1
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
 def test_jaccard_compares_all_that_may_link_in_a_cluster(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
