@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from glosspan.functions.text import DEFAULT, Tokenizer, highlights, idf, matched_terms, tf_norm
 from glosspan.operators import direct
 from glosspan.operators.filters import in_scope, is_open
-from glosspan.operators.index import Index, block, bounds, postings
+from glosspan.operators.index import Index, block, postings
 from glosspan.session import small_batches
 
 RRF_K, RRF_DEPTH, RERANK_DEPTH = 60, 50, 20
@@ -109,8 +109,8 @@ def bm25_bounded_scores(index: Index, queries: DataFrame, k: int = 5) -> Bounded
     by the others.
     """
     average = index.totals()[1] or 1.0
-    blocks = index.blocks if index.blocks is not None else bounds(index.postings)
     weights = term_weights(index, query_terms(queries, index.tokenizer))
+    blocks = index.bounds_of(weights.select("term").distinct())
     limit = lambda: F.col("weight") * tf_norm(F.col("most_tf"), F.col("least_length"), F.lit(average))
     met = blocks.join(weights, "term").select("query_id", "term", "block", "n", "weight", limit().alias("bound"))
     terms = met.groupBy("query_id", "term", "weight").agg(F.max("bound").alias("bound"), F.sum("n").alias("df"))

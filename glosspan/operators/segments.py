@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspan.functions.text import DEFAULT, Tokenizer
-from glosspan.operators.index import CHUNKS, Index, bounds
+from glosspan.operators.index import BOUNDS, CHUNKS, PACKED, ZSTD, Index, packed, unpacked, write_postings
 from glosspan.store import Store
 
 FANOUT = 4
@@ -33,13 +33,14 @@ POSTINGS = "id string, source string, seq long, position int, term string, tf lo
 SOURCES = "source string, content_hash string, seq long, chunks long, terms long"
 GONE = "source string"
 VECTORS = "id string, source string, seq long, position int, model string, vector array<double>"
-BLOCKS = "term string, block string, n long, most_tf long, least_length long"
-SCHEMAS = {"chunks": CHUNKS, "postings": POSTINGS, "sources": SOURCES, "gone": GONE, "vectors": VECTORS, "blocks": BLOCKS}
+SCHEMAS = {"chunks": CHUNKS, "postings": POSTINGS, "sources": SOURCES, "gone": GONE, "vectors": VECTORS, "blocks": BOUNDS}
 #: The list of segments: their order, level, rows of each table, and the live totals of the index after them.
 LISTED = "segment string, place long, level int, chunks long, postings long, sources long, gone long, vectors boolean"
 HEAD = "live_chunks long, live_terms long, last_seq long, applied map<string,long>"
 #: Names in ``gone`` up to this many are sent to every task, at some 100 bytes each.
 SENT = 100_000
+#: More of them, up to this many, are sent as hashes, at some 60 bytes each; beyond that rows are shuffled.
+HASHED = 1 << 22
 
 
 class Segments:
@@ -48,6 +49,7 @@ class Segments:
     def __init__(self, spark: SparkSession, path: str, tokenizer: Tokenizer = DEFAULT, fanout: int = FANOUT):
         self.spark, self.path, self.tokenizer, self.fanout = spark, str(path).rstrip("/"), tokenizer, fanout
         self.store = Store(spark, self.path)
+        self._told: dict[tuple, bool] = {}
 
     # Reading.
 
@@ -65,7 +67,8 @@ class Segments:
         return self.spark.read.schema(HEAD).parquet(f"{self.path}/v{number}/head").first() if number else None
 
     def _table(self, segment: str, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/segments/{segment}/{name}")
+        rows = self.spark.read.schema(PACKED if name == "postings" else SCHEMAS[name]).parquet(f"{self.path}/segments/{segment}/{name}")
+        return unpacked(rows) if name == "postings" else rows
 
     def _all(self, segments: list, name: str) -> DataFrame:
         """The rows of a table in these segments, dead ones too, with their segment's place."""
@@ -77,12 +80,23 @@ class Segments:
         rows = self._all(segments, name) if within is None else within
         later = [s for s in segments[1:] if s["gone"]]
         if later:
-            cut = self._all(later, "gone").groupBy("source").agg(F.max("_place").alias("_cut"))
-            if sum(s["gone"] for s in later) <= SENT:
+            names = sum(s["gone"] for s in later)
+            hashed = SENT < names <= HASHED and self._told_apart(segments)
+            key = F.xxhash64("source") if hashed else F.col("source")
+            cut = self._all(later, "gone").groupBy(key.alias("_key")).agg(F.max("_place").alias("_cut"))
+            if hashed or names <= SENT:
                 cut = F.broadcast(cut)
-            rows = rows.join(cut, "source", "left").where(F.col("_cut").isNull() | (F.col("_place") >= F.col("_cut"))).drop("_cut")
+            rows = rows.withColumn("_key", key).join(cut, "_key", "left").where(F.col("_cut").isNull() | (F.col("_place") >= F.col("_cut"))).drop("_key", "_cut")
         return rows.drop("_place")
 
+    def _told_apart(self, segments: list) -> bool:
+        """Whether all sources that these segments have or name have hashes of their own, so that hashes are as good as names."""
+        held = tuple(s["segment"] for s in segments)
+        if held not in self._told:
+            names = self._all(segments, "sources").select("source").unionByName(self._all(segments, "gone").select("source")).distinct()
+            self._told[held] = names.groupBy(F.xxhash64("source").alias("_key")).count().where("count > 1").isEmpty()
+        return self._told[held]
+
     def index(self, version: int | None = None) -> Index:
         """A version as an index; no table is counted or copied.
 
@@ -95,11 +109,10 @@ class Segments:
         return Index(tables["chunks"], tables["postings"], self.tokenizer, (n, terms / n if n else 0.0), tables["sources"], self._blocks(segments))
 
     def _blocks(self, segments: list) -> DataFrame | None:
-        """The bounds of all segments together; None where a later segment has replaced rows that they count."""
+        """The bounds of all segments; None where a later segment has replaced rows that they count."""
         if not segments or any(s["gone"] for s in segments[1:]):
             return None
-        rows = functools.reduce(DataFrame.unionByName, [self._table(s["segment"], "blocks") for s in segments if s["postings"]] or [self.spark.createDataFrame([], BLOCKS)])
-        return rows if len(segments) == 1 else rows.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("most_tf").alias("most_tf"), F.min("least_length").alias("least_length"))
+        return functools.reduce(DataFrame.unionByName, [self._table(s["segment"], "blocks") for s in segments if s["postings"]] or [self.spark.createDataFrame([], BOUNDS)])
 
     def vectors(self, version: int | None = None) -> DataFrame | None:
         """The live vectors, if every segment with chunks has them."""
@@ -156,7 +169,7 @@ class Segments:
         if chunks is None:
             chunks = self.spark.createDataFrame([], CHUNKS)
         Index(chunks, tokenizer=self.tokenizer).save(home, totals=False)
-        gone.select("source").distinct().write.mode("overwrite").parquet(f"{home}/gone")
+        gone.select("source").distinct().write.mode("overwrite").options(**ZSTD).parquet(f"{home}/gone")
         if embed:
             embed(self._table(name, "chunks")).write.mode("overwrite").parquet(f"{home}/vectors")
         return self._row(name, place, level, bool(embed))
@@ -177,11 +190,8 @@ class Segments:
             name, kept = uuid.uuid4().hex, all(r[-1] or not r[3] for r in parts)
             home = f"{self.path}/segments/{name}"
             for table in ("chunks", "sources", *(["vectors"] if kept else [])):
-                self.live(named, table).write.parquet(f"{home}/{table}")
-            ordered = self.live(named, "postings").sortWithinPartitions("term", "id")
-            ordered.write.parquet(f"{home}/postings")
-            made = bounds(self._table(name, "postings")).sortWithinPartitions("term", "block")
-            made.write.parquet(f"{home}/blocks")
+                self.live(named, table).write.options(**ZSTD).parquet(f"{home}/{table}")
+            write_postings(packed(self.live(named, "postings")), home)
             needed = self._all(named, "gone").select("source").distinct()
             (needed if old else needed.limit(0)).write.parquet(f"{home}/gone")
             rows = [*old, self._row(name, parts[-1][1], parts[0][2] + 1, kept)]

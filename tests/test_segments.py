@@ -148,3 +148,55 @@ def test_postings_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
     for r in rows:
         by_file.setdefault(r.file, []).append((r.term, r.id))
     assert len(rows) == 2 * 20 * 3 and all(found == sorted(found) for found in by_file.values())
+
+
+def test_a_posting_names_its_chunk_once(spark, tmp_path):
+    """Stored postings have one column for all that is known of the chunk, and their bounds are not shuffled."""
+    docs = spark.createDataFrame([("a b/ü 7.txt", "one two two", 5), ("", "two three", 6), ("none", "", 7)], "source string, text string, seq long")
+    whole = Index.of(docs, size=2, overlap=1)
+    whole.save(str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).columns == ["term", "chunk", "tf"]
+    kept, every = Index.load(spark, str(tmp_path / "i")), ("id", "source", "seq", "position", "term", "tf", "length")
+    assert rows(kept.postings, *every) == rows(whole.postings, *every)
+    Index(whole.chunks, kept.postings).save(str(tmp_path / "j"))
+    again = Index.load(spark, str(tmp_path / "j"))
+    assert rows(again.postings, *every) == rows(whole.postings, *every)
+    assert rows(again.sources(), "source", "chunks", "terms") == [("", 1, 2), ("a b/ü 7.txt", 2, 4)]
+    asked = whole.postings.select("term").distinct()
+    for index in (kept, again):
+        assert rows(index.bounds_of(asked), "term", "block", "n", "most_tf", "least_length") == rows(whole.bounds_of(asked), "term", "block", "n", "most_tf", "least_length")
+
+
+def test_postings_are_ordered_run_by_run(spark, tmp_path, monkeypatch):
+    from glosspan.operators import index as module
+
+    texts = {f"d{i}": " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(12)) for i in range(50)}
+    whole = Index.of(documents(spark, texts), size=5, overlap=1)
+    monkeypatch.setattr(module, "RUN", 8)
+    stored = module.inverted(whole.chunks)
+    assert rows(module.unpacked(stored), "id", "term", "tf", "length") == rows(whole.postings, "id", "term", "tf", "length")
+    assert "Sort" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_replaced_sources_and_many_asked_terms_shuffle_no_rows(spark, tmp_path, monkeypatch):
+    from glosspan.operators import direct, segments
+
+    store, none = Segments(spark, str(tmp_path / "s")), spark.createDataFrame([], "source string")
+    store.publish(chunked(documents(spark, {f"d{i}": f"alpha beta w{i % 5}" for i in range(40)})), none)
+    store.publish(chunked(documents(spark, {f"d{i}": f"alpha gamma w{i % 3}" for i in range(0, 40, 2)}, 40)), spark.createDataFrame([(f"d{i}",) for i in range(0, 40, 2)], "source string"))
+    queries = spark.createDataFrame([("a", "alpha w1 w2"), ("b", "beta w0")], "query_id string, query string")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    pick = lambda: sorted((r.query_id, r["rank"], r.id, r.score) for r in retrieval.bm25(store.index(), queries, 7).collect())
+    wanted = pick()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(segments, "SENT", 3)
+        assert all("SortMergeJoin" not in plan(getattr(store.index(), name)) for name in ("chunks", "postings"))
+        assert pick() == wanted
+        monkeypatch.setattr(Segments, "_told_apart", lambda self, held: False)  # hashes that are not as good as names
+        assert "SortMergeJoin" in plan(store.index().chunks) and pick() == wanted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    monkeypatch.setattr(direct, "MANY", 1)
+    assert "ollect_list" not in plan(direct.best(store.index(), retrieval.query_terms(queries), 7)) and pick() == wanted
