@@ -28,8 +28,10 @@ RRF_K, RRF_DEPTH, RERANK_DEPTH = 60, 50, 20
 
 #: Query vectors of at most so many bytes are sent to every task; more are dealt with in blocks.
 VECTOR_BYTES = 16 << 20
-#: Vectors, and queries, that a task multiplies at once.
-TILE = 1024
+#: Vectors, and queries, that a task multiplies at once; pairs that it computes in double precision at once.
+TILE, PAIRS = 1024, 1 << 15
+#: Tasks a core that a search by many vectors is dealt to.
+TASKS = 2
 #: Order among equal scores: the document's number, then the chunk's place in it.
 PLACE = ("seq", "position")
 
@@ -163,8 +165,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     The queries are stated by the caller; as many as VECTOR_BYTES hold are sent
     to every task and meet each batch of vectors as one matrix product.  A task
     keeps the best ``k`` a query of all it has seen, so k rows a query and task
-    are shuffled and ranked.  Vectors without a length, or of another number of
-    components, have no cosine.
+    are shuffled and ranked; vectors are dealt to no more tasks than keep the
+    cluster busy, queries to more blocks where vectors lie in too few partitions.
+    Vectors without a length, or of another number of components, have no cosine.
     """
     spark = vectors.sparkSession
     columns = [c for c in vectors.columns if c not in ("vector", "query_id", "score", "rank")]
@@ -176,58 +179,126 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return ranked(spark.createDataFrame([], schema), k)
     blocks = -(-count * (8 * width + 64) // VECTOR_BYTES)
     rows = vectors.select(*columns, F.col("vector").cast("array<double>").alias("vector"))
+    if count > TILE:
+        tasks, dealt = TASKS * spark.sparkContext.defaultParallelism, max(1, rows.rdd.getNumPartitions())
+        blocks = max(blocks, min(-(-tasks // dealt), -(-count // TILE)))
+        rows = rows.coalesce(-(-tasks // blocks))
     parts = []
     for number in range(blocks):
         held = stated.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else stated
-        asked_for = [(r["query_id"], r["q"]) for r in held.collect() if r["q"] and None not in r["q"]]
+        asked_for = _matrices(held.where(F.size("q") > 0).toArrow())
         if asked_for:
             sent = spark.sparkContext.broadcast(asked_for)
             parts.append(rows.mapInArrow(_best_of(sent, columns, k), schema))
     return ranked(functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema), k)
 
 
+def _matrices(queries: pa.Table) -> dict[int, tuple[list[str], np.ndarray]]:
+    """Names and vectors of queries (name, vector) by width; single precision where that holds them exactly."""
+    names, vectors = (queries.column(c).combine_chunks() for c in (0, 1))
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    whole = np.bincount(pc.list_parent_indices(vectors).to_numpy(zero_copy_only=False)[pc.is_null(vectors.flatten()).to_numpy(zero_copy_only=False)], minlength=len(vectors)) == 0
+    out = {}
+    for width in np.unique(lengths[(lengths > 0) & whole]).tolist():
+        at = pa.array(np.flatnonzero((lengths == width) & whole))
+        matrix = vectors.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        with np.errstate(all="ignore"):
+            single = matrix.astype(np.float32)
+        out[width] = (names.take(at).to_pylist(), single if np.array_equal(single, matrix) else matrix)
+    return out
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Of vectors; nan for those that have no cosine."""
+    with np.errstate(all="ignore"):
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        return np.where((length > 0) & np.isfinite(length), length, np.nan)
+
+
+def _unit(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """In single precision, for the product that most pairs get no further than."""
+    with np.errstate(all="ignore"):
+        return np.where(np.isnan(length)[:, None], 0.0, x / length[:, None]).astype(np.float32)
+
+
 def _best_of(sent, columns: list[str], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Maps batches of vectors to the best ``k`` rows for each of the queries sent."""
+    """Maps batches of vectors to the best ``k`` rows for each of the queries sent.
+
+    A tile of vectors and one of queries are multiplied in single precision.
+    Only pairs that come as near to the k-th best so far as that can be wrong
+    are computed in double precision; they wait until they are worth putting in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_width: dict[int, list[tuple[str, list[float]]]] = {}
-        for query in sent.value:
-            by_width.setdefault(len(query[1]), []).append(query)
-        best: dict[tuple[int, int], pa.Table] = {}
-        floor: dict[tuple[int, int], np.ndarray] = {}
+        asked = sent.value if isinstance(sent.value, dict) else _matrices(pa.table({"n": [n for n, _ in sent.value], "v": pa.array([v for _, v in sent.value], pa.list_(pa.float64()))}))
+        tiles: dict[int, list[_Tile]] = {}
+        for width, (names, matrix) in asked.items():
+            tiles[width] = [_Tile(begin, matrix[begin : begin + TILE], k) for begin in range(0, len(names), TILE)]
         for batch in (whole.slice(at, TILE) for whole in batches for at in range(0, whole.num_rows, TILE)):
             lengths = pc.fill_null(pc.list_value_length(batch.column(len(columns))), 0).to_numpy(zero_copy_only=False)
-            for width, asked_for in by_width.items():
+            for width, held in tiles.items():
                 some = batch.filter(pa.array(lengths == width))
                 if not some.num_rows:
                     continue
                 x = some.column(len(columns)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                for begin in range(0, len(asked_for), TILE):
-                    q = np.array([v for _, v in asked_for[begin : begin + TILE]])
-                    with np.errstate(all="ignore"):
-                        score = (x @ q.T) / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] / np.sqrt(np.einsum("ij,ij->i", q, q))
-                        score = np.where(score > 0, score, -1.0)
-                    least = np.partition(score, -k, axis=0)[-k] if len(x) > k else np.zeros(len(q))
-                    held = floor.setdefault((width, begin), np.zeros(len(q)))
-                    # Near ties of the k-th stay until they are put in order.
-                    at, of = np.nonzero((score > 0) & (score >= np.maximum(least, held) - 1e-8))
-                    if not len(at):
-                        continue
-                    found = pa.Table.from_batches([some.select(columns)]).take(pa.array(at))
-                    found = found.append_column("_q", pa.array(of + begin)).append_column("score", pa.array(score[at, of]))
-                    one = _first(pa.concat_tables([best[width, begin], found]) if (width, begin) in best else found, k)
-                    best[width, begin] = one
-                    # What the k-th of a query has, once it has k, is the least that a later row needs.
-                    numbers, low = one["_q"].to_numpy() - begin, np.full(len(q), np.inf)
-                    np.minimum.at(low, numbers, one["score"].to_numpy())
-                    floor[width, begin] = np.where(np.bincount(numbers, minlength=len(q)) >= k, low, 0.0)
-        for (width, _), table in best.items():
-            names = pa.array([name for name, _ in by_width[width]], pa.string()).take(table["_q"].combine_chunks())
-            yield from pa.Table.from_arrays([names, *(table[c] for c in columns), table["score"]], ["query_id", *columns, "score"]).combine_chunks().to_batches()
+                length, plain = _lengths(x), pa.Table.from_batches([some.select(columns)])
+                unit = _unit(x, length)
+                for tile in held:
+                    tile.meet(x, length, unit, plain)
+        for width, held in tiles.items():
+            for tile in held:
+                table = tile.settled()
+                if table is not None:
+                    names = pa.array(asked[width][0], pa.string()).take(table["_q"].combine_chunks())
+                    yield from pa.Table.from_arrays([names, *(table[c] for c in columns), table["score"]], ["query_id", *columns, "score"]).combine_chunks().to_batches()
 
     return run
 
 
+class _Tile:
+    """Queries that a task multiplies at once, and the best ``k`` rows of each so far."""
+
+    def __init__(self, begin: int, q: np.ndarray, k: int):
+        self.begin, self.q, self.k, self.length = begin, q, k, _lengths(q.astype(np.float64))
+        self.unit = np.ascontiguousarray(_unit(q.astype(np.float64), self.length).T)
+        #: What a product in single precision may be off.
+        self.off = (q.shape[1] + 8) * 2.0**-23
+        self.best: pa.Table | None = None
+        self.waiting: list[pa.Table] = []
+        #: The least that a row needs of queries that have k rows.
+        self.floor = np.zeros(len(q))
+
+    def meet(self, x: np.ndarray, length: np.ndarray, unit: np.ndarray, plain: pa.Table) -> None:
+        product = unit @ self.unit
+        # Near ties of the k-th stay until they are put in order.
+        least = self.floor - 1e-8 - self.off
+        if len(x) > self.k and 2 * np.count_nonzero(self.floor) < len(self.floor):
+            least = np.maximum(least, np.partition(product, -self.k, axis=0)[-self.k] - 1e-8 - 2 * self.off)
+        near = np.flatnonzero(product >= least.astype(np.float32) - np.float32(1e-7))
+        for some in (near[i : i + PAIRS] for i in range(0, len(near), PAIRS)):
+            at, of = np.divmod(some, len(self.q))
+            with np.errstate(all="ignore"):
+                score = np.einsum("ij,ij->i", x[at], self.q[of].astype(np.float64)) / length[at] / self.length[of]
+                kept = (score > 0) & (score >= self.floor[of] - 1e-8)
+            if not kept.any():
+                continue
+            at, of, score = at[kept], of[kept], score[kept]
+            self.waiting.append(plain.take(pa.array(at)).append_column("_q", pa.array(of + self.begin)).append_column("score", pa.array(score)))
+            if self.best is None or sum(t.num_rows for t in self.waiting) > 2 * self.k * len(self.q):
+                self.settled()
+
+    def settled(self) -> pa.Table | None:
+        """The best so far, in order."""
+        if self.waiting:
+            self.best = _first(pa.concat_tables([*([] if self.best is None else [self.best]), *self.waiting]), self.k)
+            self.waiting = []
+            # What the k-th of a query has, once it has k, is the least that a later row needs.
+            numbers, low = self.best["_q"].to_numpy() - self.begin, np.full(len(self.q), np.inf)
+            np.minimum.at(low, numbers, self.best["score"].to_numpy())
+            self.floor = np.where(np.bincount(numbers, minlength=len(self.q)) >= self.k, low, 0.0)
+        return self.best
+
+
 def _first(table: pa.Table, k: int) -> pa.Table:
     """The first ``k`` rows of each query, as :func:`ranked` orders them."""
     place = [c for c in PLACE if c in table.column_names]

@@ -69,3 +69,41 @@ def test_dense_search_holds_a_tile_of_scores_at_once(spark, monkeypatch):
     found = sorted((q, i) for p in parts for q, i in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True))
     assert found == sorted((q, i) for q, _, i in whole)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in (None, "-1")
+
+
+def test_dense_search_computes_few_pairs_twice(spark, monkeypatch):
+    """Most pairs get no further than a product in single precision; what is near the k-th best is ranked by double precision."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16))
+    x[300:340] = x[:40] * 3  # equal directions
+    x[500] = x[7] + 1e-9  # nearer than single precision tells
+    x[5], x[6], x[8, 0], x[9, 1] = 0, 1e-200, np.nan, np.inf
+    vectors = spark.createDataFrame([(i, i, v) for i, v in enumerate(x.tolist())] + [(900, 900, [1.0]), (901, 901, None), (902, 902, [None] + [1.0] * 15)], "id long, seq long, vector array<double>").repartition(3)
+    with np.errstate(all="ignore"):
+        length = np.sqrt((x * x).sum(axis=1))
+        cos = x @ x.T / length[:, None] / length
+    cos[~np.isfinite(cos)] = -1
+    expected = {(str(q), rank + 1, int(i)) for q in range(900) for rank, i in enumerate(sorted(np.flatnonzero(cos[q] > 0), key=lambda i: (-round(cos[q, i], 9), i))[:4])}
+    monkeypatch.setattr(retrieval, "TILE", 64)
+    queries = vectors.selectExpr("cast(id AS string) AS query_id", "vector")
+    got = {(r["query_id"], r["rank"], r["id"]) for r in retrieval.dense(vectors, queries, 4).collect()}
+    assert {r for r in got if int(r[0]) < 900} == expected and ("900", 1, 900) in got
+    held, computed = retrieval._matrices(queries.toArrow()), []
+    plain = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda path, a, b: computed.append(len(a)) or plain(path, a, b))
+    sent = type("Sent", (), {"value": held})()
+    batches = vectors.toArrow().select(["id", "seq", "vector"]).combine_chunks().to_batches()
+    assert sum(b.num_rows for b in retrieval._best_of(sent, ["id", "seq"], 4)(iter(batches))) > 3500
+    assert sum(computed) < 900 * 900 / 3
+
+
+def test_dense_search_by_many_vectors_is_dealt_to_the_cores(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, i, [float(1 + i % 7), float(i % 5), 1.0]) for i in range(50)], "id long, seq long, vector array<double>").coalesce(1)
+    queries = vectors.selectExpr("cast(id AS string) AS query_id", "vector")
+    whole = sorted((r["query_id"], r["rank"], r["id"]) for r in retrieval.dense(vectors, queries, 4).collect())
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    found = retrieval.dense(vectors, queries, 4)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 8  # one partition of vectors: the queries are cut
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found.collect()) == whole
