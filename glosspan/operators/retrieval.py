@@ -234,6 +234,7 @@ def _best_of(sent, columns: list[str], k: int) -> Callable[[Iterator[pa.RecordBa
         tiles: dict[int, list[_Tile]] = {}
         for width, (names, matrix) in asked.items():
             tiles[width] = [_Tile(begin, matrix[begin : begin + TILE], k) for begin in range(0, len(names), TILE)]
+        space = np.empty(TILE * TILE, np.float32)
         for batch in (whole.slice(at, TILE) for whole in batches for at in range(0, whole.num_rows, TILE)):
             lengths = pc.fill_null(pc.list_value_length(batch.column(len(columns))), 0).to_numpy(zero_copy_only=False)
             for width, held in tiles.items():
@@ -244,7 +245,7 @@ def _best_of(sent, columns: list[str], k: int) -> Callable[[Iterator[pa.RecordBa
                 length, plain = _lengths(x), pa.Table.from_batches([some.select(columns)])
                 unit = _unit(x, length)
                 for tile in held:
-                    tile.meet(x, length, unit, plain)
+                    tile.meet(x, length, unit, plain, space)
         for width, held in tiles.items():
             for tile in held:
                 table = tile.settled()
@@ -255,6 +256,15 @@ def _best_of(sent, columns: list[str], k: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _true(found: np.ndarray) -> np.ndarray:
+    """Where a few of many are true, eight looked at at once."""
+    flat = found.ravel()
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    word, byte = np.nonzero(flat[:whole].reshape(-1, 8)[words])
+    return np.concatenate([words[word] * 8 + byte, whole + np.flatnonzero(flat[whole:])])
+
+
 class _Tile:
     """Queries that a task multiplies at once, and the best ``k`` rows of each so far."""
 
@@ -268,13 +278,14 @@ class _Tile:
         #: The least that a row needs of queries that have k rows.
         self.floor = np.zeros(len(q))
 
-    def meet(self, x: np.ndarray, length: np.ndarray, unit: np.ndarray, plain: pa.Table) -> None:
-        product = unit @ self.unit
+    def meet(self, x: np.ndarray, length: np.ndarray, unit: np.ndarray, plain: pa.Table, space: np.ndarray) -> None:
+        """Take these vectors into account; ``space`` holds the product meanwhile."""
+        product = np.matmul(unit, self.unit, out=space[: len(unit) * len(self.q)].reshape(len(unit), -1))
         # Near ties of the k-th stay until they are put in order.
         least = self.floor - 1e-8 - self.off
         if len(x) > self.k and 2 * np.count_nonzero(self.floor) < len(self.floor):
             least = np.maximum(least, np.partition(product, -self.k, axis=0)[-self.k] - 1e-8 - 2 * self.off)
-        near = np.flatnonzero(product >= least.astype(np.float32) - np.float32(1e-7))
+        near = _true(product >= least.astype(np.float32) - np.float32(1e-7))
         for some in (near[i : i + PAIRS] for i in range(0, len(near), PAIRS)):
             at, of = np.divmod(some, len(self.q))
             with np.errstate(all="ignore"):
